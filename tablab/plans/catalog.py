@@ -348,3 +348,195 @@ def detect_task_q(spark, sf):
 def preview_q(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     return o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
+
+
+# ================================================================ F5, C1-C4
+from tablab.operators import clean as C  # noqa: E402
+from tablab.operators import transform as X  # noqa: E402
+
+
+@register(
+    "drop_nulls",
+    f"WITH {LI_NULLS} SELECT l_orderkey, l_linenumber, l_discount FROM li WHERE l_discount IS NOT NULL",
+)
+def drop_nulls_q(spark, sf):
+    return C.drop_nulls(lineitem_nulls(spark, sf), ["l_discount"]).select("l_orderkey", "l_linenumber", "l_discount")
+
+
+def _fill(strategy: str, col: str, value=None):
+    def run(spark, sf):
+        li = lineitem_nulls(spark, sf)
+        return rounded(C.fill_nulls(li, col, strategy, value).select("l_orderkey", "l_linenumber", col))
+
+    return run
+
+
+register(
+    "fill_mean",
+    f"""WITH {LI_NULLS} SELECT l_orderkey, l_linenumber,
+        round(coalesce(l_discount, (SELECT avg(l_discount) FROM li)), 6) AS l_discount FROM li""",
+)(_fill("mean", "l_discount"))
+register(
+    "fill_median",
+    f"""WITH {LI_NULLS} SELECT l_orderkey, l_linenumber,
+        round(coalesce(l_extendedprice, (SELECT quantile_cont(l_extendedprice, 0.5) FROM li)), 6) AS l_extendedprice
+        FROM li""",
+)(_fill("median", "l_extendedprice"))
+register(
+    "fill_mode",
+    f"""WITH {LI_NULLS} SELECT l_orderkey, l_linenumber,
+        coalesce(l_returnflag, (SELECT l_returnflag FROM li WHERE l_returnflag IS NOT NULL
+                                GROUP BY l_returnflag ORDER BY count(*) DESC, l_returnflag LIMIT 1)) AS l_returnflag
+        FROM li""",
+)(_fill("mode", "l_returnflag"))
+register(
+    "fill_value",
+    f"""WITH {LI_NULLS} SELECT l_orderkey, l_linenumber, round(coalesce(l_quantity, 0.0), 6) AS l_quantity FROM li""",
+)(_fill("value", "l_quantity", "0"))
+
+
+# ================================================================ F3, F4, T8
+@register("drop_columns", "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
+def drop_columns_q(spark, sf):
+    return C.drop_columns(load(spark, sf, "customer"), ["c_name", "c_acctbal"])
+
+
+@register(
+    "rename_column",
+    "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment AS segment FROM customer",
+)
+def rename_column_q(spark, sf):
+    return C.rename_column(load(spark, sf, "customer"), "c_mktsegment", "segment")
+
+
+@register("cast_int", "SELECT c_custkey, CAST(trunc(c_acctbal) AS BIGINT) AS c_acctbal FROM customer")
+def cast_int_q(spark, sf):
+    return X.cast_column(load(spark, sf, "customer"), "c_acctbal", "int").select("c_custkey", "c_acctbal")
+
+
+@register("cast_str", "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
+def cast_str_q(spark, sf):
+    return X.cast_column(load(spark, sf, "customer"), "c_nationkey", "str").select("c_custkey", "c_nationkey")
+
+
+@register("cast_bool", "SELECT c_custkey, c_nationkey <> 0 AS c_nationkey FROM customer")
+def cast_bool_q(spark, sf):
+    return X.cast_column(load(spark, sf, "customer"), "c_nationkey", "bool").select("c_custkey", "c_nationkey")
+
+
+# ================================================================ T1, T2
+@register(
+    "label_encode",
+    """SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY coalesce(c_mktsegment, 'nan')) - 1 AS BIGINT) AS c_mktsegment
+       FROM customer""",
+)
+def label_encode_q(spark, sf):
+    return X.label_encode(load(spark, sf, "customer"), "c_mktsegment").select("c_custkey", "c_mktsegment")
+
+
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@register(
+    "one_hot",
+    "SELECT c_custkey, c_name, c_nationkey, c_acctbal, "
+    + ", ".join(f"coalesce(c_mktsegment = '{v}', false) AS c_mktsegment_{v}" for v in _SEGMENTS)
+    + " FROM customer",
+)
+def one_hot_q(spark, sf):
+    return rounded(X.one_hot(load(spark, sf, "customer"), "c_mktsegment"))
+
+
+# ================================================================ T3-T5
+@register(
+    "scale_standard",
+    """SELECT s_suppkey, round((s_acctbal - (SELECT avg(s_acctbal) FROM supplier))
+              / (SELECT CASE WHEN stddev_pop(s_acctbal) = 0 THEN 1 ELSE stddev_pop(s_acctbal) END FROM supplier), 6)
+              AS s_acctbal FROM supplier""",
+)
+def scale_standard_q(spark, sf):
+    s = load(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    return rounded(X.scale(s, ["s_acctbal"], "standard"))
+
+
+@register(
+    "scale_minmax",
+    """WITH m AS (SELECT min(p_retailprice) AS mn, max(p_retailprice) - min(p_retailprice) AS rg FROM part)
+       SELECT p_partkey, round((p_retailprice - mn) / CASE WHEN rg = 0 THEN 1 ELSE rg END, 6) AS p_retailprice,
+              round((p_size - (SELECT min(p_size) FROM part)) * 1.0 /
+                    (SELECT CASE WHEN max(p_size) = min(p_size) THEN 1 ELSE max(p_size) - min(p_size) END FROM part), 6)
+              AS p_size
+       FROM part, m""",
+)
+def scale_minmax_q(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size")
+    return rounded(X.scale(p, ["p_retailprice", "p_size"], "minmax"))
+
+
+@register(
+    "scale_robust",
+    """WITH m AS (SELECT quantile_cont(p_size, 0.5) AS med,
+                         quantile_cont(p_size, 0.75) - quantile_cont(p_size, 0.25) AS iqr FROM part)
+       SELECT p_partkey, round((p_size - med) / CASE WHEN iqr = 0 THEN 1 ELSE iqr END, 6) AS p_size FROM part, m""",
+)
+def scale_robust_q(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", "p_size")
+    return rounded(X.scale(p, ["p_size"], "robust"))
+
+
+# ================================================================ T6
+@register("log_positive", "SELECT p_partkey, round(ln(p_retailprice), 6) AS p_retailprice FROM part")
+def log_positive_q(spark, sf):
+    return rounded(X.log_transform(load(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_retailprice"))
+
+
+@register(
+    "log1p_nonpositive",
+    "SELECT c_custkey, round(CASE WHEN c_acctbal > -1 THEN ln(1 + c_acctbal) END, 6) AS c_acctbal FROM customer",
+)
+def log1p_nonpositive_q(spark, sf):
+    return rounded(X.log_transform(load(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal"))
+
+
+# ================================================================ T7
+def _bin_case(n: int, then) -> str:
+    whens = " ".join(
+        f"WHEN p_retailprice > ({'mn - (mx - mn) * 0.001' if i == 0 else f'mn + {i} * ((mx - mn) / {n})'}) "
+        f"AND p_retailprice <= ({'mx' if i == n - 1 else f'mn + {i + 1} * ((mx - mn) / {n})'}) THEN {then(i)}"
+        for i in range(n)
+    )
+    return f"CASE {whens} END"
+
+
+@register(
+    "bin_equal_width",
+    "WITH s AS (SELECT min(p_retailprice) AS mn, max(p_retailprice) AS mx FROM part) "
+    f"SELECT p_partkey, {_bin_case(4, str)} AS p_retailprice_bin FROM part, s",
+)
+def bin_equal_width_q(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", "p_retailprice")
+    params = X.fit_bin_equal_width(p, "p_retailprice", 4)
+    return X.apply_bin_equal_width(p, "p_retailprice", params, as_index=True).select("p_partkey", "p_retailprice_bin")
+
+
+_BIN_LABELS = ["low", "mid", "high"]
+
+
+@register(
+    "bin_labels",
+    "WITH s AS (SELECT min(p_retailprice) AS mn, max(p_retailprice) AS mx FROM part) "
+    f"SELECT p_partkey, {_bin_case(3, lambda i: repr(_BIN_LABELS[i]))} AS p_retailprice_bin FROM part, s",
+)
+def bin_labels_q(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", "p_retailprice")
+    return X.bin_equal_width(p, "p_retailprice", 3, _BIN_LABELS).select("p_partkey", "p_retailprice_bin")
+
+
+# ================================================================ A9
+@register(
+    "drop_duplicates",
+    "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem",
+)
+def drop_duplicates_q(spark, sf):
+    li = load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    return C.drop_duplicates(li)
