@@ -540,3 +540,101 @@ def bin_labels_q(spark, sf):
 def drop_duplicates_q(spark, sf):
     li = load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
     return C.drop_duplicates(li)
+
+
+# ================================================================ G1-G11
+from tablab.operators import charts as G  # noqa: E402
+
+
+@register("line_data", "SELECT event_id, value, event_type FROM events")
+def line_data_q(spark, sf):
+    return G.line_data(load(spark, sf, "events"), "event_id", "value", color="event_type")
+
+
+@register("scatter_data", "SELECT o_custkey, o_totalprice, o_orderstatus FROM orders")
+def scatter_data_q(spark, sf):
+    return G.scatter_data(load(spark, sf, "orders"), "o_custkey", "o_totalprice", color="o_orderstatus")
+
+
+@register(
+    "area_data",
+    """WITH g AS (SELECT user_id, event_type, coalesce(sum(value), 0) AS value FROM events
+                 WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY user_id, event_type)
+       SELECT user_id, event_type, round(value, 6) AS value,
+              round(sum(value) OVER (PARTITION BY user_id ORDER BY event_type
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS stack_top
+       FROM g""",
+)
+def area_data_q(spark, sf):
+    return rounded(G.area_data(load(spark, sf, "events"), "user_id", "value", color="event_type"))
+
+
+@register(
+    "box_data",
+    """WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS q1,
+                        quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS q3
+                 FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority),
+            f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
+       SELECT o.o_orderpriority, count(o_totalprice) AS n, round(min(o_totalprice), 6) AS min,
+              round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3,
+              round(max(o_totalprice), 6) AS max,
+              round(any_value(lower_fence), 6) AS lower_fence, round(any_value(upper_fence), 6) AS upper_fence,
+              round(min(CASE WHEN o_totalprice BETWEEN lower_fence AND upper_fence THEN o_totalprice END), 6) AS whisker_low,
+              round(max(CASE WHEN o_totalprice BETWEEN lower_fence AND upper_fence THEN o_totalprice END), 6) AS whisker_high,
+              count(CASE WHEN o_totalprice IS NOT NULL AND NOT (o_totalprice BETWEEN lower_fence AND upper_fence)
+                         THEN 1 END) AS n_outliers
+       FROM orders o JOIN f ON o.o_orderpriority = f.o_orderpriority
+       GROUP BY o.o_orderpriority""",
+)
+def box_data_q(spark, sf):
+    return rounded(G.box_data(load(spark, sf, "orders"), "o_orderpriority", "o_totalprice"))
+
+
+@register(
+    "histogram_data",
+    """WITH s AS (SELECT min(value) AS mn, max(value) AS mx FROM events),
+            b AS (SELECT CAST(least(floor((value - mn) / ((mx - mn) / 10)), 9) AS INTEGER) AS bin
+                  FROM events, s WHERE value IS NOT NULL),
+            c AS (SELECT bin, count(*) AS count FROM b GROUP BY bin),
+            r AS (SELECT CAST(range AS INTEGER) AS bin FROM range(10))
+       SELECT r.bin, round(mn + r.bin * ((mx - mn) / 10), 6) AS bin_start,
+              round(mn + (r.bin + 1) * ((mx - mn) / 10), 6) AS bin_end, coalesce(c.count, 0) AS count
+       FROM r LEFT JOIN c ON r.bin = c.bin, s""",
+)
+def histogram_data_q(spark, sf):
+    return rounded(G.histogram_data(load(spark, sf, "events"), "value", bins=10))
+
+
+@register(
+    "distribution_data",
+    "SELECT p_brand, count(*) AS count FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand",
+)
+def distribution_data_q(spark, sf):
+    return G.distribution_data(load(spark, sf, "part"), "p_brand")
+
+
+def _smatrix_sql(cols, bins) -> str:
+    stats = ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in cols)
+
+    def b(c):
+        return f"CAST(least(floor(({c} - mn_{c}) / ((mx_{c} - mn_{c}) / {bins})), {bins - 1}) AS INTEGER)"
+
+    parts = [
+        f"SELECT '{a}' AS x_col, '{c}' AS y_col, {b(a)} AS x_bin, {b(c)} AS y_bin FROM lineitem, s "
+        f"WHERE {a} IS NOT NULL AND {c} IS NOT NULL"
+        for a in cols
+        for c in cols
+        if a != c
+    ]
+    return (
+        f"WITH s AS (SELECT {stats} FROM lineitem), p AS ({' UNION ALL '.join(parts)}) "
+        "SELECT x_col, y_col, x_bin, y_bin, count(*) AS count FROM p GROUP BY x_col, y_col, x_bin, y_bin"
+    )
+
+
+_SM_COLS = ["l_quantity", "l_discount", "l_tax"]
+
+
+@register("scatter_matrix_data", _smatrix_sql(_SM_COLS, 5))
+def scatter_matrix_data_q(spark, sf):
+    return G.scatter_matrix_data(load(spark, sf, "lineitem"), _SM_COLS, bins=5)
