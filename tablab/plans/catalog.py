@@ -638,3 +638,180 @@ _SM_COLS = ["l_quantity", "l_discount", "l_tax"]
 @register("scatter_matrix_data", _smatrix_sql(_SM_COLS, 5))
 def scatter_matrix_data_q(spark, sf):
     return G.scatter_matrix_data(load(spark, sf, "lineitem"), _SM_COLS, bins=5)
+
+
+# ================================================================ M2 / M13
+from tablab.operators import metrics as M  # noqa: E402
+from tablab.operators import split as S  # noqa: E402
+
+
+def _h(key: str, seed: int = 42) -> str:
+    return f"(('0x' || substr(md5(concat_ws('-', CAST({key} AS VARCHAR), '{seed}')), 1, 8))::BIGINT)"
+
+
+@register("hash_split", f"SELECT o_orderkey, ({_h('o_orderkey')} % 10000) < 2000 AS is_test FROM orders")
+def hash_split_q(spark, sf):
+    return S.with_test_flag(load(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.2, 42)
+
+
+@register("kfold", f"SELECT o_orderkey, CAST({_h('o_orderkey')} % 5 AS INTEGER) AS fold FROM orders")
+def kfold_q(spark, sf):
+    return S.kfold(load(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 5, 42)
+
+
+@register(
+    "stratified_kfold",
+    f"""SELECT doc_id, quality,
+               CAST((row_number() OVER (PARTITION BY quality ORDER BY {_h('doc_id')}, doc_id) - 1) % 5 AS INTEGER) AS fold
+        FROM labels""",
+)
+def stratified_kfold_q(spark, sf):
+    lab = load(spark, sf, "labels").select("doc_id", "quality")
+    return S.stratified_kfold(lab, "doc_id", "quality", 5, 42)
+
+
+# ================================================================ M14-M17
+def class_predictions(spark, sf) -> DataFrame:
+    """labels joined to a rule-based score from the documents table."""
+    lab = load(spark, sf, "labels")
+    docs = load(spark, sf, "documents").select("doc_id", "n_chars")
+    score = F.least(F.col("n_chars"), F.lit(10000)) / 10000.0
+    return lab.join(docs, "doc_id").select(
+        "doc_id",
+        F.col("quality").alias("label"),
+        score.alias("score"),
+        F.when(score >= 0.5, 1).otherwise(0).alias("prediction"),
+    )
+
+
+CLASS_PRED = """
+p AS (SELECT l.doc_id, l.quality AS label, least(d.n_chars, 10000) / 10000.0 AS score,
+             CASE WHEN least(d.n_chars, 10000) / 10000.0 >= 0.5 THEN 1 ELSE 0 END AS prediction
+      FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
+"""
+
+
+@register(
+    "classification_metrics",
+    f"""WITH {CLASS_PRED},
+        pairs AS (SELECT label AS actual, prediction AS predicted, count(*) AS n FROM p GROUP BY 1, 2),
+        a AS (SELECT actual AS cls, sum(n) AS support, sum(CASE WHEN actual = predicted THEN n ELSE 0 END) AS tp
+              FROM pairs GROUP BY 1),
+        b AS (SELECT predicted AS cls, sum(n) AS npred FROM pairs GROUP BY 1),
+        c AS (SELECT coalesce(a.cls, b.cls) AS cls, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp,
+                     coalesce(npred, 0) AS npred FROM a FULL JOIN b ON a.cls = b.cls),
+        d AS (SELECT *, CASE WHEN npred = 0 THEN 0 ELSE tp * 1.0 / npred END AS pr,
+                        CASE WHEN support = 0 THEN 0 ELSE tp * 1.0 / support END AS rc FROM c),
+        e AS (SELECT *, CASE WHEN pr + rc = 0 THEN 0 ELSE 2 * pr * rc / (pr + rc) END AS f FROM d)
+        SELECT round(sum(tp) * 1.0 / sum(support), 6) AS accuracy,
+               round(sum(pr * support) / sum(support), 6) AS precision,
+               round(sum(rc * support) / sum(support), 6) AS recall,
+               round(sum(f * support) / sum(support), 6) AS f1
+        FROM e""",
+)
+def classification_metrics_q(spark, sf):
+    return rounded(M.classification_metrics(class_predictions(spark, sf)))
+
+
+@register(
+    "confusion_matrix",
+    f"""WITH {CLASS_PRED},
+        cls AS (SELECT label AS c FROM p UNION SELECT prediction FROM p),
+        pairs AS (SELECT label AS actual, prediction AS predicted, count(*) AS n FROM p GROUP BY 1, 2)
+        SELECT a.c AS actual, b.c AS predicted, coalesce(n, 0) AS n
+        FROM cls a CROSS JOIN cls b LEFT JOIN pairs ON pairs.actual = a.c AND pairs.predicted = b.c""",
+)
+def confusion_matrix_q(spark, sf):
+    return M.confusion_matrix(class_predictions(spark, sf))
+
+
+_ROC_CTE = f"""{CLASS_PRED},
+    g AS (SELECT score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
+                 sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS neg FROM p GROUP BY score),
+    c AS (SELECT score, pos, neg, sum(pos) OVER (ORDER BY score DESC) AS cum_pos,
+                 sum(neg) OVER (ORDER BY score DESC) AS cum_neg,
+                 sum(pos) OVER () AS tp, sum(neg) OVER () AS tn FROM g)
+"""
+
+
+@register(
+    "roc_curve",
+    f"""WITH {_ROC_CTE}
+        SELECT score AS threshold, round(cum_neg * 1.0 / tn, 6) AS fpr, round(cum_pos * 1.0 / tp, 6) AS tpr FROM c
+        UNION ALL SELECT 'inf'::DOUBLE, 0.0, 0.0""",
+)
+def roc_curve_q(spark, sf):
+    return rounded(M.roc_curve(class_predictions(spark, sf)))
+
+
+@register(
+    "auc",
+    f"""WITH {_ROC_CTE}
+        SELECT round(sum(neg * (cum_pos - pos / 2.0)) / (max(tp) * max(tn)), 6) AS auc FROM c""",
+)
+def auc_q(spark, sf):
+    return rounded(M.auc(class_predictions(spark, sf)))
+
+
+# ================================================================ M18, M21, M22
+def reg_predictions(spark, sf) -> DataFrame:
+    li = load(spark, sf, "lineitem")
+    return li.select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("label"),
+        (F.col("l_extendedprice") / 1500.0).alias("prediction"),
+    )
+
+
+REG_PRED = """
+p AS (SELECT l_orderkey, l_linenumber, l_quantity AS label, l_extendedprice / 1500.0 AS prediction FROM lineitem)
+"""
+
+
+@register(
+    "regression_metrics",
+    f"""WITH {REG_PRED}
+        SELECT round(avg((label - prediction) * (label - prediction)), 6) AS mse,
+               round(sqrt(avg((label - prediction) * (label - prediction))), 6) AS rmse,
+               round(avg(abs(label - prediction)), 6) AS mae,
+               round(1 - avg((label - prediction) * (label - prediction)) / var_pop(label), 6) AS r2
+        FROM p""",
+)
+def regression_metrics_q(spark, sf):
+    return rounded(M.regression_metrics(reg_predictions(spark, sf)))
+
+
+@register(
+    "residual_data",
+    f"""WITH {REG_PRED}
+        SELECT l_orderkey, l_linenumber, round(prediction, 6) AS prediction, round(label - prediction, 6) AS residual
+        FROM p""",
+)
+def residual_data_q(spark, sf):
+    return rounded(M.residual_data(reg_predictions(spark, sf), keep=["l_orderkey", "l_linenumber"]))
+
+
+def _resdist_sql() -> str:
+    return """
+    WITH p AS (SELECT l_discount - (l_tax * 0.5 + 0.03) AS r FROM lineitem),
+         s AS (SELECT min(r) AS mn, max(r) AS mx, avg(r) AS mu, stddev_pop(r) AS sd, count(r) AS n FROM p),
+         b AS (SELECT CAST(least(floor((r - mn) / ((mx - mn) / 30)), 29) AS INTEGER) AS bin FROM p, s WHERE r IS NOT NULL),
+         c AS (SELECT bin, count(*) AS cnt FROM b GROUP BY bin),
+         rg AS (SELECT CAST(range AS INTEGER) AS bin FROM range(30)),
+         h AS (SELECT 'hist' AS kind, round(mn + rg.bin * ((mx - mn) / 30), 6) AS x,
+                      round(coalesce(cnt, 0) / (n * ((mx - mn) / 30)), 6) AS y,
+                      round(mn + (rg.bin + 1) * ((mx - mn) / 30), 6) AS x_end
+               FROM rg LEFT JOIN c ON rg.bin = c.bin, s),
+         nc AS (SELECT 'normal' AS kind, round(mu - 4 * sd + range * (8 * sd / 199), 6) AS x,
+                       round(exp(-0.5 * pow(((mu - 4 * sd + range * (8 * sd / 199)) - mu) / sd, 2))
+                             / (sd * sqrt(2 * pi())), 6) AS y,
+                       CAST(NULL AS DOUBLE) AS x_end
+                FROM range(200), s)
+    SELECT * FROM h UNION ALL SELECT * FROM nc"""
+
+
+@register("residual_distribution", _resdist_sql())
+def residual_distribution_q(spark, sf):
+    li = load(spark, sf, "lineitem").select(
+        F.col("l_discount").alias("label"), (F.col("l_tax") * 0.5 + 0.03).alias("prediction")
+    )
+    return rounded(M.residual_distribution(li))
