@@ -815,3 +815,109 @@ def residual_distribution_q(spark, sf):
         F.col("l_discount").alias("label"), (F.col("l_tax") * 0.5 + 0.03).alias("prediction")
     )
     return rounded(M.residual_distribution(li))
+
+
+# ================================================================ M4-M13, M19-M20
+from tablab.operators import neighbors as NB  # noqa: E402
+from tablab.operators import supervised as SV  # noqa: E402
+
+
+def _hk(keys, seed: int = 42) -> str:
+    parts = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"(('0x' || substr(md5(concat_ws('-', {parts}, '{seed}')), 1, 8))::BIGINT)"
+
+
+_EMB_SPLIT = f"""
+e AS (SELECT vec_id, embedding, label, ({_hk(['vec_id'])} % 10000) < 2000 AS is_test FROM embeddings),
+tr AS (SELECT * FROM e WHERE NOT is_test), te AS (SELECT * FROM e WHERE is_test)
+"""
+
+
+@register(
+    "knn_classify",
+    f"""WITH {_EMB_SPLIT},
+        d AS (SELECT te.vec_id AS qid, te.label AS qlabel, tr.vec_id AS tid, tr.label AS tlabel,
+                     list_reduce(list_transform(range(1, len(te.embedding) + 1),
+                         lambda i: (te.embedding[i]::DOUBLE - tr.embedding[i]::DOUBLE)
+                                   * (te.embedding[i]::DOUBLE - tr.embedding[i]::DOUBLE)), lambda a, b: a + b) AS dist
+              FROM te, tr),
+        nn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM d),
+        v AS (SELECT qid, qlabel, tlabel, count(*) AS c FROM nn WHERE rn <= 5 GROUP BY qid, qlabel, tlabel),
+        best AS (SELECT qid, qlabel, tlabel, row_number() OVER (PARTITION BY qid ORDER BY c DESC, tlabel) AS r FROM v)
+        SELECT qid AS vec_id, qlabel AS label, tlabel AS prediction FROM best WHERE r = 1""",
+)
+def knn_classify_q(spark, sf):
+    emb = load(spark, sf, "embeddings")
+    train, test = S.train_test_split(emb, "vec_id", 0.2, 42)
+    return NB.knn_classify(train, test.select("vec_id", "embedding", "label"), "vec_id", "embedding", "label", 5).select(
+        "vec_id", "label", "prediction"
+    )
+
+
+_LI_KEY = ["l_orderkey", "l_linenumber"]
+_LI_TRAIN = f"t AS (SELECT * FROM lineitem WHERE NOT (({_hk(_LI_KEY)} % 10000) < 2000))"
+
+
+def _linear_q(model: str):
+    def run(spark, sf):
+        li = load(spark, sf, "lineitem")
+        res = SV.train_model(li, ["l_quantity"], "l_extendedprice", model=model, task="regression",
+                             normalize=False, key=_LI_KEY)
+        return SV.coefficients(res).select("feature", F.round("coefficient", 4).alias("coefficient"))
+
+    return run
+
+
+register(
+    "ols_one_feature",
+    f"""WITH {_LI_TRAIN}
+        SELECT 'l_quantity' AS feature, round(regr_slope(l_extendedprice, l_quantity), 4) AS coefficient FROM t
+        UNION ALL SELECT '(intercept)', round(regr_intercept(l_extendedprice, l_quantity), 4) FROM t""",
+)(_linear_q("linear"))
+register(
+    "ridge_one_feature",
+    f"""WITH {_LI_TRAIN},
+        m AS (SELECT covar_pop(l_quantity, l_extendedprice) / (var_pop(l_quantity) + 1.0 / count(*)) AS slope,
+                     avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM t)
+        SELECT 'l_quantity' AS feature, round(slope, 4) AS coefficient FROM m
+        UNION ALL SELECT '(intercept)', round(my - slope * mx, 4) FROM m""",
+)(_linear_q("ridge"))
+
+
+def _model_q(table: str, features, target: str, model: str, key, task=None, **params):
+    def run(spark, sf):
+        df = load(spark, sf, table)
+        res = SV.train_model(df, features, target, model=model, task=task, key=key, **params)
+        return res.predictions.select(*key, "label", F.col("prediction").cast("double").alias("prediction"))
+
+    return run
+
+
+_LI_FEATS = ["l_quantity", "l_discount", "l_tax"]
+register("rf_classify")(_model_q("embeddings", ["embedding"], "label", "random_forest", ["vec_id"]))
+register("rf_regress")(_model_q("lineitem", _LI_FEATS, "l_extendedprice", "random_forest", _LI_KEY, "regression"))
+register("logistic")(_model_q("embeddings", ["embedding"], "label", "logistic", ["vec_id"]))
+register("svm_linear")(_model_q("embeddings", ["embedding"], "label", "svm", ["vec_id"], kernel="linear"))
+register("svm_rbf")(_model_q("embeddings", ["embedding"], "label", "svm", ["vec_id"], kernel="rbf"))
+register("svr")(_model_q("lineitem", _LI_FEATS, "l_extendedprice", "svr", _LI_KEY, "regression"))
+register("knn_model")(_model_q("embeddings", ["embedding"], "label", "knn", ["vec_id"]))
+register("linear_regression")(_model_q("lineitem", _LI_FEATS, "l_extendedprice", "linear", _LI_KEY, "regression"))
+
+
+@register("cross_validate")
+def cross_validate_q(spark, sf):
+    prep = SV.prepare_xy(load(spark, sf, "lineitem"), _LI_FEATS, "l_extendedprice", _LI_KEY, "regression")
+    return SV.cross_validate(prep, "linear", k=5)
+
+
+@register("feature_importance")
+def feature_importance_q(spark, sf):
+    li = load(spark, sf, "lineitem")
+    res = SV.train_model(li, _LI_FEATS, "l_extendedprice", model="random_forest", task="regression", key=_LI_KEY)
+    return SV.feature_importance(res)
+
+
+@register("roc_multiclass")
+def roc_multiclass_q(spark, sf):
+    res = SV.train_model(load(spark, sf, "embeddings"), ["embedding"], "label", model="logistic", key=["vec_id"])
+    return SV.roc_curves(res)
