@@ -921,3 +921,126 @@ def feature_importance_q(spark, sf):
 def roc_multiclass_q(spark, sf):
     res = SV.train_model(load(spark, sf, "embeddings"), ["embedding"], "label", model="logistic", key=["vec_id"])
     return SV.roc_curves(res)
+
+
+# ================================================================ U1-U11
+from tablab.operators import cluster as U  # noqa: E402
+
+_EMB_DIST = """list_reduce(list_transform(range(1, len({a}) + 1),
+                   lambda i: ({a}[i]::DOUBLE - {b}[i]::DOUBLE) * ({a}[i]::DOUBLE - {b}[i]::DOUBLE)), lambda x, y: x + y)"""
+
+
+def _first_centers(spark, sf, k: int = 5):
+    emb = load(spark, sf, "embeddings")
+    from tablab.functions.hashing import key_hash
+    from tablab.functions.small import collect_bounded
+
+    rows = collect_bounded(emb.orderBy(key_hash(["vec_id"], 42), "vec_id").select("embedding").limit(k), k, "centres")
+    return emb, [[float(v) for v in r["embedding"]] for r in rows]
+
+
+@register(
+    "kmeans_assign_step",
+    f"""WITH c AS (SELECT embedding AS ce, CAST(row_number() OVER (ORDER BY h, vec_id) - 1 AS INTEGER) AS ci
+                  FROM (SELECT vec_id, embedding, {_hk(['vec_id'])} AS h FROM embeddings ORDER BY h, vec_id LIMIT 5)),
+            d AS (SELECT e.vec_id, c.ci, {_EMB_DIST.format(a='e.embedding', b='c.ce')} AS dist FROM embeddings e, c),
+            r AS (SELECT vec_id, ci, row_number() OVER (PARTITION BY vec_id ORDER BY dist, ci) AS rn FROM d)
+        SELECT vec_id, ci AS cluster FROM r WHERE rn = 1""",
+)
+def kmeans_assign_step_q(spark, sf):
+    emb, centers = _first_centers(spark, sf)
+    return U.assign_nearest(emb, centers, "embedding").select("vec_id", "cluster")
+
+
+_DBSCAN_CTE = """
+pts AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part),
+nb AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b
+       ON ((0.0 + (a.x - b.x) * (a.x - b.x)) + (a.y - b.y) * (a.y - b.y)) <= 9.0),
+cnt AS (SELECT a AS id, count(*) AS n FROM nb GROUP BY a),
+core AS (SELECT id FROM cnt WHERE n >= 5),
+ce AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+cc(id, comp) AS (SELECT id, id FROM core UNION SELECT ce.b, cc.comp FROM cc JOIN ce ON ce.a = cc.id),
+cm AS (SELECT id, min(comp) AS comp FROM cc GROUP BY id),
+num AS (SELECT comp, CAST(dense_rank() OVER (ORDER BY comp) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT comp FROM cm)),
+corec AS (SELECT cm.id, num.cluster FROM cm JOIN num ON cm.comp = num.comp),
+bord AS (SELECT nb.a AS id, min(corec.cluster) AS cluster FROM nb JOIN corec ON nb.b = corec.id
+         WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a),
+lab AS (SELECT p.id AS p_partkey, CAST(coalesce(c.cluster, b.cluster, -1) AS INTEGER) AS cluster
+        FROM pts p LEFT JOIN corec c ON p.id = c.id LEFT JOIN bord b ON p.id = b.id)
+"""
+
+
+def _dbscan_part(spark, sf):
+    pts = U.prepare_points(load(spark, sf, "part"), ["p_size", "p_retailprice"], normalize=False, keep=["p_partkey"])
+    return U.dbscan(pts, eps=3.0, min_samples=5, key="p_partkey")
+
+
+@register("dbscan", f"WITH RECURSIVE {_DBSCAN_CTE} SELECT * FROM lab")
+def dbscan_q(spark, sf):
+    return _dbscan_part(spark, sf).select("p_partkey", "cluster")
+
+
+@register(
+    "cluster_counts",
+    f"""WITH RECURSIVE {_DBSCAN_CTE}
+        SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters,
+               count(CASE WHEN cluster = -1 THEN 1 END) AS n_noise FROM lab""",
+)
+def cluster_counts_q(spark, sf):
+    return U.cluster_counts(_dbscan_part(spark, sf))
+
+
+@register(
+    "cluster_display",
+    f"""WITH RECURSIVE {_DBSCAN_CTE}
+        SELECT p_partkey, cluster, CASE WHEN cluster = -1 THEN 'noise' ELSE CAST(cluster + 1 AS VARCHAR) END AS cluster_label
+        FROM lab""",
+)
+def cluster_display_q(spark, sf):
+    return U.cluster_display(_dbscan_part(spark, sf)).select("p_partkey", "cluster", "cluster_label")
+
+
+def _sil_sql(squared: bool) -> str:
+    dist = _EMB_DIST.format(a="a.embedding", b="b.embedding")
+    if not squared:
+        dist = f"sqrt({dist})"
+    return f"""
+    WITH d AS (SELECT a.vec_id AS i, a.label AS ca, b.label AS cb, {dist} AS dist FROM embeddings a, embeddings b),
+         pc AS (SELECT i, ca, cb, sum(dist) AS s, count(*) AS n FROM d GROUP BY i, ca, cb),
+         per AS (SELECT i, max(CASE WHEN ca = cb THEN s / (n - 1) END) AS a, max(CASE WHEN ca = cb THEN n END) AS n_own,
+                        min(CASE WHEN ca <> cb THEN s / n END) AS b FROM pc GROUP BY i)
+    SELECT round(avg(CASE WHEN n_own <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM per"""
+
+
+@register("silhouette_exact", _sil_sql(False))
+def silhouette_exact_q(spark, sf):
+    emb = load(spark, sf, "embeddings")
+    return rounded(U.silhouette_euclidean(emb, "vec_id", "embedding", "label"))
+
+
+@register("silhouette_sqeuclidean", _sil_sql(True))
+def silhouette_sq_q(spark, sf):
+    emb = load(spark, sf, "embeddings")
+    return rounded(U.silhouette_sqeuclidean(emb, "embedding", "label"))
+
+
+_CLU_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("kmeans")
+def kmeans_q(spark, sf):
+    pts = U.prepare_points(load(spark, sf, "lineitem"), _CLU_FEATS, keep=_LI_KEY)
+    res = U.kmeans(pts, 3)
+    return U.cluster_display(res.assign(pts.df)).select(*_LI_KEY, *_CLU_FEATS, "cluster", "cluster_label")
+
+
+@register("elbow")
+def elbow_q(spark, sf):
+    pts = U.prepare_points(load(spark, sf, "lineitem"), _CLU_FEATS)
+    return U.elbow(pts)
+
+
+@register("pca_2d")
+def pca_2d_q(spark, sf):
+    pts = U.prepare_points(load(spark, sf, "lineitem"), _CLU_FEATS, keep=_LI_KEY + ["l_returnflag"])
+    return U.pca_2d(pts, keep=_LI_KEY + ["l_returnflag"])
