@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablab.functions.hashing import key_hash
+from tablab.functions.parallel import spread
 from tablab.functions.small import collect_bounded
 
 DEFAULT_PIVOTS = 32
@@ -69,9 +70,10 @@ def knn_neighbors(
     if k < 1:
         raise ValueError("k must be >= 1")
     tk = F.struct(*[F.col(c) for c in train_key])
-    tr = train.select(tk.alias("_tk"), as_double_array(train, features).alias("_x"), F.col(label).alias("_y"),
-                      key_hash(train_key, seed).alias("_h"))
-    te = test.select(F.struct(*[F.col(c) for c in test_key]).alias("_qk"), as_double_array(test, features).alias("_q"))
+    tr = spread(train.select(tk.alias("_tk"), as_double_array(train, features).alias("_x"), F.col(label).alias("_y"),
+                             key_hash(train_key, seed).alias("_h")))
+    te = spread(test.select(F.struct(*[F.col(c) for c in test_key]).alias("_qk"),
+                            as_double_array(test, features).alias("_q")))
 
     # pivots: bounded sample chosen by key hash (deterministic, partition-independent)
     piv_rows = collect_bounded(tr.orderBy("_h", "_tk").select("_x").limit(pivots), pivots, "pivots")

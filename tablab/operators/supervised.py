@@ -44,6 +44,7 @@ from pyspark.sql import types as T
 
 from tablab.functions.kinds import is_numeric_type, require_columns
 from tablab.functions.long import q
+from tablab.functions.parallel import spread
 from tablab.functions.small import one_row
 from tablab.operators import metrics as M
 from tablab.operators import profile as P
@@ -289,7 +290,7 @@ def _fit_model(prep: Prepared, spec: ModelSpec, train: DataFrame, normalize: boo
     n, dim = max(1, stats["n"]), max(1, stats["d"] or 1)
     kernelized = (spec.name == "svm" and spec.params.get("kernel", "rbf") == "rbf") or spec.name == "svr"
     rff = rff_params(dim, rbf_gamma(base, dim), seed=seed) if kernelized else None
-    vec = (apply_rff(base, rff) if rff else base).cache()
+    vec = spread(apply_rff(base, rff) if rff else base).cache()
     try:
         if spec.name == "svr":
             from tablab.operators.svr import fit_linear_svr
