@@ -1044,3 +1044,68 @@ def elbow_q(spark, sf):
 def pca_2d_q(spark, sf):
     pts = U.prepare_points(load(spark, sf, "lineitem"), _CLU_FEATS, keep=_LI_KEY + ["l_returnflag"])
     return U.pca_2d(pts, keep=_LI_KEY + ["l_returnflag"])
+
+
+# ================================================================ R1-R4
+from tablab.plans.recipe import Recipe  # noqa: E402
+
+_TAX_LABELS = ["t1", "t2", "t3", "t4"]
+
+
+def replay_recipe() -> Recipe:
+    return (
+        Recipe()
+        .add("fill_nulls", c="l_discount", strategy="mean")
+        .add("scale", cols=["l_quantity"], method="standard")
+        .add("log_transform", c="l_extendedprice")
+        .add("bin_equal_width", c="l_tax", n=4, labels=_TAX_LABELS)
+        .add("drop_columns", cols=["l_partkey", "l_suppkey"])
+        .add("rename_column", old="l_returnflag", new="flag")
+    )
+
+
+def _tax_case() -> str:
+    whens = " ".join(
+        f"WHEN l_tax > ({'mn - (mx - mn) * 0.001' if i == 0 else f'mn + {i} * ((mx - mn) / 4)'}) "
+        f"AND l_tax <= ({'mx' if i == 3 else f'mn + {i + 1} * ((mx - mn) / 4)'}) THEN '{_TAX_LABELS[i]}'"
+        for i in range(4)
+    )
+    return f"CASE {whens} END"
+
+
+@register(
+    "recipe_replay",
+    f"""WITH {LI_NULLS},
+        h AS (SELECT *, ({_hk(_LI_KEY)} % 10000) < 5000 AS fit_half FROM li),
+        a AS (SELECT * FROM h WHERE fit_half), b AS (SELECT * FROM h WHERE NOT fit_half),
+        s AS (SELECT avg(l_discount) AS fill, avg(l_quantity) AS mu,
+                     CASE WHEN stddev_pop(l_quantity) = 0 THEN 1 ELSE stddev_pop(l_quantity) END AS sd,
+                     min(l_tax) AS mn, max(l_tax) AS mx FROM a)
+        SELECT l_orderkey, l_linenumber, round((l_quantity - mu) / sd, 6) AS l_quantity,
+               round(CASE WHEN l_extendedprice > 0 THEN ln(l_extendedprice) END, 6) AS l_extendedprice,
+               round(coalesce(l_discount, fill), 6) AS l_discount, round(l_tax, 6) AS l_tax,
+               l_returnflag AS flag, l_linestatus, {_tax_case()} AS l_tax_bin
+        FROM b, s""",
+)
+def recipe_replay_q(spark, sf):
+    li = lineitem_nulls(spark, sf)
+    half = S.with_test_flag(li, _LI_KEY, 0.5, 42, "_fit_half")
+    a = half.where(F.col("_fit_half")).drop("_fit_half")
+    b = half.where(~F.col("_fit_half")).drop("_fit_half")
+    fitted = Recipe.from_json(replay_recipe().fit(a).to_json())  # round-trips through JSON
+    return rounded(fitted.apply(b))
+
+
+# ================================================================ S1-S8
+from tablab.session import scratch_path  # noqa: E402
+from tablab.sources.delimited import read_delimited, write_delimited  # noqa: E402
+
+
+@register("csv_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_roundtrip_q(spark, sf):
+    path = scratch_path(spark, "csv-roundtrip")
+    write_delimited(load(spark, sf, "nation"), path)
+    back = read_delimited(spark, path)
+    return back.select(
+        F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey")
+    )
