@@ -16,8 +16,10 @@ member to its pivot).  For a query q with pivot distances d_c:
 
 Cells larger than ``cell_target`` points are split into sub-cells by key
 hash, so a hot cell is spread over many tasks; the query side is replicated
-to each sub-cell of a candidate cell.  The result is exact: pruning only
-skips cells that cannot contain a neighbour.
+to each sub-cell of a candidate cell.  Each (cell, sub-cell) is one cogroup
+task: NumPy computes the block of distances and emits only every query's k
+best, so no (query, point) pair rows are ever produced.  The result is
+exact: pruning only skips cells that cannot contain a neighbour.
 """
 
 from __future__ import annotations
@@ -25,12 +27,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablab.functions.hashing import key_hash
+from tablab.functions.literals import lit_array, lit_matrix
 from tablab.functions.parallel import spread
 from tablab.functions.small import collect_bounded
 
@@ -53,6 +60,43 @@ def as_double_array(df: DataFrame, features: str | Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in features])
 
 
+def _block_topk(k: int, key_names: list[str]):
+    """cogroup function: queries x training points of one (cell, sub-cell);
+    distances with NumPy, summed over dimensions in index order (the same
+    rounding as the SQL definition); emits each query's k best (distance,
+    training key) -- never the pairs themselves."""
+
+    def fn(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
+        cols = ["_qid", "_d", "_y"] + key_names
+        if len(qpdf) == 0 or len(tpdf) == 0:
+            return pd.DataFrame({c: [] for c in cols})
+        qx = np.vstack(qpdf["_q"].to_numpy()).astype(float)
+        tx = np.vstack(tpdf["_x"].to_numpy()).astype(float)
+        acc = np.zeros((len(qx), len(tx)))
+        for j in range(qx.shape[1]):
+            diff = qx[:, j][:, None] - tx[:, j][None, :]
+            acc += diff * diff
+        dist = np.sqrt(acc)
+        # order training rows once by key so ties resolve to the smallest key
+        korder = np.lexsort([tpdf[c].to_numpy() for c in reversed(key_names)])
+        dist = dist[:, korder]
+        kk = min(k, dist.shape[1])
+        out = []
+        for i in range(len(qx)):
+            row = dist[i]
+            kth = np.partition(row, kk - 1)[kk - 1]
+            idx = np.nonzero(row <= kth)[0]
+            idx = idx[np.argsort(row[idx], kind="stable")][:kk]
+            sel = korder[idx]
+            part = {"_qid": np.repeat(qpdf["_qid"].iloc[i], len(sel)), "_d": row[idx], "_y": tpdf["_y"].to_numpy()[sel]}
+            for c in key_names:
+                part[c] = tpdf[c].to_numpy()[sel]
+            out.append(pd.DataFrame(part))
+        return pd.concat(out, ignore_index=True)
+
+    return fn
+
+
 def knn_neighbors(
     train: DataFrame,
     test: DataFrame,
@@ -69,67 +113,72 @@ def knn_neighbors(
     k nearest training rows of every test row."""
     if k < 1:
         raise ValueError("k must be >= 1")
-    tk = F.struct(*[F.col(c) for c in train_key])
-    tr = spread(train.select(tk.alias("_tk"), as_double_array(train, features).alias("_x"), F.col(label).alias("_y"),
+    train_key, test_key = list(train_key), list(test_key)
+    tkn = [f"_t{i}" for i in range(len(train_key))]
+    tr = spread(train.select(*[F.col(c).alias(n) for c, n in zip(train_key, tkn)],
+                             as_double_array(train, features).alias("_x"), F.col(label).alias("_y"),
                              key_hash(train_key, seed).alias("_h")))
-    te = spread(test.select(F.struct(*[F.col(c) for c in test_key]).alias("_qk"),
-                            as_double_array(test, features).alias("_q")))
+    te = spread(test.select(*[F.col(c) for c in test_key], as_double_array(test, features).alias("_q"))
+                .withColumn("_qid", key_hash(test_key, seed + 1)))
+    qkeys = te.select("_qid", *test_key)
 
     # pivots: bounded sample chosen by key hash (deterministic, partition-independent)
-    piv_rows = collect_bounded(tr.orderBy("_h", "_tk").select("_x").limit(pivots), pivots, "pivots")
+    piv_rows = collect_bounded(tr.orderBy("_h", *tkn).select("_x").limit(pivots), pivots, "pivots")
     if not piv_rows:
         return test.sparkSession.createDataFrame([], "rank int, distance double")
-    piv = F.array(*[F.array(*[F.lit(float(v)) for v in r["_x"]]) for r in piv_rows])
+    piv = lit_matrix([[float(v) for v in r["_x"]] for r in piv_rows])
 
     def pivot_dists(x: Column) -> Column:
         return F.transform(piv, lambda p: F.sqrt(sq_dist(x, p)))
 
     tr = tr.withColumn("_pd", pivot_dists(F.col("_x")))
     tr = tr.withColumn("_cell", F.array_position(F.col("_pd"), F.array_min("_pd")).cast("int") - 1)
-    tr = tr.withColumn("_r", F.element_at("_pd", F.col("_cell") + 1)).drop("_pd")
+    tr = tr.withColumn("_r", F.element_at("_pd", F.col("_cell") + 1)).drop("_pd").persist(StorageLevel.MEMORY_AND_DISK)
     stats = collect_bounded(
         tr.groupBy("_cell").agg(F.max("_r").alias("R"), F.count(F.lit(1)).alias("n")), len(piv_rows), "cell stats"
     )
     radius = {r["_cell"]: float(r["R"]) for r in stats}
     subs = {r["_cell"]: max(1, math.ceil(r["n"] / cell_target)) for r in stats}
     n_cells = len(piv_rows)
-    r_arr = F.array(*[F.lit(radius.get(c, -math.inf)) for c in range(n_cells)])  # empty cell: never a candidate
+    r_arr = lit_array([radius.get(c, -math.inf) for c in range(n_cells)])  # empty cell: never a candidate
     m_arr = F.array(*[F.lit(subs.get(c, 1)) for c in range(n_cells)])
     tr = tr.withColumn("_sub", F.pmod(F.col("_h"), F.element_at(m_arr, F.col("_cell") + 1)).cast("int"))
-    train_cells = tr.select("_cell", "_sub", "_tk", "_x", "_y")
+    train_cells = tr.select("_cell", "_sub", *tkn, "_x", "_y")
 
     te = te.withColumn("_qd", pivot_dists(F.col("_q")))
-    te = te.withColumn("_c0", F.array_position(F.col("_qd"), F.array_min("_qd")).cast("int") - 1)
+    te = te.withColumn("_c0", F.array_position(F.col("_qd"), F.array_min("_qd")).cast("int") - 1).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    schema = "_qid long, _d double, _y " + train.schema[label].dataType.simpleString() + ", " + ", ".join(
+        f"{n} {train.schema[c].dataType.simpleString()}" for c, n in zip(train_key, tkn)
+    )
 
     def candidates(q: DataFrame) -> DataFrame:
-        # q has _qk, _q, _cell; replicate to every sub-cell of the cell, equi-join
+        # q: (_qid, _q, _cell) -> replicated to the cell's sub-cells; one task per (cell, sub)
         q = q.withColumn("_sub", F.explode(F.sequence(F.lit(0), F.element_at(m_arr, F.col("_cell") + 1) - 1)))
-        j = q.join(train_cells, ["_cell", "_sub"])
-        return j.select("_qk", "_tk", "_y", F.sqrt(sq_dist(F.col("_q"), F.col("_x"))).alias("_d"))
+        return (
+            q.groupBy("_cell", "_sub")
+            .cogroup(train_cells.groupBy("_cell", "_sub"))
+            .applyInPandas(_block_topk(k, tkn), schema)
+        )
 
     def topk(c: DataFrame) -> DataFrame:
-        w = Window.partitionBy("_qk").orderBy("_d", "_tk")
+        w = Window.partitionBy("_qid").orderBy("_d", *tkn)
         return c.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
 
-    first = topk(candidates(te.select("_qk", "_q", F.col("_c0").alias("_cell"))))
-    tau = first.groupBy("_qk").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("_d")).otherwise(F.lit(math.inf)).alias("_tau")
-    )
+    first = topk(candidates(te.select("_qid", "_q", F.col("_c0").alias("_cell")))).persist(StorageLevel.MEMORY_AND_DISK)
+    tau = first.groupBy("_qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("_d")).otherwise(F.lit(math.inf)).alias("_tau"))
     rest = (
-        te.join(tau, "_qk", "left")
+        te.join(tau, "_qid", "left")
         .withColumn("_tau", F.coalesce("_tau", F.lit(math.inf)))
-        .select("_qk", "_q", "_c0", "_tau", F.posexplode("_qd").alias("_cell", "_dc"))
-        .where(
-            (F.col("_cell") != F.col("_c0"))
-            & (F.col("_dc") - F.element_at(r_arr, F.col("_cell") + 1) <= F.col("_tau"))
-        )
-        .select("_qk", "_q", F.col("_cell").cast("int").alias("_cell"))
+        .select("_qid", "_q", "_c0", "_tau", F.posexplode("_qd").alias("_cell", "_dc"))
+        .where((F.col("_cell") != F.col("_c0")) & (F.col("_dc") - F.element_at(r_arr, F.col("_cell") + 1) <= F.col("_tau")))
+        .select("_qid", "_q", F.col("_cell").cast("int").alias("_cell"))
     )
     allc = first.drop("_rank").unionByName(candidates(rest))
-    best = topk(allc)
-    tcols = [F.col("_tk").getField(c).alias(f"neighbor_{c}") for c in train_key]
-    qcols = [F.col("_qk").getField(c).alias(c) for c in test_key]
-    return best.select(*qcols, F.col("_rank").alias("rank"), *tcols, F.col("_d").alias("distance"),
+    best = topk(allc).join(qkeys, "_qid")
+    tcols = [F.col(n).alias(f"neighbor_{c}") for c, n in zip(train_key, tkn)]
+    return best.select(*test_key, F.col("_rank").alias("rank"), *tcols, F.col("_d").alias("distance"),
                        F.col("_y").alias(label))
 
 

@@ -23,7 +23,7 @@ from tablab.functions.kinds import (
 )
 from tablab.functions.long import NAME, VALUE, melt, q, schema_frame, type_branches
 from tablab.functions.small import collect_bounded, one_row
-from tablab.operators.quantiles import mode_long, quantiles_long, quantiles_wide, value_counts_long
+from tablab.operators.quantiles import mode_long, quantiles_bounded, quantiles_long, value_counts_long
 
 
 # ---------------------------------------------------------------- A1 shape
@@ -113,7 +113,7 @@ def describe_numeric(
         F.max(VALUE).alias("max"),
     )
     names = [pct_name(p) for p in percentiles]
-    qs = quantiles_wide(long, [NAME], VALUE, list(percentiles), names)
+    qs = quantiles_frame(df, cols, list(percentiles), names)
     out = schema_frame(df, cols).select(NAME, "position").join(F.broadcast(base), NAME, "left")
     out = out.join(F.broadcast(qs), NAME, "left")
     return out.select(
@@ -149,11 +149,17 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     """Exact quantiles as driver-side constants (bounded: cols x probs)."""
     require_numeric(df, cols)
     long = melt(df, list(cols), "double")
-    rows = collect_bounded(quantiles_long(long, [NAME], VALUE, probs), len(cols) * len(probs), "quantiles")
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    for r in rows:
-        out[r[NAME]][r["_pi"]] = r["q"]
-    return out
+    got = quantiles_bounded(long, NAME, VALUE, probs, max_keys=len(cols))
+    return {c: got.get(c, [None] * len(probs)) for c in cols}
+
+
+def quantiles_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """(column_name, one column per probability), exact; computed eagerly
+    (bounded by cols x probs) and returned as a small DataFrame."""
+    got = column_quantiles(df, cols, probs)
+    rows = [(c, *[None if v is None else float(v) for v in got[c]]) for c in cols]
+    schema = f"{NAME} string, " + ", ".join(f"{n} double" for n in names)
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 # ------------------------------------------------------------ A5 null report

@@ -21,6 +21,7 @@ All steps are shuffles/aggregates on keys; the result is exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -140,3 +141,105 @@ def mode_long(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.min_by(F.col(value), F.struct((-F.col("_c")).alias("nc"), F.col(value).alias("v"))).alias("mode"),
         F.max("_c").alias("freq"),
     )
+
+
+def bucket_tree(v, splits: Sequence[float], lo: int = 0, hi: int | None = None):
+    """Number of split points strictly below v, as a balanced CASE tree over
+    the sorted constants (about log2(len(splits)) codegen'd comparisons)."""
+    if hi is None:
+        hi = len(splits)
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(v > F.lit(splits[mid]), bucket_tree(v, splits, mid + 1, hi)).otherwise(bucket_tree(v, splits, lo, mid))
+
+
+def quantiles_bounded(
+    df: DataFrame,
+    key: str,
+    value: str,
+    probs: Sequence[float],
+    max_keys: int,
+    buckets: int = DEFAULT_BUCKETS,
+) -> dict:
+    """Eager variant of :func:`quantiles_long` for a key whose number of
+    values is bounded (a column-name key): the per-key totals, sketch split
+    points and per-bucket counts (keys x buckets rows) are collected, the
+    buckets holding the wanted ranks are found on the driver, and one final
+    pass sorts only those buckets.  Three small jobs over one cached
+    value-count frame.  Returns {key: [q per prob]} (None when no value)."""
+    from pyspark import StorageLevel
+
+    from tablab.functions.literals import bucket_sql, sql_str
+    from tablab.functions.small import collect_bounded
+
+    base = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
+    vc = value_counts_long(base, ["_k"], "_v").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fracs = [i / buckets for i in range(1, buckets)]
+        stats = collect_bounded(
+            vc.groupBy("_k").agg(F.sum("_c").alias("n"), F.percentile_approx("_v", fracs, SKETCH_ACCURACY).alias("s")),
+            max_keys,
+            "quantile keys",
+        )
+        out: dict = {}
+        if not stats:
+            return out
+        splits = {r["_k"]: [float(x) for x in r["s"]] for r in stats}
+        n_of = {r["_k"]: int(r["n"]) for r in stats}
+        bexpr = "CASE " + " ".join(f"WHEN _k = {sql_str(k)} THEN {bucket_sql('_v', sp)}" for k, sp in splits.items()) + " END"
+        bucketed = vc.withColumn("_b", F.expr(bexpr))
+        bcounts = collect_bounded(
+            bucketed.groupBy("_k", "_b").agg(F.sum("_c").alias("bc")), max_keys * buckets, "bucket counts"
+        )
+        starts: dict = {}
+        for k in splits:
+            rows = sorted((r["_b"], int(r["bc"])) for r in bcounts if r["_k"] == k)
+            acc = 0
+            for b, bc in rows:
+                starts[(k, b)] = (acc, bc)
+                acc += bc
+        wanted: dict = {}
+        for k, n in n_of.items():
+            for p in probs:
+                h = (n - 1) * float(p)
+                for r in {math.floor(h), math.ceil(h)}:
+                    for (kk, b), (st, bc) in starts.items():
+                        if kk == k and st <= r < st + bc:
+                            wanted.setdefault((k, b), set()).add(r - st)
+        if not wanted:
+            return out
+        cond = F.expr(" OR ".join(f"(_k = {sql_str(k)} AND _b = {b})" for k, b in wanted))
+        w = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cand = bucketed.where(cond).withColumn("_cum", F.sum("_c").over(w))
+        # keep only rows whose rank range contains a wanted local rank
+        hit_cond = F.expr(" OR ".join(
+            f"(_k = {sql_str(k)} AND _b = {b} AND _cum - _c <= {r} AND {r} < _cum)"
+            for (k, b), locs in wanted.items() for r in locs
+        ))
+        hits = collect_bounded(cand.where(hit_cond).select("_k", "_b", "_v", "_c", "_cum"), 4 * len(n_of) * len(probs) + 8,
+                               "quantile hits")
+        value_at: dict = {}
+        for r in hits:
+            st, _bc = starts[(r["_k"], r["_b"])]
+            lo_rank = st + int(r["_cum"]) - int(r["_c"])
+            hi_rank = st + int(r["_cum"])
+            value_at.setdefault(r["_k"], []).append((lo_rank, hi_rank, float(r["_v"])))
+
+        def at(k, rank):
+            for lo, hi, v in value_at.get(k, []):
+                if lo <= rank < hi:
+                    return v
+            raise RuntimeError("quantile rank not found")
+
+        for k, n in n_of.items():
+            res = []
+            for p in probs:
+                h = (n - 1) * float(p)
+                lo, hi = math.floor(h), math.ceil(h)
+                vlo, vhi = at(k, lo), at(k, hi)
+                res.append(vlo + (vhi - vlo) * (h - lo))
+            out[k] = res
+        return out
+    finally:
+        vc.unpersist()

@@ -92,6 +92,7 @@ def fit_one_hot(df: DataFrame, c: str) -> dict:
         df.where(q(c).isNotNull()).select(q(c).cast("string").alias("_v")).distinct().orderBy("_v"),
         MAX_ONE_HOT_CATEGORIES,
         f"distinct values of {c!r} for one-hot columns",
+        structural=False,
     )
     return {"categories": [r[0] for r in rows]}
 
