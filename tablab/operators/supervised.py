@@ -231,7 +231,7 @@ def build_estimator(spec: ModelSpec, n_train: int, n_classes: int = 2, label_sd:
                                        maxIter=int(p.get("max_iter", 1000)), tol=1e-8)]
         if spec.name == "svm":
             c = float(p.get("C", 1.0))
-            svc = LinearSVC(regParam=1.0 / (c * n_train), standardization=False, maxIter=200)
+            svc = LinearSVC(regParam=1.0 / (c * n_train), standardization=False, maxIter=100)
             # one binary SVM per class, trained concurrently (each is a distributed job)
             est = svc if n_classes <= 2 else OneVsRest(classifier=svc, parallelism=min(int(n_classes), 8))
             if p.get("kernel", "rbf") == "poly":

@@ -214,11 +214,14 @@ def bin_index_expr(x, edges: Sequence[float]):
 def apply_bin_equal_width(df: DataFrame, c: str, params: dict, as_index: bool = False) -> DataFrame:
     """Append ``<c>_bin`` (label text, or the 0-based bin number)."""
     x = q(c).cast("double")
-    idx = bin_index_expr(x, params["edges"])
+    edges = params["edges"]
     if as_index:
-        return df.withColumn(f"{c}_bin", idx)
-    labels = F.array(*[F.lit(s) for s in params["labels"]])
-    return df.withColumn(f"{c}_bin", F.element_at(labels, idx + 1))
+        return df.withColumn(f"{c}_bin", bin_index_expr(x, edges))
+    e = None
+    for i, label in enumerate(params["labels"]):
+        cond = (x > F.lit(edges[i])) & (x <= F.lit(edges[i + 1]))
+        e = F.when(cond, F.lit(label)) if e is None else e.when(cond, F.lit(label))
+    return df.withColumn(f"{c}_bin", e)
 
 
 def bin_equal_width(df: DataFrame, c: str, n: int = 3, labels: Sequence[str] | None = None) -> DataFrame:
