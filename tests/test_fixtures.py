@@ -174,6 +174,21 @@ def test_dbscan_matches_brute_force(spark, dims):
     assert [got[i] for i in range(len(x))] == list(want)
 
 
+@pytest.mark.parametrize("dims", [2, 3])
+def test_dbscan_block_edges_match_brute_force(spark, dims, monkeypatch):
+    """Every core-cell pair through the cogroup path, cells split into sub-cells."""
+    monkeypatch.setattr(U, "JOIN_PAIR_LIMIT", 0)
+    monkeypatch.setattr(U, "EDGE_SUB_TARGET", 7)
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(0, 0.3, (80, dims)), rng.normal(2, 0.3, (80, dims)), rng.uniform(-2, 4, (20, dims))])
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)]
+    cols = [f"c{j}" for j in range(dims)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in cols))
+    pts = U.prepare_points(df, cols, normalize=False, keep=["id"])
+    got = {r["id"]: r["cluster"] for r in U.dbscan(pts, eps=0.5, min_samples=5, key="id").collect()}
+    assert [got[i] for i in range(len(x))] == list(_brute_dbscan(x, 0.5, 5))
+
+
 def test_knn_matches_brute_force_with_ties(spark):
     rng = np.random.default_rng(3)
     tr = np.round(rng.uniform(0, 5, (200, 3)))  # integer grid: many equal distances
