@@ -36,3 +36,27 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2, seed=42)
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> bytes:
+    """Content of a public tokenizer file, read on the driver; executors get it by broadcast."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+@register("op2_bpe_encode_decode")
+def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode all whole documents with the streaming transducer."""
+    from tablab.llm.bpe import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@register("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted by scanning flat token files of the whole corpus for separators (id 50256)."""
+    from tablab.llm.token_counts import documents_token_counts
+
+    return documents_token_counts(table(spark, sf_dir, "documents"), vocabulary(), eod=50256)
