@@ -60,3 +60,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablab.llm.token_counts import documents_token_counts
 
     return documents_token_counts(table(spark, sf_dir, "documents"), vocabulary(), eod=50256)
+
+
+@register("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens, each closed by id 2."""
+    from tablab.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, separator=2)
