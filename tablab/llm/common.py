@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -45,3 +46,10 @@ def utf8_words(text: str | None) -> list[bytes]:
 def as_signed(a: np.ndarray) -> np.ndarray:
     """uint64 bit patterns as int64, the only 64-bit integer Spark has."""
     return a.astype(np.uint64, copy=False).view(np.int64)
+
+
+def release(spark) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once the driver has collected the objects
+    that refer to them, which a small driver heap may not do for a long time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

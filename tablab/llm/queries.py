@@ -68,3 +68,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablab.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, separator=2)
+
+
+@register("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of all documents once every repeated 35-word window is gone, as a digest."""
+    from tablab.llm.substrings import repeated_spans, text_key, words_of
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = repeated_spans(docs, window=35).select("key", F.col("n_words").alias("words"), "n_removed", F.sha2("kept", 256).alias("kept_sha"))
+    words = words_of(F.coalesce("text", F.lit("")))
+    own = docs.select("doc_id", text_key(F.col("text")).alias("key"), words.alias("words")).select(
+        "doc_id", "key", F.size("words").cast("long").alias("n_words"), F.sha2(F.concat_ws(" ", "words"), 256).alias("own_sha")
+    )
+    return own.join(spans.drop("words"), "key", "left").select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce("kept_sha", "own_sha").alias("kept_sha256"),
+    )
