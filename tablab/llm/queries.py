@@ -85,3 +85,45 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("kept_sha", "own_sha").alias("kept_sha256"),
     )
+
+
+def _op5_sql() -> str:
+    from tablab.llm import quality_rules as R
+
+    one_of = lambda chars: "[" + "".join("\\" + c if c in "|*$.?[]^-\\" else c for c in chars) + "]"
+    count = lambda col, chars: f"(length({col}) - length(regexp_replace({col}, '{one_of(chars)}', '', 'g')))"
+    any_of = lambda phrases: "(" + " OR ".join(f"contains(lower(l), '{p}')" for p in phrases) + ")"
+    word = "[^\\x20\\x09-\\x0D]+"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{word}') AS ws,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM t),
+win AS (SELECT r, unnest(range(1, greatest(len(ws) - {R.WINDOW - 2}, 1))) AS i, ws FROM w),
+dup AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i:i + {R.WINDOW - 1}], ' ')) AS c FROM win),
+gap AS (SELECT r, least({R.WINDOW}, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i), {R.WINDOW})) AS g FROM dup WHERE c > 1),
+rep AS (SELECT r, sum(g) AS n FROM gap GROUP BY r),
+ln AS (SELECT r, unnest(ls) AS l FROM w),
+facts AS (SELECT r, l, len(regexp_extract_all(l, '{word}')) AS n,
+                 {count('l', R.SYMBOLS)} + (length(l) - length(replace(l, '!!', ''))) / 2 AS signs,
+                 {count('l', R.STOPS)} AS stops, {count('l', R.SEPARATORS)} AS seps,
+                 {any_of(R.NAVIGATION)} AS nav, {any_of(R.BOILERPLATE)} AS boiler FROM ln),
+lost AS (SELECT r, sum(n) AS n FROM facts
+         WHERE stops = 0 OR signs * 100 >= n * {R.SIGNS_PERCENT} OR (seps >= 3 AND seps * 4 >= n)
+            OR (nav AND n <= {R.NAVIGATION_WORDS}) OR (boiler AND n <= {R.BOILERPLATE_WORDS}) GROUP BY r),
+base AS (SELECT r, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                {count('text', R.SYMBOLS)}::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+                coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0) AS lost
+         FROM w LEFT JOIN rep USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost * 100 <= n_words * {R.LOST_PERCENT} AS kept
+FROM base"""
+
+
+@register("op5_quality_rules", _op5_sql())
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and line-first verdict of all whole documents."""
+    from tablab.llm.quality_rules import judge
+
+    r = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return r.select("doc_id", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
