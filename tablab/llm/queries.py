@@ -127,3 +127,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     r = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return r.select("doc_id", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+@register(
+    "op1_warc",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS keeper FROM p),
+bits AS (SELECT *, list_aggregate(list_transform(range(1, 40, 2), lambda i:
+           lpad(bin(('0x' || substr(hex, i::INT, 2))::INT), 8, '0')), 'string_agg', '') AS b FROM d)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j:
+           substr(b, (5 * k + j + 1)::INT, 1)::INT * (1 << (4 - j)::INT)))::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM bits""",
+)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived, then every record read back by the index."""
+    from tablab.llm.warc import archive_and_read
+
+    records = archive_and_read(table(spark, sf_dir, "pages"), min_payload=0)
+    return records.select(F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
