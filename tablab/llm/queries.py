@@ -176,3 +176,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablab.llm.quality_classifier import score_quality
 
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of all whole documents by a convolutional classifier learnt from the training fold."""
+    from tablab.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
