@@ -24,17 +24,20 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablab.functions.small import collect_bounded
-from tablab.llm.bpe import encoder_of
+from tablab.llm.bpe import Vocabulary
 from tablab.llm.common import materialise, ref
 
+#: How byte-level BPE files of this kind cut a text before merging (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Columns of the plan of sweeps.
 PLAN = ("length", "rank", "count", "sequence", "offset")
 
@@ -90,6 +93,23 @@ def pack_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(plan), np.int64).reshape(-1, len(PLAN))
 
 
+_ENCODERS: dict[int, Callable[[str | None], bytes]] = {}
+
+
+def library_encoder(content: bytes) -> Callable[[str | None], bytes]:
+    """Text -> ids as little-endian uint32 bytes, by a tokenizer library on the given vocabulary file (packing is about
+    lengths; the transducer of ``bpe`` gives the same ids).  The library merges by id, so ids must follow the merges."""
+    key = hash(content)
+    if key not in _ENCODERS:
+        v = Vocabulary(content)
+        if any(made != v.made.min() + rank for rank, made in enumerate(v.made.tolist())):
+            raise ValueError("the ids of the vocabulary do not follow its merges")
+        ranks = {b: i for i, b in v.bytes_of.items() if i not in set(v.special.values())}
+        library = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=v.special)
+        _ENCODERS[key] = lambda text: library.encode_to_numpy(text or "", allowed_special="all").astype("<u4", copy=False).tobytes()
+    return _ENCODERS[key]
+
+
 def cut_pieces(docs: DataFrame, content: bytes, capacity: int, separator: int, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every document's ids and separator, cut from the end into pieces of
@@ -98,11 +118,11 @@ def cut_pieces(docs: DataFrame, content: bytes, capacity: int, separator: int, i
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary.value)
+        encode = library_encoder(vocabulary.value)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.encode_all(batch.column(1).to_pylist())):
-                ids += end
+            for i, text in enumerate(batch.column(1)):
+                ids = encode(text.as_py()) + end
                 n = len(ids) // 4
                 at, k = 0, 0
                 stop = n % capacity or capacity

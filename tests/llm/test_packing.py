@@ -92,3 +92,15 @@ def test_one_length_for_all(spark):
     pieces = spark.range(3000).selectExpr("id", "cast(300 as long) length")
     got = assign(pieces, 1024).collect()
     assert len({r.sequence_id for r in got}) == 1000 and Counter(r.offset for r in got) == {0: 1000, 300: 1000, 600: 1000}
+
+
+def test_ids_are_those_of_the_transducer():
+    from tablab.llm.bpe import Encoder, Vocabulary
+    from tablab.llm.packing import library_encoder
+
+    rng = random.Random(8)
+    texts = ["", None, "a" * 30000, " " * 30000 + "x", "\n" * 9999, "<|endoftext|> a<|endoftext|>", "don't 'll 12½²"]
+    texts += ["".join(rng.choice(" \n\t'aehirstTHé日½²1.,!<|endoftext|>  \x1f_\U0001d400") for _ in range(rng.randint(1, 80))) for _ in range(500)]
+    content = vocabulary()
+    own, library = Encoder(Vocabulary(content)), library_encoder(content)
+    assert [library(t) for t in texts] == list(own.encode_all(texts))
