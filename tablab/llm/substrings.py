@@ -107,18 +107,21 @@ def text_key(text: Column) -> Column:
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` (keys, text and start) whose keys start at two places at least."""
+    """``rows`` (keys, text and start) whose keys start at two places at least.  The repeated keys are written first: the
+    counting shuffle is over before the other begins, and the join's sides are plain shuffles that can be split."""
     place = F.xxhash64(rows.columns[-2], "start")
     seen = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    return rows.join(seen.select(*keys), keys, "left_semi")
+    seen = materialise(seen.select(*keys), "repeated")
+    release(rows.sparkSession)
+    return rows.join(seen, keys, "left_semi")
 
 
 def _lowest(texts: DataFrame, window: int, length: int) -> DataFrame:
-    """(key, starts, hashes) of the representatives of every text long enough."""
+    """(key, n_words, starts, hashes) of the representatives of every text long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, starts, hashes = [], [], []
+            keep, total, starts, hashes = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()
                 if len(words) < window:
@@ -126,14 +129,16 @@ def _lowest(texts: DataFrame, window: int, length: int) -> DataFrame:
                 all_hashes = WindowHashes(words).of(length)
                 at = representatives(all_hashes, window - length + 1)
                 keep.append(i)
+                total.append(len(words))
                 starts.append(at)
                 hashes.append(as_signed(all_hashes[at]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep, pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["key", "starts", "hashes"],
+                [batch.column(0).take(pa.array(keep, pa.int32())), pa.array(total, pa.int64()), pa.array(starts, pa.list_(pa.int64())),
+                 pa.array(hashes, pa.list_(pa.int64()))],
+                names=["key", "n_words", "starts", "hashes"],
             )
 
-    return texts.mapInArrow(run, "key binary, starts array<bigint>, hashes array<bigint>")
+    return texts.mapInArrow(run, "key binary, n_words long, starts array<bigint>, hashes array<bigint>")
 
 
 def _windows(texts: DataFrame, short: int, long: int) -> DataFrame:
@@ -211,7 +216,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = materialise(texts, "texts")
     release(spark)
     for short, long in zip(steps, steps[1:]):
-        windows = materialise(_windows(texts, short, long), "windows")
+        windows = _windows(texts, short, long)  # hashed twice from the texts rather than kept: they outweigh them
         places = materialise(_repeated(windows, ["g1", "g2"]).select("uid", "start"), "places")
         release(spark)
         starts = places.groupBy("uid").agg(F.collect_set("start").alias("starts"))  # at most one a word of a text
@@ -220,17 +225,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             texts = materialise(texts, "texts")
     parted = _without(texts, window)
     # a text that occurs twice is repeated from its first word to its last
-    whole = low.select("key").distinct().join(copies.where("copies > 1"), "key", "left_semi")
-    return materialise(_merged(parted, whole, rows, copies), "spans")
-
-
-def _merged(parted: DataFrame, whole: DataFrame, rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """Texts with copies lose every word; the others what ``parted`` says."""
-    counted = rows.select("key", word_count(F.col("text")).alias("n_words"))
-    n = counted.join(whole, "key", "left_semi").groupBy("key").agg(F.max("n_words").alias("n_words"))
+    whole = low.select("key", "n_words").distinct().join(copies.where("copies > 1"), "key", "left_semi")
     span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
-    gone = n.select("key", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"), span.alias("spans"))
-    return parted.join(whole, "key", "left_anti").unionByName(gone)
+    gone = whole.select("key", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"), span.alias("spans"))
+    return materialise(parted.join(whole, "key", "left_anti").unionByName(gone), "spans")
 
 
 def words_of(text: Column) -> Column:
@@ -238,10 +236,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def word_count(text: Column) -> Column:
-    return F.size(words_of(text)).cast("long")
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """``docs`` with the words of repeated windows gone: a text that loses any becomes its remaining words joined by one
     blank, the others stay as they are."""
