@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablab.llm.common import WORD_SPACE, ref, temp_name
+from tablab.llm.common import ref, temp_name
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -37,47 +37,45 @@ NAVIGATION_WORDS, BOILERPLATE_WORDS = 10, 40
 SIGNS_PERCENT, LOST_PERCENT = 20, 40
 
 
-def count_of(text: Column, characters: str) -> Column:
-    """How many characters of ``text`` are among ``characters``."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def one_of(characters: str) -> str:
+    """Regular expression of one of the characters."""
+    return "[" + "".join("\\" + c if c in "|*$.?[]^-\\" else c for c in characters) + "]"
 
 
-def _any_of(text: Column, phrases: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for p in phrases:
-        found = found | F.contains(text, F.lit(p))
-    return found
+def count_of(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
 
 
 def _line_facts(line: Column) -> Column:
-    low = F.lower(line)
     return F.struct(
         line.alias("line"),
-        F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+")).alias("words"),
-        (count_of(line, SYMBOLS) + (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2).alias("signs"),
-        (count_of(line, STOPS) == 0).alias("no_stop"),
-        count_of(line, SEPARATORS).alias("separators"),
-        _any_of(low, NAVIGATION).alias("navigation"),
-        _any_of(low, BOILERPLATE).alias("boilerplate"),
+        count_of(line, "[^\\x20\\x09-\\x0D]+").alias("words"),
+        count_of(line, one_of(SYMBOLS) + "|!!").alias("signs"),
+        (~F.rlike(line, F.lit(one_of(STOPS)))).alias("no_stop"),
+        count_of(line, one_of(SEPARATORS)).alias("separators"),
     )
 
 
 def _line_verdict(x: Column) -> Column:
     words = x["words"]
+    phrase = lambda phrases: F.rlike(x["line"], F.lit("(?i)" + "|".join(phrases)))  # noqa: E731  looked for in short lines only
     punctuation = x["no_stop"] | (x["signs"] * 100 >= words * SIGNS_PERCENT)
-    navigation = ((x["separators"] >= 3) & (x["separators"] * 4 >= words)) | (x["navigation"] & (words <= NAVIGATION_WORDS))
-    boilerplate = x["boilerplate"] & (words <= BOILERPLATE_WORDS)
+    navigation = ((x["separators"] >= 3) & (x["separators"] * 4 >= words)) | ((words <= NAVIGATION_WORDS) & phrase(NAVIGATION))
+    boilerplate = (words <= BOILERPLATE_WORDS) & phrase(BOILERPLATE)
     return F.struct(x["line"].alias("line"), words.alias("words"), (punctuation | navigation | boilerplate).alias("fails"))
 
 
 def _repeat_words(df: DataFrame, words: str, out: str, make) -> DataFrame:
     """Add ``out``: words inside windows of ``WINDOW`` words that occur at least twice in the row."""
-    hashes, windows, at = make("hashes"), make("windows"), make("at")
+    hashes, plain, windows, at = make("hashes"), make("plain"), make("windows"), make("at")
     df = df.withColumn(hashes, F.transform(ref(words), lambda w: F.xxhash64(w)))
-    window = lambda i: F.struct(F.xxhash64(*[F.get(ref(hashes), i + k) for k in range(WINDOW)]).alias("h"), i.alias("at"))
     n = F.size(ref(hashes))
+    starts = F.slice(ref(hashes), F.lit(1), F.greatest(n - WINDOW + 1, F.lit(0)))
+    df = df.withColumn(plain, F.transform(starts, lambda h, i: F.xxhash64(h, *[F.get(ref(hashes), i + k) for k in range(1, WINDOW)])))
+    # places are needed only where some window occurs twice
+    placed = F.transform(ref(plain), lambda h, i: F.struct(h.alias("h"), i.alias("at")))
     none = F.array().cast("array<struct<h:bigint,at:int>>")
-    df = df.withColumn(windows, F.sort_array(F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(none)))
+    df = df.withColumn(windows, F.when(F.size(F.array_distinct(ref(plain))) < F.size(ref(plain)), F.sort_array(placed)).otherwise(none))
     # equal windows stand side by side now
     twin = lambda x, i: (F.get(ref(windows), i + 1)["h"].eqNullSafe(x["h"])) | (F.get(ref(windows), F.when(i > 0, i - 1).otherwise(F.size(ref(windows))))["h"].eqNullSafe(x["h"]))
     df = df.withColumn(at, F.sort_array(F.transform(F.filter(ref(windows), twin), lambda x: x["at"])))
@@ -87,7 +85,7 @@ def _repeat_words(df: DataFrame, words: str, out: str, make) -> DataFrame:
         lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")),
         lambda a: a["n"],
     )
-    return df.withColumn(out, total).drop(hashes, windows, at)
+    return df.withColumn(out, total).drop(hashes, plain, windows, at)
 
 
 def judge(docs: DataFrame, text_col: str = "text", lost_percent: int = LOST_PERCENT) -> DataFrame:
@@ -103,7 +101,7 @@ def judge(docs: DataFrame, text_col: str = "text", lost_percent: int = LOST_PERC
     text, words, lines, facts, judged, repeat = (make(s) for s in ("text", "words", "lines", "facts", "judged", "repeat"))
     df = df.withColumn(text, F.coalesce(ref(text_col), F.lit("")))
     df = df.withColumn(words, F.filter(F.split(ref(text), SPACES), lambda w: w != ""))
-    df = df.withColumn(lines, F.filter(F.split(ref(text), "\n"), lambda x: F.btrim(x, F.lit(WORD_SPACE)) != ""))
+    df = df.withColumn(lines, F.filter(F.split(ref(text), "\n"), lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]"))))
     df = _repeat_words(df, words, repeat, make)
     df = df.withColumn(facts, F.transform(ref(lines), _line_facts))
     df = df.withColumn(judged, F.transform(ref(facts), _line_verdict))
@@ -114,8 +112,8 @@ def judge(docs: DataFrame, text_col: str = "text", lost_percent: int = LOST_PERC
     kept_lines = F.transform(F.filter(ref(judged), lambda x: ~x["fails"]), lambda x: x["line"])
     rules = F.struct(
         n_words.alias("n_words"),
-        F.length(F.translate(ref(text), WORD_SPACE, "")).cast("long").alias("word_chars"),
-        count_of(ref(text), SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.array_join(ref(words), "")).cast("long").alias("word_chars"),
+        count_of(ref(text), one_of(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(ref(lines)) - F.size(F.array_distinct(ref(lines)))).cast("long").alias("n_dup_lines"),
         ref(repeat).alias("n_repeat_words"),
         base_failed.alias("base_failed"),

@@ -90,8 +90,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op5_sql() -> str:
     from tablab.llm import quality_rules as R
 
-    one_of = lambda chars: "[" + "".join("\\" + c if c in "|*$.?[]^-\\" else c for c in chars) + "]"
-    count = lambda col, chars: f"(length({col}) - length(regexp_replace({col}, '{one_of(chars)}', '', 'g')))"
+    count = lambda col, chars: f"(length({col}) - length(regexp_replace({col}, '{R.one_of(chars)}', '', 'g')))"
     any_of = lambda phrases: "(" + " OR ".join(f"contains(lower(l), '{p}')" for p in phrases) + ")"
     word = "[^\\x20\\x09-\\x0D]+"
     return f"""
