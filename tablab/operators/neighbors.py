@@ -15,11 +15,15 @@ member to its pivot).  For a query q with pivot distances d_c:
    is taken with a per-query window (planned with a partial group limit).
 
 Cells larger than ``cell_target`` points are split into sub-cells by key
-hash, so a hot cell is spread over many tasks; the query side is replicated
-to each sub-cell of a candidate cell.  Each (cell, sub-cell) is one cogroup
-task: NumPy computes the block of distances and emits only every query's k
-best, so no (query, point) pair rows are ever produced.  The result is
-exact: pruning only skips cells that cannot contain a neighbour.
+hash and the queries of a cell into blocks of ``query_target``, so a hot cell
+is spread over many tasks on both sides.  Each (cell, sub-cell, query block)
+is one cogroup task: NumPy computes distances a few queries at a time and
+emits only every query's k best, so no (query, point) pair rows are ever
+produced.  The result is exact: pruning only skips cells that cannot contain a
+neighbour (the bound has a relative slack against rounding).
+
+Query rows are told apart by an id of their own that is fixed by a checkpoint,
+so rows that repeat a key are answered one by one.
 """
 
 from __future__ import annotations
@@ -29,8 +33,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,11 +40,15 @@ from pyspark.sql import types as T
 
 from tablab.functions.hashing import key_hash
 from tablab.functions.literals import lit_array, lit_matrix
-from tablab.functions.parallel import spread
-from tablab.functions.small import collect_bounded
+from tablab.functions.small import collect_bounded, one_row
+from tablab.session import ensure_checkpoint_dir
 
-DEFAULT_PIVOTS = 32
+MIN_PIVOTS, MAX_PIVOTS = 32, 512
 CELL_TARGET = 100_000
+QUERY_TARGET = 4096
+#: Distances held at a time by a task.
+BLOCK_PAIRS = 1 << 21
+SLACK = 1e-9
 
 
 def sq_dist(a: Column, b: Column) -> Column:
@@ -71,61 +77,51 @@ def _block_topk(k: int, key_names: list[str]):
         if len(qpdf) == 0 or len(tpdf) == 0:
             return pd.DataFrame({c: [] for c in cols})
         qx = np.vstack(qpdf["_q"].to_numpy()).astype(float)
+        # training rows in key order, so ties resolve to the smallest key
+        tpdf = tpdf.sort_values(key_names, kind="stable")
         tx = np.vstack(tpdf["_x"].to_numpy()).astype(float)
-        acc = np.zeros((len(qx), len(tx)))
-        for j in range(qx.shape[1]):
-            diff = qx[:, j][:, None] - tx[:, j][None, :]
-            acc += diff * diff
-        dist = np.sqrt(acc)
-        # order training rows once by key so ties resolve to the smallest key
-        korder = np.lexsort([tpdf[c].to_numpy() for c in reversed(key_names)])
-        dist = dist[:, korder]
-        kk = min(k, dist.shape[1])
-        out = []
-        for i in range(len(qx)):
-            row = dist[i]
-            kth = np.partition(row, kk - 1)[kk - 1]
-            idx = np.nonzero(row <= kth)[0]
-            idx = idx[np.argsort(row[idx], kind="stable")][:kk]
-            sel = korder[idx]
-            part = {"_qid": np.repeat(qpdf["_qid"].iloc[i], len(sel)), "_d": row[idx], "_y": tpdf["_y"].to_numpy()[sel]}
-            for c in key_names:
-                part[c] = tpdf[c].to_numpy()[sel]
-            out.append(pd.DataFrame(part))
-        return pd.concat(out, ignore_index=True)
+        kk, step = min(k, len(tx)), max(1, BLOCK_PAIRS // len(tx))
+        picked, dists, owners = [], [], []
+        for at in range(0, len(qx), step):
+            acc = np.zeros((len(qx[at : at + step]), len(tx)))
+            for j in range(qx.shape[1]):
+                diff = qx[at : at + step, j][:, None] - tx[:, j][None, :]
+                diff *= diff
+                acc += diff
+            dist = np.sqrt(acc)
+            kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
+            for i, row in enumerate(dist):
+                idx = np.nonzero(row <= kth[i])[0]
+                idx = idx[np.argsort(row[idx], kind="stable")][:kk]
+                picked.append(idx), dists.append(row[idx]), owners.append(np.repeat(at + i, len(idx)))
+        sel = np.concatenate(picked)
+        part = {"_qid": qpdf["_qid"].to_numpy()[np.concatenate(owners)], "_d": np.concatenate(dists), "_y": tpdf["_y"].to_numpy()[sel]}
+        return pd.DataFrame(part | {c: tpdf[c].to_numpy()[sel] for c in key_names})
 
     return fn
 
 
-def knn_neighbors(
-    train: DataFrame,
-    test: DataFrame,
-    train_key: Sequence[str],
-    test_key: Sequence[str],
-    features: str | Sequence[str] = "features",
-    label: str = "label",
-    k: int = 5,
-    pivots: int = DEFAULT_PIVOTS,
-    seed: int = 42,
-    cell_target: int = CELL_TARGET,
-) -> DataFrame:
-    """(query key..., rank, neighbor_<train key>..., distance, label) for the
-    k nearest training rows of every test row."""
+def _neighbors(train: DataFrame, te: DataFrame, train_key: Sequence[str], features, label: str, k: int,
+               pivots: int | None, seed: int, cell_target: int, query_target: int) -> DataFrame:
+    """(_qid, _rank, _t0.., _d, _y) for query rows ``te`` (_qid, _q)."""
     if k < 1:
         raise ValueError("k must be >= 1")
-    train_key, test_key = list(train_key), list(test_key)
+    spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
     tkn = [f"_t{i}" for i in range(len(train_key))]
-    tr = spread(train.select(*[F.col(c).alias(n) for c, n in zip(train_key, tkn)],
-                             as_double_array(train, features).alias("_x"), F.col(label).alias("_y"),
-                             key_hash(train_key, seed).alias("_h")))
-    te = spread(test.select(*[F.col(c) for c in test_key], as_double_array(test, features).alias("_q"))
-                .withColumn("_qid", key_hash(test_key, seed + 1)))
-    qkeys = te.select("_qid", *test_key)
+    tr = train.select(*[F.col(c).alias(n) for c, n in zip(train_key, tkn)],
+                      as_double_array(train, features).alias("_x"), F.col(label).alias("_y"),
+                      key_hash(train_key, seed).alias("_h"))
+    schema = "_qid long, _d double, _y " + train.schema[label].dataType.simpleString() + ", " + ", ".join(
+        f"{n} {train.schema[c].dataType.simpleString()}" for c, n in zip(train_key, tkn)
+    )
+    n_train = one_row(tr.agg(F.count(F.lit(1)).alias("n")))["n"]
+    pivots = pivots or min(MAX_PIVOTS, max(MIN_PIVOTS, int(math.sqrt(n_train) / 8)))
 
     # pivots: bounded sample chosen by key hash (deterministic, partition-independent)
     piv_rows = collect_bounded(tr.orderBy("_h", *tkn).select("_x").limit(pivots), pivots, "pivots")
     if not piv_rows:
-        return test.sparkSession.createDataFrame([], "rank int, distance double")
+        return spark.createDataFrame([], schema + ", _rank int")
     piv = lit_matrix([[float(v) for v in r["_x"]] for r in piv_rows])
 
     def pivot_dists(x: Column) -> Column:
@@ -133,7 +129,7 @@ def knn_neighbors(
 
     tr = tr.withColumn("_pd", pivot_dists(F.col("_x")))
     tr = tr.withColumn("_cell", F.array_position(F.col("_pd"), F.array_min("_pd")).cast("int") - 1)
-    tr = tr.withColumn("_r", F.element_at("_pd", F.col("_cell") + 1)).drop("_pd").persist(StorageLevel.MEMORY_AND_DISK)
+    tr = tr.withColumn("_r", F.element_at("_pd", F.col("_cell") + 1)).drop("_pd").checkpoint()
     stats = collect_bounded(
         tr.groupBy("_cell").agg(F.max("_r").alias("R"), F.count(F.lit(1)).alias("n")), len(piv_rows), "cell stats"
     )
@@ -141,55 +137,87 @@ def knn_neighbors(
     subs = {r["_cell"]: max(1, math.ceil(r["n"] / cell_target)) for r in stats}
     n_cells = len(piv_rows)
     r_arr = lit_array([radius.get(c, -math.inf) for c in range(n_cells)])  # empty cell: never a candidate
-    m_arr = F.array(*[F.lit(subs.get(c, 1)) for c in range(n_cells)])
-    tr = tr.withColumn("_sub", F.pmod(F.col("_h"), F.element_at(m_arr, F.col("_cell") + 1)).cast("int"))
-    train_cells = tr.select("_cell", "_sub", *tkn, "_x", "_y")
 
+    def per_cell(counts: dict[int, int]) -> Column:
+        return F.element_at(F.array(*[F.lit(counts.get(c, 1)) for c in range(n_cells)]), F.col("_cell") + 1)
+
+    points = tr.withColumn("_sub", F.pmod(F.col("_h"), per_cell(subs)).cast("int")).select("_cell", "_sub", *tkn, "_x", "_y")
     te = te.withColumn("_qd", pivot_dists(F.col("_q")))
-    te = te.withColumn("_c0", F.array_position(F.col("_qd"), F.array_min("_qd")).cast("int") - 1).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    schema = "_qid long, _d double, _y " + train.schema[label].dataType.simpleString() + ", " + ", ".join(
-        f"{n} {train.schema[c].dataType.simpleString()}" for c, n in zip(train_key, tkn)
-    )
+    te = te.withColumn("_c0", F.array_position(F.col("_qd"), F.array_min("_qd")).cast("int") - 1).checkpoint()
 
     def candidates(q: DataFrame) -> DataFrame:
-        # q: (_qid, _q, _cell) -> replicated to the cell's sub-cells; one task per (cell, sub)
-        q = q.withColumn("_sub", F.explode(F.sequence(F.lit(0), F.element_at(m_arr, F.col("_cell") + 1) - 1)))
-        return (
-            q.groupBy("_cell", "_sub")
-            .cogroup(train_cells.groupBy("_cell", "_sub"))
-            .applyInPandas(_block_topk(k, tkn), schema)
-        )
+        # q: (_qid, _q, _cell) -> one task per (cell, sub-cell, block of queries)
+        rows = collect_bounded(q.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")), n_cells, "queries per cell")
+        blocks = per_cell({r["_cell"]: max(1, math.ceil(r["n"] / query_target)) for r in rows})
+        q = q.withColumn("_blk", F.pmod(F.xxhash64("_qid"), blocks).cast("int"))
+        q = q.withColumn("_sub", F.explode(F.sequence(F.lit(0), per_cell(subs) - 1)))
+        pts = points.withColumn("_blk", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        part = ["_cell", "_sub", "_blk"]
+        return q.groupBy(*part).cogroup(pts.groupBy(*part)).applyInPandas(_block_topk(k, tkn), schema)
 
     def topk(c: DataFrame) -> DataFrame:
         w = Window.partitionBy("_qid").orderBy("_d", *tkn)
         return c.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
 
-    first = topk(candidates(te.select("_qid", "_q", F.col("_c0").alias("_cell")))).persist(StorageLevel.MEMORY_AND_DISK)
+    first = topk(candidates(te.select("_qid", "_q", F.col("_c0").alias("_cell")))).checkpoint()
     tau = first.groupBy("_qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("_d")).otherwise(F.lit(math.inf)).alias("_tau"))
+    bound = F.col("_tau") + (F.abs("_tau") + F.col("_dc")) * SLACK
     rest = (
         te.join(tau, "_qid", "left")
         .withColumn("_tau", F.coalesce("_tau", F.lit(math.inf)))
         .select("_qid", "_q", "_c0", "_tau", F.posexplode("_qd").alias("_cell", "_dc"))
-        .where((F.col("_cell") != F.col("_c0")) & (F.col("_dc") - F.element_at(r_arr, F.col("_cell") + 1) <= F.col("_tau")))
+        .where((F.col("_cell") != F.col("_c0")) & (F.col("_dc") - F.element_at(r_arr, F.col("_cell") + 1) <= bound))
         .select("_qid", "_q", F.col("_cell").cast("int").alias("_cell"))
+        .checkpoint()
     )
-    allc = first.drop("_rank").unionByName(candidates(rest))
-    best = topk(allc).join(qkeys, "_qid")
-    tcols = [F.col(n).alias(f"neighbor_{c}") for c, n in zip(train_key, tkn)]
-    return best.select(*test_key, F.col("_rank").alias("rank"), *tcols, F.col("_d").alias("distance"),
-                       F.col("_y").alias(label))
+    return topk(first.drop("_rank").unionByName(candidates(rest)))
 
 
-def knn_vote(neigh: DataFrame, test_key: Sequence[str], label: str = "label") -> DataFrame:
-    """(test key..., prediction): most frequent neighbour label, ties -> smallest."""
-    votes = neigh.groupBy(*test_key, label).agg(F.count(F.lit(1)).alias("_v"))
-    return votes.groupBy(*test_key).agg(
-        F.min_by(F.col(label), F.struct((-F.col("_v")).alias("nv"), F.col(label).alias("l"))).alias("prediction")
+def _with_row_id(test: DataFrame) -> DataFrame:
+    """Query rows under an id of their own, fixed by a checkpoint."""
+    ensure_checkpoint_dir(test.sparkSession)
+    return test.withColumn("_qid", F.monotonically_increasing_id()).checkpoint()
+
+
+def knn_neighbors(
+    train: DataFrame,
+    test: DataFrame,
+    train_key: Sequence[str],
+    test_key: Sequence[str],
+    features: str | Sequence[str] = "features",
+    label: str = "label",
+    k: int = 5,
+    pivots: int | None = None,
+    seed: int = 42,
+    cell_target: int = CELL_TARGET,
+    query_target: int = QUERY_TARGET,
+) -> DataFrame:
+    """(query key..., rank, neighbor_<train key>..., distance, label) for the
+    k nearest training rows of every test row; test rows that repeat a key
+    have their own k rows each."""
+    rows = _with_row_id(test)
+    te = rows.select("_qid", as_double_array(rows, features).alias("_q"))
+    best = _neighbors(train, te, list(train_key), features, label, k, pivots, seed, cell_target, query_target)
+    tcols = [F.col(f"_t{i}").alias(f"neighbor_{c}") for i, c in enumerate(train_key)]
+    return best.join(rows.select("_qid", *test_key), "_qid").select(
+        *test_key, F.col("_rank").alias("rank"), *tcols, F.col("_d").alias("distance"), F.col("_y").alias(label)
+    )
+
+
+def _vote(neigh: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    votes = neigh.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_v"))
+    return votes.groupBy(*keys).agg(
+        F.min_by(F.col(label), F.struct((-F.col("_v")).alias("nv"), F.col(label).alias("l"))).alias("prediction"),
+        F.map_from_entries(F.collect_list(F.struct(F.col(label), F.col("_v")))).alias("_votes"),
     )
 
 
+def knn_vote(neigh: DataFrame, test_key: Sequence[str], label: str = "label") -> DataFrame:
+    """(test key..., prediction): most frequent neighbour label, ties -> smallest.
+    Keys must be unique per query row."""
+    return _vote(neigh, test_key, label).drop("_votes")
+
+
 def knn_classify(
     train: DataFrame,
     test: DataFrame,
@@ -197,16 +225,30 @@ def knn_classify(
     features: str | Sequence[str] = "features",
     label: str = "label",
     k: int = 5,
-    **kw,
+    classes: Sequence | None = None,
+    pivots: int | None = None,
+    seed: int = 42,
+    cell_target: int = CELL_TARGET,
+    query_target: int = QUERY_TARGET,
 ) -> DataFrame:
-    """Test rows with a ``prediction`` column (null if there is no training row)."""
+    """Test rows with a ``prediction`` column (null if there is no training
+    row) and, given the ``classes``, a ``probability`` array with each class's
+    share of the votes."""
     keys = [key] if isinstance(key, str) else list(key)
-    neigh = knn_neighbors(train, test, keys, keys, features, label, k, **kw)
-    return test.join(knn_vote(neigh, keys, label), keys, "left")
-
-
-def knn_predict(train_vec: DataFrame, test_vec: DataFrame, key: Sequence[str], k: int = 5) -> DataFrame:
+    rows = _with_row_id(test)
+    te = rows.select("_qid", as_double_array(rows, features).alias("_q"))
+    best = _neighbors(train, te, keys, features, label, k, pivots, seed, cell_target, query_target)
+    vote = _vote(best.select("_qid", F.col("_y").alias("_label")), ["_qid"], "_label")
+    out = rows.join(vote, "_qid", "left")
+    if classes is not None:
+        total = F.aggregate(F.map_values("_votes"), F.lit(0).cast("long"), lambda a, v: a + v)
+        share = [F.coalesce(F.try_element_at("_votes", F.lit(c).cast(train.schema[label].dataType)), F.lit(0)) / total for c in classes]
+        out = out.withColumn("probability", F.array(*share))
+    return out.drop("_qid", "_votes")
+
+
+def knn_predict(train_vec: DataFrame, test_vec: DataFrame, key: Sequence[str], k: int = 5, classes: Sequence | None = None) -> DataFrame:
     """Used by the supervised flow: vectors in ``features``, target in ``label``."""
-    return knn_classify(train_vec, test_vec, list(key), "features", "label", k).withColumn(
+    return knn_classify(train_vec, test_vec, list(key), "features", "label", k, classes).withColumn(
         "prediction", F.col("prediction").cast("double")
     )
