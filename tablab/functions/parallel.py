@@ -1,11 +1,9 @@
-"""Parallelism guard for CPU-heavy operators.
+"""Parallelism helper for callers with small inputs.
 
-A large table arrives in many splits and is left untouched.  A small input
-(e.g. one parquet row group) would run every downstream task of an
-iterative or CPU-bound operator on a single core, so it is spread
-round-robin over the cluster's default parallelism first -- a shuffle of a
-small table, done once, that Catalyst still lets filters and column pruning
-pass through.
+A large table arrives in many files and is left as it is.  A table in fewer
+files than the session has task slots (one-row-group test files) would run a
+CPU-heavy operator on a few cores; its caller may deal it out first.  Operators
+never do that themselves.
 """
 
 from __future__ import annotations
@@ -13,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the default parallelism if its source has fewer files
+    than that (a look at the file list; no job)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if 0 < len(df.inputFiles()) < target else df

@@ -143,17 +143,6 @@ def mode_long(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def bucket_tree(v, splits: Sequence[float], lo: int = 0, hi: int | None = None):
-    """Number of split points strictly below v, as a balanced CASE tree over
-    the sorted constants (about log2(len(splits)) codegen'd comparisons)."""
-    if hi is None:
-        hi = len(splits)
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(v > F.lit(splits[mid]), bucket_tree(v, splits, mid + 1, hi)).otherwise(bucket_tree(v, splits, lo, mid))
-
-
 def quantiles_bounded(
     df: DataFrame,
     key: str,
