@@ -1,8 +1,8 @@
 """Feature transformations (T1-T8) as fit/apply pairs.
 
 ``fit_*`` computes the data-dependent constants in one aggregate job and
-returns a JSON-serialisable dict; ``apply_*`` is a projection (or, for a
-large label code table, a join) that replays those constants on any table
+returns a JSON-serialisable dict; ``apply_*`` is a projection (or, for
+label codes, a join) that replays those constants on any table
 with the same columns.
 """
 
@@ -17,15 +17,11 @@ from pyspark.sql import types as T
 
 from tablab.functions.kinds import is_numeric_type, require_columns, require_numeric
 from tablab.functions.long import q
-from tablab.functions.small import collect_bounded, one_row
+from tablab.functions.small import one_row
 from tablab.operators import profile as P
-from tablab.session import scratch_path
 
-# Category lists up to this size are kept inline (JSON) and broadcast when
-# applied; larger code tables are computed distributed and stored as parquet.
-MAX_INLINE_CATEGORIES = 10_000
-# One-hot turns categories into columns; a schema cannot grow without bound.
-MAX_ONE_HOT_CATEGORIES = 1_000
+# A code table is broadcast when its texts are at most this many characters.
+BROADCAST_CHARS = 1 << 20
 NULL_CLASS = "nan"
 
 
@@ -53,25 +49,25 @@ def dense_codes(values: DataFrame, col: str, partitions: int | None = None) -> D
 
 
 def fit_label_encode(df: DataFrame, c: str) -> dict:
-    """Classes sorted by code point; a missing value is the class 'nan'."""
+    """Classes sorted by code point; a missing value is the class 'nan'.  The
+    class list is part of the recipe or model, whatever its size."""
     require_columns(df, [c])
-    vals = df.select(_as_text(df, c).alias("_v")).distinct()
-    rows = vals.orderBy("_v").limit(MAX_INLINE_CATEGORIES + 1).collect()
-    if len(rows) <= MAX_INLINE_CATEGORIES:
-        return {"classes": [r[0] for r in rows]}
-    path = scratch_path(df.sparkSession, "label-codes")
-    dense_codes(vals, "_v").write.mode("overwrite").parquet(path)
-    return {"codes_path": path}
+    rows = df.select(_as_text(df, c).alias("_v")).distinct().orderBy("_v").collect()
+    return {"classes": [r[0] for r in rows]}
+
+
+def fit_classes(df: DataFrame, c: str) -> dict:
+    """Classes of a target in the order of its own type (numbers by value),
+    nulls aside."""
+    require_columns(df, [c])
+    rows = df.where(q(c).isNotNull()).select(q(c).alias("_v"), q(c).cast("string").alias("_s")).distinct().orderBy("_v").collect()
+    return {"classes": [r["_s"] for r in rows], "type": df.schema[c].dataType.simpleString()}
 
 
 def _code_table(df: DataFrame, params: dict) -> DataFrame:
-    spark = df.sparkSession
-    if "classes" in params:
-        table = spark.createDataFrame(
-            [(v, i) for i, v in enumerate(params["classes"])], "_v string, code bigint"
-        )
-        return F.broadcast(table)  # size bounded by MAX_INLINE_CATEGORIES
-    return spark.read.parquet(params["codes_path"])
+    classes = params["classes"]
+    table = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(classes)], "_v string, code bigint")
+    return F.broadcast(table) if sum(map(len, classes)) <= BROADCAST_CHARS else table
 
 
 def apply_label_encode(df: DataFrame, c: str, params: dict) -> DataFrame:
@@ -88,12 +84,8 @@ def label_encode(df: DataFrame, c: str) -> DataFrame:
 # ----------------------------------------------------------- T2 one-hot
 def fit_one_hot(df: DataFrame, c: str) -> dict:
     require_columns(df, [c])
-    rows = collect_bounded(
-        df.where(q(c).isNotNull()).select(q(c).cast("string").alias("_v")).distinct().orderBy("_v"),
-        MAX_ONE_HOT_CATEGORIES,
-        f"distinct values of {c!r} for one-hot columns",
-        structural=False,
-    )
+    # the values become columns: a schema, which the driver holds anyway
+    rows = df.where(q(c).isNotNull()).select(q(c).cast("string").alias("_v")).distinct().orderBy("_v").collect()
     return {"categories": [r[0] for r in rows]}
 
 

@@ -12,6 +12,8 @@ empty list, and a step whose fit fails is never recorded.
 from __future__ import annotations
 
 import copy
+import datetime
+import decimal
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -53,6 +55,27 @@ OPS: dict[str, OpDef] = {
 }
 
 
+# Constants that JSON has no form for travel as text plus type.
+_READERS = {
+    "date": datetime.date.fromisoformat,
+    "datetime": datetime.datetime.fromisoformat,
+    "Decimal": decimal.Decimal,
+    "bytes": bytes.fromhex,
+}
+
+
+def _typed(value):
+    kind = type(value).__name__
+    if kind not in _READERS:
+        raise TypeError(f"a recipe cannot hold a constant of type {kind}")
+    text = value.hex() if kind == "bytes" else str(value) if kind == "Decimal" else value.isoformat()
+    return {"$type": kind, "text": text}
+
+
+def _untyped(obj: dict):
+    return _READERS[obj["$type"]](obj["text"]) if set(obj) == {"$type", "text"} else obj
+
+
 @dataclass
 class Step:
     op: str
@@ -131,11 +154,12 @@ class Recipe:
 
     # ------------------------------------------------------------ R4
     def to_json(self) -> str:
-        return json.dumps({"version": 1, "steps": [{"op": s.op, "args": s.args, "params": s.params} for s in self.steps]})
+        steps = [{"op": s.op, "args": s.args, "params": s.params} for s in self.steps]
+        return json.dumps({"version": 1, "steps": steps}, default=_typed)
 
     @staticmethod
     def from_json(text: str) -> Recipe:
-        data = json.loads(text)
+        data = json.loads(text, object_hook=_untyped)
         steps = []
         for s in data["steps"]:
             if s["op"] not in OPS:

@@ -2,16 +2,16 @@
 
 Reading is two steps:
 
-1. dialect sniffing on a bounded sample of the first lines (driver side):
-   encoding (UTF-8, or ISO-8859-1 when UTF-8 decoding yields replacement
-   characters), separator (',' then ';' with decimal comma, then tab: the
-   first that gives more than one column), and whether quoted fields span
-   lines;
+1. dialect: one distributed pass over all lines decides the encoding (UTF-8,
+   or ISO-8859-1 if any line is not valid UTF-8) and whether quoted fields span
+   lines (any line with an odd number of quotes); the header decides the
+   separator (',' then ';' with decimal comma, then tab: the first that gives
+   more than one column);
 2. one distributed read of every column as text, then a single aggregate
    pass that decides per column whether all non-missing values parse as
    integers or numbers (after turning a decimal comma into a point), and a
-   projection with those casts.  Missing-value tokens ('' and '?') become
-   NULL.  Pass ``schema_types`` to skip the inference pass.
+   projection with those casts.  Missing-value words become NULL, and so does
+   any text that reads as NaN.  Pass ``schema_types`` to skip the inference.
 """
 
 from __future__ import annotations
@@ -22,27 +22,37 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablab.functions.long import q
 from tablab.functions.small import one_row
-
-SAMPLE_LINES = 200
-NULL_TOKENS = ("?",)
+from tablab.sources.tables import nan_to_null
+
+# Fixed words that count as missing, besides the empty field.
+NULL_TOKENS = (
+    "?", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+HEADER_LINES = 20
 # Fixed dialect candidates, tried in this order: (separator, decimal mark)
 DIALECTS = ((",", "."), (";", ","), ("\t", "."))
-REPLACEMENT_CHAR = "�"
 
 
-def _sample(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    rows = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path).limit(SAMPLE_LINES).collect()
-    return [r[0] for r in rows]
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(path)
+
+
+def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
+    """The lines a header can stand on."""
+    raw = _lines(spark, path).select(F.col("value").cast("binary").alias("b")).limit(HEADER_LINES).collect()
+    return [bytes(r["b"]).decode(encoding, "replace") for r in raw]
 
 
 def _columns(lines: list[str], sep: str) -> int:
     if not lines:
         return 0
     try:
-        header = next(csv.reader(io.StringIO("\n".join(lines[:20])), delimiter=sep))
+        header = next(csv.reader(io.StringIO("\n".join(lines)), delimiter=sep))
     except (csv.Error, StopIteration):
         return 0
     return len(header)
@@ -50,15 +60,15 @@ def _columns(lines: list[str], sep: str) -> int:
 
 def sniff(spark: SparkSession, path: str, sep: str | None = None, decimal: str | None = None,
           encoding: str | None = None) -> dict:
-    """{'sep', 'decimal', 'encoding', 'multiline'} from a bounded sample."""
+    """{'sep', 'decimal', 'encoding', 'multiline'}; encoding and multiline
+    come from every line."""
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    seen = one_row(_lines(spark, path).agg(
+        F.count_if(~F.is_valid_utf8("value")).alias("broken"), F.count_if(quotes % 2 == 1).alias("open")
+    ))
     if encoding is None:
-        lines = _sample(spark, path, "UTF-8")
-        encoding = "UTF-8"
-        if any(REPLACEMENT_CHAR in ln for ln in lines):
-            encoding = "ISO-8859-1"
-            lines = _sample(spark, path, encoding)
-    else:
-        lines = _sample(spark, path, encoding)
+        encoding = "ISO-8859-1" if seen["broken"] else "UTF-8"
+    lines = _header(spark, path, encoding)
     if sep is None:
         chosen = None
         for s, d in DIALECTS:
@@ -68,8 +78,7 @@ def sniff(spark: SparkSession, path: str, sep: str | None = None, decimal: str |
         sep, dec = chosen or DIALECTS[0]
         decimal = decimal or dec
     decimal = decimal or ("," if sep == ";" else ".")
-    multiline = any(ln.count('"') % 2 == 1 for ln in lines)
-    return {"sep": sep, "decimal": decimal, "encoding": encoding, "multiline": multiline}
+    return {"sep": sep, "decimal": decimal, "encoding": encoding, "multiline": seen["open"] > 0}
 
 
 def _normalized(c, decimal: str):
@@ -118,7 +127,32 @@ def read_delimited(
             out.append(q(c))
         else:
             out.append(_normalized(F.trim(q(c)), d["decimal"]).cast(t).alias(c))
-    return text.select(*out)
+    return nan_to_null(text.select(*out))
+
+
+def normalize_missing(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
+    """Text columns of any DataFrame with empty fields and missing-value words
+    (blanks around them aside) as NULL; NaN as NULL in float columns."""
+    cols = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            v = F.trim(q(f.name))
+            cols.append(F.when((v == "") | v.isin(list(tokens)), F.lit(None)).otherwise(q(f.name)).alias(f.name))
+        else:
+            cols.append(q(f.name))
+    return nan_to_null(df.select(*cols))
+
+
+def infer_numeric(df: DataFrame, decimal: str = ".") -> DataFrame:
+    """Text columns whose non-null values all read as numbers become bigint or
+    double (one aggregate pass for all); the others stay as they are."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    types = infer_types(df.select(*[q(c) for c in text]), decimal)
+    cols = [
+        _normalized(F.trim(q(c)), decimal).cast(types[c]).alias(c) if types.get(c, "string") != "string" else q(c)
+        for c in df.columns
+    ]
+    return nan_to_null(df.select(*cols))
 
 
 def infer_types(text: DataFrame, decimal: str = ".") -> dict[str, str]:
@@ -150,7 +184,7 @@ def infer_types(text: DataFrame, decimal: str = ".") -> dict[str, str]:
 
 
 def write_delimited(df: DataFrame, path: str, single_file: bool = False, sep: str = ",", mode: str = "overwrite") -> None:
-    """CSV with a header, UTF-8, NULL as an empty field.  ``single_file``
-    coalesces to one task -- only for small results."""
-    out = df.coalesce(1) if single_file else df
+    """CSV with a header, UTF-8, NULL as an empty field.  With ``single_file``
+    one task writes -- for small results; the work before stays distributed."""
+    out = df.repartition(1) if single_file else df
     out.write.mode(mode).option("header", True).option("sep", sep).option("encoding", "UTF-8").csv(path)

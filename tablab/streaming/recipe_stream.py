@@ -7,7 +7,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tablab.plans.recipe import Recipe
-from tablab.session import scratch_path
 from tablab.sources.tables import nan_to_null
 
 
@@ -31,12 +30,11 @@ def apply_recipe_stream(recipe: Recipe, stream: DataFrame) -> DataFrame:
     return recipe.apply(stream)
 
 
-def write_stream(df: DataFrame, path: str, fmt: str = "parquet", checkpoint: str | None = None,
-                 trigger_once: bool = False) -> StreamingQuery:
-    """Append the stream to files under ``path``; progress is checkpointed
-    under the shared checkpoint folder unless ``checkpoint`` is given."""
-    ckpt = checkpoint or scratch_path(df.sparkSession, "stream-ckpt")
-    w = df.writeStream.format(fmt).option("path", path).option("checkpointLocation", ckpt).outputMode("append")
+def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", trigger_once: bool = False) -> StreamingQuery:
+    """Append the stream to files under ``path``.  ``checkpoint`` is a shared
+    folder that holds the progress: a restart with the same folder reads every
+    input file once over all runs."""
+    w = df.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     if trigger_once:
         w = w.trigger(availableNow=True)
     return w.start()
