@@ -14,7 +14,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: Ranges per shuffle partition.
+RANGES = 4
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null meets null; the right side's keys are dropped."""
+    renamed = right.select(*[F.col(c).alias(f"_k{keys.index(c)}") if c in keys else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for i, c in enumerate(keys):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return left.join(renamed, cond, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def running_sums(
@@ -23,7 +33,7 @@ def running_sums(
     sum_cols: Sequence[str],
     keys: Sequence[str] = (),
     descending: bool = False,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum of c in the order of
     ``order_col``, ties summed together in one step) and ``total_<c>`` per key
@@ -34,11 +44,12 @@ def running_sums(
     base = df.withColumn("_o", ordv)
     # one row per distinct order value: ties move together
     g = base.groupBy(*keys, "_o").agg(*[F.sum(c).alias(c) for c in sum_cols])
+    ranges = ranges or max(2, RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fracs = [i / ranges for i in range(1, ranges)]
     gk = keys
     if gk:
         splits = g.groupBy(*gk).agg(F.percentile_approx("_o", fracs, 10000).alias("_splits"))
-        gb = g.join(splits, gk).withColumn("_r", F.size(F.filter("_splits", lambda s: s < F.col("_o")))).drop("_splits")
+        gb = _null_safe_join(g, splits, gk).withColumn("_r", F.size(F.filter("_splits", lambda s: s < F.col("_o")))).drop("_splits")
     else:
         # global order: the (ranges - 1) split points are constants
         pts = g.agg(F.percentile_approx("_o", fracs, 10000).alias("_s")).collect()[0]["_s"] or []
@@ -53,7 +64,7 @@ def running_sums(
         )
     rstat = rstat.drop(*[f"_rs_{c}" for c in sum_cols])
     w = Window.partitionBy(*gk, "_r").orderBy("_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = gb.join(rstat, gk + ["_r"])
+    out = _null_safe_join(gb, rstat, gk + ["_r"])
     for c in sum_cols:
         out = out.withColumn(f"cum_{c}", F.col(f"_off_{c}") + F.sum(c).over(w))
     drop = ["_r"] + [f"_off_{c}" for c in sum_cols]

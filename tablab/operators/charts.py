@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablab.functions.kinds import is_numeric_type, numeric_columns, require_columns, require_numeric
 from tablab.functions.long import q
-from tablab.functions.small import one_row
+from tablab.functions.small import collect_bounded, one_row
 from tablab.operators import profile as P
 from tablab.operators.quantiles import quantiles_wide
 
@@ -53,18 +53,19 @@ def bar_agg_data(df: DataFrame, x: str, y: str, fn: str = "mean", color=None, fa
 
 
 # ------------------------------------------------------------- G5 area
-def area_data(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
-    """Sum of y per (x, color) plus the stacked top: the running sum over
-    colors (ascending) within each x.  The window is partitioned by x and
-    holds one row per color, so it is bounded by the number of colors."""
-    keys = _extras(x, color)
+def area_data(df: DataFrame, x: str, y: str, color: str | None = None, facet_col=None, facet_row=None) -> DataFrame:
+    """Sum of y per (x, color, facets) plus the stacked top: the running sum
+    over colors (ascending) within each x and facet.  The window holds one row
+    per color, so it is bounded by the number of colors."""
+    keys = _extras(x, color, facet_col, facet_row)
     require_columns(df, keys)
     require_numeric(df, [y])
     g = P.group_agg(df, keys, y, "sum", sort=False)
     if color is None:
-        return g.withColumn("stack_top", F.col(y)).orderBy(x)
-    w = Window.partitionBy(x).orderBy(F.asc_nulls_first(color)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.withColumn("stack_top", F.sum(y).over(w)).orderBy(x, color)
+        return g.withColumn("stack_top", F.col(y)).orderBy(*keys)
+    w = Window.partitionBy(*[c for c in keys if c != color] or [x]).orderBy(F.asc_nulls_first(color))
+    w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return g.withColumn("stack_top", F.sum(y).over(w)).orderBy(*keys)
 
 
 # -------------------------------------------------------------- G6 box
@@ -164,10 +165,15 @@ def histogram_data(df: DataFrame, x: str, bins: int = 20, color: str | None = No
 
 # ----------------------------------------------------- G10 distribution
 def distribution_data(df: DataFrame, c: str, bins: int = 20) -> DataFrame:
-    """Histogram for a numeric column, value counts otherwise."""
+    """Histogram and box (in columns of their own, the same on every row) for
+    a numeric column, value counts otherwise."""
     require_columns(df, [c])
     if is_numeric_type(df.schema[c].dataType):
-        return histogram_data(df, c, bins)
+        box = collect_bounded(box_data(df, None, c), 1, "box")
+        parts = ("q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers")
+        kind = lambda n: "bigint" if n == "n_outliers" else "double"
+        lits = [F.lit(box[0][n] if box else None).cast(kind(n)).alias(n if n == "n_outliers" else f"box_{n}") for n in parts]
+        return histogram_data(df, c, bins).select("*", *lits)
     return P.value_counts(df, c)
 
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablab.functions.kinds import (
@@ -53,25 +55,16 @@ def column_overview(df: DataFrame, approx: bool = False) -> DataFrame:
     cols = df.columns
     meta = schema_frame(df)
     if approx:
-        aggs = []
-        for c in cols:
-            aggs += [
-                F.approx_count_distinct(q(c)).alias(f"d_{len(aggs)}"),
-                F.count(q(c)).alias(f"n_{len(aggs)}"),
-                F.min(q(c)).cast("string").alias(f"m_{len(aggs)}"),
-            ]
-        row = df.agg(*aggs)
-        parts = []
-        for i, c in enumerate(cols):
-            parts.append(
-                row.select(
-                    F.lit(c).alias(NAME),
-                    row.columns[3 * i].alias("n_distinct"),
-                    row.columns[3 * i + 1].alias("n_nonnull"),
-                    row.columns[3 * i + 2].alias("example"),
-                )
+        facts = [
+            F.struct(
+                F.lit(c).alias(NAME),
+                F.approx_count_distinct(q(c)).alias("n_distinct"),
+                F.count(q(c)).alias("n_nonnull"),
+                F.min(q(c)).cast("string").alias("example"),
             )
-        stats = reduce(DataFrame.unionByName, parts)
+            for c in cols
+        ]
+        stats = df.agg(F.array(*facts).alias("_f")).select(F.inline("_f"))
     else:
         branches = type_branches(df, cols)
         parts = [_branch_overview(df, cs, cast) for cast, cs in branches.items() if cs]
@@ -121,6 +114,47 @@ def describe_numeric(
     )
 
 
+def describe(df: DataFrame, percentiles: Sequence[float] = DEFAULT_PERCENTILES, approx: bool = False) -> DataFrame:
+    """pandas ``describe(include='all')`` over all columns in one frame, in
+    column order; what does not apply to a column is NULL.  ``approx=True``
+    takes percentiles from a bounded sketch and distinct counts from
+    HyperLogLog++ (top and freq are then left out)."""
+    num, cat = numeric_columns(df), categorical_columns(df)
+    names = [pct_name(p) for p in percentiles]
+    parts = []
+    if num and approx:
+        x = {c: q(c).cast("double") for c in num}
+        rows = [
+            F.struct(
+                F.lit(c).alias(NAME), F.count(x[c]).alias("count"), F.avg(x[c]).alias("mean"), F.stddev_samp(x[c]).alias("std"),
+                F.min(x[c]).alias("min"), *[F.percentile_approx(x[c], p, 10000).alias(n) for n, p in zip(names, percentiles)],
+                F.max(x[c]).alias("max"), F.lit(df.columns.index(c)).alias("position"),
+            )
+            for c in num
+        ]
+        parts.append(df.agg(F.array(*rows).alias("_r")).select(F.inline("_r")))
+    elif num:
+        place = F.create_map(*[x for c in num for x in (F.lit(c), F.lit(df.columns.index(c)))])
+        parts.append(describe_numeric(df, num, percentiles).withColumn("position", place[F.col(NAME)]))
+    if cat and approx:
+        rows = [
+            F.struct(F.lit(c).alias(NAME), F.count(q(c)).alias("count"), F.approx_count_distinct(q(c)).alias("unique"),
+                     F.lit(df.columns.index(c)).alias("position"))
+            for c in cat
+        ]
+        parts.append(df.agg(F.array(*rows).alias("_r")).select(F.inline("_r")))
+    elif cat:
+        place = F.create_map(*[x for c in cat for x in (F.lit(c), F.lit(df.columns.index(c)))])
+        parts.append(describe_categorical(df, cat).withColumn("position", place[F.col(NAME)]))
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    wanted = {"unique": "bigint", "top": "string", "freq": "bigint", "mean": "double", "std": "double", "min": "double",
+              **{n: "double" for n in names}, "max": "double"}
+    for c, kind in wanted.items():
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast(kind))
+    return out.select(NAME, "count", *wanted, "position")
+
+
 def describe_categorical(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """pandas ``describe(include='all')`` for non-numeric columns:
     count, unique, top (most frequent, ties -> smallest), freq."""
@@ -190,32 +224,46 @@ def null_report(df: DataFrame, only_with_nulls: bool = False) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation, pairwise-complete, long form (row_name, col_name, corr).
 
-    One aggregate pass for all pairs.  Constant (or single-row) pairs give
-    NULL instead of failing with a division by zero.
+    One pass: per Arrow batch NumPy matrix products give, for every pair of
+    columns, the number of rows where both are present and their sums, squares
+    and cross products over those rows, on values centred by the column means;
+    Spark adds the partial sums (one row per pair and task).  Constant (or
+    single-row) pairs give NULL.
     """
     cols = list(numeric_columns(df) if cols is None else cols)
     require_numeric(df, cols)
     if len(cols) < 1:
         raise ValueError("correlation needs at least one numeric column")
-    x = {c: q(c).cast("double") for c in cols}
-    aggs = []
-    pairs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            xa = F.when(x[b].isNotNull(), x[a])
-            xb = F.when(x[a].isNotNull(), x[b])
-            k = len(pairs)
-            aggs.append(F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb)).alias(f"_r{k}"))
-            pairs.append((a, b))
-    row = df.agg(*aggs)
-    structs = []
-    for k, (a, b) in enumerate(pairs):
-        # a constant column has sd 0 -> try_divide gives NULL; clamp rounding drift
-        r = F.when(F.lit(a == b) & F.col(f"_r{k}").isNotNull(), F.lit(1.0)).otherwise(F.col(f"_r{k}"))
-        structs.append(F.struct(F.lit(a).alias("row_name"), F.lit(b).alias("col_name"), r.alias("corr")))
-        if a != b:
-            structs.append(F.struct(F.lit(b).alias("row_name"), F.lit(a).alias("col_name"), r.alias("corr")))
-    return row.select(F.inline(F.array(*structs)))
+    x = df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    means = one_row(x.agg(*[F.avg(c).alias(c) for c in x.columns]))
+    centre = np.array([means[c] if means[c] is not None else 0.0 for c in x.columns])
+    d = len(cols)
+
+    def partial(batches):
+        total = np.zeros((5, d, d))
+        for b in batches:
+            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(float) - centre
+            there = ~np.isnan(v)
+            v = np.where(there, v, 0.0)
+            m = there.astype(float)
+            total += np.stack([m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, v.T @ v])
+        i, j = np.indices((d, d))
+        flat = [pa.array(a.ravel()) for a in (i, j, *total)]
+        yield pa.RecordBatch.from_arrays(flat, names=["i", "j", "n", "sa", "sb", "saa", "sab"])
+
+    sums = x.mapInArrow(partial, "i long, j long, n double, sa double, sb double, saa double, sab double")
+    sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sab")])
+    names = F.array(*[F.lit(c) for c in cols])
+    # the squares of the other column of a pair stand in the pair's mirror image
+    mirror = sums.select(F.col("i").alias("mj"), F.col("j").alias("mi"), F.col("saa").alias("sbb"))
+    both = sums.join(mirror, (F.col("i") == F.col("mi")) & (F.col("j") == F.col("mj")))
+    var = lambda s2, s1: s2 - s1 * s1 / F.col("n")
+    va, vb = var(F.col("saa"), F.col("sa")), var(F.col("sbb"), F.col("sb"))
+    real = (F.col("n") > 0) & (va > 1e-12 * F.col("saa")) & (vb > 1e-12 * F.col("sbb"))
+    r = F.when(real, (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(F.when(real, va * vb)))
+    r = F.when((F.col("i") == F.col("j")) & r.isNotNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    name = lambda c: F.element_at(names, (F.col(c) + 1).cast("int"))
+    return both.select(name("i").alias("row_name"), name("j").alias("col_name"), F.when(real, r).alias("corr"))
 
 
 # ---------------------------------------------------- A7 IQR / F7 outliers
@@ -382,10 +430,11 @@ def task_of(df: DataFrame, c: str) -> str:
 
 
 # ------------------------------------------------------------ L1 preview
-def preview(df: DataFrame, n: int = 50, order_by: str | Sequence[str] | None = None) -> DataFrame:
-    """First n rows in key order (a top-n, planned as TakeOrderedAndProject).
+def preview(df: DataFrame, n: int = 50, order_by=None) -> DataFrame:
+    """First n rows in key order (a top-n, planned as TakeOrderedAndProject);
+    keys are names or ordered columns (``F.desc(...)``).
     Without a key Spark has no row order, so the rows are arbitrary."""
     if order_by is None:
         return df.limit(n)
-    keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    return df.orderBy(*[F.asc_nulls_last(k) for k in keys]).limit(n)
+    keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
+    return df.orderBy(*[F.asc_nulls_last(k) if isinstance(k, str) else k for k in keys]).limit(n)

@@ -6,6 +6,7 @@ depend on partitioning, task order or retries, and are reproducible in SQL.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -15,9 +16,10 @@ from tablab.functions.hashing import HASH_RANGE, key_hash
 from tablab.functions.kinds import require_columns
 
 SPLIT_RESOLUTION = 10_000
-# Sub-ranges of the hash used to rank rows within a class without sorting a
-# whole class in one task (a class may hold a third of all rows).
-STRATA_SUBRANGES = 4096
+# Sub-ranges of the hash, per shuffle partition, used to rank rows within a
+# class without sorting a whole class in one task (a class may hold a third of
+# all rows).  The ranks do not depend on their number.
+STRATA_SUBRANGES = 16
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -35,9 +37,24 @@ def with_test_flag(df: DataFrame, key: str | Sequence[str], test_size: float = 0
     return df.withColumn(col, (key_hash(keys, seed) % SPLIT_RESOLUTION) < cut)
 
 
-def train_test_split(df: DataFrame, key: str | Sequence[str], test_size: float = 0.2, seed: int = 42):
-    """(train, test) DataFrames; unstratified, deterministic per key."""
-    flagged = with_test_flag(df, key, test_size, seed, "_is_test")
+def with_exact_test_flag(df: DataFrame, key: str | Sequence[str], test_size: float = 0.2, seed: int = 42,
+                         col: str = "is_test") -> DataFrame:
+    """Add a boolean ``is_test`` that holds for exactly ceil(n * test_size)
+    rows: those with the smallest (hash, key), ranked like folds are."""
+    keys = _keys(key)
+    require_columns(df, keys)
+    if not 0.0 < test_size < 1.0:
+        raise ValueError("test_size must be in (0, 1)")
+    ranked = _ranked(df.withColumn("_all", F.lit(0)), keys, "_all", seed)
+    n_test = math.ceil(round(df.count() * test_size, 9))
+    return ranked.withColumn(col, F.col("_rank") < n_test).drop("_all", "_rank")
+
+
+def train_test_split(df: DataFrame, key: str | Sequence[str], test_size: float = 0.2, seed: int = 42,
+                     exact: bool = False):
+    """(train, test) DataFrames; unstratified, deterministic per key.  With
+    ``exact`` the test side has exactly ceil(n * test_size) rows."""
+    flagged = (with_exact_test_flag if exact else with_test_flag)(df, key, test_size, seed, "_is_test")
     return flagged.where(~F.col("_is_test")).drop("_is_test"), flagged.where(F.col("_is_test")).drop("_is_test")
 
 
@@ -50,25 +67,29 @@ def kfold(df: DataFrame, key: str | Sequence[str], k: int = 5, seed: int = 42, c
     return df.withColumn(col, (key_hash(keys, seed) % k).cast("int"))
 
 
+def _ranked(df: DataFrame, keys: list[str], label: str, seed: int) -> DataFrame:
+    """Add ``_rank``: place of the row among the rows of its class (a null
+    label is a class), by (hash, key).  The hash range is cut into sub-ranges,
+    their counts give each sub-range's offset, and rows are ranked inside their
+    sub-range only."""
+    ranges = STRATA_SUBRANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    h = df.withColumn("_h", key_hash(keys, seed)).withColumn("_s", (F.col("_h") * ranges / HASH_RANGE).cast("int"))
+    counts = h.groupBy(label, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    off = F.sum("_n").over(Window.partitionBy(label).orderBy("_s")) - F.col("_n")
+    counts = counts.select(F.col(label).alias("_cl"), F.col("_s").alias("_cs"), off.alias("_off"))
+    w = Window.partitionBy(label, "_s").orderBy("_h", *keys)
+    ranked = h.withColumn("_rn", F.row_number().over(w) - 1)
+    out = ranked.join(counts, F.col(label).eqNullSafe(F.col("_cl")) & (F.col("_s") == F.col("_cs")))
+    return out.withColumn("_rank", F.col("_off") + F.col("_rn")).drop("_h", "_s", "_rn", "_off", "_cl", "_cs")
+
+
 def stratified_kfold(df: DataFrame, key: str | Sequence[str], label: str, k: int = 5, seed: int = 42,
                      col: str = "fold") -> DataFrame:
-    """Add ``fold`` so that each class is spread evenly over the folds: rows of
-    a class are ranked by (hash, key) and dealt round-robin (rank % k).
-
-    The rank is computed without sorting a class in one task: the hash range
-    is cut into sub-ranges, the per-(class, sub-range) counts (bounded by
-    classes x sub-ranges) give each sub-range's offset, and rows are ranked
-    inside their sub-range only."""
+    """Add ``fold`` so that each class (null labels are one) is spread evenly
+    over the folds: rows of a class are ranked by (hash, key) and dealt
+    round-robin (rank % k)."""
     keys = _keys(key)
     require_columns(df, keys + [label])
     if k < 2:
         raise ValueError("k must be >= 2")
-    h = df.withColumn("_h", key_hash(keys, seed)).withColumn(
-        "_s", (F.col("_h") * STRATA_SUBRANGES / HASH_RANGE).cast("int")
-    )
-    counts = h.groupBy(label, "_s").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_off", F.sum("_n").over(Window.partitionBy(label).orderBy("_s")) - F.col("_n"))
-    w = Window.partitionBy(label, "_s").orderBy("_h", *keys)
-    ranked = h.withColumn("_rn", F.row_number().over(w) - 1)
-    out = ranked.join(counts.select(label, "_s", "_off"), [label, "_s"], "inner")
-    return out.withColumn(col, ((F.col("_off") + F.col("_rn")) % k).cast("int")).drop("_h", "_s", "_rn", "_off")
+    return _ranked(df, keys, label, seed).withColumn(col, (F.col("_rank") % k).cast("int")).drop("_rank")

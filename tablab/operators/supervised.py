@@ -15,8 +15,15 @@ Parameter mapping to the usual single-machine defaults:
 * linear SVM with C: ``regParam = 1 / (C n)``; one-vs-rest beyond 2 classes;
 * rbf kernels use random Fourier features (gamma = 1 / (d var(X))) followed
   by the linear model; poly uses a degree-3 polynomial expansion;
-* forests: Spark trees cannot be unlimited in depth; ``max_depth=None``
-  means ``DEFAULT_MAX_DEPTH``.
+* SVM class probabilities: a logistic fit on the margins of the training rows;
+* forests: Spark trees end at depth 30, which ``max_depth=None`` means;
+  Spark bounds the rows of a leaf, not of a node to split, so
+  ``min_samples_split`` s becomes at least ceil(s / 2) rows on either side of a
+  split (a node of fewer than s rows may then never split).
+
+Classification targets of any type are indexed by their distinct values in
+ascending order; predictions, confusion matrices and ROC curves carry the
+values again.
 """
 
 from __future__ import annotations
@@ -44,14 +51,12 @@ from pyspark.sql import types as T
 
 from tablab.functions.kinds import is_numeric_type, require_columns
 from tablab.functions.long import q
-from tablab.functions.parallel import spread
 from tablab.functions.small import one_row
 from tablab.operators import metrics as M
 from tablab.operators import profile as P
 from tablab.operators import split as S
 from tablab.operators import transform as X
 
-DEFAULT_MAX_DEPTH = 10
 MAX_SPARK_DEPTH = 30
 RFF_COMPONENTS = 256
 
@@ -91,8 +96,8 @@ def prepare_xy(
 ) -> Prepared:
     """Select features + target (default features: every column but the
     target), drop rows with a null in any of them, label-encode text features
-    and -- for classification -- a text target.  A single array column is
-    accepted as the feature vector."""
+    and -- for classification -- the target (``label`` is its class's index).
+    A single array column is accepted as the feature vector."""
     require_columns(df, [target])
     feats = [c for c in df.columns if c != target] if features is None else list(features)
     key = list(key) if key else []
@@ -109,15 +114,15 @@ def prepare_xy(
                 codes[c] = X.fit_label_encode(data, c)
                 data = X.apply_label_encode(data, c, codes[c])
     class_codes = None
-    if task == "classification" and not is_numeric_type(data.schema[target].dataType):
-        class_codes = X.fit_label_encode(data, target)
+    if task == "classification":
+        class_codes = X.fit_classes(data, target)
         data = X.apply_label_encode(data, target, class_codes)
     elif task == "regression" and not is_numeric_type(data.schema[target].dataType):
         raise ValueError(f"regression target {target!r} is not numeric")
     data = data.withColumn("label", q(target).cast("double"))
     if target != "label":
         data = data.drop(target)
-    return Prepared(data, feats, target, task, key or feats + [target], codes, class_codes)
+    return Prepared(data, feats, target, task, key or feats + ["label"], codes, class_codes)
 
 
 # --------------------------------------------------------------- M3
@@ -208,7 +213,7 @@ class ModelSpec:
 def _depth(params: dict) -> int:
     d = params.get("max_depth")
     if d is None:
-        return DEFAULT_MAX_DEPTH
+        return MAX_SPARK_DEPTH
     if not 1 <= d <= MAX_SPARK_DEPTH:
         raise ValueError(f"max_depth must be in 1..{MAX_SPARK_DEPTH}")
     return int(d)
@@ -222,7 +227,7 @@ def build_estimator(spec: ModelSpec, n_train: int, n_classes: int = 2, label_sd:
         if spec.name == "random_forest":
             return [RandomForestClassifier(
                 numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p),
-                minInstancesPerNode=max(1, int(p.get("min_samples_split", 2)) // 2),
+                minInstancesPerNode=-(-int(p.get("min_samples_split", 2)) // 2),
                 featureSubsetStrategy="sqrt", seed=seed, maxBins=32,
                 maxMemoryInMB=1024, cacheNodeIds=True)]
         if spec.name == "logistic":
@@ -231,7 +236,7 @@ def build_estimator(spec: ModelSpec, n_train: int, n_classes: int = 2, label_sd:
                                        maxIter=int(p.get("max_iter", 1000)), tol=1e-8)]
         if spec.name == "svm":
             c = float(p.get("C", 1.0))
-            svc = LinearSVC(regParam=1.0 / (c * n_train), standardization=False, maxIter=100)
+            svc = LinearSVC(regParam=1.0 / (c * n_train), standardization=False, maxIter=int(p.get("max_iter", 100)))
             # one binary SVM per class, trained concurrently (each is a distributed job)
             est = svc if n_classes <= 2 else OneVsRest(classifier=svc, parallelism=min(int(n_classes), 8))
             if p.get("kernel", "rbf") == "poly":
@@ -242,7 +247,7 @@ def build_estimator(spec: ModelSpec, n_train: int, n_classes: int = 2, label_sd:
     if spec.name == "random_forest":
         return [RandomForestRegressor(
             numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p),
-            minInstancesPerNode=max(1, int(p.get("min_samples_split", 2)) // 2),
+            minInstancesPerNode=-(-int(p.get("min_samples_split", 2)) // 2),
             featureSubsetStrategy="all", seed=seed, maxBins=32,
             maxMemoryInMB=1024, cacheNodeIds=True)]
     if spec.name == "linear":
@@ -264,6 +269,8 @@ class FittedModel:
     rff: dict | None
     ml: PipelineModel | None
     svr: dict | None = None
+    platt: list | None = None  # per class (slope, intercept) on the SVM's margin
+    knn: dict | None = None  # train (vectors), key, k, classes
 
     def vectors(self, df: DataFrame) -> DataFrame:
         out = _FeatureVector(self.features, self.scale_params).transform(df)
@@ -275,13 +282,47 @@ class FittedModel:
             from tablab.operators.svr import predict_linear
 
             return predict_linear(v, self.svr)
-        return self.ml.transform(v)
+        if self.knn is not None:
+            from tablab.operators.neighbors import knn_predict
+
+            return knn_predict(self.knn["train"], v, self.knn["key"], self.knn["k"], self.knn["classes"])
+        out = self.ml.transform(v)
+        return _with_platt(out, self.platt) if self.platt else out
 
     @property
     def last_stage(self):
         return self.ml.stages[-1] if self.ml is not None else None
 
 
+def _margin(i: int, n: int):
+    """Margin of class i: of two classes the raw prediction of the second, its
+    negative for the first; else the one-vs-rest margin."""
+    raw = vector_to_array("rawPrediction")
+    return F.element_at(raw, i + 1) if n != 2 else F.element_at(raw, 2) * (1.0 if i else -1.0)
+
+
+def _fit_platt(scored: DataFrame, n_classes: int) -> list:
+    """(slope, intercept) per class of the logistic fit of membership on the
+    margin, over the training rows; two classes share one fit."""
+    fits = {}
+    for i in range(n_classes):
+        if n_classes == 2 and i == 0:
+            continue
+        rows = scored.select(F.array(_margin(i, n_classes)).alias("m"), (F.col("label") == i).cast("double").alias("label"))
+        lr = LogisticRegression(featuresCol="v").fit(rows.select(array_to_vector("m").alias("v"), "label"))
+        fits[i] = [float(lr.coefficients[0]), float(lr.intercept)]
+    return [fits.get(0) or [fits[1][0], -fits[1][1]], *[fits[i] for i in range(1, n_classes)]]
+
+
+def _with_platt(scored: DataFrame, platt: list) -> DataFrame:
+    """Add ``probability``: the logistic of each class's margin, summing to 1."""
+    n = len(platt)
+    p = F.array(*[1.0 / (1.0 + F.exp(-(F.lit(a) * _margin(i, n) + F.lit(b)))) for i, (a, b) in enumerate(platt)])
+    scored = scored.withColumn("_p", p)
+    total = F.aggregate("_p", F.lit(0.0), lambda acc, x: acc + x)
+    return scored.withColumn("probability", F.transform("_p", lambda x: x / total)).drop("_p")
+
+
 def _fit_model(prep: Prepared, spec: ModelSpec, train: DataFrame, normalize: bool, seed: int) -> FittedModel:
     scale_params = fit_standard(prep, train) if normalize else None
     base = _FeatureVector(prep.features, scale_params).transform(train).select("features", "label")
@@ -290,7 +331,7 @@ def _fit_model(prep: Prepared, spec: ModelSpec, train: DataFrame, normalize: boo
     n, dim = max(1, stats["n"]), max(1, stats["d"] or 1)
     kernelized = (spec.name == "svm" and spec.params.get("kernel", "rbf") == "rbf") or spec.name == "svr"
     rff = rff_params(dim, rbf_gamma(base, dim), seed=seed) if kernelized else None
-    vec = spread(apply_rff(base, rff) if rff else base).cache()
+    vec = (apply_rff(base, rff) if rff else base).cache()
     try:
         if spec.name == "svr":
             from tablab.operators.svr import fit_linear_svr
@@ -298,7 +339,8 @@ def _fit_model(prep: Prepared, spec: ModelSpec, train: DataFrame, normalize: boo
             w = fit_linear_svr(vec, C=float(spec.params.get("C", 1.0)), epsilon=float(spec.params.get("epsilon", 0.1)))
             return FittedModel(prep.features, scale_params, rff, None, w)
         ml = Pipeline(stages=build_estimator(spec, n, stats["k"], stats["sd"], seed)).fit(vec)
-        return FittedModel(prep.features, scale_params, rff, ml)
+        platt = _fit_platt(ml.transform(vec), int(stats["k"])) if spec.name == "svm" else None
+        return FittedModel(prep.features, scale_params, rff, ml, platt=platt)
     finally:
         vec.unpersist()
 
@@ -343,15 +385,31 @@ def train_model(
     if spec.task == "regression" and model not in REGRESSORS:
         raise ValueError(f"regression models: {REGRESSORS}")
     train, test = S.train_test_split(prep.df, prep.key, test_size, seed)
-    if model == "knn":
-        from tablab.operators.neighbors import knn_predict
+    fitted = _fit_knn(prep, train, normalize, params) if model == "knn" else _fit_model(prep, spec, train, normalize, seed)
+    return TrainResult(fitted, prep, spec, train, test, with_class_names(fitted.transform(test), prep.class_codes))
+
 
-        scale_params = fit_standard(prep, train) if normalize else None
-        fm = FittedModel(prep.features, scale_params, None, None)
-        preds = knn_predict(fm.vectors(train), fm.vectors(test), prep.key, k=int(params.get("n_neighbors", 5)))
-        return TrainResult(fm, prep, spec, train, test, preds)
-    fitted = _fit_model(prep, spec, train, normalize, seed)
-    return TrainResult(fitted, prep, spec, train, test, fitted.transform(test))
+def _fit_knn(prep: Prepared, train: DataFrame, normalize: bool, params: dict) -> FittedModel:
+    fm = FittedModel(prep.features, fit_standard(prep, train) if normalize else None, None, None)
+    classes = [float(i) for i in range(len(prep.classes or []))]
+    rows = fm.vectors(train).select(*dict.fromkeys([*prep.key, "features", "label"]))
+    fm.knn = {"train": rows, "key": prep.key, "k": int(params.get("n_neighbors", 5)), "classes": classes}
+    return fm
+
+
+def with_class_names(pred: DataFrame, class_codes: dict | None) -> DataFrame:
+    """Add ``actual`` and ``predicted``: the target's own values of the label
+    and the prediction (classification only)."""
+    if class_codes is None or "label" not in pred.columns:
+        return pred
+    names = F.array(*[F.lit(c) for c in class_codes["classes"]])
+    value = lambda c: F.get(names, F.col(c).cast("int")).cast(class_codes.get("type", "string"))
+    return pred.withColumn("actual", value("label")).withColumn("predicted", value("prediction"))
+
+
+def confusion(result: TrainResult) -> DataFrame:
+    """(actual, predicted, n) over the test rows, in the target's own values."""
+    return M.confusion_matrix(result.predictions, label="actual", prediction="predicted")
 
 
 # --------------------------------------------------------------- M13
@@ -369,22 +427,19 @@ def cross_validate(prep: Prepared, model: str, k: int = 5, seed: int = 42, **par
         folded = S.kfold(prep.df, prep.key, k, seed)
     folded = folded.cache()
     scores = []
-    for f in range(k):
-        tr = folded.where(F.col("fold") != f).drop("fold")
-        te = folded.where(F.col("fold") == f).drop("fold")
-        if model == "knn":
-            from tablab.operators.neighbors import knn_predict
-
-            fm = FittedModel(prep.features, None, None, None)
-            pred = knn_predict(fm.vectors(tr), fm.vectors(te), prep.key, k=int(params.get("n_neighbors", 5)))
-        else:
-            pred = _fit_model(prep, spec, tr, normalize=False, seed=seed).transform(te)
-        if prep.task == "classification":
-            s = one_row(M.classification_metrics(pred))["accuracy"]
-        else:
-            s = one_row(M.regression_metrics(pred))["r2"]
-        scores.append((f, float(s) if s is not None else None))
-    folded.unpersist()
+    try:
+        for f in range(k):
+            tr = folded.where(F.col("fold") != f).drop("fold")
+            te = folded.where(F.col("fold") == f).drop("fold")
+            fit = _fit_knn(prep, tr, False, params) if model == "knn" else _fit_model(prep, spec, tr, normalize=False, seed=seed)
+            pred = fit.transform(te)
+            if prep.task == "classification":
+                s = one_row(M.classification_metrics(pred))["accuracy"]
+            else:
+                s = one_row(M.regression_metrics(pred))["r2"]
+            scores.append((f, float(s) if s is not None else None))
+    finally:
+        folded.unpersist()
     return prep.df.sparkSession.createDataFrame(scores, "fold int, score double")
 
 
@@ -420,20 +475,25 @@ def feature_importance(result: TrainResult) -> DataFrame:
 
 def class_scores(result: TrainResult) -> DataFrame:
     """Long (row key..., label, cls, score) for ROC curves: the probability
-    (or margin) of each class."""
+    (or margin) of each class, ``cls`` being its index."""
     pred = result.predictions
     col = "probability" if "probability" in pred.columns else "rawPrediction"
-    arr = vector_to_array(col)
-    return pred.select(*result.prepared.key, "label", F.posexplode(arr).alias("cls", "score")).withColumn(
-        "cls", F.col("cls").cast("double")
-    )
+    arr = F.col(col) if isinstance(pred.schema[col].dataType, T.ArrayType) else vector_to_array(col)
+    key = [k for k in result.prepared.key if k != "label"]
+    return pred.select(*key, "label", F.posexplode(arr).alias("cls", "score")).withColumn("cls", F.col("cls").cast("double"))
 
 
 def roc_curves(result: TrainResult) -> DataFrame:
-    """Binary: positive-class curve; multiclass: one-vs-rest per class."""
+    """Binary: the curve of the positive (second) class; multiclass:
+    one-vs-rest per class.  ``class_value`` is the target's own value."""
     s = class_scores(result)
+    classes = result.prepared.classes or []
+    if len(classes) == 2:
+        s = s.where(F.col("cls") == 1.0)
     s = s.withColumn("is_pos", (F.col("label") == F.col("cls")).cast("int"))
-    return M.roc_curve(s, label="is_pos", score="score", positive=1, keys=["cls"])
+    curve = M.roc_curve(s, label="is_pos", score="score", positive=1, keys=["cls"])
+    names = F.array(*[F.lit(c) for c in classes]).cast("array<string>")
+    return curve.withColumn("class_value", F.get(names, F.col("cls").cast("int")))
 
 
 def save_model(result: TrainResult, path: str) -> None:
@@ -443,6 +503,8 @@ def save_model(result: TrainResult, path: str) -> None:
     fm = result.model
     if fm is not None and fm.ml is not None:
         fm.ml.write().overwrite().save(f"{path}/ml")
+    if fm is not None and fm.knn is not None:
+        fm.knn["train"].write.mode("overwrite").parquet(f"{path}/train")
     meta = {
         "features": result.prepared.features,
         "target": result.prepared.target,
@@ -453,6 +515,8 @@ def save_model(result: TrainResult, path: str) -> None:
         "scale": fm.scale_params if fm else None,
         "rff": fm.rff if fm else None,
         "svr": fm.svr if fm else None,
+        "platt": fm.platt if fm else None,
+        "knn": {k: v for k, v in fm.knn.items() if k != "train"} if fm and fm.knn else None,
         "spec": {"name": result.spec.name, "params": result.spec.params},
         "has_ml": bool(fm is not None and fm.ml is not None),
     }
@@ -464,7 +528,8 @@ def load_model(spark, path: str) -> tuple[FittedModel, dict]:
     """(fitted model, metadata); ``model.transform(prepared_rows)`` predicts."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     ml = PipelineModel.load(f"{path}/ml") if meta["has_ml"] else None
-    return FittedModel(meta["features"], meta["scale"], meta["rff"], ml, meta["svr"]), meta
+    knn = meta.get("knn") and meta["knn"] | {"train": spark.read.parquet(f"{path}/train")}
+    return FittedModel(meta["features"], meta["scale"], meta["rff"], ml, meta["svr"], meta.get("platt"), knn), meta
 
 
 def encode_for_model(df: DataFrame, meta: dict) -> DataFrame:

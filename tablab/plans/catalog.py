@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablab.functions.parallel import spread
 from tablab.operators import profile as P
 from tablab.sources.tables import load
 
@@ -347,7 +348,7 @@ def detect_task_q(spark, sf):
 )
 def preview_q(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
-    return o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
+    return P.preview(o, 50, [F.desc("o_totalprice"), "o_orderkey"])
 
 
 # ================================================================ F5, C1-C4
@@ -886,7 +887,7 @@ register(
 
 def _model_q(table: str, features, target: str, model: str, key, task=None, **params):
     def run(spark, sf):
-        df = load(spark, sf, table)
+        df = spread(load(spark, sf, table))
         res = SV.train_model(df, features, target, model=model, task=task, key=key, **params)
         return res.predictions.select(*key, "label", F.col("prediction").cast("double").alias("prediction"))
 
@@ -894,8 +895,8 @@ def _model_q(table: str, features, target: str, model: str, key, task=None, **pa
 
 
 _LI_FEATS = ["l_quantity", "l_discount", "l_tax"]
-register("rf_classify")(_model_q("embeddings", ["embedding"], "label", "random_forest", ["vec_id"]))
-register("rf_regress")(_model_q("lineitem", _LI_FEATS, "l_extendedprice", "random_forest", _LI_KEY, "regression"))
+register("rf_classify")(_model_q("embeddings", ["embedding"], "label", "random_forest", ["vec_id"], max_depth=10))
+register("rf_regress")(_model_q("lineitem", _LI_FEATS, "l_extendedprice", "random_forest", _LI_KEY, "regression", max_depth=10))
 register("logistic")(_model_q("embeddings", ["embedding"], "label", "logistic", ["vec_id"]))
 register("svm_linear")(_model_q("embeddings", ["embedding"], "label", "svm", ["vec_id"], kernel="linear"))
 register("svm_rbf")(_model_q("embeddings", ["embedding"], "label", "svm", ["vec_id"], kernel="rbf"))
@@ -913,7 +914,7 @@ def cross_validate_q(spark, sf):
 @register("feature_importance")
 def feature_importance_q(spark, sf):
     li = load(spark, sf, "lineitem")
-    res = SV.train_model(li, _LI_FEATS, "l_extendedprice", model="random_forest", task="regression", key=_LI_KEY)
+    res = SV.train_model(li, _LI_FEATS, "l_extendedprice", model="random_forest", task="regression", key=_LI_KEY, max_depth=10)
     return SV.feature_importance(res)
 
 
@@ -924,7 +925,10 @@ def roc_multiclass_q(spark, sf):
 
 
 # ================================================================ U1-U11
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
 from tablab.operators import cluster as U  # noqa: E402
+from tablab.operators.cluster import Points  # noqa: E402
 
 _EMB_DIST = """list_reduce(list_transform(range(1, len({a}) + 1),
                    lambda i: ({a}[i]::DOUBLE - {b}[i]::DOUBLE) * ({a}[i]::DOUBLE - {b}[i]::DOUBLE)), lambda x, y: x + y)"""
@@ -1029,20 +1033,20 @@ _CLU_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @register("kmeans")
 def kmeans_q(spark, sf):
-    pts = U.prepare_points(load(spark, sf, "lineitem"), _CLU_FEATS, keep=_LI_KEY)
+    pts = U.prepare_points(spread(load(spark, sf, "lineitem")), _CLU_FEATS, keep=_LI_KEY)
     res = U.kmeans(pts, 3)
     return U.cluster_display(res.assign(pts.df)).select(*_LI_KEY, *_CLU_FEATS, "cluster", "cluster_label")
 
 
 @register("elbow")
 def elbow_q(spark, sf):
-    pts = U.prepare_points(load(spark, sf, "lineitem"), _CLU_FEATS)
+    pts = U.prepare_points(spread(load(spark, sf, "lineitem")), _CLU_FEATS)
     return U.elbow(pts)
 
 
 @register("pca_2d")
 def pca_2d_q(spark, sf):
-    pts = U.prepare_points(load(spark, sf, "lineitem"), _CLU_FEATS, keep=_LI_KEY + ["l_returnflag"])
+    pts = U.prepare_points(spread(load(spark, sf, "lineitem")), _CLU_FEATS, keep=_LI_KEY + ["l_returnflag"])
     return U.pca_2d(pts, keep=_LI_KEY + ["l_returnflag"])
 
 
@@ -1109,3 +1113,221 @@ def csv_roundtrip_q(spark, sf):
     return back.select(
         F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey")
     )
+
+
+# ================================================================ any data: repeated rows, nulls, odd files, text targets
+@register(
+    "knn_duplicate_keys",
+    f"""WITH {_EMB_SPLIT},
+        d AS (SELECT te.vec_id AS qid, te.label AS qlabel, tr.vec_id AS tid, tr.label AS tlabel,
+                     {_EMB_DIST.format(a='te.embedding', b='tr.embedding')} AS dist FROM te, tr),
+        nn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM d),
+        v AS (SELECT qid, qlabel, tlabel, count(*) AS c FROM nn WHERE rn <= 5 GROUP BY qid, qlabel, tlabel),
+        best AS (SELECT qid, qlabel, tlabel, row_number() OVER (PARTITION BY qid ORDER BY c DESC, tlabel) AS r FROM v)
+        SELECT qid % 7 AS vec_id, qlabel AS label, tlabel AS prediction FROM best WHERE r = 1""",
+)
+def knn_duplicate_keys_q(spark, sf):
+    """Query rows that share keys are answered one by one."""
+    train, test = S.train_test_split(load(spark, sf, "embeddings"), "vec_id", 0.2, 42)
+    test = test.select((F.col("vec_id") % 7).alias("vec_id"), "embedding", "label")
+    return NB.knn_classify(train, test, "vec_id", "embedding", "label", 5, cell_target=50, query_target=20).select(
+        "vec_id", "label", "prediction"
+    )
+
+
+@register(
+    "kmeans_repeated_rows",
+    """SELECT l_orderkey, l_linenumber, CAST(l_linenumber - (SELECT min(l_linenumber) FROM lineitem) AS INTEGER) AS cluster,
+              0.0::DOUBLE AS inertia FROM lineitem""",
+)
+def kmeans_repeated_rows_q(spark, sf):
+    """As many clusters as distinct points: each point is its own centre."""
+    pts = U.prepare_points(spread(load(spark, sf, "lineitem")), ["l_linenumber"], normalize=False, keep=["l_orderkey"])
+    k = pts.df.select("l_linenumber").distinct().count()
+    res = U.kmeans(pts, k)
+    return res.assign(pts.df).select("l_orderkey", "l_linenumber", "cluster", F.round(F.lit(res.inertia), 6).alias("inertia"))
+
+
+@register(
+    "csv_late_encoding",
+    """SELECT c_custkey, CASE WHEN c_custkey = (SELECT max(c_custkey) FROM customer) THEN 'café "' || chr(10) || '" ' || c_name
+                              ELSE c_name END AS c_name, c_acctbal FROM customer""",
+)
+def csv_late_encoding_q(spark, sf):
+    """Latin-1 letters and a quoted line break that only the last line has."""
+    path = scratch_path(spark, "csv-late")
+    c = load(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    last = F.col("c_custkey") == F.lit(c.agg(F.max("c_custkey")).first()[0])
+    odd = c.withColumn("c_name", F.when(last, F.concat(F.lit('café "\n" '), "c_name")).otherwise(F.col("c_name")))
+    # one sorted file; the writer's encoding and doubled quotes are what an exporting program would use
+    odd.repartitionByRange(1, "c_custkey").sortWithinPartitions("c_custkey").write.option("header", True).option(
+        "encoding", "ISO-8859-1").option("escape", '"').csv(path)
+    return read_delimited(spark, path)
+
+
+@register(
+    "missing_words",
+    """SELECT c_custkey, CASE WHEN c_custkey % 4 IN (0, 1, 2) THEN NULL ELSE c_nationkey END::BIGINT AS code,
+              CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer""",
+)
+def missing_words_q(spark, sf):
+    from tablab.sources.delimited import infer_numeric, normalize_missing
+
+    k = F.col("c_custkey") % 4
+    code = F.when(k == 0, "NA").when(k == 1, " ? ").when(k == 2, "NaN").otherwise(F.col("c_nationkey").cast("string"))
+    c = load(spark, sf, "customer").select("c_custkey", code.alias("code"),
+                                           F.when(k == 0, "null").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    return infer_numeric(normalize_missing(c))
+
+
+@register(
+    "stratified_kfold_nulls",
+    f"""WITH l AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE quality END AS quality FROM labels)
+        SELECT doc_id, quality,
+               CAST((row_number() OVER (PARTITION BY quality ORDER BY {_h('doc_id')}, doc_id) - 1) % 5 AS INTEGER) AS fold FROM l""",
+)
+def stratified_kfold_nulls_q(spark, sf):
+    lab = load(spark, sf, "labels").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("quality")).alias("quality"))
+    return S.stratified_kfold(lab, "doc_id", "quality", 5, 42)
+
+
+@register(
+    "exact_split",
+    f"""SELECT o_orderkey, row_number() OVER (ORDER BY {_h('o_orderkey')}, o_orderkey) <=
+               ceil((SELECT count(*) FROM orders) * 0.3) AS is_test FROM orders""",
+)
+def exact_split_q(spark, sf):
+    return S.with_exact_test_flag(load(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.3, 42)
+
+
+_KNN_TEXT = f"""{_EMB_SPLIT},
+        d AS (SELECT te.vec_id AS qid, te.label AS qlabel, tr.vec_id AS tid, tr.label AS tlabel,
+                     {_EMB_DIST.format(a='te.embedding', b='tr.embedding')} AS dist FROM te, tr),
+        nn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM d),
+        v AS (SELECT qid, qlabel, 'class ' || tlabel AS tl, count(*) AS c FROM nn WHERE rn <= 5 GROUP BY qid, qlabel, tlabel),
+        best AS (SELECT qid, 'class ' || qlabel AS a, tl AS p, row_number() OVER (PARTITION BY qid ORDER BY c DESC, tl) AS r FROM v)"""
+
+
+def _knn_text(spark, sf):
+    emb = load(spark, sf, "embeddings").select("vec_id", "embedding", F.concat(F.lit("class "), F.col("label").cast("string")).alias("cls"))
+    return SV.train_model(emb, ["embedding"], "cls", model="knn", normalize=False, key=["vec_id"])
+
+
+@register(
+    "confusion_matrix_text",
+    f"""WITH {_KNN_TEXT},
+        m AS (SELECT a, p, count(*) AS n FROM best WHERE r = 1 GROUP BY a, p),
+        c AS (SELECT a AS c FROM m UNION SELECT p FROM m)
+        SELECT x.c AS actual, y.c AS predicted, coalesce(m.n, 0)::BIGINT AS n
+        FROM c x CROSS JOIN c y LEFT JOIN m ON m.a = x.c AND m.p = y.c""",
+)
+def confusion_matrix_text_q(spark, sf):
+    return SV.confusion(_knn_text(spark, sf))
+
+
+@register(
+    "knn_vote_shares",
+    f"""WITH {_KNN_TEXT},
+        cls AS (SELECT DISTINCT 'class ' || label AS c FROM embeddings)
+        SELECT q.qid AS vec_id, q.a AS actual, cls.c AS class_value, round(coalesce(v.c, 0) / 5.0, 6)::DOUBLE AS score
+        FROM (SELECT DISTINCT qid, a FROM best) q CROSS JOIN cls LEFT JOIN v ON v.qid = q.qid AND v.tl = cls.c""",
+)
+def knn_vote_shares_q(spark, sf):
+    res = _knn_text(spark, sf)
+    names = F.array(*[F.lit(c) for c in res.prepared.classes])
+    shares = res.predictions.select("vec_id", "actual", F.posexplode("probability").alias("i", "score"))
+    return shares.select("vec_id", "actual", F.get(names, F.col("i")).alias("class_value"), F.round("score", 6).alias("score"))
+
+
+@register(
+    "cross_validate_one_feature",
+    f"""WITH f AS (SELECT l_extendedprice AS y, l_quantity AS x, CAST({_hk(_LI_KEY)} % 5 AS INTEGER) AS fold FROM lineitem),
+        k AS (SELECT CAST(range AS INTEGER) AS fold FROM range(5)),
+        m AS (SELECT k.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM k, f WHERE f.fold <> k.fold GROUP BY k.fold)
+        SELECT m.fold, round(1 - sum((y - a - b * x) * (y - a - b * x)) / (var_pop(y) * count(*)), 6) AS score
+        FROM m JOIN f ON f.fold = m.fold GROUP BY m.fold""",
+)
+def cross_validate_one_feature_q(spark, sf):
+    prep = SV.prepare_xy(load(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice", _LI_KEY, "regression")
+    return rounded(SV.cross_validate(prep, "linear", k=5))
+
+
+@register(
+    "pca_two_features",
+    """WITH s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS mp,
+                        stddev_pop(l_extendedprice) AS sp FROM lineitem),
+            z AS (SELECT l_orderkey, l_linenumber, (l_quantity - mq) / sq AS a, (l_extendedprice - mp) / sp AS b FROM lineitem, s),
+            r AS (SELECT corr(a, b) AS r FROM z)
+       SELECT l_orderkey, l_linenumber, round(CASE WHEN r > 0 THEN a + b ELSE a - b END / sqrt(2), 4) AS PC1,
+              round(CASE WHEN r > 0 THEN a - b ELSE a + b END / sqrt(2), 4) AS PC2_abs FROM z, r""",
+)
+def pca_two_features_q(spark, sf):
+    """Two scaled features: the components are their sum and difference.  Both loadings of a component are equal in size,
+    so a component's sign is fixed here by that of the first feature's loading."""
+    pts = U.prepare_points(load(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], keep=_LI_KEY)
+    z = [F.element_at(vector_to_array("features"), i + 1) for i in range(2)]
+    out = U.pca_2d(Points(pts.df.select(*_LI_KEY, "features", z[0].alias("_a"), z[1].alias("_b")), pts.features, pts.scale),
+                   keep=[*_LI_KEY, "_a", "_b"])
+    sign = out.agg(F.signum(F.covar_pop("PC1", "_a")).alias("s1"), F.signum(F.covar_pop("PC2", "_a")).alias("s2")).first()
+    return out.select(*_LI_KEY, F.round(F.col("PC1") * F.lit(sign["s1"]), 4).alias("PC1"),
+                      F.round(F.col("PC2") * F.lit(sign["s2"]), 4).alias("PC2_abs"))
+
+
+@register(
+    "bar_agg_facets",
+    """SELECT o_orderpriority, o_orderstatus, year(o_orderdate)::INTEGER AS y, round(max(o_totalprice), 6) AS o_totalprice
+       FROM orders GROUP BY ALL""",
+)
+def bar_agg_facets_q(spark, sf):
+    o = load(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
+    return rounded(G.bar_agg_data(o, "o_orderpriority", "o_totalprice", "max", color="o_orderstatus", facet_col="y"))
+
+
+@register(
+    "area_facets",
+    """WITH g AS (SELECT o_orderpriority, o_orderstatus, year(o_orderdate)::INTEGER AS y, sum(o_totalprice) AS v FROM orders GROUP BY ALL)
+       SELECT y, o_orderstatus, o_orderpriority, round(v, 4) AS o_totalprice,
+              round(sum(v) OVER (PARTITION BY y, o_orderpriority ORDER BY o_orderstatus), 4) AS stack_top FROM g""",
+)
+def area_facets_q(spark, sf):
+    o = load(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
+    return rounded(G.area_data(o, "y", "o_totalprice", color="o_orderstatus", facet_col="o_orderpriority"), 4)
+
+
+@register(
+    "histogram_by_color",
+    """WITH s AS (SELECT min(value) AS mn, max(value) AS mx FROM events),
+            b AS (SELECT event_type, CAST(least(floor((value - mn) / ((mx - mn) / 10)), 9) AS INTEGER) AS bin
+                  FROM events, s WHERE value IS NOT NULL)
+       SELECT bin, event_type, round(mn + bin * ((mx - mn) / 10), 6) AS bin_start, round(mn + (bin + 1) * ((mx - mn) / 10), 6) AS bin_end,
+              count(*) AS count FROM b, s GROUP BY bin, event_type, mn, mx""",
+)
+def histogram_by_color_q(spark, sf):
+    return rounded(G.histogram_data(load(spark, sf, "events"), "value", bins=10, color="event_type"))
+
+
+@register("heatmap", _corr_sql())
+def heatmap_q(spark, sf):
+    return rounded(G.heatmap_data(lineitem_nulls(spark, sf).select(*_NUM)))
+
+
+@register("cast_float", "SELECT c_custkey, c_nationkey::DOUBLE AS c_nationkey FROM customer")
+def cast_float_q(spark, sf):
+    return X.cast_column(load(spark, sf, "customer"), "c_nationkey", "float").select("c_custkey", "c_nationkey")
+
+
+@register("cast_bool_text", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END <> '' AS c_name FROM customer")
+def cast_bool_text_q(spark, sf):
+    c = load(spark, sf, "customer").withColumn("c_name", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name")))
+    return X.cast_column(c, "c_name", "bool").select("c_custkey", "c_name")
+
+
+@register(
+    "labelled_export",
+    f"""WITH RECURSIVE {_DBSCAN_CTE}
+        SELECT p_partkey, CASE WHEN cluster = -1 THEN 'noise' ELSE CAST(cluster + 1 AS VARCHAR) END AS "Cluster" FROM lab""",
+)
+def labelled_export_q(spark, sf):
+    path = scratch_path(spark, "labelled")
+    U.export_labelled(_dbscan_part(spark, sf), path, ["p_partkey"])
+    return read_delimited(spark, path, as_string=True).select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "Cluster")
