@@ -35,18 +35,3 @@ def lit_array(values: Sequence[float]) -> Column:
 
 def lit_matrix(rows: Sequence[Sequence[float]]) -> Column:
     return F.expr("array(" + ", ".join(array_sql(r) for r in rows) + ")")
-
-
-def bucket_sql(v: str, splits: Sequence[float], lo: int = 0, hi: int | None = None) -> str:
-    """SQL for the number of sorted split points strictly below ``v``
-    (balanced CASE tree, ~log2(len(splits)) comparisons)."""
-    if hi is None:
-        hi = len(splits)
-    if lo >= hi:
-        return str(lo)
-    mid = (lo + hi) // 2
-    return f"CASE WHEN {v} > {dbl(splits[mid])} THEN {bucket_sql(v, splits, mid + 1, hi)} ELSE {bucket_sql(v, splits, lo, mid)} END"
-
-
-def sql_str(s: str) -> str:
-    return "'" + str(s).replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -25,7 +25,8 @@ from tablab.functions.kinds import (
 )
 from tablab.functions.long import NAME, VALUE, melt, q, schema_frame, type_branches
 from tablab.functions.small import collect_bounded, one_row
-from tablab.operators.quantiles import mode_long, quantiles_bounded, quantiles_long, value_counts_long
+from tablab.operators.quantiles import column_quantiles as exact_column_quantiles
+from tablab.operators.quantiles import mode_long, quantiles_long, value_counts_long
 
 
 # ---------------------------------------------------------------- A1 shape
@@ -97,14 +98,13 @@ def describe_numeric(
     count, mean, std (ddof=1), min, percentiles (exact, linear), max."""
     cols = list(numeric_columns(df) if cols is None else cols)
     require_numeric(df, cols)
-    long = melt(df, cols, "double")
-    base = long.groupBy(NAME).agg(
-        F.count(VALUE).alias("count"),
-        F.avg(VALUE).alias("mean"),
-        F.stddev_samp(VALUE).alias("std"),
-        F.min(VALUE).alias("min"),
-        F.max(VALUE).alias("max"),
-    )
+    x = {c: q(c).cast("double") for c in cols}
+    facts = [
+        F.struct(F.lit(c).alias(NAME), F.count(x[c]).alias("count"), F.avg(x[c]).alias("mean"), F.stddev_samp(x[c]).alias("std"),
+                 F.min(x[c]).alias("min"), F.max(x[c]).alias("max"))
+        for c in cols
+    ]
+    base = df.agg(F.array(*facts).alias("_f")).select(F.inline("_f"))
     names = [pct_name(p) for p in percentiles]
     qs = quantiles_frame(df, cols, list(percentiles), names)
     out = schema_frame(df, cols).select(NAME, "position").join(F.broadcast(base), NAME, "left")
@@ -182,9 +182,7 @@ def describe_categorical(df: DataFrame, cols: Sequence[str] | None = None) -> Da
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact quantiles as driver-side constants (bounded: cols x probs)."""
     require_numeric(df, cols)
-    long = melt(df, list(cols), "double")
-    got = quantiles_bounded(long, NAME, VALUE, probs, max_keys=len(cols))
-    return {c: got.get(c, [None] * len(probs)) for c in cols}
+    return exact_column_quantiles(df, cols, probs)
 
 
 def quantiles_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:

@@ -1,22 +1,22 @@
-"""Exact quantiles (linear interpolation), mode and distinct counts, computed
-without pulling a whole group into one task.
+"""Exact quantiles (linear interpolation), mode and distinct counts by narrowing.
 
 Spark's own ``percentile``/``median``/``mode`` aggregates keep a value->count
 map per group and merge every partial map of a group in one task; for a
-continuous column of a 100 TB table that map is the whole column.  Here:
-
-1. ``groupBy(keys, value).count()`` collapses repeated values map-side (a hot
-   value becomes one row, so skewed values cost nothing downstream);
-2. a bounded-memory sketch (``percentile_approx``) of the distinct values per
-   key gives ``buckets - 1`` split points, so every bucket holds about
-   ``distinct / buckets`` values;
-3. per-bucket row counts (<= ``buckets`` rows per key) give each bucket's
-   first global rank via a small window;
-4. only the buckets that contain a wanted rank are sorted (window per
-   (key, bucket)), and the values at ranks floor(h) and ceil(h) with
-   h = (n - 1) p are interpolated: q = lo + (hi - lo) (h - floor(h)).
-
-All steps are shuffles/aggregates on keys; the result is exact.
+continuous column of a 100 TB table that map is the whole column.  Here a
+wanted rank is bracketed and the bracket narrowed:
+
+1. one pass: the row count and, from a bounded-memory sketch
+   (``percentile_approx``, whose rank error is at most 1 / accuracy), two values
+   that enclose each wanted rank;
+2. one pass: rows below the bracket are only counted, rows above it are
+   dropped, rows inside collapse to (value, count) before they are shuffled --
+   about four rows in ``accuracy`` and repeated values;
+3. the value at a rank is read off the running counts of the bracket.
+
+No pass shuffles the values of a column.  For whole columns step 2 repeats on a
+smaller bracket until few distinct values are left; for groups it runs once, and
+the running counts are windows over the brackets' values alone.  All results
+are exact.
 """
 
 from __future__ import annotations
@@ -27,8 +27,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+from tablab.functions.long import q
+from tablab.functions.small import collect_bounded, one_row
+
 SKETCH_ACCURACY = 10000
+#: Half width of a bracket as a share of the rows: twice the sketch's error.
+MARGIN = 2.0 / SKETCH_ACCURACY
+#: Distinct values of a column's bracket that end its narrowing.
+BRACKET_VALUES = 20_000
 
 
 def _maybe_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
@@ -53,67 +59,47 @@ def quantiles_long(
     value: str,
     probs: Sequence[float],
     bounded_keys: bool = True,
-    buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` per ``keys``.
 
     ``df`` has columns ``keys`` and ``value`` (numeric).  Returns
     ``(keys..., _pi, _p, q)`` where ``_pi`` indexes ``probs``.  Keys with no
-    non-null value produce no rows.  ``bounded_keys`` says the number of
-    distinct keys is bounded by the schema (e.g. a column-name key), which
-    allows broadcasting the per-key frames.
+    non-null value produce no rows; null keys are groups.  ``bounded_keys``
+    says the number of distinct keys is bounded by the schema (e.g. a
+    column-name key), which allows broadcasting the per-key frames; else the
+    join is left to the runtime size check, and a hot key to its skew split.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("quantiles_long needs at least one key column")
-    base = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    vc = value_counts_long(base, keys, "_v")
-    fracs = [i / buckets for i in range(1, buckets)]
-    stats = vc.groupBy(*keys).agg(
-        F.sum("_c").alias("_n"),
-        F.percentile_approx("_v", fracs, SKETCH_ACCURACY).alias("_splits"),
-    )
-    bucketed = vc.join(_maybe_broadcast(stats.select(*keys, "_splits"), bounded_keys), keys).select(
-        *keys, "_v", "_c", F.size(F.filter("_splits", lambda s: s < F.col("_v"))).alias("_b")
-    )
-    bstat = bucketed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-    bstat = bstat.withColumn(
-        "_start", F.sum("_bc").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_bc")
-    )
-    targets = (
-        stats.select(*keys, "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_pi", "_p"))
-        .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("_p"))
-        .withColumn("_lo", F.floor("_h"))
-        .withColumn("_hi", F.ceil("_h"))
-    )
-    ranks = (
-        targets.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_r"))
-        .distinct()
-        .join(bstat, keys)
-        .where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_bc")))
-        .select(*keys, "_b", "_r", "_start")
-    )
-    wanted = ranks.select(*keys, "_b").distinct()
-    cand = bucketed.join(_maybe_broadcast(wanted, bounded_keys), keys + ["_b"], "left_semi")
-    w = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cand = cand.withColumn("_cum", F.sum("_c").over(w))
-    hits = (
-        cand.join(_maybe_broadcast(ranks, bounded_keys), keys + ["_b"])
-        .where(
-            (F.col("_r") >= F.col("_start") + F.col("_cum") - F.col("_c"))
-            & (F.col("_r") < F.col("_start") + F.col("_cum"))
-        )
-        .select(*keys, "_r", "_v")
-    )
-    lo = hits.withColumnRenamed("_r", "_lo").withColumnRenamed("_v", "_vlo")
-    hi = hits.withColumnRenamed("_r", "_hi").withColumnRenamed("_v", "_vhi")
-    out = targets.join(lo, keys + ["_lo"]).join(hi, keys + ["_hi"])
-    return out.select(
-        *keys,
-        "_pi",
-        "_p",
-        (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.col("_lo"))).alias("q"),
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ends = [x for p in probs for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    stats = base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", ends, SKETCH_ACCURACY).alias("_e"),
     )
+    targets = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        # the end ranks lie within two rows of the margin's; tiny groups are bracketed whole
+        lo = F.when((F.col("_n") < SKETCH_ACCURACY) | F.lit(ends[2 * i] <= 0), F.col("_min")).otherwise(F.get("_e", F.lit(2 * i)))
+        hi = F.when((F.col("_n") < SKETCH_ACCURACY) | F.lit(ends[2 * i + 1] >= 1), F.col("_max")).otherwise(F.get("_e", F.lit(2 * i + 1)))
+        targets.append(F.struct(F.lit(i).alias("_pi"), F.lit(float(p)).alias("_p"), h.alias("_h"), lo.alias("_lo"), hi.alias("_hi")))
+    names = [f"_key{i}" for i in range(len(keys))]
+    stats = stats.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.array(*targets).alias("_t"))
+    same = F.lit(True)
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    rows = base.join(_maybe_broadcast(stats, bounded_keys), same)
+    # per target: null stands for every value below the bracket, values above it are gone
+    rows = rows.select(*keys, "_v", F.inline("_t")).where(F.col("_v") <= F.col("_hi"))
+    group = [*keys, "_pi", "_p", "_h"]
+    vc = rows.groupBy(*group, F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*group).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    vc = vc.withColumn("_end", F.sum("_c").over(order))
+    at = lambda rank: F.max(F.when((rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end")), F.col("_v")))
+    found = vc.groupBy(*group).agg(at(F.floor("_h")).alias("_a"), at(F.ceil("_h")).alias("_b"))
+    return found.select(*keys, "_pi", "_p", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias("q"))
 
 
 def quantiles_wide(
@@ -143,92 +129,80 @@ def mode_long(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def quantiles_bounded(
-    df: DataFrame,
-    key: str,
-    value: str,
-    probs: Sequence[float],
-    max_keys: int,
-    buckets: int = DEFAULT_BUCKETS,
-) -> dict:
-    """Eager variant of :func:`quantiles_long` for a key whose number of
-    values is bounded (a column-name key): the per-key totals, sketch split
-    points and per-bucket counts (keys x buckets rows) are collected, the
-    buckets holding the wanted ranks are found on the driver, and one final
-    pass sorts only those buckets.  Three small jobs over one cached
-    value-count frame.  Returns {key: [q per prob]} (None when no value)."""
-    from pyspark import StorageLevel
-
-    from tablab.functions.literals import bucket_sql, sql_str
-    from tablab.functions.small import collect_bounded
-
-    base = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
-    vc = value_counts_long(base, ["_k"], "_v").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fracs = [i / buckets for i in range(1, buckets)]
-        stats = collect_bounded(
-            vc.groupBy("_k").agg(F.sum("_c").alias("n"), F.percentile_approx("_v", fracs, SKETCH_ACCURACY).alias("s")),
-            max_keys,
-            "quantile keys",
-        )
-        out: dict = {}
-        if not stats:
-            return out
-        splits = {r["_k"]: [float(x) for x in r["s"]] for r in stats}
-        n_of = {r["_k"]: int(r["n"]) for r in stats}
-        bexpr = "CASE " + " ".join(f"WHEN _k = {sql_str(k)} THEN {bucket_sql('_v', sp)}" for k, sp in splits.items()) + " END"
-        bucketed = vc.withColumn("_b", F.expr(bexpr))
-        bcounts = collect_bounded(
-            bucketed.groupBy("_k", "_b").agg(F.sum("_c").alias("bc")), max_keys * buckets, "bucket counts"
-        )
-        starts: dict = {}
-        for k in splits:
-            rows = sorted((r["_b"], int(r["bc"])) for r in bcounts if r["_k"] == k)
-            acc = 0
-            for b, bc in rows:
-                starts[(k, b)] = (acc, bc)
-                acc += bc
-        wanted: dict = {}
-        for k, n in n_of.items():
-            for p in probs:
-                h = (n - 1) * float(p)
-                for r in {math.floor(h), math.ceil(h)}:
-                    for (kk, b), (st, bc) in starts.items():
-                        if kk == k and st <= r < st + bc:
-                            wanted.setdefault((k, b), set()).add(r - st)
-        if not wanted:
-            return out
-        cond = F.expr(" OR ".join(f"(_k = {sql_str(k)} AND _b = {b})" for k, b in wanted))
-        w = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cand = bucketed.where(cond).withColumn("_cum", F.sum("_c").over(w))
-        # keep only rows whose rank range contains a wanted local rank
-        hit_cond = F.expr(" OR ".join(
-            f"(_k = {sql_str(k)} AND _b = {b} AND _cum - _c <= {r} AND {r} < _cum)"
-            for (k, b), locs in wanted.items() for r in locs
-        ))
-        hits = collect_bounded(cand.where(hit_cond).select("_k", "_b", "_v", "_c", "_cum"), 4 * len(n_of) * len(probs) + 8,
-                               "quantile hits")
-        value_at: dict = {}
-        for r in hits:
-            st, _bc = starts[(r["_k"], r["_b"])]
-            lo_rank = st + int(r["_cum"]) - int(r["_c"])
-            hi_rank = st + int(r["_cum"])
-            value_at.setdefault(r["_k"], []).append((lo_rank, hi_rank, float(r["_v"])))
-
-        def at(k, rank):
-            for lo, hi, v in value_at.get(k, []):
-                if lo <= rank < hi:
-                    return v
-            raise RuntimeError("quantile rank not found")
-
-        for k, n in n_of.items():
-            res = []
-            for p in probs:
-                h = (n - 1) * float(p)
-                lo, hi = math.floor(h), math.ceil(h)
-                vlo, vhi = at(k, lo), at(k, hi)
-                res.append(vlo + (vhi - vlo) * (h - lo))
-            out[k] = res
-        return out
-    finally:
-        vc.unpersist()
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of whole columns as constants: {column: [q per prob]}
+    (None without a value).  Each step is one pass over the columns for all
+    columns and ranks together, with one row per task in its shuffle."""
+    x = {c: q(c).cast("double") for c in cols}
+    ends = [e for p in probs for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    first = one_row(df.agg(*[
+        F.struct(F.count(x[c]).alias("n"), F.min(x[c]).alias("min"), F.max(x[c]).alias("max"),
+                 F.percentile_approx(x[c], ends, SKETCH_ACCURACY).alias("e")).alias(f"c{i}")
+        for i, c in enumerate(cols)
+    ]))
+    # wanted: (column, rank) -> [low, high], both ends included
+    wanted: dict[tuple[str, int], list[float]] = {}
+    for i, c in enumerate(cols):
+        n = first[f"c{i}"]["n"]
+        for j, p in enumerate(probs if n else []):
+            low, high = first[f"c{i}"]["e"][2 * j], first[f"c{i}"]["e"][2 * j + 1]
+            for r in {math.floor((n - 1) * p), math.ceil((n - 1) * p)}:
+                low_end = first[f"c{i}"]["min"] if ends[2 * j] <= 0 or n < SKETCH_ACCURACY else low
+                high_end = first[f"c{i}"]["max"] if ends[2 * j + 1] >= 1 or n < SKETCH_ACCURACY else high
+                wanted.setdefault((c, r), [low_end, high_end])
+    below: dict[tuple[str, int], int] = {}
+    value: dict[tuple[str, int], float] = {}
+    todo = list(wanted)
+    while todo:
+        aggs = []
+        for k, (c, r) in enumerate(todo):
+            low, high = wanted[c, r]
+            inside = F.when((x[c] >= F.lit(low)) & (x[c] <= F.lit(high)), x[c])
+            aggs.append(F.struct(F.count_if(x[c] < F.lit(low)).alias("below"), F.count(inside).alias("n"),
+                                 F.approx_count_distinct(inside).alias("distinct"),
+                                 F.percentile_approx(inside, [i / 200 for i in range(201)], SKETCH_ACCURACY).alias("e")).alias(f"t{k}"))
+        row = one_row(df.agg(*aggs))
+        later = []
+        for k, t in enumerate(todo):
+            got, (low, high) = row[f"t{k}"], wanted[t]
+            below[t] = got["below"]
+            place = t[1] - got["below"]
+            if not 0 <= place < got["n"]:  # the sketch promises otherwise; widen rather than trust it
+                wanted[t] = [first[f"c{list(cols).index(t[0])}"]["min"], first[f"c{list(cols).index(t[0])}"]["max"]]
+                later.append(t)
+            elif low == high:
+                value[t] = low
+            elif got["distinct"] > BRACKET_VALUES:
+                step = place / max(1, got["n"] - 1) * 200
+                tighter = [got["e"][max(0, math.floor(step) - 1)], got["e"][min(200, math.ceil(step) + 1)]]
+                if tighter != [low, high]:
+                    wanted[t] = tighter
+                    later.append(t)
+        todo = later
+    left = [t for t in wanted if t not in value]
+    if left:
+        inside = [
+            F.when((x[c] >= F.lit(wanted[c, r][0])) & (x[c] <= F.lit(wanted[c, r][1])), F.struct(F.lit(k).alias("t"), x[c].alias("v")))
+            for k, (c, r) in enumerate(left)
+        ]
+        pairs = df.select(F.explode(F.array_compact(F.array(*inside))).alias("p")).groupBy("p.t", "p.v").agg(F.count(F.lit(1)).alias("n"))
+        rows = collect_bounded(pairs, 2 * BRACKET_VALUES * len(left), "values around the wanted ranks")
+        counts: dict[int, list] = {}
+        for r in rows:
+            counts.setdefault(r["t"], []).append((r["v"], r["n"]))
+        for k, t in enumerate(left):
+            end = below[t]
+            for v, n in sorted(counts[k]):
+                end += n
+                if t[1] < end:
+                    value[t] = v
+                    break
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(cols):
+        n = first[f"c{i}"]["n"]
+        out[c] = []
+        for p in probs:
+            h = (n - 1) * p
+            a, b = (value[c, math.floor(h)], value[c, math.ceil(h)]) if n else (None, None)
+            out[c].append(None if a is None else a + (b - a) * (h - math.floor(h)))
+    return out

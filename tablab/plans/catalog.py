@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -901,8 +901,48 @@ register("logistic")(_model_q("embeddings", ["embedding"], "label", "logistic",
 register("svm_linear")(_model_q("embeddings", ["embedding"], "label", "svm", ["vec_id"], kernel="linear"))
 register("svm_rbf")(_model_q("embeddings", ["embedding"], "label", "svm", ["vec_id"], kernel="rbf"))
 register("svr")(_model_q("lineitem", _LI_FEATS, "l_extendedprice", "svr", _LI_KEY, "regression"))
-register("knn_model")(_model_q("embeddings", ["embedding"], "label", "knn", ["vec_id"]))
-register("linear_regression")(_model_q("lineitem", _LI_FEATS, "l_extendedprice", "linear", _LI_KEY, "regression"))
+register(
+    "knn_model",
+    f"""WITH {_EMB_SPLIT},
+        st AS (SELECT i, avg(tr.embedding[i]::DOUBLE) AS m, stddev_pop(tr.embedding[i]::DOUBLE) AS s
+               FROM tr, (SELECT unnest(range(1, 65)) AS i) GROUP BY i),
+        sc AS (SELECT list(m ORDER BY i) AS m, list(CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY i) AS s FROM st),
+        z AS (SELECT vec_id, label, is_test,
+                     list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - sc.m[i]) / sc.s[i]) AS embedding FROM e, sc),
+        d AS (SELECT te.vec_id AS qid, te.label AS qlabel, tr.vec_id AS tid, tr.label AS tlabel,
+                     list_reduce(list_transform(range(1, 65), lambda i: (te.embedding[i] - tr.embedding[i])
+                         * (te.embedding[i] - tr.embedding[i])), lambda x, y: x + y) AS dist
+              FROM (SELECT * FROM z WHERE is_test) te, (SELECT * FROM z WHERE NOT is_test) tr),
+        nn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM d),
+        v AS (SELECT qid, qlabel, tlabel, count(*) AS c FROM nn WHERE rn <= 5 GROUP BY qid, qlabel, tlabel),
+        best AS (SELECT qid, qlabel, tlabel, row_number() OVER (PARTITION BY qid ORDER BY c DESC, tlabel) AS r FROM v)
+        SELECT qid AS vec_id, qlabel::DOUBLE AS label, tlabel::DOUBLE AS prediction FROM best WHERE r = 1""",
+)(_model_q("embeddings", ["embedding"], "label", "knn", ["vec_id"]))
+
+
+def _ols_sql() -> str:
+    """Normal equations of three features by Cramer's rule on centred moments."""
+    x, y = _LI_FEATS, "l_extendedprice"
+    c = {(i, j): f"covar_pop({x[i]}, {x[j]})" for i in range(3) for j in range(3)}
+    moments = ", ".join(f"{v} AS c{i}{j}" for (i, j), v in c.items()) + ", " + ", ".join(f"covar_pop({x[i]}, {y}) AS y{i}" for i in range(3))
+    means = ", ".join(f"avg({v}) AS m{i}" for i, v in enumerate(x)) + f", avg({y}) AS my"
+
+    def det(m):
+        (a, b, d), (e, f, g), (h, i, j) = m
+        return f"({a} * ({f} * {j} - {g} * {i}) - {b} * ({e} * {j} - {g} * {h}) + {d} * ({e} * {i} - {f} * {h}))"
+
+    full = [[f"c{i}{j}" for j in range(3)] for i in range(3)]
+    swap = lambda k: [[f"y{i}" if j == k else f"c{i}{j}" for j in range(3)] for i in range(3)]
+    slopes = ", ".join(f"{det(swap(k))} / {det(full)} AS b{k}" for k in range(3))
+    fit = " + ".join(f"b{i} * ({v} - m{i})" for i, v in enumerate(x))
+    return f"""WITH {_LI_TRAIN}, m AS (SELECT {moments}, {means} FROM t), s AS (SELECT *, {slopes} FROM m)
+        SELECT l_orderkey, l_linenumber, round({y}, 3) AS label, round(my + {fit}, 3) AS prediction
+        FROM lineitem, s WHERE ({_hk(_LI_KEY)} % 10000) < 2000"""
+
+
+@register("linear_regression", _ols_sql())
+def linear_regression_q(spark, sf):
+    return rounded(_model_q("lineitem", _LI_FEATS, "l_extendedprice", "linear", _LI_KEY, "regression")(spark, sf), 3)
 
 
 @register("cross_validate")
@@ -1038,6 +1078,32 @@ def kmeans_q(spark, sf):
     return U.cluster_display(res.assign(pts.df)).select(*_LI_KEY, *_CLU_FEATS, "cluster", "cluster_label")
 
 
+@register(
+    "kmeans_fixed_point",
+    """SELECT range::INTEGER AS cluster, 0.0::DOUBLE AS shift, (SELECT count(*) FROM lineitem)::BIGINT AS n_rows FROM range(3)""",
+)
+def kmeans_fixed_point_q(spark, sf):
+    """One more step from the fitted centres: how far each cluster's mean lies from its centre (3 decimals)."""
+    pts = U.prepare_points(spread(load(spark, sf, "lineitem")), _CLU_FEATS)
+    res = U.kmeans(pts, 3, tol=0.0)
+    x = vector_to_array("features")
+    means = res.assign(pts.df).groupBy("cluster").agg(
+        F.array(*[F.avg(F.element_at(x, j + 1)) for j in range(len(_CLU_FEATS))]).alias("m"), F.count(F.lit(1)).alias("n")
+    )
+    centre = F.array(*[F.array(*[F.lit(v) for v in c]) for c in res.centers])
+    gap = F.zip_with("m", F.get(centre, F.col("cluster")), lambda a, b: (a - b) * (a - b))
+    total = F.sum("n").over(Window.partitionBy())
+    return means.select("cluster", F.round(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, b: a + b)), 3).alias("shift"), total.alias("n_rows"))
+
+
+@register("elbow_falls", "SELECT range::INTEGER AS k, true AS falls FROM range(2, 7)")
+def elbow_falls_q(spark, sf):
+    """Inertia falls with every added cluster."""
+    pts = U.prepare_points(spread(load(spark, sf, "lineitem")), _CLU_FEATS)
+    e = U.elbow(pts, range(2, 8), n_init=3)
+    return e.select("k", (F.lead("inertia").over(Window.partitionBy().orderBy("k")) < F.col("inertia")).alias("falls")).where("k < 7")
+
+
 @register("elbow")
 def elbow_q(spark, sf):
     pts = U.prepare_points(spread(load(spark, sf, "lineitem")), _CLU_FEATS)
