@@ -1044,6 +1044,32 @@ def cluster_display_q(spark, sf):
     return U.cluster_display(_dbscan_part(spark, sf)).select("p_partkey", "cluster", "cluster_label")
 
 
+@register(
+    "dbscan_four_features",
+    """WITH RECURSIVE pts AS (SELECT p_partkey AS id, p_size / 10.0::DOUBLE AS a, p_retailprice / 100 AS b,
+                                     length(p_name) / 4.0::DOUBLE AS c, length(p_type) / 4.0::DOUBLE AS d FROM part),
+       nb AS (SELECT p.id AS a, q.id AS b FROM pts p JOIN pts q
+              ON (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c) + (p.d - q.d) * (p.d - q.d) <= 0.36),
+       core AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= 6),
+       ce AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+       cc(id, comp) AS (SELECT id, id FROM core UNION SELECT ce.b, cc.comp FROM cc JOIN ce ON ce.a = cc.id),
+       cm AS (SELECT id, min(comp) AS comp FROM cc GROUP BY id),
+       num AS (SELECT comp, CAST(dense_rank() OVER (ORDER BY comp) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT comp FROM cm)),
+       corec AS (SELECT cm.id, num.cluster FROM cm JOIN num ON cm.comp = num.comp),
+       bord AS (SELECT nb.a AS id, min(corec.cluster) AS cluster FROM nb JOIN corec ON nb.b = corec.id
+                WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a)
+       SELECT p.id AS p_partkey, CAST(coalesce(c.cluster, b.cluster, -1) AS INTEGER) AS cluster
+       FROM pts p LEFT JOIN corec c ON p.id = c.id LEFT JOIN bord b ON p.id = b.id""",
+)
+def dbscan_four_features_q(spark, sf):
+    part = load(spark, sf, "part").select(
+        "p_partkey", (F.col("p_size") / 10.0).alias("a"), (F.col("p_retailprice") / 100).alias("b"),
+        (F.length("p_name") / 4.0).alias("c"), (F.length("p_type") / 4.0).alias("d"),
+    )
+    pts = U.prepare_points(part, ["a", "b", "c", "d"], normalize=False, keep=["p_partkey"])
+    return U.dbscan(pts, eps=0.6, min_samples=6, key="p_partkey").select("p_partkey", "cluster")
+
+
 def _sil_sql(squared: bool) -> str:
     dist = _EMB_DIST.format(a="a.embedding", b="b.embedding")
     if not squared:
