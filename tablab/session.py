@@ -57,4 +57,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder, for operators that
     must write an intermediate table (CSV round trips, model files)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tablab-{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{base}/tablab-{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+# scratch paths of this application that still stand, oldest first
+_scratch: list[str] = []
+
+
+def scratch_mark() -> int:
+    """How many scratch paths there are now; see :func:`clear_scratch`."""
+    return len(_scratch)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the scratch paths made after ``since`` but those in ``keep``.
+    Results that were not written elsewhere and read from them are gone too."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _scratch[since:] if p not in keep]:
+        where = hadoop.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        _scratch.remove(path)
