@@ -15,13 +15,17 @@ from tablab.session import scratch_path
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
+def write_scratch(df: DataFrame, name: str) -> str:
+    """Write ``df`` to the shared scratch folder; its path."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: cuts the lineage, so work is done once and a
     lost executor costs one re-read, not a re-computation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df, name))
 
 
 def temp_name(df: DataFrame, stem: str) -> str:
