@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablab.llm.common import materialise
+from tablab.llm.common import write_scratch
 from tablab.llm.packing import pack_documents
 from tablab.llm.quality_classifier import keep_good
 from tablab.llm.queries import table, vocabulary
 from tablab.llm.simhash import drop_near_duplicates
 from tablab.llm.substrings import remove_repeats
 from tablab.llm.toxicity import drop_toxic
+from tablab.session import clear_scratch, scratch_mark
 
 #: SQL cannot express the classifiers, the hash components or the packing; tests hold the rows against brute force.
 ORACLE_SQL = None
@@ -60,7 +61,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        out = stage(spark, docs, sf_dir)
+        path = write_scratch(out, f"stage-{name}")
+        docs = spark.read.schema(out.schema).parquet(path)
+        clear_scratch(spark, before, keep=(path,))  # what the stage needed on its way, and its input
     return docs
