@@ -39,7 +39,7 @@ PRETOKEN = regex.compile(
 )
 #: A stretch of text that no pre-token crosses: non-space characters with at most one blank before them, cut where a
 #: letter or digit meets a full stop or comma, or blanks.
-STRETCH = re.compile(rf" ?[^{SPACE}.,]++(?=[.,])(?<=[^\W_])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+STRETCH = re.compile(rf" ?[^{SPACE}.,]++(?![.,])| ?[^{SPACE}.,]++(?<=[^\W_])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 SAFE_CUT = re.compile(rf"[^{SPACE}] (?=[^{SPACE}])")
 #: Characters of a block, of a group of texts encoded together, of the longest stretch kept in the cache; stretches kept.
 BLOCK, GROUP, CACHED, CACHE_SIZE = 1 << 16, 1 << 21, 64, 500_000
@@ -104,6 +104,8 @@ class Vocabulary:
         keys = np.array([a * self.width + b for a, b in self.merge], np.int64)
         order = np.argsort(keys)
         self.keys, self.key_rank = keys[order], order.astype(np.int32)
+        first = np.array(self.first)
+        self.byte_rank = pair_ranks(self, np.repeat(first, 256), np.tile(first, 256))
         self.made = np.array([i for _, i in self.merge.values()], np.int32)
         self.special_pattern = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.table = [self.bytes_of.get(i, b"") for i in range(self.width)]
@@ -132,12 +134,12 @@ def merge_long(ids: list[int], rules: dict) -> list[int]:
 
 
 def pair_ranks(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rank of each pair of ids, ``NEVER`` where no rule merges it or an id is missing (-1)."""
+    """Rank of each pair of ids, ``NEVER`` where no rule merges it."""
     if not len(v.keys):
         return np.full(a.shape, NEVER, np.int32)
     key = a.astype(np.int64) * v.width + b
     at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-    return np.where((v.keys[at] == key) & (a >= 0) & (b >= 0), v.key_rank[at], np.int32(NEVER))
+    return np.where(v.keys[at] == key, v.key_rank[at], np.int32(NEVER))
 
 
 def merge_many(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
@@ -152,7 +154,7 @@ def merge_many(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
         rows = np.flatnonzero(sizes == size)
         raw = np.frombuffer(b"".join([pieces[i] for i in rows.tolist()]), np.uint8).reshape(len(rows), size)
         ids = first[raw]
-        ranks = pair_ranks(v, ids[:, :-1], ids[:, 1:]) if size > 1 else np.empty((len(rows), 0), np.int32)
+        ranks = v.byte_rank[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]]
         while len(rows):
             n, m = ids.shape
             at = ranks.argmin(axis=1) if m > 1 else np.zeros(n, np.int64)
@@ -295,6 +297,11 @@ class Encoder(dict):
                 yield b"".join(self.blocks(text))
         yield from self._group(group)
 
+    def encode_column(self, column: pa.Array, rows: int = 512) -> Iterator[bytes]:
+        """Ids of each text of an Arrow column; few texts at a time become Python strings."""
+        for at in range(0, len(column), rows):
+            yield from self.encode_all(column.slice(at, rows).to_pylist())
+
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         found = [STRETCH.findall(t) for t in texts]
         self._known([s for f in found for s in f])
@@ -349,7 +356,7 @@ def token_digests(docs: DataFrame, content: bytes, id_col: str = "doc_id", text_
         encoder, digits = encoder_of(vocabulary.value), _digits(vocabulary.value)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for whole in encoder.encode_all(batch.column(1).to_pylist()):
+            for whole in encoder.encode_column(batch.column(1)):
                 ids, n, decoder = hashlib.sha256(), 0, TextDecoder(encoder.v)
                 text = hashlib.sha256()
                 for at in range(0, len(whole), 4 * BLOCK):

@@ -42,7 +42,7 @@ def write_token_files(docs: DataFrame, content: bytes, eod: int, folder: str, id
         end = np.array([eod], kind).tobytes()
         for batch in batches:
             part = part or PartFile(folder, ".tokens")
-            for ids in encoder.encode_all(batch.column(1).to_pylist()):
+            for ids in encoder.encode_column(batch.column(1)):
                 part.write(np.frombuffer(ids, "<u4").astype(kind).tobytes() + end)
             places = pa.array(range(n, n + batch.num_rows), pa.int64())
             n += batch.num_rows
