@@ -142,6 +142,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     heads = found.where("id = component_id").groupBy(F.col("id").alias("head")).agg(F.min("fp").alias("head_fp"))
     nulls = found.where("component_id is null").select(F.col("id").alias("head"), F.col("fp").alias("head_fp"))
     heads = heads.unionByName(nulls)
+    zero = F.lit("" if marked.schema[id_col].dataType.simpleString() == "string" else 0).cast(marked.schema[id_col].dataType)
     kept = marked.join(heads, ref(id_col).eqNullSafe(F.col("head")) & (ref(fp) == F.col("head_fp")), "left_semi")
-    one = Window.partitionBy(ref(id_col), ref(fp)).orderBy(F.xxhash64(ref(text_col)), ref(text_col))
+    # the join's own partitioning expressions, so that the texts are shuffled once
+    parts = [F.coalesce(ref(id_col), zero), F.isnull(ref(id_col)), ref(fp)]
+    one = Window.partitionBy(*parts).orderBy(F.xxhash64(ref(text_col)), ref(text_col))
     return kept.withColumn(rank, F.row_number().over(one)).where(ref(rank) == 1).drop(fp, rank)
