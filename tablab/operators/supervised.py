@@ -301,17 +301,46 @@ def _margin(i: int, n: int):
     return F.element_at(raw, i + 1) if n != 2 else F.element_at(raw, 2) * (1.0 if i else -1.0)
 
 
+PLATT_STEPS = 30
+
+
 def _fit_platt(scored: DataFrame, n_classes: int) -> list:
     """(slope, intercept) per class of the logistic fit of membership on the
-    margin, over the training rows; two classes share one fit."""
-    fits = {}
-    for i in range(n_classes):
-        if n_classes == 2 and i == 0:
-            continue
-        rows = scored.select(F.array(_margin(i, n_classes)).alias("m"), (F.col("label") == i).cast("double").alias("label"))
-        lr = LogisticRegression(featuresCol="v").fit(rows.select(array_to_vector("m").alias("v"), "label"))
-        fits[i] = [float(lr.coefficients[0]), float(lr.intercept)]
-    return [fits.get(0) or [fits[1][0], -fits[1][1]], *[fits[i] for i in range(1, n_classes)]]
+    margin over the training rows (Platt's smoothed targets): Newton steps for
+    all classes together, one aggregate a step; two classes share one fit."""
+    own = [1] if n_classes == 2 else list(range(n_classes))
+    rows = scored.select(*[_margin(i, n_classes).alias(f"m{i}") for i in own], "label").cache()
+    try:
+        n = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
+        count = {int(r["label"]): r["n"] for r in n}
+        total = sum(count.values())
+        fit = {i: np.zeros(2) for i in own}
+        for _ in range(PLATT_STEPS):
+            aggs = []
+            for i in own:
+                pos, neg = count.get(i, 0), total - count.get(i, 0)
+                y = F.when(F.col("label") == i, (pos + 1.0) / (pos + 2.0)).otherwise(1.0 / (neg + 2.0))
+                m = F.col(f"m{i}")
+                p = 1.0 / (1.0 + F.exp(-(m * float(fit[i][0]) + float(fit[i][1]))))
+                parts = {"ga": (p - y) * m, "gb": p - y, "aa": p * (1 - p) * m * m, "ab": p * (1 - p) * m, "bb": p * (1 - p)}
+                aggs += [F.sum(v).alias(f"{k}{i}") for k, v in parts.items()]
+            row = one_row(rows.agg(*aggs))
+            move = 0.0
+            for i in own:
+                grad = np.array([row[f"ga{i}"], row[f"gb{i}"]], float)
+                hess = np.array([[row[f"aa{i}"], row[f"ab{i}"]], [row[f"ab{i}"], row[f"bb{i}"]]], float) + 1e-9 * np.eye(2)
+                step = np.linalg.solve(hess, grad)
+                step *= min(1.0, 10.0 / max(1e-12, np.abs(step).max()))  # far from the optimum, not too far at once
+                fit[i] = fit[i] - step
+                move = max(move, float(np.abs(step).max()))
+            if move < 1e-7:
+                break
+    finally:
+        rows.unpersist()
+    if n_classes == 2:  # the first class has the opposite margin, and the complement's probability
+        a, b = fit[1].tolist()
+        return [[a, -b], [a, b]]
+    return [fit[i].tolist() for i in own]
 
 
 def _with_platt(scored: DataFrame, platt: list) -> DataFrame:
