@@ -307,7 +307,7 @@ PLATT_STEPS = 30
 def _fit_platt(scored: DataFrame, n_classes: int) -> list:
     """(slope, intercept) per class of the logistic fit of membership on the
     margin over the training rows (Platt's smoothed targets): Newton steps for
-    all classes together, one aggregate a step; two classes share one fit."""
+    all classes together, partial sums by NumPy per batch; two classes share one fit."""
     own = [1] if n_classes == 2 else list(range(n_classes))
     rows = scored.select(*[_margin(i, n_classes).alias(f"m{i}") for i in own], "label").cache()
     try:
@@ -315,16 +315,22 @@ def _fit_platt(scored: DataFrame, n_classes: int) -> list:
         count = {int(r["label"]): r["n"] for r in n}
         total = sum(count.values())
         fit = {i: np.zeros(2) for i in own}
+        names = [f"{k}{i}" for i in own for k in ("ga", "gb", "aa", "ab", "bb")]
         for _ in range(PLATT_STEPS):
-            aggs = []
-            for i in own:
-                pos, neg = count.get(i, 0), total - count.get(i, 0)
-                y = F.when(F.col("label") == i, (pos + 1.0) / (pos + 2.0)).otherwise(1.0 / (neg + 2.0))
-                m = F.col(f"m{i}")
-                p = 1.0 / (1.0 + F.exp(-(m * float(fit[i][0]) + float(fit[i][1]))))
-                parts = {"ga": (p - y) * m, "gb": p - y, "aa": p * (1 - p) * m * m, "ab": p * (1 - p) * m, "bb": p * (1 - p)}
-                aggs += [F.sum(v).alias(f"{k}{i}") for k, v in parts.items()]
-            row = one_row(rows.agg(*aggs))
+
+            def partial(batches, fit=dict(fit)):
+                sums = np.zeros(len(names))
+                for pdf in batches:
+                    for at, i in enumerate(own):
+                        pos, neg = count.get(i, 0), total - count.get(i, 0)
+                        y = np.where(pdf["label"] == i, (pos + 1.0) / (pos + 2.0), 1.0 / (neg + 2.0))
+                        m = pdf[f"m{i}"].to_numpy()
+                        p = 1.0 / (1.0 + np.exp(-np.clip(m * fit[i][0] + fit[i][1], -500, 500)))
+                        w = p * (1 - p)
+                        sums[5 * at : 5 * at + 5] += [((p - y) * m).sum(), (p - y).sum(), (w * m * m).sum(), (w * m).sum(), w.sum()]
+                yield pd.DataFrame([sums], columns=names)
+
+            row = one_row(rows.mapInPandas(partial, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names]))
             move = 0.0
             for i in own:
                 grad = np.array([row[f"ga{i}"], row[f"gb{i}"]], float)
@@ -333,7 +339,7 @@ def _fit_platt(scored: DataFrame, n_classes: int) -> list:
                 step *= min(1.0, 10.0 / max(1e-12, np.abs(step).max()))  # far from the optimum, not too far at once
                 fit[i] = fit[i] - step
                 move = max(move, float(np.abs(step).max()))
-            if move < 1e-7:
+            if move < 1e-6:
                 break
     finally:
         rows.unpersist()

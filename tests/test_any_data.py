@@ -114,7 +114,7 @@ def test_folds_and_running_sums_keep_null_classes(spark):
 def test_any_class_labels(spark, tmp_path, model, classes):
     rows = [(float(i % len(classes)) + (i % 7) * 0.01, classes[i % len(classes)]) for i in range(90)]
     df = spark.createDataFrame(rows, ["f", "t"])
-    params = {"n_estimators": 5, "max_depth": 4} if model == "random_forest" else {"kernel": "linear"} if model == "svm" else {}
+    params = {"n_estimators": 5, "max_depth": 4} if model == "random_forest" else {"kernel": "linear", "max_iter": 10} if model == "svm" else {}
     res = SV.train_model(df, ["f"], "t", model=model, task="classification", **params)  # no key given
     got = res.predictions.select("actual", "predicted").collect()
     assert got and {type(r.predicted) for r in got} <= {type(classes[0])} and {r.predicted for r in got} <= set(classes)
