@@ -33,11 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablab.functions.small import collect_bounded
-from tablab.llm.bpe import Vocabulary
+from tablab.llm.bpe import Encoder, Vocabulary
 from tablab.llm.common import materialise, ref
 
 #: How byte-level BPE files of this kind cut a text before merging (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of a block of white space that sends a text past the library, whose expressions put every character of a run
+#: on a stack of a million entries; every run of twice as many characters holds such a block.
+BLANK = 50_000
 #: Columns of the plan of sweeps.
 PLAN = ("length", "rank", "count", "sequence", "offset")
 
@@ -96,9 +99,15 @@ def pack_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
 _ENCODERS: dict[int, Callable[[str | None], bytes]] = {}
 
 
+def long_blank(text: str) -> bool:
+    """Whether an aligned block of ``BLANK`` characters is all white space."""
+    return any(text[at : at + BLANK].isspace() for at in range(0, len(text) - BLANK + 1, BLANK))
+
+
 def library_encoder(content: bytes) -> Callable[[str | None], bytes]:
     """Text -> ids as little-endian uint32 bytes, by a tokenizer library on the given vocabulary file (packing is about
-    lengths; the transducer of ``bpe`` gives the same ids).  The library merges by id, so ids must follow the merges."""
+    lengths; the transducer of ``bpe`` gives the same ids).  The library merges by id, so ids must follow the merges.
+    Texts with a very long run of white space, which the library cannot cut, go through ``bpe.Encoder``."""
     key = hash(content)
     if key not in _ENCODERS:
         v = Vocabulary(content)
@@ -106,7 +115,14 @@ def library_encoder(content: bytes) -> Callable[[str | None], bytes]:
             raise ValueError("the ids of the vocabulary do not follow its merges")
         ranks = {b: i for i, b in v.bytes_of.items() if i not in set(v.special.values())}
         library = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=v.special)
-        _ENCODERS[key] = lambda text: library.encode_to_numpy(text or "", allowed_special="all").astype("<u4", copy=False).tobytes()
+        own = Encoder(v)
+
+        def encode(text: str | None) -> bytes:
+            if text and long_blank(text):
+                return own.encode(text).tobytes()
+            return library.encode_to_numpy(text or "", allowed_special="all").astype("<u4", copy=False).tobytes()
+
+        _ENCODERS[key] = encode
     return _ENCODERS[key]
 
 

@@ -104,3 +104,18 @@ def test_ids_are_those_of_the_transducer():
     content = vocabulary()
     own, library = Encoder(Vocabulary(content)), library_encoder(content)
     assert [library(t) for t in texts] == list(own.encode_all(texts))
+
+
+def test_white_space_beyond_the_librarys_stack():
+    from tablab.llm.bpe import Encoder, Vocabulary
+    from tablab.llm.packing import BLANK, library_encoder
+
+    content = vocabulary()
+    encode, library = library_encoder(content), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = Encoder(Vocabulary(content))
+    for run in (" ", "\n", " \n"):
+        text = "a  b" + run * (2_000_000 // len(run)) + "x<|endoftext|>y"
+        assert encode(text) == own.encode(text).tobytes()
+    for n in (BLANK, 2 * BLANK - 2, 2 * BLANK - 1, 2 * BLANK):  # both sides of the switch
+        text = "x" + "\n" * n + "y"
+        assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
