@@ -15,8 +15,9 @@ fingerprints that meet on a variant are compared.
 
 Results for odd inputs: a null or wordless text has the fingerprint 0 and links like any other; a text with fewer words
 than a shingle is one shingle of all its words; repeated rows give repeated rows; a null id takes part in linking but is
-never a component's name (a component of null ids only has a null name); an empty table gives an empty result; other
-columns of the input are ignored.
+never a component's name (a component of null ids only has a null name); unrelated components whose smallest id is the
+same repeated id have the same name, but ``drop_near_duplicates`` keeps a row of each; an empty table gives an empty
+result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -111,15 +112,17 @@ def near_pairs(prints: DataFrame, radius: int) -> DataFrame:
 
 
 def components_of(rows: DataFrame, id_col: str, radius: int) -> DataFrame:
-    """(fp, component_id) per distinct fingerprint of ``rows`` (columns ``id_col`` and ``fp``, materialised): the
-    smallest id reachable over links of at most ``radius`` differing bits."""
+    """(fp, component, component_id, least_id) per distinct fingerprint of ``rows`` (columns ``id_col`` and ``fp``,
+    materialised): the component's own key (a fingerprint of it), the smallest id reachable over links of at most
+    ``radius`` differing bits, and the smallest id of the fingerprint itself.  Where ids repeat on different texts,
+    several components can have the same smallest id; their keys differ."""
     prints = materialise(rows.groupBy("fp").agg(F.min(ref(id_col)).alias("least_id")), "prints")
     linked = connected_components(near_pairs(prints, radius), "a", "b")
     named = prints.join(linked, prints["fp"] == linked["node"], "left").select(
         prints["fp"], "least_id", F.coalesce("component", prints["fp"]).alias("component")
     )
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return named.join(least, "component").select("fp", "component_id")
+    return named.join(least, "component").select("fp", "component", "component_id", "least_id")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
@@ -127,21 +130,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: id, fp (long) and component_id."""
     rows = docs.select(ref(id_col).alias(id_col), fingerprint_udf(shingle, seed)(ref(text_col)).alias("fp"))
     rows = materialise(rows, "fingerprints")
-    return rows.join(components_of(rows, id_col, max_bits), "fp").select(ref(id_col), "fp", "component_id")
+    found = components_of(rows, id_col, max_bits).select("fp", "component_id")
+    return rows.join(found, "fp").select(ref(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                          max_bits: int = 2, seed: int = 42) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id.  Rows that repeat an id and a
-    fingerprint are the same document, of which the row with the smallest text hash stays; a component without
-    any id keeps one row per fingerprint."""
+    """``docs`` with one row of each component: the one with the smallest id (nulls last), of several the one with the
+    smallest fingerprint, of several the one with the smallest text hash.  Components are told apart by their links, not
+    by ids: an id that repeats on unrelated texts can head each of their components."""
     fp, rank = temp_name(docs, "fp"), temp_name(docs, "rank")
     marked = materialise(docs.withColumn(fp, fingerprint_udf(shingle, seed)(ref(text_col))), "marked")
-    rows = marked.select(ref(id_col).alias("id"), ref(fp).alias("fp"))
-    found = rows.distinct().join(components_of(rows, "id", max_bits), "fp")
-    heads = found.where("id = component_id").groupBy(F.col("id").alias("head")).agg(F.min("fp").alias("head_fp"))
-    nulls = found.where("component_id is null").select(F.col("id").alias("head"), F.col("fp").alias("head_fp"))
-    heads = heads.unionByName(nulls)
+    found = components_of(marked.select(ref(id_col).alias("id"), ref(fp).alias("fp")), "id", max_bits)
+    firsts = found.where(F.col("least_id").eqNullSafe(F.col("component_id")))  # the fingerprints that hold the smallest id
+    heads = firsts.groupBy("component", F.col("component_id").alias("head")).agg(F.min("fp").alias("head_fp")).drop("component")
     zero = F.lit("" if marked.schema[id_col].dataType.simpleString() == "string" else 0).cast(marked.schema[id_col].dataType)
     kept = marked.join(heads, ref(id_col).eqNullSafe(F.col("head")) & (ref(fp) == F.col("head_fp")), "left_semi")
     # the join's own partitioning expressions, so that the texts are shuffled once

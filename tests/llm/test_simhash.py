@@ -96,6 +96,29 @@ def test_odd_inputs(spark):
     assert drop_near_duplicates(nameless).count() == 2
 
 
+def test_one_row_of_every_component(spark):
+    rng = random.Random(3)
+    near = {}  # a text one or two bits from another, by brute force
+    words = [f"w{i}" for i in range(400)]
+    while len(near) < 3:
+        text = [rng.choice(words) for _ in range(300)]
+        for k in range(300):
+            other = [*text[:k], "changed", *text[k + 1 :]]
+            if 1 <= (brute_print(" ".join(text)) ^ brute_print(" ".join(other))).bit_count() <= 2:
+                near[" ".join(text)] = " ".join(other)
+                break
+    (a, a2), (b, b2), (c, c2) = near.items()
+    # id 5 is the smallest of two unrelated components; copies without ids that are 1 or 2 bits apart are one component
+    rows = [(5, a), (6, a2), (5, b), (7, b2), (None, c), (None, c2), (None, c)]
+    assert len(set(brute_components([(i, brute_print(t)) for i, (_, t) in enumerate(rows)], 2))) == 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in drop_near_duplicates(docs).collect()]
+    assert sorted(r for r in kept if r[0]) == sorted([(5, a), (5, b)])
+    assert [r[1] in (c, c2) for r in kept if r[0] is None] == [True]
+    named = spark.createDataFrame([(f"k{i}" if i else None, t) for i, t in rows], "doc_id string, text string")
+    assert sorted(drop_near_duplicates(named).collect(), key=str) == sorted([("k5" if i else None, t) for i, t in kept], key=str)
+
+
 def test_fingerprint_needs_more_than_half():
     assert simhash(shingle_hashes("a b c", 3)) == xxhash.xxh64_intdigest(b"a b c", 42)
     a, b = (xxhash.xxh64_intdigest(x, 42) for x in (b"a b c", b"b c d"))
