@@ -17,9 +17,14 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def hash_place(id_column: Column, salt: int = 7) -> Column:
+    """Place of an id in the order by hash that samples are taken in."""
+    return F.pmod(F.xxhash64(id_column, F.lit(salt)), F.lit(_SHARE))
+
+
 def _below(id_column: Column, salt: int, share: float) -> Column:
     """A share of the ids, chosen by hash: the same rows on every run, whatever the partitions."""
-    return F.pmod(F.xxhash64(id_column, F.lit(salt)), F.lit(_SHARE)) < int(min(1.0, share) * _SHARE)
+    return hash_place(id_column, salt) < int(min(1.0, share) * _SHARE)
 
 
 def training_labels(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:

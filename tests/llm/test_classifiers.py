@@ -75,6 +75,29 @@ def test_sample_is_bounded(spark):
     assert 850 < n[0] < 1150 and 230 < n[1] < 370
 
 
+def test_toxicity_sample_is_bounded_in_words(spark):
+    docs = spark.range(200).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), cast(if(id = 7, 100000, 1000) as int)) as text")
+    chosen = spark.range(200).selectExpr("id", "cast(id % 2 as int) as y")
+    get = lambda words: T.training_sample(docs, chosen, {1: 100, 0: 100}, words, "doc_id", "text")
+    assert len(get(T.MAX_WORDS)) == 200
+    few = get(40_000)
+    assert {r.id: len(r.x) // 8 for r in few} == {r.id: 1000 for r in few}  # whole, and not the one that cannot fit
+    assert sorted(r.y for r in few) == [0] * 20 + [1] * 20
+    more = {r.id for r in get(80_000)}
+    assert {r.id for r in few} < more and len(more) == 80
+    repeated = docs.where("doc_id < 100").withColumn("text", F.lit("")).withColumn("doc_id", F.col("doc_id") % 4).crossJoin(spark.range(100))
+    assert len(T.training_sample(repeated, chosen, {1: 2, 0: 2}, T.MAX_WORDS, "doc_id", "text")) <= 8
+
+
+def test_toxicity_trains_within_its_words(spark, monkeypatch):
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat(if(id % 2 = 0, 'bad word ', 'kind word '), 500) as text")
+    labels = spark.range(60).selectExpr("id as doc_id", "cast(id % 2 = 0 as int) as toxic")
+    seen = []
+    monkeypatch.setattr(T, "fit", lambda texts, y, fit=T.fit: seen.append(sum(map(len, texts))) or fit(texts, y))
+    assert T.train(docs, labels, max_words=20_000) is not None
+    assert 10_000 <= seen[0] <= 20_000
+
+
 def test_pu_risk_learns_without_negatives():
     rng = np.random.default_rng(0)
     d, prior = Q.N_RATES, 0.7
