@@ -12,9 +12,11 @@ zero -- the sign of overfitting -- the step goes up its gradient instead, as in
 Inputs are properties of the whole text: a few rates (letter case, symbols, punctuation, repeated words, lines and
 five-word windows, lengths) and hashed four-grams of character classes.  Labels, language, source and id are no inputs.
 
-The fit uses a bounded sample (``max_positive``, ``max_unlabelled`` rows, chosen by hash); the prior is counted over all
-training labels, and scoring reads every text in full in one pass without a shuffle.  Training labels also place the
-decision: a logistic map of ``g``, shifted so that the best separating value on the training sample scores 0.3.
+Inputs are scaled by their means and deviations over all documents, taken in one aggregate.  The two expectations come from
+a bounded sample (``max_positive``, ``max_unlabelled`` rows, chosen by hash); the prior is counted over all training
+labels, and scoring reads every text in full in one pass without a shuffle.  Training labels, up to ``max_negative`` bad
+ones among them, also place the decision: a logistic map of ``g``, shifted so that the best separating value on the
+training sample scores 0.3.
 
 Defined results: a null text is an empty one and is scored like any other; without a trusted positive every score is
 the prior 0.5; rows are scored one by one, so repeated rows score alike; an empty table gives an empty result.
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,10 +110,36 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.a * self.g(x) + self.b, -30, 30)))
 
 
-def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 0) -> Network:
-    """Minimise the non-negative risk over rows ``p`` (positive) and ``u`` (unlabelled) by Adam."""
+def input_moments(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of every input over all rows of ``docs``.  A task sends one partial sum per input; rounding the
+    results to float32 hides the order in which partial sums meet."""
+    size = N_RATES + BUCKETS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, square = 0, np.zeros(size), np.zeros(size)
+        for batch in batches:
+            for text in batch.column(0):
+                x = features(text.as_py()).astype(np.float64)
+                n, total, square = n + 1, total + x, square + x * x
+        if n:
+            columns = [np.arange(size), np.full(size, n), total, square]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "n", "total", "square"])
+
+    parts = docs.select(ref(text_col).alias("text")).mapInArrow(run, "place long, n long, total double, square double")
+    rows = parts.groupBy("place").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("square").alias("square")).collect()
+    mean, sd = np.zeros(size, np.float32), np.zeros(size, np.float32)
+    for r in rows:  # one per input
+        m = r["total"] / r["n"]
+        mean[r["place"]], sd[r["place"]] = m, np.sqrt(max(0.0, r["square"] / r["n"] - m * m))
+    return mean, sd
+
+
+def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 0,
+           moments: tuple[np.ndarray, np.ndarray] | None = None) -> Network:
+    """Minimise the non-negative risk over rows ``p`` (positive) and ``u`` (unlabelled) by Adam.  ``moments``: mean and
+    deviation of the inputs, those of ``u`` if not given."""
     rng = np.random.default_rng(seed)
-    mean, sd = u.mean(axis=0), u.std(axis=0)
+    mean, sd = moments or (u.mean(axis=0), u.std(axis=0))
     scale = (1 / np.maximum(sd, 1e-3)).astype(np.float32)
     d = p.shape[1]
     net = Network(mean, scale, rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
@@ -174,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     u = np.array([bool(r["free"]) for r in sample])
     if not (y == 1).any():
         return None
-    net = fit_pu(x[y == 1], x[u] if u.any() else x, prior)
+    net = fit_pu(x[y == 1], x[u] if u.any() else x, prior, moments=input_moments(docs, text_col))
     known = y >= 0
     g = net.g(x[known])
     # scale: one unit of the score's logit per typical deviation of g; place: the best cut scores CUT

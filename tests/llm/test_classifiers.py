@@ -98,6 +98,16 @@ def test_toxicity_trains_within_its_words(spark, monkeypatch):
     assert 10_000 <= seen[0] <= 20_000
 
 
+def test_quality_inputs_are_scaled_over_all_documents(spark):
+    texts = [None, "", "One line here.", "x " * 5000, *(f"Some words, number {i}, of a plain text.\n" * (i % 7 + 1) for i in range(400))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    labels = spark.range(404).selectExpr("id as doc_id", "cast(id % 3 > 0 as int) as quality")
+    x = np.stack([Q.features(t) for t in texts]).astype(np.float64)
+    net = Q.train(docs, labels, max_unlabelled=20, max_positive=30, max_negative=10)
+    assert np.allclose(net.mean, x.mean(axis=0), rtol=1e-5, atol=1e-7)
+    assert np.allclose(1 / net.scale, np.maximum(x.std(axis=0), 1e-3), rtol=1e-4, atol=1e-6)
+
+
 def test_pu_risk_learns_without_negatives():
     rng = np.random.default_rng(0)
     d, prior = Q.N_RATES, 0.7
