@@ -52,6 +52,22 @@ def as_signed(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64, copy=False).view(np.int64)
 
 
+#: A key with over one in so many rows is hot; there are fewer hot keys than this, whatever the table.
+HOT_KEYS = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has one row per key and in ``weight`` (at least 1) the number of
+    ``rows`` with that key.  The facts of hot keys, fewer than ``HOT_KEYS`` by counting, are broadcast, so a key with a
+    third of all rows stays where its rows are; all other keys meet by shuffle, none with over a thousandth of the rows.
+    Both frames are read more than once: pass written tables."""
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = ref(weight) * HOT_KEYS > total
+    heavy, light = facts.where(hot), facts.where(~hot)
+    direct = rows.join(F.broadcast(heavy), keys)
+    return direct.unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys))
+
+
 def release(spark) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so once the driver has collected the objects
     that refer to them, which a small driver heap may not do for a long time."""

@@ -183,3 +183,50 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablab.llm.toxicity import score_toxicity
 
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op13_sql() -> str:
+    from tablab.llm import secret_scan as S
+
+    def found(kind: int, pattern: str, value: str, least: str) -> str:
+        quoted = pattern.replace("'", "''")
+        return f"""
+SELECT r, {kind} AS kind, m, {value} AS value, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start
+FROM (SELECT r, ms, gaps, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i
+      FROM (SELECT r, regexp_extract_all(text, '{quoted}') AS ms, string_split_regex(text, '{quoted}') AS gaps FROM d WHERE regexp_matches(text, '{quoted}')))
+WHERE {least}"""
+
+    quoted = S.ASSIGN.replace("'", "''")
+    value = f"regexp_extract(m, '{quoted}', 2)"
+    live = f"""(length(value) >= {S.MIN_VALUE} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+      AND NOT regexp_matches(lower(value), '{"|".join(S.PLACEHOLDERS)}') AND len(list_distinct(string_split(value, ''))) >= {S.DISTINCT_CHARACTERS})"""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source, lang FROM documents),
+f AS ({found(0, S.ASSIGN, value, f"length({value}) >= {S.MIN_VALUE}")}
+UNION ALL {found(1, S.ACCESS, "m", "true")} UNION ALL {found(2, S.HEX, "m", "true")} UNION ALL {found(3, S.BARE, "m", "true")}),
+c AS (SELECT f.*, (start + length(m))::BIGINT AS stop, {live} AS live FROM f),
+v AS (SELECT c.*, source, lang FROM c JOIN d USING (r) WHERE kind < 3 OR live),
+own AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (coalesce(source, chr(0)), coalesce(lang, chr(0)))) AS repositories FROM v GROUP BY value),
+spans AS (SELECT r, kind, start, stop FROM v WHERE kind < 3
+          UNION SELECT r, 3, stop - length(value), stop FROM v JOIN own USING (value) WHERE live AND owners <= 1 AND repositories <= 3),
+named AS (SELECT *, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || start || ':' || stop AS name FROM spans),
+g AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h, count(*) FILTER (kind = 3) AS l,
+             string_agg(name, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base, string_agg(name, ',' ORDER BY start, kind, stop) AS spans
+      FROM named GROUP BY r)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(l, 0)::BIGINT AS n_live
+FROM d LEFT JOIN g USING (r)"""
+
+
+@register("op13_secret_scan", _op13_sql())
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all whole documents; a source is an owner, its documents of one language a repository."""
+    from tablab.llm.secret_scan import scan_secrets, spans_text
+
+    rows = scan_secrets(table(spark, sf_dir, "documents"), F.col("source"), F.col("lang"))
+    of_kind = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return rows.select(
+        "doc_id", of_kind(0).alias("n_assign"), of_kind(1).alias("n_access"), of_kind(2).alias("n_hex"),
+        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.concat("base", "live")).alias("spans"),
+        F.size("live").cast("long").alias("n_live"),
+    )
