@@ -230,3 +230,39 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.concat("base", "live")).alias("spans"),
         F.size("live").cast("long").alias("n_live"),
     )
+
+
+@register(
+    "op12_importance_resampling",
+    """
+WITH crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b:
+               CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+      FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w
+      FROM benchmark),
+dw AS (SELECT r, unnest(ws) AS w FROM d),
+vocab AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM b)),
+place AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i::INT, 2))::BIGINT)),
+                        lambda a, x: xor(a >> 8, tab[1 + (xor(a, x) & 255)])), 4294967295) % 10000 AS bucket FROM vocab, crc),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN place USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN place USING (w) GROUP BY bucket),
+tot AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS big_s, coalesce((SELECT sum(n) FROM t), 0)::DOUBLE AS big_t),
+gain AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * (big_s + 10000) / ((s.n::DOUBLE + 1) * (big_t + 10000))))::BIGINT AS g
+         FROM s LEFT JOIN t USING (bucket), tot),
+wt AS (SELECT r, sum(g)::BIGINT AS weight FROM dw JOIN place USING (w) JOIN gain USING (bucket) GROUP BY r),
+sc AS (SELECT d.r, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+              coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+       FROM d LEFT JOIN wt USING (r)),
+rk AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, n_features, r) END AS place FROM sc)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN place <= 10 * (SELECT count(*) FROM sc WHERE n_features >= 20) // 100 THEN place END::BIGINT AS rank
+FROM rk""",
+)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents with at least 20 words, drawn towards the benchmark's word distribution."""
+    from tablab.llm.resampling import resample
+
+    rows = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_words=1, buckets=10000, percent=10, min_words=20, seed=2024)
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
