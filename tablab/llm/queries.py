@@ -266,3 +266,35 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_words=1, buckets=10000, percent=10, min_words=20, seed=2024)
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register(
+    "op11_phrase_collocations",
+    """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+f1 AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(ws) AS w FROM p) GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM (SELECT lang, ws[i] AS w1, ws[i + 1] AS w2 FROM (SELECT lang, ws, unnest(range(1, len(ws))) AS i FROM p)) GROUP BY ALL),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM (SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3 FROM (SELECT lang, ws, unnest(range(1, len(ws) - 1)) AS i FROM p))
+       GROUP BY ALL HAVING count(*) >= 10),
+covered AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+two AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, x.f AS l, y.f AS r FROM f2
+        JOIN f1 x ON x.lang = f2.lang AND x.w = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w = f2.w2
+        LEFT JOIN covered ON covered.lang = f2.lang AND covered.w1 = f2.w1 AND covered.w2 = f2.w2
+        WHERE f2.f >= 10 AND coalesce(100 * covered.f < 50 * f2.f, true)),
+three AS (SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 AS phrase, f3.f AS a, x.f AS l1, t.f AS r1, h.f AS l2, z.f AS r2,
+                 (1000000::HUGEINT * f3.f * f3.f) // (x.f::HUGEINT * t.f) AS s1, (1000000::HUGEINT * f3.f * f3.f) // (h.f::HUGEINT * z.f) AS s2
+          FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w = f3.w1 JOIN f1 z ON z.lang = f3.lang AND z.w = f3.w3
+          JOIN f2 h ON h.lang = f3.lang AND h.w1 = f3.w1 AND h.w2 = f3.w2 JOIN f2 t ON t.lang = f3.lang AND t.w1 = f3.w2 AND t.w2 = f3.w3),
+every AS (SELECT lang, phrase, a, l, r, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM two
+          UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2)::BIGINT FROM three),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every)
+SELECT lang, rank, phrase, a, l, r, n, score FROM best JOIN total USING (lang) WHERE rank <= 2000""",
+)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two or three words of every language, from all whole documents."""
+    from tablab.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), min_count=10, max_words=3, top=2000, cover_percent=50)
