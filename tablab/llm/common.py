@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -15,10 +16,15 @@ from tablab.session import scratch_path
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Files of a scratch table per core of the session at most.  Further partitions share a task and a file: many small ones
+#: cost more to open, list and commit than to read.
+FILES_PER_CORE = 8
+
+
 def write_scratch(df: DataFrame, name: str) -> str:
     """Write ``df`` to the shared scratch folder; its path."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return path
 
 
@@ -73,3 +79,10 @@ def release(spark) -> None:
     that refer to them, which a small driver heap may not do for a long time."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """Give memory that finished fits have freed back to the system: the driver keeps running for hours after them."""
+    gc.collect()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

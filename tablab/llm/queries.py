@@ -139,8 +139,8 @@ SELECT page_id, payload_bytes,
        list_aggregate(list_transform(range(0, 32), lambda k:
          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j:
            substr(b, (5 * k + j + 1)::INT, 1)::INT * (1 << (4 - j)::INT)))::INT, 1)), 'string_agg', '') AS payload_digest,
-       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
 FROM bits""",
 )
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,12 +154,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "op3_exact_top_k",
     """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.row <> c.row AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 )
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

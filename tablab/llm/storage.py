@@ -12,6 +12,17 @@ import uuid
 from pyarrow import fs
 
 
+#: Bytes a task reads by default, and tasks of one read at most (beyond that, tasks read more each: they hold a block at a
+#: time, whatever they read in all).
+TASK_BYTES, MOST_TASKS = 16 << 20, 50_000
+
+
+def tasks_for(n_bytes: int | None, task_bytes: int = TASK_BYTES) -> int:
+    """Number of tasks for reading ``n_bytes``.  An index is far smaller than what it stands for, so the tasks that read by
+    it are counted from the bytes it names, not from its own size."""
+    return max(1, min(MOST_TASKS, -(-(n_bytes or 0) // task_bytes)))
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 

@@ -8,11 +8,11 @@ that ties with the k-th could, if its id is smaller, so an equal bound does not
 at most k rows per query, which a window per query merges.
 
 Queries come in blocks too, so a task holds one block of each; only block members are paired, each pair of blocks by one
-task.  Blocks are dealt by a hash of the id: equal or frequent vectors spread like any others.
+task.  Blocks are dealt by a hash of the row's number: equal or frequent vectors and ids spread like any others.
 
 Components x become floor(256 * x); all arithmetic is on whole numbers and exact.  Defined results: vectors that are null
-or hold null or non-finite components, and null ids, take no part; rows with the query's own id are never its
-candidates; a row repeated in full counts once; vectors are compared with vectors of their own length only; a query
+or hold null or non-finite components, and null ids, take no part; a candidate is a row: every row but the query's own counts,
+rows with equal ids or repeated in full too, and each row that asks has its own answer; vectors are compared with vectors of their own length only; a query
 without candidates has no rows; an inner product beyond 63 bits is an error; an empty table gives an empty result.
 """
 
@@ -33,9 +33,10 @@ BLOCK_ROWS, QUERY_ROWS, FIRST_DEPTH = 8192, 2048, 32
 class SortedLists:
     """A block of candidates with one sorted list per dimension."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None):
         order = np.argsort(ids, kind="stable")  # places in id order, so ties go to the smaller place
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
+        self.rows = self.ids if rows is None else rows[order]
         self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()  # dimension -> places, ascending
         self.values = np.take_along_axis(self.vectors.T, self.order, axis=1)
         self.largest = int(np.abs(self.vectors).max(initial=0))
@@ -51,8 +52,9 @@ class SortedLists:
             self.floats = self.vectors.astype(np.float64)
         return self.floats
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the k best (score descending, id ascending), and how many candidates were scored."""
+    def top(self, query_row: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and scores of the k best (score descending, id ascending) but the query's own row, and how many candidates
+        were scored."""
         n, table = len(self.ids), self.exact(query)
         q = query.astype(table.dtype)
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
@@ -68,7 +70,7 @@ class SortedLists:
             fresh[near] = True
             new = np.flatnonzero(fresh & ~seen)
             seen[new] = True
-            new = new[self.ids[new] != query_id]
+            new = new[self.rows[new] != query_row]
             if len(new):
                 scored += len(new)
                 places, scores = np.concatenate([places, new]), np.concatenate([scores, table[new] @ q])
@@ -102,14 +104,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     that fulfils ``is_query`` (an expression over ``id_col``)."""
     rows = vectors.where(usable(ref(vector_col)) & ref(id_col).isNotNull()).select(
         ref(id_col).cast("long").alias("id"), is_query.alias("asks"), whole(ref(vector_col), scale).alias("v")
-    ).distinct()
-    rows = materialise(rows.withColumn("d", F.size("v")), "vectors")
+    )
+    rows = materialise(rows.withColumn("d", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     blocks, groups = max(1, math.ceil(n / block_rows)), max(1, math.ceil(asked / query_rows))
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    at = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
-    left = rows.where("asks").select("d", at(groups, 1).alias("g"), each(blocks).alias("b"), "id", "v", F.xxhash64("v").alias("row"))
-    right = rows.select("d", each(groups).alias("g"), at(blocks, 2).alias("b"), "id", "v")
+    at = lambda m, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(m)).cast("int")
+    left = rows.where("asks").select("d", at(groups, 1).alias("g"), each(blocks).alias("b"), "id", "v", "row")
+    right = rows.select("d", each(groups).alias("g"), at(blocks, 2).alias("b"), "id", "v", "row")
 
     def matrix(t: pa.Table, d: int) -> np.ndarray:
         flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False) if t.num_rows and d else np.empty(0, np.int64)
@@ -119,10 +121,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         out: list[list[np.ndarray]] = [[], [], [], []]
         if queries.num_rows and candidates.num_rows:
             d = queries.column("d")[0].as_py()
-            lists = SortedLists(candidates.column("id").to_numpy(), matrix(candidates, d))
+            lists = SortedLists(candidates.column("id").to_numpy(), matrix(candidates, d), candidates.column("row").to_numpy())
             asks, rows_of = matrix(queries, d), queries.column("row").to_numpy()
             for i, q in enumerate(queries.column("id").to_numpy()):
-                ids, scores, _ = lists.top(int(q), asks[i], k)
+                ids, scores, _ = lists.top(int(rows_of[i]), asks[i], k)
                 for c, x in zip(out, (np.full(len(ids), q), np.full(len(ids), rows_of[i]), ids, scores)):
                     c.append(x)
         return pa.table({c: pa.array(np.concatenate(x) if x else [], pa.int64()) for c, x in zip(("query_id", "row", "vec_id", "score"), out)})

@@ -12,8 +12,8 @@ Of equal payloads the record with the smallest key is the response and the other
 The keeper comes from a partially aggregated minimum per digest; no group of copies is gathered.
 
 Defined results: a null payload is an empty one; a null URL is an empty header; rows that repeat a key and a payload are
-the same record and share its type; a record with a null key is a response; payloads below
-``min_payload`` bytes are responses; an empty table gives empty archives and an empty index; other columns are ignored.
+the same record and share its type; a record with a null key revisits an equal payload that has a key, and is a response
+if none has one; payloads below ``min_payload`` bytes are responses; an empty table gives empty archives and an empty index; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablab.llm.common import materialise, ref
-from tablab.llm.storage import PartFile, RangeReader
+from tablab.llm.storage import TASK_BYTES, PartFile, RangeReader, tasks_for
 from tablab.session import scratch_path
 
 #: Bytes between two records that are read through rather than skipped, and of one read at most (a longer record is
@@ -102,8 +102,8 @@ def write_archives(pages: DataFrame, folder: str, key_col: str = "page_id", url_
     repeated = materialise(repeated.where("copies > 1").select(F.col("sha").alias("rsha"), F.col("n").alias("rn"), "keeper"), "copies")
     # one row per record that revisits, found from keys and digests alone; (key, digest) is no hot pair
     marks = rows.select("k", "sha", "n").join(repeated, (F.col("sha") == F.col("rsha")) & (F.col("n") == F.col("rn")))
-    marks = marks.where("k <> keeper").select(F.col("k").alias("mk"), F.col("sha").alias("msha"), "keeper").distinct()
-    marked = rows.join(marks, (F.col("k") == F.col("mk")) & (F.col("sha") == F.col("msha")), "left").select("k", "url", "payload", "keeper")
+    marks = marks.where("keeper is not null and not (k <=> keeper)").select(F.col("k").alias("mk"), F.col("sha").alias("msha"), "keeper").distinct()
+    marked = rows.join(marks, F.col("k").eqNullSafe(F.col("mk")) & (F.col("sha") == F.col("msha")), "left").select("k", "url", "payload", "keeper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = None
@@ -142,8 +142,9 @@ def coalesce_ranges(rows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int
         yield held[0][0], start, end, held
 
 
-def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records named by rows of an index (any selection of it), read by sorted, coalesced byte ranges."""
+def read_records(index: DataFrame, with_payload: bool = True, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Records named by rows of an index (any selection of it), read by sorted, coalesced byte ranges, by one task for
+    about ``task_bytes`` of archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = RangeReader()
@@ -165,7 +166,8 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
         reader.close()
 
-    wanted = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    tasks = tasks_for(index.agg(F.sum("length")).first()[0], task_bytes)
+    wanted = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return wanted.mapInArrow(run, RECORD)
 
 

@@ -12,12 +12,12 @@ from tablab.llm.topk import SortedLists, top_k
 
 
 def brute(rows, k, ask):
-    whole = {(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows
-             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    whole = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows
+             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in whole:
+    for own, (q, a) in enumerate(whole):
         if ask(q):
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in whole if c != q and len(a) == len(b))
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), c) for n, (c, b) in enumerate(whole) if n != own and len(a) == len(b))
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])]
     return sorted(out)
 

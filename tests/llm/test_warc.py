@@ -5,6 +5,7 @@ import gzip
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from oracle import compare, duck
 
@@ -26,7 +27,7 @@ def brute(rows, least=0):
     for k, h in rows:
         data = (h or "").encode()
         to = keeper.get(h or "") if len(data) >= least else None
-        to = None if to == k or k is None else to
+        to = None if to == k else to  # a null key revisits too: it is not the smallest
         out.append((k, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if to is not None else "response", to))
     return Counter(out)
 
@@ -71,3 +72,28 @@ def test_ranges_are_coalesced():
     rows = [("a", 0, 10), ("a", 10, 10), ("a", 500_000, 5), ("b", 0, 20 << 20), ("b", 20 << 20, 7)]
     reads = [(f, s, e, len(r)) for f, s, e, r in coalesce_ranges(rows)]
     assert reads == [("a", 0, 20, 2), ("a", 500_000, 500_005, 1), ("b", 0, 20 << 20, 1), ("b", 20 << 20, (20 << 20) + 7, 1)]
+
+
+def test_tasks_follow_the_bytes_named_not_the_index(spark, tmp_path):
+    """An index of a few rows a megabyte is read by as many tasks as its archives have task sizes."""
+    from tablab.llm.storage import tasks_for
+    from tablab.llm.warc import read_records, write_archives
+
+    rng = np.random.default_rng(4)
+    rows = [(i, f"u{i}", rng.bytes(6000).hex()) for i in range(640)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = write_archives(pages, str(tmp_path / "a"))
+    size = index.agg({"length": "sum"}).first()[0]
+    read = read_records(index, task_bytes=size // 63)
+    assert read.rdd.getNumPartitions() >= 60
+    assert read.where("payload is not null").count() == 640
+    assert tasks_for(None) == tasks_for(0) == 1 and tasks_for(64 << 20, 1 << 20) == 64
+
+
+def test_null_key_revisits_an_equal_payload(spark, tmp_path):
+    from tablab.llm.warc import archive_and_read
+
+    pages = spark.createDataFrame([(None, "a", "same"), (7, "b", "same"), (9, "c", "same"), (None, "d", "alone"), (None, "e", None), (None, "f", None)],
+                                  "page_id long, url string, html string")
+    got = sorted((r.url, r.record_type, r.refers_to) for r in archive_and_read(pages).collect())
+    assert got == [("a", "revisit", 7), ("b", "response", None), ("c", "revisit", 7), ("d", "response", None), ("e", "response", None), ("f", "response", None)]
