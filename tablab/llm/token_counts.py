@@ -7,7 +7,9 @@ and a running sum over the block summaries of a file -- a few numbers a block --
 
 Defined results: documents are numbered from 0 in file order; tokens after a file's last separator are a document
 without an end (``closed`` false), no tokens there are none; two separators in a row hold an empty document; an empty
-file has no document.  A file that is not a whole number of ids is an error.
+file has no document.  A file that is not a whole number of ids is an error.  For tables: a null text is an empty one
+(0 tokens); rows with null or repeated ids each keep a row and their own count; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tablab.llm.bpe import encoder_of
 from tablab.llm.common import materialise, ref
-from tablab.llm.storage import PartFile, RangeReader
+from tablab.llm.storage import TASK_BYTES, PartFile, RangeReader, tasks_for
 from tablab.session import scratch_path
 
 BLOCK_BYTES = 8 << 20
@@ -100,12 +102,13 @@ def scan_blocks(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
 
 
 def count_tokens(spark: SparkSession, files: list[str] | DataFrame, eod: int, width: int = 2,
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, doc, n_tokens, closed) of every document of the files."""
+                 block_bytes: int = BLOCK_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(file, doc, n_tokens, closed) of every document of the files, scanned by one task for about ``task_bytes``."""
     if block_bytes % width:
         raise ValueError("a block must hold a whole number of ids")
-    blocks = file_blocks(spark, files, block_bytes).repartition("file", "block")  # tasks of equal blocks, not of files
-    scanned = materialise(scan_blocks(blocks, eod, width), "scanned")
+    blocks = materialise(file_blocks(spark, files, block_bytes), "blocks")
+    tasks = tasks_for(blocks.agg(F.sum("length")).first()[0], task_bytes)
+    scanned = materialise(scan_blocks(blocks.repartition(tasks, "file", "block"), eod, width), "scanned")  # tasks of equal blocks, not of files
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     marked = scanned.select(

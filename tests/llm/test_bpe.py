@@ -119,3 +119,20 @@ def test_scan_stitches_over_blocks(spark, tmp_path):
     for block in (2, 16, 1 << 20):
         got = count_tokens(spark, files, 9, 2, block).collect()
         assert sorted((files.index(r.file), r.doc, r.n_tokens, r.closed) for r in got) == sorted(want)
+
+
+def test_scan_tasks_follow_the_bytes(spark, tmp_path):
+    """One file of 64 blocks is scanned by a task for each task size, adaptive execution or not."""
+    path = tmp_path / "one.tokens"
+    ids = np.random.default_rng(2).integers(0, 900, 1 << 19).astype("<u2")
+    path.write_bytes(ids.tobytes())
+    from tablab.llm import token_counts as C
+
+    seen, plain = [], C.scan_blocks
+    C.scan_blocks = lambda blocks, *a: seen.append(blocks.rdd.getNumPartitions()) or plain(blocks, *a)
+    try:
+        counts = count_tokens(spark, [str(path)], 7, block_bytes=1 << 14, task_bytes=1 << 14)
+        assert counts.count() == (ids == 7).sum() + (ids[-1] != 7)
+    finally:
+        C.scan_blocks = plain
+    assert seen == [64]
