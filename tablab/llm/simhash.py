@@ -64,6 +64,10 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+#: Variants that one task emits, about.
+TASK_ROWS = 500_000
+
+
 def fingerprint_udf(shingle: int = 3, seed: int = 42):
     """Arrow-batched column function text -> fingerprint (its 64 bits as a long)."""
 
@@ -101,6 +105,9 @@ def near_pairs(prints: DataFrame, radius: int) -> DataFrame:
     if not 0 <= radius <= 6:
         raise ValueError("radius must be 0 to 6 bits")
     prints = prints.select("fp").where("fp is not null").distinct()
+    # a small table that grows by the size of the ball: tasks are counted from what they will emit
+    emitted = prints.count() * len(ball_masks((radius + 1) // 2))
+    prints = prints.repartition(max(1, emitted // TASK_ROWS), "fp")
     if radius % 2 == 0:
         met = _variants(prints, radius // 2).withColumn("low", F.min("fp").over(Window.partitionBy("variant")))
         found = met.where("low <> fp").select(F.col("low").alias("a"), F.col("fp").alias("b"))
