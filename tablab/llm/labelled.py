@@ -39,7 +39,14 @@ def bounded_labels(train: DataFrame, most: dict[int, int], salt: int = 7) -> tup
     chosen = F.lit(False)
     for y, bound in most.items():
         chosen = chosen | ((F.col("y") == y) & _below(F.col("id"), salt, bound / max(1, counts[y])))
-    return train.where(chosen).limit(2 * sum(most.values())), counts  # the limit only guards memory: the hash keeps the bound
+    return train.where(chosen), counts  # ids are unique here, so the hash keeps the bound
+
+
+def within_bound(rows: DataFrame, bound: int, salt: int = 13) -> DataFrame:
+    """``rows`` (id, text, ...), or where repeated ids make them more than ``bound``, about so many, chosen by hash of id
+    and text."""
+    n = rows.count()
+    return rows if n <= bound else rows.where(F.pmod(F.xxhash64("id", "text", F.lit(salt)), F.lit(_SHARE)) < bound * _SHARE // n)
 
 
 def sample_by_hash(docs: DataFrame, bound: int, alias: str, salt: int = 11) -> Column:

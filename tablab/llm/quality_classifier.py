@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablab.llm.common import ref
-from tablab.llm.labelled import bounded_labels, held_out, sample_by_hash, training_labels
+from tablab.llm.common import ref, trim
+from tablab.llm.labelled import bounded_labels, held_out, sample_by_hash, training_labels, within_bound
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_NEGATIVE = 8000, 12000, 4000
 CUT = 0.3
@@ -144,7 +144,11 @@ def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = EPOCHS, see
     d = p.shape[1]
     net = Network(mean, scale, rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
                   rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN).astype(np.float32), np.float32(0))
-    ps, us = (np.clip((x - mean) * scale, -4, 4) for x in (p, u))
+    ps, us = p - mean, u - mean
+    del p, u
+    for x in (ps, us):  # in place: these are the largest arrays of the driver
+        x *= scale
+        np.clip(x, -4, 4, out=x)
     names = ("w1", "b1", "w2", "b2")
     m, v = ({k: np.zeros_like(getattr(net, k)) for k in names} for _ in range(2))
     t = 0
@@ -196,11 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # a few thousand (id, label) pairs, bounded by the parameters above
     rows = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text")).join(F.broadcast(chosen), "id", "left")
     free = sample_by_hash(docs, max_unlabelled, "id")
-    rows = rows.where(F.col("y").isNotNull() | free).select("y", free.alias("free"), feature_udf()("text").alias("x"))
-    sample = rows.limit(2 * (max_positive + max_negative + max_unlabelled)).collect()
-    x = np.frombuffer(b"".join(r["x"] for r in sample), np.float32).reshape(len(sample), N_RATES + BUCKETS)
-    y = np.array([-1 if r["y"] is None else r["y"] for r in sample])
-    u = np.array([bool(r["free"]) for r in sample])
+    rows = within_bound(rows.where(F.col("y").isNotNull() | free).select("id", "text", "y", free.alias("free")), 2 * (max_positive + max_negative + max_unlabelled))
+    sample = rows.select(F.coalesce("y", F.lit(-1)).alias("y"), F.coalesce("free", F.lit(False)).alias("free"), feature_udf()("text").alias("x")).toArrow()
+    width = N_RATES + BUCKETS
+    if not len(sample):
+        return None
+    x = np.frombuffer(sample.column("x").combine_chunks().buffers()[2], np.float32, len(sample) * width).reshape(-1, width)
+    y, u = sample.column("y").to_numpy(), sample.column("free").to_numpy()
     if not (y == 1).any():
         return None
     net = fit_pu(x[y == 1], x[u] if u.any() else x, prior, moments=input_moments(docs, text_col))
@@ -210,6 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     cut = best_cut(g, y[known]) if (y == 0).any() else float(np.quantile(g, 0.01))
     net.a = float(3 / max(1e-6, np.abs(g - cut).mean()))
     net.b = float(np.log(CUT / (1 - CUT)) - net.a * cut)
+    del sample, x, g
+    trim()
     return net
 
 
