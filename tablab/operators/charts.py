@@ -18,6 +18,7 @@ from tablab.functions.long import q
 from tablab.functions.small import collect_bounded, one_row
 from tablab.operators import profile as P
 from tablab.operators.quantiles import quantiles_wide
+from tablab.operators.reduction import line_envelope, sample_points
 
 
 def _extras(*cols: str | None) -> list[str]:
@@ -29,16 +30,24 @@ def _extras(*cols: str | None) -> list[str]:
 
 
 # -------------------------------------------------------- G1 / G4 rows
-def line_data(df: DataFrame, x: str, y: str, color=None, facet_col=None, facet_row=None) -> DataFrame:
-    """All rows (x, y, extras) ordered by x ascending, nulls last.  The sort is
-    a range-partitioned distributed sort."""
+def line_data(df: DataFrame, x: str, y: str, color=None, facet_col=None, facet_row=None, max_points: int | None = None) -> DataFrame:
+    """Rows (x, y, extras) ordered by x ascending, nulls last: a range-partitioned distributed sort.  With ``max_points``
+    at most so many per series (colour and facets), which keep every end and extreme of a series
+    (:func:`tablab.operators.reduction.line_envelope`)."""
     cols = _extras(x, y, color, facet_col, facet_row)
     require_columns(df, cols)
-    return df.select(*[q(c) for c in cols]).orderBy(F.asc_nulls_last(x))
+    rows = df.select(*[q(c) for c in cols]) if max_points is None else line_envelope(df, x, y, cols[2:], max_points)
+    return rows.orderBy(F.asc_nulls_last(q(x)))
 
 
-def scatter_data(df: DataFrame, x: str, y: str, color=None, facet_col=None, facet_row=None) -> DataFrame:
-    return line_data(df, x, y, color, facet_col, facet_row)
+def scatter_data(df: DataFrame, x: str, y: str, color=None, facet_col=None, facet_row=None, max_points: int | None = None,
+                 key: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+    """Rows (x, y, extras) ordered by x; with ``max_points`` a seeded sample of at most so many per facet
+    (:func:`tablab.operators.reduction.sample_points`)."""
+    if max_points is None:
+        return line_data(df, x, y, color, facet_col, facet_row)
+    cols = _extras(x, y, color, facet_col, facet_row)
+    return sample_points(df, cols, max_points, _extras(facet_col, facet_row), key, seed).orderBy(F.asc_nulls_last(q(x)))
 
 
 # -------------------------------------------------------- G2 / G3 bars
@@ -179,15 +188,19 @@ def distribution_data(df: DataFrame, c: str, bins: int = 20) -> DataFrame:
 
 # --------------------------------------------------- G9 scatter matrix
 def scatter_matrix_data(
-    df: DataFrame, cols: Sequence[str] | None = None, color: str | None = None, bins: int | None = None
+    df: DataFrame, cols: Sequence[str] | None = None, color: str | None = None, bins: int | None = None,
+    max_points: int | None = None, key: Sequence[str] | None = None, seed: int = 42,
 ) -> DataFrame:
-    """Rows of the selected columns (default: first 4 numeric) and color; with
+    """Rows of the selected columns (default: first 4 numeric) and color, with
+    ``max_points`` a seeded sample of at most so many of them; with
     ``bins`` the 2-D bin counts (x_col, y_col, x_bin, y_bin, count) for every
     off-diagonal pair instead, aggregated map-side in one pass."""
     cols = list(numeric_columns(df)[:4] if cols is None else cols)
     if len(cols) < 2:
         raise ValueError("a scatter matrix needs at least two columns")
     require_numeric(df, cols)
+    if bins is None and max_points is not None:
+        return sample_points(df, _extras(*cols, color), max_points, (), key, seed)
     if bins is None:
         return df.select(*[q(c) for c in _extras(*cols, color)])
     row = one_row(df.agg(*[F.min(q(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(cols)],

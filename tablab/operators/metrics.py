@@ -12,6 +12,7 @@ from tablab.functions.cumulative import running_sums
 from tablab.functions.long import q
 from tablab.functions.small import one_row
 from tablab.operators import charts as G
+from tablab.operators.reduction import sample_points
 
 
 # ------------------------------------------------------------- M14 / M15
@@ -113,8 +114,12 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
     )
 
 
-def residual_data(pred: DataFrame, label: str = "label", prediction: str = "prediction", keep=()) -> DataFrame:
-    """(prediction, residual = label - prediction) per row."""
+def residual_data(pred: DataFrame, label: str = "label", prediction: str = "prediction", keep=(), max_points: int | None = None,
+                  key=None, seed: int = 42) -> DataFrame:
+    """(prediction, residual = label - prediction) per row; with ``max_points`` for a seeded sample of at most so many
+    rows, which ``key`` identifies (by default ``keep``, label and prediction)."""
+    if max_points is not None:
+        pred = sample_points(pred, [*keep, label, prediction], max_points, (), key, seed)
     return pred.select(
         *[q(k) for k in keep],
         q(prediction).cast("double").alias("prediction"),

@@ -13,28 +13,36 @@ wanted rank is bracketed and the bracket narrowed:
    about four rows in ``accuracy`` and repeated values;
 3. the value at a rank is read off the running counts of the bracket.
 
-No pass shuffles the values of a column.  For whole columns step 2 repeats on a
-smaller bracket until few distinct values are left; for groups it runs once, and
-the running counts are windows over the brackets' values alone.  All results
-are exact.
+No pass shuffles the values of a column.  For whole columns step 2 counts parts of
+the bracket, by sorted batches, and repeats on the part that holds the rank until
+few values are left; for groups it runs once, and the running counts are windows
+over the brackets' values alone.  All results are exact.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import struct
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablab.functions.long import q
+from tablab.functions.names import private
 from tablab.functions.small import collect_bounded, one_row
 
 SKETCH_ACCURACY = 10000
 #: Half width of a bracket as a share of the rows: twice the sketch's error.
 MARGIN = 2.0 / SKETCH_ACCURACY
-#: Distinct values of a column's bracket that end its narrowing.
-BRACKET_VALUES = 20_000
+#: Parts of all brackets that a pass counts, values that the last pass reads in all, and the fewest per bracket.
+PARTS, VALUES, FEW = 8192, 200_000, 64
+
+
+#: Helper columns of :func:`quantiles_long`; its keys take other names on the way.
+OWN = ("_v", "_n", "_min", "_max", "_e", "_pi", "_p", "_h", "_lo", "_hi", "_t", "_c", "_end", "_a", "_b", "q")
 
 
 def _maybe_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
@@ -72,7 +80,9 @@ def quantiles_long(
     keys = list(keys)
     if not keys:
         raise ValueError("quantiles_long needs at least one key column")
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    own = {k: n for k, n in zip(keys, private([*OWN, value], *[f"g{i}" for i in range(len(keys))]))}
+    base = df.select(*[q(k).alias(n) for k, n in own.items()], q(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    given, keys = keys, list(own.values())
     ends = [x for p in probs for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     stats = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
@@ -99,7 +109,7 @@ def quantiles_long(
     vc = vc.withColumn("_end", F.sum("_c").over(order))
     at = lambda rank: F.max(F.when((rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end")), F.col("_v")))
     found = vc.groupBy(*group).agg(at(F.floor("_h")).alias("_a"), at(F.ceil("_h")).alias("_b"))
-    return found.select(*keys, "_pi", "_p", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias("q"))
+    return found.select(*[F.col(n).alias(k) for k, n in zip(given, keys)], "_pi", "_p", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))).alias("q"))
 
 
 def quantiles_wide(
@@ -129,80 +139,149 @@ def mode_long(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def _ordered(v: float) -> int:
+    """Whole number that orders as the double does."""
+    bits = struct.unpack("<q", struct.pack("<d", v))[0]
+    return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
+
+
+def _double(k: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", k))[0] if k >= 0 else -struct.unpack("<d", struct.pack("<q", -k))[0]
+
+
+def _edges(low: float, high: float, parts: int) -> np.ndarray:
+    """Ends of at most ``parts`` parts of [low, high] with equally many doubles each; the first is ``low`` alone, the
+    last ``high``.  However the values lie, a part has at most a ``parts``-th of the doubles that the whole has."""
+    a, b = _ordered(low), _ordered(high)
+    steps = min(parts, b - a)
+    return np.array([_double(a + (b - a) * i // steps) if steps else low for i in range(steps + 1)])
+
+
+def _numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+
+
+def _present(column: pa.Array) -> np.ndarray:
+    v = column.to_numpy(zero_copy_only=False)
+    return v[~np.isnan(v)]
+
+
+def _part_counts(df: DataFrame, cols: Sequence[str], parts: dict[int, tuple[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    """Per bracket k -> (column, edges): how many values lie below the first edge, in each part, in order.  One pass for
+    all columns; a task sorts a batch of a column once and looks up all edges at a time."""
+    by_column = [[k for k in parts if parts[k][0] == c] for c in range(len(cols))]
+    looked = [np.concatenate([parts[k][1] for k in ks]) if ks else np.empty(0) for ks in by_column]
+    firsts = [np.array([parts[k][1][0] for k in ks]) for ks in by_column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {k: np.zeros(len(e) + 1, np.int64) for k, (_, e) in parts.items()}
+        for batch in batches:
+            for c, ks in enumerate(by_column):
+                if ks:
+                    v = np.sort(_present(batch.column(c)))
+                    upto, below, at = np.searchsorted(v, looked[c], "right"), np.searchsorted(v, firsts[c], "left"), 0
+                    for i, k in enumerate(ks):
+                        n = len(parts[k][1])
+                        total[k] += np.diff(upto[at : at + n], prepend=[0, below[i]])
+                        at += n
+        rows = [(k, np.flatnonzero(t)) for k, t in total.items()]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([np.full(len(at), k) for k, at in rows]), pa.int64()), pa.array(np.concatenate([at for _, at in rows]), pa.int64()),
+            pa.array(np.concatenate([total[k][at] for k, at in rows]), pa.int64())], names=["k", "part", "n"])
+
+    out = {k: np.zeros(len(e) + 1, np.int64) for k, (_, e) in parts.items()}
+    sums = _numbers(df, cols).mapInArrow(run, "k long, part long, n long").groupBy("k", "part").agg(F.sum("n").alias("n"))
+    for r in collect_bounded(sums, 2 * PARTS + 20 * len(parts), "counts around the wanted ranks"):
+        out[r["k"]][r["part"]] = r["n"]
+    return out
+
+
+def _bracket_values(df: DataFrame, cols: Sequence[str], brackets: dict[int, tuple[int, float, float]]) -> dict[int, list[tuple[float, int]]]:
+    """Per bracket k -> (column, low, high): its values with their counts, ascending."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+            columns = {}
+            for k, (c, low, high) in brackets.items():
+                v = columns.get(c)
+                if v is None:
+                    v = columns[c] = np.sort(_present(batch.column(c)))
+                values, counts = np.unique(v[np.searchsorted(v, low, "left") : np.searchsorted(v, high, "right")], return_counts=True)
+                got.append((np.full(len(values), k), values, counts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got)], names=["k", "v", "n"])
+
+    pairs = _numbers(df, cols).mapInArrow(run, "k long, v double, n long").groupBy("k", "v").agg(F.sum("n").alias("n"))
+    out: dict[int, list[tuple[float, int]]] = {k: [] for k in brackets}
+    for r in collect_bounded(pairs, VALUES + FEW * len(brackets), "values around the wanted ranks"):
+        out[r["k"]].append((r["v"], r["n"]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
-    """Exact quantiles of whole columns as constants: {column: [q per prob]}
-    (None without a value).  Each step is one pass over the columns for all
-    columns and ranks together, with one row per task in its shuffle."""
-    x = {c: q(c).cast("double") for c in cols}
+    """Exact quantiles of whole columns as constants: {column: [q per prob]} (None without a value; NaN is no value).
+
+    A first pass brackets all wanted ranks by one sketch a column.  Each further pass counts, for all columns and brackets
+    together, the values below and in the parts of every bracket, which confirms a bracket, or resets it to the whole
+    range, and narrows it to the part that holds its rank; brackets with few values are read.  A task hands on one number
+    per part, and the passes number at most 64 bits over the bits of a pass, whatever the values."""
+    cols = list(dict.fromkeys(cols))
+    x = {c: F.nanvl(q(c).cast("double"), F.lit(None).cast("double")) for c in cols}
     ends = [e for p in probs for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     first = one_row(df.agg(*[
         F.struct(F.count(x[c]).alias("n"), F.min(x[c]).alias("min"), F.max(x[c]).alias("max"),
-                 F.percentile_approx(x[c], ends, SKETCH_ACCURACY).alias("e")).alias(f"c{i}")
+                 F.percentile_approx(x[c], ends or [0.5], SKETCH_ACCURACY).alias("e")).alias(f"c{i}")
         for i, c in enumerate(cols)
-    ]))
-    # wanted: (column, rank) -> [low, high], both ends included
-    wanted: dict[tuple[str, int], list[float]] = {}
-    for i, c in enumerate(cols):
-        n = first[f"c{i}"]["n"]
-        for j, p in enumerate(probs if n else []):
-            low, high = first[f"c{i}"]["e"][2 * j], first[f"c{i}"]["e"][2 * j + 1]
-            for r in {math.floor((n - 1) * p), math.ceil((n - 1) * p)}:
-                low_end = first[f"c{i}"]["min"] if ends[2 * j] <= 0 or n < SKETCH_ACCURACY else low
-                high_end = first[f"c{i}"]["max"] if ends[2 * j + 1] >= 1 or n < SKETCH_ACCURACY else high
-                wanted.setdefault((c, r), [low_end, high_end])
-    below: dict[tuple[str, int], int] = {}
-    value: dict[tuple[str, int], float] = {}
-    todo = list(wanted)
+    ])) if cols else {}
+    size = [first[f"c{i}"]["n"] for i in range(len(cols))]
+    span = [(first[f"c{i}"]["min"], first[f"c{i}"]["max"]) for i in range(len(cols))]
+    # wanted: (column, rank) -> bracket, both ends included; a small column is read whole
+    wanted: dict[tuple[int, int], tuple[float, float]] = {}
+    for i in range(len(cols)):
+        for j, p in enumerate(probs if size[i] else []):
+            e = first[f"c{i}"]["e"][2 * j : 2 * j + 2]
+            low = span[i][0] if ends[2 * j] <= 0 or size[i] < SKETCH_ACCURACY else e[0]
+            high = span[i][1] if ends[2 * j + 1] >= 1 or size[i] < SKETCH_ACCURACY else e[1]
+            for r in {math.floor((size[i] - 1) * p), math.ceil((size[i] - 1) * p)}:
+                wanted.setdefault((i, r), (low, high))
+    value: dict[tuple[int, int], float] = {t: b[0] for t, b in wanted.items() if span[t[0]][0] == span[t[0]][1]}
+    few = max(FEW, VALUES // max(1, len(wanted)))
+    read: dict[tuple[int, int], tuple[float, float, int]] = {t: (*span[t[0]], 0) for t in wanted if t not in value and size[t[0]] <= few}
+    todo = {t: b for t, b in wanted.items() if t not in value and t not in read}
     while todo:
-        aggs = []
-        for k, (c, r) in enumerate(todo):
-            low, high = wanted[c, r]
-            inside = F.when((x[c] >= F.lit(low)) & (x[c] <= F.lit(high)), x[c])
-            aggs.append(F.struct(F.count_if(x[c] < F.lit(low)).alias("below"), F.count(inside).alias("n"),
-                                 F.approx_count_distinct(inside).alias("distinct"),
-                                 F.percentile_approx(inside, [i / 200 for i in range(201)], SKETCH_ACCURACY).alias("e")).alias(f"t{k}"))
-        row = one_row(df.agg(*aggs))
-        later = []
-        for k, t in enumerate(todo):
-            got, (low, high) = row[f"t{k}"], wanted[t]
-            below[t] = got["below"]
-            place = t[1] - got["below"]
-            if not 0 <= place < got["n"]:  # the sketch promises otherwise; widen rather than trust it
-                wanted[t] = [first[f"c{list(cols).index(t[0])}"]["min"], first[f"c{list(cols).index(t[0])}"]["max"]]
-                later.append(t)
-            elif low == high:
-                value[t] = low
-            elif got["distinct"] > BRACKET_VALUES:
-                step = place / max(1, got["n"] - 1) * 200
-                tighter = [got["e"][max(0, math.floor(step) - 1)], got["e"][min(200, math.ceil(step) + 1)]]
-                if tighter != [low, high]:
-                    wanted[t] = tighter
-                    later.append(t)
+        brackets = sorted({(c, *b) for (c, _), b in todo.items()})
+        number = {b: k for k, b in enumerate(brackets)}
+        parts = {k: (c, _edges(low, high, max(16, PARTS // len(brackets)))) for (c, low, high), k in number.items()}
+        counts, later = _part_counts(df, cols, parts), {}
+        for (c, r), b in todo.items():
+            k = number[(c, *b)]
+            upto = np.cumsum(counts[k])  # below the first edge, then up to each edge
+            part = int(np.searchsorted(upto, r, "right"))
+            if part == 0 or part == len(upto):  # the sketch promises otherwise; count rather than trust it
+                later[c, r] = span[c]
+                continue
+            edges = parts[k][1]
+            low, high = edges[0] if part == 1 else _double(_ordered(edges[part - 2]) + 1), edges[part - 1]
+            if low == high:
+                value[c, r] = float(high)
+            elif counts[k][part] <= few:
+                read[c, r] = (float(low), float(high), int(upto[part - 1]))
+            else:
+                later[c, r] = (float(low), float(high))
         todo = later
-    left = [t for t in wanted if t not in value]
-    if left:
-        inside = [
-            F.when((x[c] >= F.lit(wanted[c, r][0])) & (x[c] <= F.lit(wanted[c, r][1])), F.struct(F.lit(k).alias("t"), x[c].alias("v")))
-            for k, (c, r) in enumerate(left)
-        ]
-        pairs = df.select(F.explode(F.array_compact(F.array(*inside))).alias("p")).groupBy("p.t", "p.v").agg(F.count(F.lit(1)).alias("n"))
-        rows = collect_bounded(pairs, 2 * BRACKET_VALUES * len(left), "values around the wanted ranks")
-        counts: dict[int, list] = {}
-        for r in rows:
-            counts.setdefault(r["t"], []).append((r["v"], r["n"]))
-        for k, t in enumerate(left):
-            end = below[t]
-            for v, n in sorted(counts[k]):
+    if read:
+        spans = sorted({(c, low, high) for (c, _), (low, high, _) in read.items()})
+        found = _bracket_values(df, cols, dict(enumerate(spans)))
+        for (c, r), (low, high, end) in read.items():
+            for v, n in found[spans.index((c, low, high))]:
                 end += n
-                if t[1] < end:
-                    value[t] = v
+                if r < end:
+                    value[c, r] = v
                     break
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
-        n = first[f"c{i}"]["n"]
         out[c] = []
         for p in probs:
-            h = (n - 1) * p
-            a, b = (value[c, math.floor(h)], value[c, math.ceil(h)]) if n else (None, None)
-            out[c].append(None if a is None else a + (b - a) * (h - math.floor(h)))
+            h = (size[i] - 1) * p
+            a, b = (value[i, math.floor(h)], value[i, math.ceil(h)]) if size[i] else (None, None)
+            out[c].append(None if a is None else a if a == b else a + (b - a) * (h - math.floor(h)))
     return out
