@@ -78,48 +78,42 @@ def area_data(df: DataFrame, x: str, y: str, color: str | None = None, facet_col
 
 
 # -------------------------------------------------------------- G6 box
+BOX_FIELDS = ("n", "min", "q1", "median", "q3", "max", "lower_fence", "upper_fence", "whisker_low", "whisker_high", "n_outliers")
+
+
 def box_data(df: DataFrame, x: str | None, y: str, color=None, facet_col=None, facet_row=None, k: float = 1.5) -> DataFrame:
     """Per group: n, min, q1, median, q3, max (exact, linear), fences
     q1 - k*IQR / q3 + k*IQR, whiskers (most extreme values inside the fences)
-    and the number of points outside them."""
+    and the number of points outside them.  A group column with the name of one
+    of these comes back as ``group_<name>``."""
     keys = _extras(x, color, facet_col, facet_row)
     require_columns(df, keys)
     require_numeric(df, [y])
-    if not keys:
-        base = df.select(F.lit("all").alias("_group"), q(y).cast("double").alias(y))
-        keys_used = ["_group"]
-    else:
-        notnull = F.lit(True)
-        for c in keys:
-            notnull = notnull & q(c).isNotNull()
-        base = df.where(notnull).select(*[q(c) for c in keys], q(y).cast("double").alias(y))
-        keys_used = keys
-    qs = quantiles_wide(base, keys_used, y, [0.25, 0.5, 0.75], ["q1", "median", "q3"], bounded_keys=False)
+    own = [f"key{i}" for i in range(max(1, len(keys)))]  # names of its own on the way, the user's at the end
+    present = F.lit(True)
+    for c in keys:
+        present = present & q(c).isNotNull()
+    groups = [q(c).alias(n) for c, n in zip(keys, own)] or [F.lit("all").alias(own[0])]
+    base = df.where(present).select(*groups, q(y).cast("double").alias("value"))
+    qs = quantiles_wide(base, own, "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"], bounded_keys=False)
     qs = qs.withColumn("lower_fence", F.col("q1") - k * (F.col("q3") - F.col("q1"))).withColumn(
         "upper_fence", F.col("q3") + k * (F.col("q3") - F.col("q1"))
     )
-    v = F.col(y)
+    v = F.col("value")
     inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
-    stats = (
-        base.join(qs, keys_used, "left")
-        .groupBy(*keys_used)
-        .agg(
-            F.count(v).alias("n"),
-            F.min(v).alias("min"),
-            F.max(v).alias("max"),
-            F.first("q1", ignorenulls=True).alias("q1"),
-            F.first("median", ignorenulls=True).alias("median"),
-            F.first("q3", ignorenulls=True).alias("q3"),
-            F.first("lower_fence", ignorenulls=True).alias("lower_fence"),
-            F.first("upper_fence", ignorenulls=True).alias("upper_fence"),
-            F.min(F.when(inside, v)).alias("whisker_low"),
-            F.max(F.when(inside, v)).alias("whisker_high"),
-            F.count_if(v.isNotNull() & ~inside).alias("n_outliers"),
-        )
+    per_group = ("q1", "median", "q3", "lower_fence", "upper_fence")
+    stats = base.join(qs, own, "left").groupBy(*own).agg(
+        F.count(v).alias("n"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in per_group],
+        F.min(F.when(inside, v)).alias("whisker_low"),
+        F.max(F.when(inside, v)).alias("whisker_high"),
+        F.count_if(v.isNotNull() & ~inside).alias("n_outliers"),
     )
-    out = stats.select(*keys_used, "n", "min", "q1", "median", "q3", "max", "lower_fence", "upper_fence",
-                       "whisker_low", "whisker_high", "n_outliers")
-    return out.drop("_group") if not keys else out.orderBy(*keys)
+    out = stats.orderBy(*own) if keys else stats
+    named = [F.col(n).alias(f"group_{c}" if c.lower() in BOX_FIELDS else c) for c, n in zip(keys, own)]
+    return out.select(*named, *BOX_FIELDS)
 
 
 # -------------------------------------------------------- G7 histogram

@@ -40,6 +40,8 @@ from pyspark.sql import types as T
 
 from tablab.functions.hashing import key_hash
 from tablab.functions.literals import lit_array, lit_matrix
+from tablab.functions.long import q
+from tablab.functions.names import private
 from tablab.functions.small import collect_bounded, one_row
 from tablab.session import ensure_checkpoint_dir
 
@@ -145,15 +147,15 @@ def _neighbors(train: DataFrame, te: DataFrame, train_key: Sequence[str], featur
     te = te.withColumn("_qd", pivot_dists(F.col("_q")))
     te = te.withColumn("_c0", F.array_position(F.col("_qd"), F.array_min("_qd")).cast("int") - 1).checkpoint()
 
-    def candidates(q: DataFrame) -> DataFrame:
-        # q: (_qid, _q, _cell) -> one task per (cell, sub-cell, block of queries)
-        rows = collect_bounded(q.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")), n_cells, "queries per cell")
+    def candidates(asked: DataFrame) -> DataFrame:
+        # asked: (_qid, _q, _cell) -> one task per (cell, sub-cell, block of queries)
+        rows = collect_bounded(asked.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")), n_cells, "queries per cell")
         blocks = per_cell({r["_cell"]: max(1, math.ceil(r["n"] / query_target)) for r in rows})
-        q = q.withColumn("_blk", F.pmod(F.xxhash64("_qid"), blocks).cast("int"))
-        q = q.withColumn("_sub", F.explode(F.sequence(F.lit(0), per_cell(subs) - 1)))
+        asked = asked.withColumn("_blk", F.pmod(F.xxhash64("_qid"), blocks).cast("int"))
+        asked = asked.withColumn("_sub", F.explode(F.sequence(F.lit(0), per_cell(subs) - 1)))
         pts = points.withColumn("_blk", F.explode(F.sequence(F.lit(0), blocks - 1)))
         part = ["_cell", "_sub", "_blk"]
-        return q.groupBy(*part).cogroup(pts.groupBy(*part)).applyInPandas(_block_topk(k, tkn), schema)
+        return asked.groupBy(*part).cogroup(pts.groupBy(*part)).applyInPandas(_block_topk(k, tkn), schema)
 
     def topk(c: DataFrame) -> DataFrame:
         w = Window.partitionBy("_qid").orderBy("_d", *tkn)
@@ -173,10 +175,10 @@ def _neighbors(train: DataFrame, te: DataFrame, train_key: Sequence[str], featur
     return topk(first.drop("_rank").unionByName(candidates(rest)))
 
 
-def _with_row_id(test: DataFrame) -> DataFrame:
+def _with_row_id(test: DataFrame, name: str) -> DataFrame:
     """Query rows under an id of their own, fixed by a checkpoint."""
     ensure_checkpoint_dir(test.sparkSession)
-    return test.withColumn("_qid", F.monotonically_increasing_id()).checkpoint()
+    return test.withColumn(name, F.monotonically_increasing_id()).checkpoint()
 
 
 def knn_neighbors(
@@ -195,12 +197,15 @@ def knn_neighbors(
     """(query key..., rank, neighbor_<train key>..., distance, label) for the
     k nearest training rows of every test row; test rows that repeat a key
     have their own k rows each."""
-    rows = _with_row_id(test)
-    te = rows.select("_qid", as_double_array(rows, features).alias("_q"))
+    (qid,) = private(test.columns, "qid")
+    rows = _with_row_id(test, qid)
+    te = rows.select(F.col(qid).alias("_qid"), as_double_array(rows, features).alias("_q"))
     best = _neighbors(train, te, list(train_key), features, label, k, pivots, seed, cell_target, query_target)
     tcols = [F.col(f"_t{i}").alias(f"neighbor_{c}") for i, c in enumerate(train_key)]
-    return best.join(rows.select("_qid", *test_key), "_qid").select(
-        *test_key, F.col("_rank").alias("rank"), *tcols, F.col("_d").alias("distance"), F.col("_y").alias(label)
+    own = [f"_k{i}" for i in range(len(test_key))]
+    named = rows.select(F.col(qid).alias("_qid"), *[q(c).alias(n) for c, n in zip(test_key, own)])
+    return best.join(named, "_qid").select(
+        *[F.col(n).alias(c) for c, n in zip(test_key, own)], F.col("_rank").alias("rank"), *tcols, F.col("_d").alias("distance"), F.col("_y").alias(label)
     )
 
 
@@ -233,18 +238,19 @@ def knn_classify(
 ) -> DataFrame:
     """Test rows with a ``prediction`` column (null if there is no training
     row) and, given the ``classes``, a ``probability`` array with each class's
-    share of the votes."""
+    share of the votes; both replace test columns of these names."""
     keys = [key] if isinstance(key, str) else list(key)
-    rows = _with_row_id(test)
-    te = rows.select("_qid", as_double_array(rows, features).alias("_q"))
+    qid, votes, found = private(test.columns, "qid", "votes", "found")
+    rows = _with_row_id(test, qid)
+    te = rows.select(F.col(qid).alias("_qid"), as_double_array(rows, features).alias("_q"))
     best = _neighbors(train, te, keys, features, label, k, pivots, seed, cell_target, query_target)
     vote = _vote(best.select("_qid", F.col("_y").alias("_label")), ["_qid"], "_label")
-    out = rows.join(vote, "_qid", "left")
+    out = rows.join(vote.select(F.col("_qid").alias(qid), F.col("prediction").alias(found), F.col("_votes").alias(votes)), qid, "left")
+    made = {"prediction": F.col(found)}
     if classes is not None:
-        total = F.aggregate(F.map_values("_votes"), F.lit(0).cast("long"), lambda a, v: a + v)
-        share = [F.coalesce(F.try_element_at("_votes", F.lit(c).cast(train.schema[label].dataType)), F.lit(0)) / total for c in classes]
-        out = out.withColumn("probability", F.array(*share))
-    return out.drop("_qid", "_votes")
+        total = F.aggregate(F.map_values(votes), F.lit(0).cast("long"), lambda a, v: a + v)
+        made["probability"] = F.array(*[F.coalesce(F.try_element_at(F.col(votes), F.lit(c).cast(train.schema[label].dataType)), F.lit(0)) / total for c in classes])
+    return out.select(*[q(c) for c in test.columns if c.lower() not in made], *[v.alias(n) for n, v in made.items()])
 
 
 def knn_predict(train_vec: DataFrame, test_vec: DataFrame, key: Sequence[str], k: int = 5, classes: Sequence | None = None) -> DataFrame:

@@ -146,6 +146,8 @@ def describe(df: DataFrame, percentiles: Sequence[float] = DEFAULT_PERCENTILES,
     elif cat:
         place = F.create_map(*[x for c in cat for x in (F.lit(c), F.lit(df.columns.index(c)))])
         parts.append(describe_categorical(df, cat).withColumn("position", place[F.col(NAME)]))
+    if not parts:  # a table without columns
+        parts.append(df.sparkSession.createDataFrame([], f"{NAME} string, count bigint, position int"))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     wanted = {"unique": "bigint", "top": "string", "freq": "bigint", "mean": "double", "std": "double", "min": "double",
               **{n: "double" for n in names}, "max": "double"}
@@ -234,30 +236,30 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
         raise ValueError("correlation needs at least one numeric column")
     x = df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
     means = one_row(x.agg(*[F.avg(c).alias(c) for c in x.columns]))
-    centre = np.array([means[c] if means[c] is not None else 0.0 for c in x.columns])
+    centre = np.array([means[c] if means[c] is not None and np.isfinite(means[c]) else 0.0 for c in x.columns])
     d = len(cols)
 
     def partial(batches):
-        total = np.zeros((5, d, d))
+        total = np.zeros((6, d, d))
         for b in batches:
             v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(float) - centre
-            there = ~np.isnan(v)
-            v = np.where(there, v, 0.0)
-            m = there.astype(float)
-            total += np.stack([m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, v.T @ v])
+            there, endless = ~np.isnan(v), np.isinf(v)
+            v = np.where(there & ~endless, v, 0.0)
+            m, e = there.astype(float), endless.astype(float)
+            total += np.stack([m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, v.T @ v, e.T @ m + m.T @ e])
         i, j = np.indices((d, d))
         flat = [pa.array(a.ravel()) for a in (i, j, *total)]
-        yield pa.RecordBatch.from_arrays(flat, names=["i", "j", "n", "sa", "sb", "saa", "sab"])
+        yield pa.RecordBatch.from_arrays(flat, names=["i", "j", "n", "sa", "sb", "saa", "sab", "endless"])
 
-    sums = x.mapInArrow(partial, "i long, j long, n double, sa double, sb double, saa double, sab double")
-    sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sab")])
+    sums = x.mapInArrow(partial, "i long, j long, n double, sa double, sb double, saa double, sab double, endless double")
+    sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sab", "endless")])
     names = F.array(*[F.lit(c) for c in cols])
     # the squares of the other column of a pair stand in the pair's mirror image
     mirror = sums.select(F.col("i").alias("mj"), F.col("j").alias("mi"), F.col("saa").alias("sbb"))
     both = sums.join(mirror, (F.col("i") == F.col("mi")) & (F.col("j") == F.col("mj")))
     var = lambda s2, s1: s2 - s1 * s1 / F.col("n")
     va, vb = var(F.col("saa"), F.col("sa")), var(F.col("sbb"), F.col("sb"))
-    real = (F.col("n") > 0) & (va > 1e-12 * F.col("saa")) & (vb > 1e-12 * F.col("sbb"))
+    real = (F.col("n") > 0) & (F.col("endless") == 0) & (va > 1e-12 * F.col("saa")) & (vb > 1e-12 * F.col("sbb"))
     r = F.when(real, (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(F.when(real, va * vb)))
     r = F.when((F.col("i") == F.col("j")) & r.isNotNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
     name = lambda c: F.element_at(names, (F.col(c) + 1).cast("int"))
@@ -330,20 +332,21 @@ def group_agg(df: DataFrame, by: str | Sequence[str], y: str, fn: str = "mean",
     if fn not in AGG_FUNCS:
         raise ValueError(f"fn must be one of {AGG_FUNCS}")
     cond = reduce(lambda a, b: a & b, [q(k).isNotNull() for k in keys])
-    base = df.where(cond).select(*[q(k) for k in keys], q(y))
+    own = [f"key{i}" for i in range(len(keys))]  # names of its own on the way, the user's at the end
+    base = df.where(cond).select(*[q(k).alias(n) for k, n in zip(keys, own)], q(y).alias("value"))
     if fn == "median":
-        groups = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        med = quantiles_long(base, keys, y, [0.5], bounded_keys=False).select(*keys, F.col("q").alias(y))
-        out = groups.join(med, keys, "left").select(*keys, y)
+        groups = base.groupBy(*own).agg(F.count(F.lit(1)).alias("rows"))
+        med = quantiles_long(base, own, "value", [0.5], bounded_keys=False).select(*own, F.col("q").alias("value"))
+        out = groups.join(med, own, "left").select(*own, "value")
     else:
         fcol = {
-            "mean": F.avg(q(y)),
-            "sum": F.coalesce(F.sum(q(y)), F.lit(0).cast(df.schema[y].dataType)),
-            "min": F.min(q(y)),
-            "max": F.max(q(y)),
+            "mean": F.avg("value"),
+            "sum": F.coalesce(F.sum("value"), F.lit(0).cast(df.schema[y].dataType)),
+            "min": F.min("value"),
+            "max": F.max("value"),
         }[fn]
-        out = base.groupBy(*keys).agg(fcol.alias(y))
-    return out.orderBy(*keys) if sort else out
+        out = base.groupBy(*own).agg(fcol.alias("value"))
+    return (out.orderBy(*own) if sort else out).select(*[F.col(n).alias(k) for k, n in zip(keys, own)], F.col("value").alias(y))
 
 
 # ------------------------------------------- A12 fill statistics / A13

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tablab.functions.hashing import HASH_RANGE, key_hash
 from tablab.functions.kinds import require_columns
+from tablab.functions.long import q
+from tablab.functions.names import private
 
 SPLIT_RESOLUTION = 10_000
 # Sub-ranges of the hash, per shuffle partition, used to rank rows within a
@@ -45,17 +47,19 @@ def with_exact_test_flag(df: DataFrame, key: str | Sequence[str], test_size: flo
     require_columns(df, keys)
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must be in (0, 1)")
-    ranked = _ranked(df.withColumn("_all", F.lit(0)), keys, "_all", seed)
+    whole, rank = private([*df.columns, col], "all", "rank")
+    ranked = _ranked(df.withColumn(whole, F.lit(0)), keys, whole, seed, rank)
     n_test = math.ceil(round(df.count() * test_size, 9))
-    return ranked.withColumn(col, F.col("_rank") < n_test).drop("_all", "_rank")
+    return ranked.withColumn(col, F.col(rank) < n_test).drop(whole, rank)
 
 
 def train_test_split(df: DataFrame, key: str | Sequence[str], test_size: float = 0.2, seed: int = 42,
                      exact: bool = False):
     """(train, test) DataFrames; unstratified, deterministic per key.  With
     ``exact`` the test side has exactly ceil(n * test_size) rows."""
-    flagged = (with_exact_test_flag if exact else with_test_flag)(df, key, test_size, seed, "_is_test")
-    return flagged.where(~F.col("_is_test")).drop("_is_test"), flagged.where(F.col("_is_test")).drop("_is_test")
+    (flag,) = private(df.columns, "is_test")
+    flagged = (with_exact_test_flag if exact else with_test_flag)(df, key, test_size, seed, flag)
+    return flagged.where(~F.col(flag)).drop(flag), flagged.where(F.col(flag)).drop(flag)
 
 
 def kfold(df: DataFrame, key: str | Sequence[str], k: int = 5, seed: int = 42, col: str = "fold") -> DataFrame:
@@ -67,20 +71,21 @@ def kfold(df: DataFrame, key: str | Sequence[str], k: int = 5, seed: int = 42, c
     return df.withColumn(col, (key_hash(keys, seed) % k).cast("int"))
 
 
-def _ranked(df: DataFrame, keys: list[str], label: str, seed: int) -> DataFrame:
-    """Add ``_rank``: place of the row among the rows of its class (a null
+def _ranked(df: DataFrame, keys: list[str], label: str, seed: int, rank: str) -> DataFrame:
+    """Add ``rank``: place of the row among the rows of its class (a null
     label is a class), by (hash, key).  The hash range is cut into sub-ranges,
     their counts give each sub-range's offset, and rows are ranked inside their
     sub-range only."""
+    h, sub, n, cl, cs, off, rn = private([*df.columns, rank], "h", "sub", "n", "cl", "cs", "off", "rn")
     ranges = STRATA_SUBRANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    h = df.withColumn("_h", key_hash(keys, seed)).withColumn("_s", (F.col("_h") * ranges / HASH_RANGE).cast("int"))
-    counts = h.groupBy(label, "_s").agg(F.count(F.lit(1)).alias("_n"))
-    off = F.sum("_n").over(Window.partitionBy(label).orderBy("_s")) - F.col("_n")
-    counts = counts.select(F.col(label).alias("_cl"), F.col("_s").alias("_cs"), off.alias("_off"))
-    w = Window.partitionBy(label, "_s").orderBy("_h", *keys)
-    ranked = h.withColumn("_rn", F.row_number().over(w) - 1)
-    out = ranked.join(counts, F.col(label).eqNullSafe(F.col("_cl")) & (F.col("_s") == F.col("_cs")))
-    return out.withColumn("_rank", F.col("_off") + F.col("_rn")).drop("_h", "_s", "_rn", "_off", "_cl", "_cs")
+    hashed = df.withColumn(h, key_hash(keys, seed)).withColumn(sub, (F.col(h) * ranges / HASH_RANGE).cast("int"))
+    counts = hashed.groupBy(q(label), sub).agg(F.count(F.lit(1)).alias(n))
+    offset = F.sum(n).over(Window.partitionBy(q(label)).orderBy(sub)) - F.col(n)
+    counts = counts.select(q(label).alias(cl), F.col(sub).alias(cs), offset.alias(off))
+    w = Window.partitionBy(q(label), sub).orderBy(h, *[q(k) for k in keys])
+    ranked = hashed.withColumn(rn, F.row_number().over(w) - 1)
+    out = ranked.join(counts, q(label).eqNullSafe(F.col(cl)) & (F.col(sub) == F.col(cs)))
+    return out.withColumn(rank, F.col(off) + F.col(rn)).drop(h, sub, rn, off, cl, cs)
 
 
 def stratified_kfold(df: DataFrame, key: str | Sequence[str], label: str, k: int = 5, seed: int = 42,
@@ -92,4 +97,5 @@ def stratified_kfold(df: DataFrame, key: str | Sequence[str], label: str, k: int
     require_columns(df, keys + [label])
     if k < 2:
         raise ValueError("k must be >= 2")
-    return _ranked(df, keys, label, seed).withColumn(col, (F.col("_rank") % k).cast("int")).drop("_rank")
+    (rank,) = private([*df.columns, col], "rank")
+    return _ranked(df, keys, label, seed, rank).withColumn(col, (F.col(rank) % k).cast("int")).drop(rank)

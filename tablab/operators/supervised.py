@@ -51,6 +51,7 @@ from pyspark.sql import types as T
 
 from tablab.functions.kinds import is_numeric_type, require_columns
 from tablab.functions.long import q
+from tablab.functions.names import private
 from tablab.functions.small import one_row
 from tablab.operators import metrics as M
 from tablab.operators import profile as P
@@ -97,11 +98,15 @@ def prepare_xy(
     """Select features + target (default features: every column but the
     target), drop rows with a null in any of them, label-encode text features
     and -- for classification -- the target (``label`` is its class's index).
-    A single array column is accepted as the feature vector."""
+    A single array column is accepted as the feature vector.  Without a ``key`` a
+    row's columns identify it, and among equal rows a number."""
     require_columns(df, [target])
     feats = [c for c in df.columns if c != target] if features is None else list(features)
     key = list(key) if key else []
     require_columns(df, feats + key)
+    taken = [c for c in dict.fromkeys(key + feats) if c.lower() in RESERVED and c != target]
+    if taken:
+        raise ValueError(f"rename column(s) {taken}: a model's own columns have these names")
     task = task or P.task_of(df, target)
     if task not in ("classification", "regression"):
         raise ValueError("task must be classification or regression")
@@ -122,7 +127,23 @@ def prepare_xy(
     data = data.withColumn("label", q(target).cast("double"))
     if target != "label":
         data = data.drop(target)
-    return Prepared(data, feats, target, task, key or feats + ["label"], codes, class_codes)
+    if not key:
+        data, key = _numbered_copies(data, feats + ["label"])
+    return Prepared(data, feats, target, task, key, codes, class_codes)
+
+
+#: Columns that a fit or a prediction adds; features and keys must have other names.
+RESERVED = ("label", "features", "prediction", "rawprediction", "probability", "poly", "actual", "predicted")
+
+
+def _numbered_copies(data: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """Rows without a key: their own columns, and among equal rows the number of the copy, identify them.  Equal rows are
+    counted (partially aggregated) and dealt out again, so a split or fold takes its share of them; the first copy has
+    no number, which leaves the hash of a row that stands alone as it is."""
+    copies, copy = private(cols, "copies", "copy")
+    counted = data.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias(copies))
+    numbers = F.transform(F.sequence(F.lit(1).cast("long"), F.col(copies)), lambda i: F.when(i > 1, i))
+    return counted.select(*[q(c) for c in cols], F.explode(numbers).alias(copy)), [*cols, copy]
 
 
 # --------------------------------------------------------------- M3

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tablab.functions.kinds import is_numeric_type, require_columns, require_numeric
 from tablab.functions.long import q
+from tablab.functions.names import private
 from tablab.functions.small import one_row
 from tablab.operators import profile as P
 
@@ -64,17 +65,17 @@ def fit_classes(df: DataFrame, c: str) -> dict:
     return {"classes": [r["_s"] for r in rows], "type": df.schema[c].dataType.simpleString()}
 
 
-def _code_table(df: DataFrame, params: dict) -> DataFrame:
+def _code_table(df: DataFrame, params: dict, value: str, code: str) -> DataFrame:
     classes = params["classes"]
-    table = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(classes)], "_v string, code bigint")
+    table = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(classes)], f"{value} string, {code} bigint")
     return F.broadcast(table) if sum(map(len, classes)) <= BROADCAST_CHARS else table
 
 
 def apply_label_encode(df: DataFrame, c: str, params: dict) -> DataFrame:
     """Replace ``c`` by its integer class code (null for unseen classes)."""
-    keyed = df.withColumn("_v", _as_text(df, c))
-    joined = keyed.join(_code_table(df, params), "_v", "left")
-    return joined.select(*[F.col("code").alias(c) if x == c else q(x) for x in df.columns])
+    value, code = private(df.columns, "value", "code")
+    joined = df.withColumn(value, _as_text(df, c)).join(_code_table(df, params, value, code), value, "left")
+    return joined.select(*[F.col(code).alias(c) if x == c else q(x) for x in df.columns])
 
 
 def label_encode(df: DataFrame, c: str) -> DataFrame:
@@ -90,9 +91,16 @@ def fit_one_hot(df: DataFrame, c: str) -> dict:
 
 
 def apply_one_hot(df: DataFrame, c: str, params: dict) -> DataFrame:
-    """Drop ``c``; append boolean ``c_<value>`` per category (null -> all false)."""
-    text = q(c).cast("string")
-    dummies = [F.coalesce(text == F.lit(v), F.lit(False)).alias(f"{c}_{v}") for v in params["categories"]]
+    """Drop ``c``; append boolean ``c_<value>`` per category (null -> all false).  A name that another column has gets a
+    number: ``c_<value>_1``."""
+    text, taken, dummies = q(c).cast("string"), {x.lower() for x in df.columns if x != c}, []
+    for v in params["categories"]:
+        name, i = f"{c}_{v}", 0
+        while name.lower() in taken:
+            i += 1
+            name = f"{c}_{v}_{i}"
+        taken.add(name.lower())
+        dummies.append(F.coalesce(text == F.lit(v), F.lit(False)).alias(name))
     return df.select(*[q(x) for x in df.columns if x != c], *dummies)
 
 

@@ -130,3 +130,46 @@ def profile_quantile_ranks(spark, sf):
     upto = counts.withColumn("true", F.sum("n").over(Window.orderBy("value")) / F.sum("n").over(Window.partitionBy())).select("value", "true")
     inner = F.abs(F.col("true") * 10 - F.floor(F.col("true") * 10) - 0.5) > 0.1
     return got.join(upto, "value").where(inner).select("value", F.round("share", 1).alias("share"))
+
+
+# ================================================================ M11 over a stored index
+from tablab.operators import ann as A  # noqa: E402
+
+_FEATURES = {"a": "l_quantity", "b": "l_extendedprice / 2000", "c": "l_discount * 500", "d": "l_tax * 600"}
+_KNN_SQL = f"""
+t AS (SELECT l_orderkey, l_linenumber, l_returnflag, {", ".join(f"{e} AS {n}" for n, e in _FEATURES.items())} FROM lineitem),
+s AS (SELECT q.l_orderkey, q.l_linenumber, t.l_orderkey AS neighbor_l_orderkey, t.l_linenumber AS neighbor_l_linenumber, t.l_returnflag,
+             sqrt((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c) + (q.d - t.d) * (q.d - t.d)) AS distance
+      FROM t q JOIN t ON q.l_orderkey % 200 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY distance, neighbor_l_orderkey, neighbor_l_linenumber)::INT AS rank FROM s)"""
+
+
+def _index_and_queries(spark, sf):
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *[F.expr(e).alias(n) for n, e in _FEATURES.items()])
+    index = A.build_index(li, scratch_path(spark, "index"), ["l_orderkey", "l_linenumber"], list(_FEATURES), "l_returnflag")
+    return index, li.where("l_orderkey % 200 = 0")
+
+
+@register(
+    "knn_index_exact",
+    f"""WITH {_KNN_SQL} SELECT l_orderkey, l_linenumber, rank, neighbor_l_orderkey, neighbor_l_linenumber, round(distance, 6) AS distance, l_returnflag
+        FROM r WHERE rank <= 5""",
+)
+def knn_index_exact(spark, sf):
+    """Index search, with the exact search for queries that the certificate leaves open."""
+    index, asked = _index_and_queries(spark, sf)
+    return rounded(A.search(index, asked, ["l_orderkey", "l_linenumber"], list(_FEATURES), 5, exact=True).drop("certain"))
+
+
+@register(
+    "knn_index_recall",
+    f"""WITH {_KNN_SQL} SELECT count(*)::BIGINT AS neighbours, true AS recall_90, sum(l_orderkey % 7)::BIGINT AS queries_sum FROM r WHERE rank <= 5""",
+)
+def knn_index_recall(spark, sf):
+    """The index alone: as many neighbours as the exact search finds, at least nine in ten of them the same distance."""
+    index, asked = _index_and_queries(spark, sf)
+    key = ["l_orderkey", "l_linenumber"]
+    got = A.search(index, asked, key, list(_FEATURES), 5).select(*key, "rank", F.col("distance").alias("near"))
+    true = A.search(index, asked, key, list(_FEATURES), 5, exact=True).select(*key, "rank", "distance")
+    hit = F.avg((F.col("near") <= F.col("distance")).cast("double"))
+    return got.join(true, [*key, "rank"]).agg(F.count(F.lit(1)).alias("neighbours"), (hit >= 0.9).alias("recall_90"), F.sum(F.col("l_orderkey") % 7).alias("queries_sum"))
