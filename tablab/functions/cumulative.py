@@ -27,6 +27,38 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+def _ranged(g: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
+    """Add ``_r``: the value range of ``_o``, by split points from a bounded sketch (per key, if there are keys)."""
+    ranges = ranges or max(2, RANGES * int(g.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fracs = [i / ranges for i in range(1, ranges)]
+    if keys:
+        splits = g.groupBy(*keys).agg(F.percentile_approx("_o", fracs, 10000).alias("_splits"))
+        return _null_safe_join(g, splits, keys).withColumn("_r", F.size(F.filter("_splits", lambda s: s < F.col("_o")))).drop("_splits")
+    # global order: the (ranges - 1) split points are constants
+    pts = g.agg(F.percentile_approx("_o", fracs, 10000).alias("_s")).collect()[0]["_s"] or []
+    arr = F.array(*[F.lit(float(p)) for p in pts]) if pts else F.array().cast("array<double>")
+    return g.withColumn("_r", F.size(F.filter(arr, lambda s: s < F.col("_o"))))
+
+
+def with_next(df: DataFrame, order_col: str, cols: Sequence[str], keys: Sequence[str] = (), descending: bool = False,
+              ranges: int | None = None) -> DataFrame:
+    """Add ``next_<c>`` (null for the last row) for every c in ``cols`` and ``is_first``, in the order of the numeric
+    ``order_col``, which is unique per key.  Rows look ahead inside their value range; the last of a range looks at the
+    first of the next range that has any, from a table with one row per range."""
+    keys, o = list(keys), F.col(order_col).cast("double")
+    gb = _ranged(df.withColumn("_o", -o if descending else o), keys, ranges)
+    own = F.struct(*[F.col(c).alias(c) for c in cols])
+    firsts = gb.groupBy(*keys, "_r").agg(F.min_by(own, F.col("_o")).alias("_f"))
+    across = Window.partitionBy(*keys).orderBy("_r")
+    firsts = firsts.select(*keys, "_r", F.lead("_f").over(across).alias("_after"), F.lag("_r").over(across).isNull().alias("_head"))
+    inside = Window.partitionBy(*keys, "_r").orderBy("_o")
+    rows = gb.withColumn("_next", F.lead(own).over(inside)).withColumn("_n", F.row_number().over(inside))
+    out = _null_safe_join(rows, firsts, [*keys, "_r"])
+    for c in cols:
+        out = out.withColumn(f"next_{c}", F.coalesce(F.col("_next"), F.col("_after"))[c])
+    return out.withColumn("is_first", F.col("_head") & (F.col("_n") == 1)).drop("_o", "_r", "_after", "_head", "_next", "_n")
+
+
 def running_sums(
     df: DataFrame,
     order_col: str,
@@ -44,17 +76,8 @@ def running_sums(
     base = df.withColumn("_o", ordv)
     # one row per distinct order value: ties move together
     g = base.groupBy(*keys, "_o").agg(*[F.sum(c).alias(c) for c in sum_cols])
-    ranges = ranges or max(2, RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    fracs = [i / ranges for i in range(1, ranges)]
     gk = keys
-    if gk:
-        splits = g.groupBy(*gk).agg(F.percentile_approx("_o", fracs, 10000).alias("_splits"))
-        gb = _null_safe_join(g, splits, gk).withColumn("_r", F.size(F.filter("_splits", lambda s: s < F.col("_o")))).drop("_splits")
-    else:
-        # global order: the (ranges - 1) split points are constants
-        pts = g.agg(F.percentile_approx("_o", fracs, 10000).alias("_s")).collect()[0]["_s"] or []
-        arr = F.array(*[F.lit(float(p)) for p in pts]) if pts else F.array().cast("array<double>")
-        gb = g.withColumn("_r", F.size(F.filter(arr, lambda s: s < F.col("_o"))))
+    gb = _ranged(g, gk, ranges)
     rstat = gb.groupBy(*gk, "_r").agg(*[F.sum(c).alias(f"_rs_{c}") for c in sum_cols])
     wk = Window.partitionBy(*gk).orderBy("_r")
     wall = Window.partitionBy(*gk)

@@ -51,6 +51,18 @@ def drop_duplicates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return df.dropDuplicates(list(cols))
 
 
+def first_of_duplicates(df: DataFrame, cols: Sequence[str] | None = None, position: str = "position") -> DataFrame:
+    """The first row, by the column ``position`` (:func:`tablab.sources.tables.read_positioned`), of all rows that are equal
+    in ``cols`` (nulls equal; default: all other columns), in full and with its position.  One associative minimum of
+    (position, row): a value that a third of all rows hold is a row a task before any shuffle."""
+    cols = [c for c in df.columns if c != position] if cols is None else list(cols)
+    require_columns(df, [*cols, position])
+    own, first = [f"k{i}" for i in range(len(cols))], F.struct(q(position).alias("p"), F.struct(*[q(c) for c in df.columns]).alias("r"))
+    rows = df.select(*[q(c).alias(n) for c, n in zip(cols, own)], first.alias("first"))
+    kept = rows.groupBy(*own).agg(F.min_by("first", F.col("first")["p"]).alias("first"))
+    return kept.select("first.r.*")
+
+
 # ------------------------------------------------------------ C1-C4 fill
 FILL_STRATEGIES = ("mean", "median", "mode", "value")
 

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablab.functions.cumulative import running_sums
+from tablab.functions.cumulative import running_sums, with_next
 from tablab.functions.long import q
 from tablab.functions.small import one_row
 from tablab.operators import charts as G
@@ -72,12 +72,18 @@ def _score_counts(scores: DataFrame, label: str, score: str, positive, keys=())
     )
 
 
-def roc_curve(scores: DataFrame, label: str = "label", score: str = "score", positive=1, keys=()) -> DataFrame:
+def roc_curve(scores: DataFrame, label: str = "label", score: str = "score", positive=1, keys=(), drop_intermediate: bool = False) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score, highest first, plus
     the starting point (inf, 0, 0).  Per ``keys`` (e.g. a class column for
-    one-vs-rest curves) when given."""
+    one-vs-rest curves) when given.  ``drop_intermediate`` leaves out points in
+    the middle of equal steps (as many positives and as many negatives as the
+    next score has), which lie on a straight line: same area, fewer points."""
     keys = list(keys)
     c = running_sums(_score_counts(scores, label, score, positive, keys), "score", ["pos", "neg"], keys, descending=True)
+    if drop_intermediate:
+        c = with_next(c, "score", ["pos", "neg"], keys, descending=True)
+        even = (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
+        c = c.where(F.col("is_first") | F.col("next_pos").isNull() | ~even)
     pts = c.select(
         *keys,
         F.col("score").alias("threshold"),

@@ -33,6 +33,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,12 +98,24 @@ def _block_topk(k: int, key_names: list[str]):
                 idx = idx[np.argsort(row[idx], kind="stable")][:kk]
                 picked.append(idx), dists.append(row[idx]), owners.append(np.repeat(at + i, len(idx)))
         sel = np.concatenate(picked)
-        part = {"_qid": qpdf["_qid"].to_numpy()[np.concatenate(owners)], "_d": np.concatenate(dists), "_y": tpdf["_y"].to_numpy()[sel]}
-        return pd.DataFrame(part | {c: tpdf[c].to_numpy()[sel] for c in key_names})
+        part = {"_qid": qpdf["_qid"].to_numpy()[np.concatenate(owners)], "_d": np.concatenate(dists)}
+        return pd.DataFrame(part | {c: tpdf[c].to_numpy()[sel] for c in ["_y", *key_names]})
 
     return fn
 
 
+def block_answers(k: int, key_names: list[str]):
+    """:func:`_block_topk` on Arrow tables, every column with the type that the points have it in."""
+    best = _block_topk(k, key_names)
+
+    def run(queries: pa.Table, points: pa.Table) -> pa.Table:
+        got = best(queries.select(["_qid", "_q"]).to_pandas(), points.select([*key_names, "_x", "_y"]).to_pandas())
+        kinds = {"_qid": pa.int64(), "_d": pa.float64()} | {c: points.schema.field(c).type for c in ("_y", *key_names)}
+        return pa.table({c: pa.array(got[c].tolist(), t) for c, t in kinds.items()})
+
+    return run
+
+
 def _neighbors(train: DataFrame, te: DataFrame, train_key: Sequence[str], features, label: str, k: int,
                pivots: int | None, seed: int, cell_target: int, query_target: int) -> DataFrame:
     """(_qid, _rank, _t0.., _d, _y) for query rows ``te`` (_qid, _q)."""
@@ -155,7 +168,7 @@ def _neighbors(train: DataFrame, te: DataFrame, train_key: Sequence[str], featur
         asked = asked.withColumn("_sub", F.explode(F.sequence(F.lit(0), per_cell(subs) - 1)))
         pts = points.withColumn("_blk", F.explode(F.sequence(F.lit(0), blocks - 1)))
         part = ["_cell", "_sub", "_blk"]
-        return asked.groupBy(*part).cogroup(pts.groupBy(*part)).applyInPandas(_block_topk(k, tkn), schema)
+        return asked.groupBy(*part).cogroup(pts.groupBy(*part)).applyInArrow(block_answers(k, tkn), schema)
 
     def topk(c: DataFrame) -> DataFrame:
         w = Window.partitionBy("_qid").orderBy("_d", *tkn)

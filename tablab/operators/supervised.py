@@ -17,9 +17,8 @@ Parameter mapping to the usual single-machine defaults:
   by the linear model; poly uses a degree-3 polynomial expansion;
 * SVM class probabilities: a logistic fit on the margins of the training rows;
 * forests: Spark trees end at depth 30, which ``max_depth=None`` means;
-  Spark bounds the rows of a leaf, not of a node to split, so
-  ``min_samples_split`` s becomes at least ceil(s / 2) rows on either side of a
-  split (a node of fewer than s rows may then never split).
+  ``min_samples_split`` cuts the fitted trees at nodes of fewer rows
+  (:mod:`tablab.operators.forests`), ``min_samples_leaf`` bounds leaves.
 
 Classification targets of any type are indexed by their distinct values in
 ascending order; predictions, confusion matrices and ROC curves carry the
@@ -57,6 +56,7 @@ from tablab.operators import metrics as M
 from tablab.operators import profile as P
 from tablab.operators import split as S
 from tablab.operators import transform as X
+from tablab.operators.forests import cut_small_nodes
 
 MAX_SPARK_DEPTH = 30
 RFF_COMPONENTS = 256
@@ -248,7 +248,7 @@ def build_estimator(spec: ModelSpec, n_train: int, n_classes: int = 2, label_sd:
         if spec.name == "random_forest":
             return [RandomForestClassifier(
                 numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p),
-                minInstancesPerNode=-(-int(p.get("min_samples_split", 2)) // 2),
+                minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
                 featureSubsetStrategy="sqrt", seed=seed, maxBins=32,
                 maxMemoryInMB=1024, cacheNodeIds=True)]
         if spec.name == "logistic":
@@ -268,7 +268,7 @@ def build_estimator(spec: ModelSpec, n_train: int, n_classes: int = 2, label_sd:
     if spec.name == "random_forest":
         return [RandomForestRegressor(
             numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p),
-            minInstancesPerNode=-(-int(p.get("min_samples_split", 2)) // 2),
+            minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
             featureSubsetStrategy="all", seed=seed, maxBins=32,
             maxMemoryInMB=1024, cacheNodeIds=True)]
     if spec.name == "linear":
@@ -292,6 +292,7 @@ class FittedModel:
     svr: dict | None = None
     platt: list | None = None  # per class (slope, intercept) on the SVM's margin
     knn: dict | None = None  # train (vectors), key, k, classes
+    fits: list = field(default_factory=list)  # (part, steps, most steps, converged) of every iterative fit
 
     def vectors(self, df: DataFrame) -> DataFrame:
         out = _FeatureVector(self.features, self.scale_params).transform(df)
@@ -325,8 +326,8 @@ def _margin(i: int, n: int):
 PLATT_STEPS = 30
 
 
-def _fit_platt(scored: DataFrame, n_classes: int) -> list:
-    """(slope, intercept) per class of the logistic fit of membership on the
+def _fit_platt(scored: DataFrame, n_classes: int) -> tuple[list, int, bool]:
+    """(slope, intercept) per class, steps taken and whether they settled, of the logistic fit of membership on the
     margin over the training rows (Platt's smoothed targets): Newton steps for
     all classes together, partial sums by NumPy per batch; two classes share one fit."""
     own = [1] if n_classes == 2 else list(range(n_classes))
@@ -337,7 +338,9 @@ def _fit_platt(scored: DataFrame, n_classes: int) -> list:
         total = sum(count.values())
         fit = {i: np.zeros(2) for i in own}
         names = [f"{k}{i}" for i in own for k in ("ga", "gb", "aa", "ab", "bb")]
-        for _ in range(PLATT_STEPS):
+        steps, settled = 0, False
+        while steps < PLATT_STEPS and not settled:
+            steps += 1
 
             def partial(batches, fit=dict(fit)):
                 sums = np.zeros(len(names))
@@ -360,14 +363,33 @@ def _fit_platt(scored: DataFrame, n_classes: int) -> list:
                 step *= min(1.0, 10.0 / max(1e-12, np.abs(step).max()))  # far from the optimum, not too far at once
                 fit[i] = fit[i] - step
                 move = max(move, float(np.abs(step).max()))
-            if move < 1e-6:
-                break
+            settled = move < 1e-6
     finally:
         rows.unpersist()
     if n_classes == 2:  # the first class has the opposite margin, and the complement's probability
         a, b = fit[1].tolist()
-        return [[a, -b], [a, b]]
-    return [fit[i].tolist() for i in own]
+        return [[a, -b], [a, b]], steps, settled
+    return [fit[i].tolist() for i in own], steps, settled
+
+
+def _fit_steps(model, name: str) -> list[tuple]:
+    """(part, steps, most steps, converged) of the iterative fits that Spark ML keeps a history of; an SVM of several
+    classes has one per class."""
+    parts = model.models if hasattr(model, "models") else [model]
+    out = []
+    for i, part in enumerate(parts):
+        if not getattr(part, "hasSummary", False) or not hasattr(part, "getMaxIter"):
+            continue
+        summary = part.summary() if callable(part.summary) else part.summary  # a method on some models, a property on others
+        steps = int(summary.totalIterations)
+        out.append((name if len(parts) == 1 else f"{name} class {i}", steps, part.getMaxIter(), steps < part.getMaxIter()))
+    return out
+
+
+def convergence(result: "TrainResult") -> DataFrame:
+    """(part, steps, max_steps, converged) of every iterative fit of a model; no rows for models without one."""
+    rows = result.model.fits if result.model else []
+    return result.predictions.sparkSession.createDataFrame([tuple(r) for r in rows], "part string, steps int, max_steps int, converged boolean")
 
 
 def _with_platt(scored: DataFrame, platt: list) -> DataFrame:
@@ -392,11 +414,18 @@ def _fit_model(prep: Prepared, spec: ModelSpec, train: DataFrame, normalize: boo
         if spec.name == "svr":
             from tablab.operators.svr import fit_linear_svr
 
-            w = fit_linear_svr(vec, C=float(spec.params.get("C", 1.0)), epsilon=float(spec.params.get("epsilon", 0.1)))
-            return FittedModel(prep.features, scale_params, rff, None, w)
+            w = fit_linear_svr(vec, C=float(spec.params.get("C", 1.0)), epsilon=float(spec.params.get("epsilon", 0.1)), max_iter=int(spec.params.get("max_iter", 60)))
+            return FittedModel(prep.features, scale_params, rff, None, w, fits=[("svr", w["steps"], w["max_steps"], w["converged"])])
         ml = Pipeline(stages=build_estimator(spec, n, stats["k"], stats["sd"], seed)).fit(vec)
-        platt = _fit_platt(ml.transform(vec), int(stats["k"])) if spec.name == "svm" else None
-        return FittedModel(prep.features, scale_params, rff, ml, platt=platt)
+        fits = _fit_steps(ml.stages[-1], spec.name)
+        if spec.name == "random_forest":
+            cut = cut_small_nodes(vec.sparkSession, ml.stages[-1], int(spec.params.get("min_samples_split", 2)))
+            ml = PipelineModel(stages=[*ml.stages[:-1], cut])
+        platt = None
+        if spec.name == "svm":
+            platt, steps, settled = _fit_platt(ml.transform(vec), int(stats["k"]))
+            fits.append(("probabilities", steps, PLATT_STEPS, settled))
+        return FittedModel(prep.features, scale_params, rff, ml, platt=platt, fits=fits)
     finally:
         vec.unpersist()
 
@@ -473,9 +502,13 @@ def cross_validate(prep: Prepared, model: str, k: int = 5, seed: int = 42, **par
     """(fold, score) for K folds on the unscaled features: stratified folds
     and accuracy for classification, plain folds and R^2 for regression.
     Each fold's fit is itself distributed; the K scores are the only values
-    collected."""
+    collected.  Linear and ridge regression read the data once for all folds: a
+    fold's rows come down to one matrix of products, and leaving a fold out is
+    a subtraction."""
     if not 3 <= k <= 10:
         raise ValueError("k must be between 3 and 10")
+    if prep.task == "regression" and model in ("linear", "ridge") and not _array_feature(prep.df, prep.features):
+        return _cross_validate_linear(prep, k, seed, float(params.get("alpha", 1.0)) if model == "ridge" else 0.0)
     spec = ModelSpec(model, prep.task, params)
     if prep.task == "classification":
         folded = S.stratified_kfold(prep.df, prep.key, "label", k, seed)
@@ -499,6 +532,46 @@ def cross_validate(prep: Prepared, model: str, k: int = 5, seed: int = 42, **par
     return prep.df.sparkSession.createDataFrame(scores, "fold int, score double")
 
 
+def _cross_validate_linear(prep: Prepared, k: int, seed: int, alpha: float) -> DataFrame:
+    """The scores of :func:`cross_validate` from the products of (1, features, label) with themselves, one matrix per
+    fold, added up by Spark.  Columns are centred by their means first, which keeps the differences of sums exact enough."""
+    cols = [*prep.features, "label"]
+    folded = S.kfold(prep.df, prep.key, k, seed, "__fold").select("__fold", *[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    means = one_row(folded.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(len(cols))]))
+    spark = prep.df.sparkSession
+    if means["x0"] is None:
+        return spark.createDataFrame([(f, None) for f in range(k)], "fold int, score double")
+    centre, d = np.array([means[f"x{i}"] for i in range(len(cols))]), len(cols) + 1
+
+    def products(batches):
+        total = np.zeros((k, d, d))
+        for b in batches:
+            v = np.column_stack([np.ones(len(b)), *(b.iloc[:, i + 1].to_numpy(float) - centre[i] for i in range(len(cols)))])
+            for f in range(k):
+                rows = v[b.iloc[:, 0].to_numpy() == f]
+                total[f] += rows.T @ rows
+        f, i, j = np.indices((k, d, d))
+        yield pd.DataFrame({"f": f.ravel(), "i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+    gram = np.zeros((k, d, d))
+    for r in folded.mapInPandas(products, "f long, i long, j long, v double").groupBy("f", "i", "j").agg(F.sum("v").alias("v")).collect():
+        gram[r["f"], r["i"], r["j"]] = r["v"]  # folds x columns x columns
+    whole, scores = gram.sum(axis=0), []
+    for f in range(k):
+        g, t = whole - gram[f], gram[f]
+        n, m = g[0, 0], t[0, 0]
+        if n < 1 or m < 1:
+            scores.append((f, None))
+            continue
+        mean = g[0, 1:] / n
+        cov = g[1:, 1:] - n * np.outer(mean, mean)
+        w = np.linalg.lstsq(cov[:-1, :-1] + alpha * np.eye(d - 2), cov[:-1, -1], rcond=None)[0]
+        c = np.concatenate([[-(mean[-1] - w @ mean[:-1])], -w, [1.0]])  # label minus prediction, as weights of (1, x, y)
+        spread = t[-1, -1] - t[0, -1] ** 2 / m
+        scores.append((f, float(1 - (c @ t @ c) / spread) if spread > 0 else None))
+    return spark.createDataFrame(scores, "fold int, score double")
+
+
 def cv_summary(scores: DataFrame) -> DataFrame:
     """mean and population sd of the fold scores."""
     return scores.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))

@@ -55,14 +55,17 @@ def _loss_grad(vec: DataFrame, w: np.ndarray, C: float, eps: float, delta: float
 
 def fit_linear_svr(vec: DataFrame, C: float = 1.0, epsilon: float = 0.1, max_iter: int = 60, tol: float = 1e-6,
                    history: int = 8) -> dict:
-    """Weights {'w': [...], 'b': float} of the smoothed linear SVR."""
+    """Weights {'w': [...], 'b': float} of the smoothed linear SVR, with the steps
+    taken and whether loss or gradient settled within ``max_iter`` of them."""
     first = vec.select(vector_to_array("features").alias("x")).first()
     d = len(first["x"]) if first else 0
     w = np.zeros(d + 1)
     f, g = _loss_grad(vec, w, C, epsilon, SMOOTH)
     s_hist: list[np.ndarray] = []
     y_hist: list[np.ndarray] = []
-    for _ in range(max_iter):
+    steps, converged = 0, False
+    while steps < max_iter and not converged:
+        steps += 1
         # two-loop recursion for the L-BFGS direction
         qv = g.copy()
         alphas = []
@@ -91,9 +94,8 @@ def fit_linear_svr(vec: DataFrame, C: float = 1.0, epsilon: float = 0.1, max_ite
             if len(s_hist) > history:
                 s_hist.pop(0)
                 y_hist.pop(0)
-        if abs(f_old - f) <= tol * max(1.0, abs(f)) or np.linalg.norm(g) <= tol:
-            break
-    return {"w": w[:d].tolist(), "b": float(w[d])}
+        converged = bool(abs(f_old - f) <= tol * max(1.0, abs(f)) or np.linalg.norm(g) <= tol)
+    return {"w": w[:d].tolist(), "b": float(w[d]), "steps": steps, "max_steps": max_iter, "converged": converged}
 
 
 def predict_linear(vec: DataFrame, weights: dict) -> DataFrame:

@@ -135,41 +135,117 @@ def profile_quantile_ranks(spark, sf):
 # ================================================================ M11 over a stored index
 from tablab.operators import ann as A  # noqa: E402
 
-_FEATURES = {"a": "l_quantity", "b": "l_extendedprice / 2000", "c": "l_discount * 500", "d": "l_tax * 600"}
+_FEATURES = {"a": "o_totalprice / 3000", "b": "o_custkey % 97 * 1.0D", "c": "(o_orderkey * 7919) % 101 / 2.0D"}
 _KNN_SQL = f"""
-t AS (SELECT l_orderkey, l_linenumber, l_returnflag, {", ".join(f"{e} AS {n}" for n, e in _FEATURES.items())} FROM lineitem),
-s AS (SELECT q.l_orderkey, q.l_linenumber, t.l_orderkey AS neighbor_l_orderkey, t.l_linenumber AS neighbor_l_linenumber, t.l_returnflag,
-             sqrt((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c) + (q.d - t.d) * (q.d - t.d)) AS distance
-      FROM t q JOIN t ON q.l_orderkey % 200 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY distance, neighbor_l_orderkey, neighbor_l_linenumber)::INT AS rank FROM s)"""
+t AS (SELECT o_orderkey, o_orderstatus, {", ".join(f"{e.replace('D', '')} AS {n}" for n, e in _FEATURES.items())} FROM orders),
+s AS (SELECT q.o_orderkey, t.o_orderkey AS neighbor_o_orderkey, t.o_orderstatus,
+             sqrt((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c)) AS distance
+      FROM t q JOIN t ON q.o_orderkey % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY distance, neighbor_o_orderkey)::INT AS rank FROM s)"""
 
 
 def _index_and_queries(spark, sf):
-    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *[F.expr(e).alias(n) for n, e in _FEATURES.items()])
-    index = A.build_index(li, scratch_path(spark, "index"), ["l_orderkey", "l_linenumber"], list(_FEATURES), "l_returnflag")
-    return index, li.where("l_orderkey % 200 = 0")
+    li = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", *[F.expr(e).alias(n) for n, e in _FEATURES.items()])
+    index = A.build_index(li, scratch_path(spark, "index"), ["o_orderkey"], list(_FEATURES), "o_orderstatus")
+    return index, li.where("o_orderkey % 50 = 0")
 
 
 @register(
     "knn_index_exact",
-    f"""WITH {_KNN_SQL} SELECT l_orderkey, l_linenumber, rank, neighbor_l_orderkey, neighbor_l_linenumber, round(distance, 6) AS distance, l_returnflag
+    f"""WITH {_KNN_SQL} SELECT o_orderkey, rank, neighbor_o_orderkey, round(distance, 6) AS distance, o_orderstatus
         FROM r WHERE rank <= 5""",
 )
 def knn_index_exact(spark, sf):
     """Index search, with the exact search for queries that the certificate leaves open."""
     index, asked = _index_and_queries(spark, sf)
-    return rounded(A.search(index, asked, ["l_orderkey", "l_linenumber"], list(_FEATURES), 5, exact=True).drop("certain"))
+    return rounded(A.search(index, asked, ["o_orderkey"], list(_FEATURES), 5, exact=True).drop("certain"))
 
 
 @register(
     "knn_index_recall",
-    f"""WITH {_KNN_SQL} SELECT count(*)::BIGINT AS neighbours, true AS recall_90, sum(l_orderkey % 7)::BIGINT AS queries_sum FROM r WHERE rank <= 5""",
+    f"""WITH {_KNN_SQL} SELECT count(*)::BIGINT AS neighbours, true AS recall_90, sum(o_orderkey % 7)::BIGINT AS queries_sum FROM r WHERE rank <= 5""",
 )
 def knn_index_recall(spark, sf):
     """The index alone: as many neighbours as the exact search finds, at least nine in ten of them the same distance."""
     index, asked = _index_and_queries(spark, sf)
-    key = ["l_orderkey", "l_linenumber"]
+    key = ["o_orderkey"]
     got = A.search(index, asked, key, list(_FEATURES), 5).select(*key, "rank", F.col("distance").alias("near"))
     true = A.search(index, asked, key, list(_FEATURES), 5, exact=True).select(*key, "rank", "distance")
     hit = F.avg((F.col("near") <= F.col("distance")).cast("double"))
-    return got.join(true, [*key, "rank"]).agg(F.count(F.lit(1)).alias("neighbours"), (hit >= 0.9).alias("recall_90"), F.sum(F.col("l_orderkey") % 7).alias("queries_sum"))
+    return got.join(true, [*key, "rank"]).agg(F.count(F.lit(1)).alias("neighbours"), (hit >= 0.9).alias("recall_90"), F.sum(F.col("o_orderkey") % 7).alias("queries_sum"))
+
+
+# ================================================================ L1, A9 by position
+from tablab.operators import clean as C  # noqa: E402
+from tablab.sources import tables as TB  # noqa: E402
+
+
+@register("preview_by_position", "SELECT * FROM orders LIMIT 50")
+def preview_by_position(spark, sf):
+    return TB.head(spark, f"{sf.rstrip('/')}/orders.parquet", 50)
+
+
+@register(
+    "first_of_duplicates",
+    """WITH n AS (SELECT *, row_number() OVER () AS place FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY place) AS k FROM n)
+       SELECT event_id, event_type, user_id, round(value, 6) AS value FROM r WHERE k = 1""",
+)
+def first_of_duplicates_q(spark, sf):
+    rows = TB.read_positioned(spark, f"{sf.rstrip('/')}/events.parquet")
+    return rounded(C.first_of_duplicates(rows, ["event_type", "user_id"]).select("event_id", "event_type", "user_id", "value"))
+
+
+# ================================================================ M16 without points on straight lines
+
+
+@register(
+    "roc_without_collinear",
+    """WITH p AS (SELECT l_linestatus AS g, (l_returnflag = 'R')::INT AS y, round(l_extendedprice / 500) AS s FROM lineitem),
+       c AS (SELECT g, s, sum(y) AS pos, count(*) - sum(y) AS neg FROM p GROUP BY g, s),
+       k AS (SELECT *, lead(pos) OVER w AS np, lead(neg) OVER w AS nn, lag(s) OVER w AS prev, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+                    sum(pos) OVER (PARTITION BY g) AS allp, sum(neg) OVER (PARTITION BY g) AS alln FROM c WINDOW w AS (PARTITION BY g ORDER BY s DESC))
+       SELECT g, s AS threshold, round(fp / alln, 6) AS fpr, round(tp / allp, 6) AS tpr FROM k WHERE prev IS NULL OR np IS NULL OR np <> pos OR nn <> neg
+       UNION ALL SELECT DISTINCT g, 'Infinity'::DOUBLE, 0.0, 0.0 FROM c""",
+)
+def roc_without_collinear(spark, sf):
+    p = load(spark, sf, "lineitem").select(F.col("l_linestatus").alias("g"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
+                                           F.round(F.col("l_extendedprice") / 500).alias("score"))
+    return rounded(M.roc_curve(p, keys=["g"], drop_intermediate=True))
+
+
+# ================================================================ U7 beyond 1,000 clusters
+@register(
+    "silhouette_many_clusters",
+    """WITH p AS (SELECT o_orderkey AS id, o_custkey % 1300 AS c, o_totalprice / 10000 AS x, (o_orderkey * 7919) % 101 / 5.0 AS y FROM orders),
+       m AS (SELECT c, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(x * x + y * y) AS q FROM p GROUP BY c),
+       d AS (SELECT p.id, p.c AS own, m.c, m.n, greatest(p.x * p.x + p.y * p.y - 2 * (p.x * m.mx + p.y * m.my) + m.q, 0) AS d FROM p, m),
+       s AS (SELECT id, max(CASE WHEN own = c THEN n END) AS n, max(CASE WHEN own = c AND n > 1 THEN d * n / (n - 1) END) AS a, min(CASE WHEN own <> c THEN d END) AS b FROM d GROUP BY id)
+       SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM s""",
+)
+def silhouette_many_clusters(spark, sf):
+    from tablab.operators.silhouette import silhouette
+
+    p = load(spark, sf, "orders").select((F.col("o_custkey") % 1300).alias("cluster"),
+                                         F.array(F.col("o_totalprice") / 10000, (F.col("o_orderkey") * 7919) % 101 / 5.0).alias("features"))
+    return rounded(silhouette(p))
+
+
+# ================================================================ M4, M9, M10: what a fit reached
+from tablab.operators import forests as FO  # noqa: E402
+from tablab.operators import supervised as SV  # noqa: E402
+
+
+@register("forest_node_sizes")
+def forest_node_sizes(spark, sf):
+    """Splits and smallest split node of every tree, cut at 40 rows."""
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
+    got = SV.train_model(li, ["l_quantity", "l_discount"], "l_extendedprice", "random_forest", "regression", key=["l_orderkey", "l_linenumber"],
+                         n_estimators=5, max_depth=8, min_samples_split=40)
+    return FO.node_sizes(spark, got.model.last_stage)
+
+
+@register("fit_convergence")
+def fit_convergence(spark, sf):
+    """Steps of the SVR's solver and whether it settled."""
+    cu = load(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 50).cast("double").alias("a"), (F.col("c_acctbal") / 1000).alias("y"))
+    return SV.convergence(SV.train_model(cu, ["a"], "y", "svr", "regression", key=["c_custkey"], max_iter=15))

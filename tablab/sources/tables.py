@@ -39,3 +39,23 @@ def read_table(spark: SparkSession, path: str, normalize_missing: bool = True) -
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables, e.g. ``load(spark, '/root/testdata/sf0.01', 'lineitem')``."""
     return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Where a row stands: (file, index in the file), in the order of file names.
+POSITION = "position"
+
+
+def read_positioned(spark: SparkSession, path: str, normalize_missing: bool = True) -> DataFrame:
+    """A Parquet table with the column ``position``, from the files' own metadata: the same for a row however the scan is
+    split, so "first" means the same on every cluster.  A column of the table with that name is an error."""
+    df = spark.read.parquet(path)
+    if POSITION in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {POSITION!r}")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = df.select("*", place.alias(POSITION))
+    return nan_to_null(rows) if normalize_missing else rows
+
+
+def head(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
+    """The first n rows of a Parquet table by position.  No row beyond the n-th of its file is sorted."""
+    return read_positioned(spark, path).where(F.col(POSITION)["row"] < n).orderBy(POSITION).limit(n).drop(POSITION)
