@@ -629,7 +629,7 @@ def save_model(result: TrainResult, path: str) -> None:
     """Save the Spark ML model plus every fitted constant (label codes,
     scaling, random-feature map, SVR weights) so a reload reproduces the
     predictions -- unlike a bare estimator dump, nothing is lost."""
-    fm = result.model
+    fm, spark = result.model, result.predictions.sparkSession
     if fm is not None and fm.ml is not None:
         fm.ml.write().overwrite().save(f"{path}/ml")
     if fm is not None and fm.knn is not None:
@@ -639,7 +639,7 @@ def save_model(result: TrainResult, path: str) -> None:
         "target": result.prepared.target,
         "task": result.prepared.task,
         "key": result.prepared.key,
-        "feature_codes": result.prepared.feature_codes,
+        "feature_codes": {c: X.copy_code_table(spark, v, f"{path}/codes/{i}") for i, (c, v) in enumerate(result.prepared.feature_codes.items())},
         "class_codes": result.prepared.class_codes,
         "scale": fm.scale_params if fm else None,
         "rff": fm.rff if fm else None,
@@ -649,7 +649,6 @@ def save_model(result: TrainResult, path: str) -> None:
         "spec": {"name": result.spec.name, "params": result.spec.params},
         "has_ml": bool(fm is not None and fm.ml is not None),
     }
-    spark = result.predictions.sparkSession
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 

@@ -11,18 +11,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablab.functions.kinds import is_numeric_type, require_columns, require_numeric
 from tablab.functions.long import q
 from tablab.functions.names import private
-from tablab.functions.small import one_row
+from tablab.functions.small import collect_bounded, one_row
 from tablab.operators import profile as P
+from tablab.session import ensure_checkpoint_dir, scratch_path
 
 # A code table is broadcast when its texts are at most this many characters.
 BROADCAST_CHARS = 1 << 20
+# Classes that a recipe or model lists, and values that may become columns or classes of a target.
+MAX_LISTED, MAX_SCHEMA = 100_000, 10_000
 NULL_CLASS = "nan"
 
 
@@ -39,33 +42,53 @@ def dense_codes(values: DataFrame, col: str, partitions: int | None = None) -> D
     row per partition, so the offset table is bounded by the partition count)."""
     spark = values.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = values.select(col).distinct().repartitionByRange(n_parts, col)
-    d = d.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
-    sizes = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_sz"))
-    from pyspark.sql import Window
-
-    sizes = sizes.withColumn("_off", F.sum("_sz").over(Window.orderBy("_pid")) - F.col("_sz"))
-    local = d.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(col)) - 1)
-    return local.join(F.broadcast(sizes), "_pid").select(col, (F.col("_off") + F.col("_rn")).cast("bigint").alias("code"))
+    pid, size, off, rn = private([col], "pid", "size", "off", "rn")
+    ensure_checkpoint_dir(spark)
+    d = values.select(q(col)).distinct().repartitionByRange(n_parts, q(col))
+    d = d.withColumn(pid, F.spark_partition_id()).checkpoint(eager=True)
+    sizes = d.groupBy(pid).agg(F.count(F.lit(1)).alias(size))
+    sizes = sizes.withColumn(off, F.sum(size).over(Window.orderBy(pid)) - F.col(size))
+    local = d.withColumn(rn, F.row_number().over(Window.partitionBy(pid).orderBy(q(col))) - 1)
+    return local.join(F.broadcast(sizes), pid).select(q(col), (F.col(off) + F.col(rn)).cast("bigint").alias("code"))
+
+
+def fit_label_encode(df: DataFrame, c: str, path: str | None = None) -> dict:
+    """Classes sorted by code point; a missing value is the class 'nan'.  Up to
+    ``MAX_LISTED`` classes are a list in the recipe or model.  More are a table
+    (value, code) written under ``path`` (default: the shared scratch folder),
+    numbered without passing the driver; the recipe holds its place, so keep
+    the folder as long as the recipe, or give a lasting one."""
+    require_columns(df, [c])
+    values = df.select(_as_text(df, c).alias("value")).distinct()
+    rows = values.limit(MAX_LISTED + 1).collect()
+    if len(rows) <= MAX_LISTED:
+        return {"classes": sorted(r[0] for r in rows)}
+    path = path or scratch_path(df.sparkSession, "classes")
+    dense_codes(values, "value").write.mode("overwrite").parquet(path)
+    return {"table": path}
 
 
-def fit_label_encode(df: DataFrame, c: str) -> dict:
-    """Classes sorted by code point; a missing value is the class 'nan'.  The
-    class list is part of the recipe or model, whatever its size."""
-    require_columns(df, [c])
-    rows = df.select(_as_text(df, c).alias("_v")).distinct().orderBy("_v").collect()
-    return {"classes": [r[0] for r in rows]}
+def copy_code_table(spark, params: dict, path: str) -> dict:
+    """Constants whose class table, if they have one, lies under ``path``."""
+    if "table" not in params:
+        return params
+    spark.read.parquet(params["table"]).write.mode("overwrite").parquet(path)
+    return {**params, "table": path}
 
 
 def fit_classes(df: DataFrame, c: str) -> dict:
     """Classes of a target in the order of its own type (numbers by value),
-    nulls aside."""
+    nulls aside; more than ``MAX_SCHEMA`` are an error (a model has a weight or
+    a count for each)."""
     require_columns(df, [c])
-    rows = df.where(q(c).isNotNull()).select(q(c).alias("_v"), q(c).cast("string").alias("_s")).distinct().orderBy("_v").collect()
+    rows = df.where(q(c).isNotNull()).select(q(c).alias("_v"), q(c).cast("string").alias("_s")).distinct()
+    rows = sorted(collect_bounded(rows, MAX_SCHEMA, f"target {c!r}: its classes", structural=False), key=lambda r: r["_v"])
     return {"classes": [r["_s"] for r in rows], "type": df.schema[c].dataType.simpleString()}
 
 
 def _code_table(df: DataFrame, params: dict, value: str, code: str) -> DataFrame:
+    if "table" in params:  # the engine chooses the join by the table's size
+        return df.sparkSession.read.parquet(params["table"]).select(F.col("value").alias(value), F.col("code").alias(code))
     classes = params["classes"]
     table = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(classes)], f"{value} string, {code} bigint")
     return F.broadcast(table) if sum(map(len, classes)) <= BROADCAST_CHARS else table
@@ -86,8 +109,8 @@ def label_encode(df: DataFrame, c: str) -> DataFrame:
 def fit_one_hot(df: DataFrame, c: str) -> dict:
     require_columns(df, [c])
     # the values become columns: a schema, which the driver holds anyway
-    rows = df.where(q(c).isNotNull()).select(q(c).cast("string").alias("_v")).distinct().orderBy("_v").collect()
-    return {"categories": [r[0] for r in rows]}
+    rows = df.where(q(c).isNotNull()).select(q(c).cast("string").alias("_v")).distinct()
+    return {"categories": sorted(r[0] for r in collect_bounded(rows, MAX_SCHEMA, f"{c!r}: its columns", structural=False))}
 
 
 def apply_one_hot(df: DataFrame, c: str, params: dict) -> DataFrame:
