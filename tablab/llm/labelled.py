@@ -43,10 +43,10 @@ def bounded_labels(train: DataFrame, most: dict[int, int], salt: int = 7) -> tup
 
 
 def within_bound(rows: DataFrame, bound: int, salt: int = 13) -> DataFrame:
-    """``rows`` (id, text, ...), or where repeated ids make them more than ``bound``, about so many, chosen by hash of id
-    and text."""
+    """``rows`` (id, x, ...), or where repeated ids make them more than ``bound``, about so many, chosen by hash of id and
+    inputs."""
     n = rows.count()
-    return rows if n <= bound else rows.where(F.pmod(F.xxhash64("id", "text", F.lit(salt)), F.lit(_SHARE)) < bound * _SHARE // n)
+    return rows if n <= bound else rows.where(F.pmod(F.xxhash64("id", "x", F.lit(salt)), F.lit(_SHARE)) < bound * _SHARE // n)
 
 
 def sample_by_hash(docs: DataFrame, bound: int, alias: str, salt: int = 11) -> Column:

@@ -12,14 +12,17 @@ zero -- the sign of overfitting -- the step goes up its gradient instead, as in
 Inputs are properties of the whole text: a few rates (letter case, symbols, punctuation, repeated words, lines and
 five-word windows, lengths) and hashed four-grams of character classes.  Labels, language, source and id are no inputs.
 
-Inputs are scaled by their means and deviations over all documents, taken in one aggregate.  The two expectations come from
-a bounded sample (``max_positive``, ``max_unlabelled`` rows, chosen by hash); the prior is counted over all training
-labels, and scoring reads every text in full in one pass without a shuffle.  Training labels, up to ``max_negative`` bad
-ones among them, also place the decision: a logistic map of ``g``, shifted so that the best separating value on the
-training sample scores 0.3.
+One pass turns every whole text into its inputs, a written table.  Their means and deviations over all documents scale
+them.  The fit starts on a sample (``max_positive`` trusted and ``max_unlabelled`` other rows, chosen by hash) and ends on
+the whole corpus: ``ROUNDS`` descent steps on the risk itself, whose unlabelled expectation and gradient are summed over all
+documents, one partial sum per task; a step is taken only if it lowers that sum.  The prior is counted over all training
+labels.  Training labels, up to ``max_negative`` bad ones among them, also place the decision: a logistic map of ``g``,
+shifted so that the best separating value on the training sample scores 0.3.
 
 Defined results: a null text is an empty one and is scored like any other; without a trusted positive every score is
-the prior 0.5; rows are scored one by one, so repeated rows score alike; an empty table gives an empty result.
+the prior 0.5; rows are scored one by one, so repeated rows score alike; a null id has no label and is held out of no
+fold; extra columns are ignored, or come back unchanged from the filter, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablab.llm.common import ref, trim
+from tablab.llm.common import materialise, ref, trim
 from tablab.llm.labelled import bounded_labels, held_out, sample_by_hash, training_labels, within_bound
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_NEGATIVE = 8000, 12000, 4000
 CUT = 0.3
 BUCKETS, HIDDEN, EPOCHS, BATCH = 512, 24, 30, 256
+#: Descent steps on the risk over all documents.
+ROUNDS = 3
 #: Bytes per piece of text when its four-grams are counted; bounds memory for texts of any length.
 PIECE = 1 << 20
 
@@ -57,7 +62,8 @@ N_RATES = 19
 
 
 def features(text: str | None) -> np.ndarray:
-    """``N_RATES`` rates and ``BUCKETS`` shares of hashed class four-grams (square roots), float32."""
+    """``N_RATES`` rates and ``BUCKETS`` shares of hashed class four-grams (square roots), as float32 with the 11
+    significant bits that a half-precision number keeps, so that they can be written as such."""
     data = (text or "").encode("utf-8", "surrogatepass")
     raw = np.frombuffer(data, np.uint8)
     out = np.zeros(N_RATES + BUCKETS, np.float32)
@@ -84,7 +90,7 @@ def features(text: str | None) -> np.ndarray:
             code = c[:-3] | c[1:-2] << 6 | c[2:-1] << 12 | c[3:] << 18
             shares += np.bincount((code * np.uint32(2654435761)) >> np.uint32(23), minlength=BUCKETS)
     out[N_RATES:] = np.sqrt(shares / max(1, shares.sum()))
-    return out
+    return np.clip(out, -6e4, 6e4).astype(np.float16).astype(np.float32)
 
 
 def _repeated_share(ids: np.ndarray, size: int) -> float:
@@ -110,28 +116,114 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.a * self.g(x) + self.b, -30, 30)))
 
 
-def input_moments(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Mean and deviation of every input over all rows of ``docs``.  A task sends one partial sum per input; rounding the
-    results to float32 hides the order in which partial sums meet."""
-    size = N_RATES + BUCKETS
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Inputs of the rows of a binary column, all of one length, in half precision."""
+    data = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    width = N_RATES + BUCKETS
+    if not len(data):
+        return np.zeros((0, width), np.float16)
+    return np.frombuffer(data.buffers()[2], np.float16, (data.offset + len(data)) * width)[data.offset * width :].reshape(-1, width)
+
 
+def _summed(written: DataFrame, size: int, of_batch) -> np.ndarray:
+    """Sum over all rows of ``of_batch(inputs)``, an array of ``size``: one partial sum per task, added by place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, square = 0, np.zeros(size), np.zeros(size)
+        total = np.zeros(size)
         for batch in batches:
-            for text in batch.column(0):
-                x = features(text.as_py()).astype(np.float64)
-                n, total, square = n + 1, total + x, square + x * x
-        if n:
-            columns = [np.arange(size), np.full(size, n), total, square]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "n", "total", "square"])
-
-    parts = docs.select(ref(text_col).alias("text")).mapInArrow(run, "place long, n long, total double, square double")
-    rows = parts.groupBy("place").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("square").alias("square")).collect()
-    mean, sd = np.zeros(size, np.float32), np.zeros(size, np.float32)
-    for r in rows:  # one per input
-        m = r["total"] / r["n"]
-        mean[r["place"]], sd[r["place"]] = m, np.sqrt(max(0.0, r["square"] / r["n"] - m * m))
-    return mean, sd
+            x = _matrix(batch.column(0))
+            for at in range(0, len(x), 512):  # half precision only while it travels
+                total += of_batch(x[at : at + 512].astype(np.float32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["place", "v"])
+
+    out = np.zeros(size)
+    for r in written.select("x").mapInArrow(run, "place long, v double").groupBy("place").agg(F.sum("v").alias("v")).collect():
+        out[r["place"]] = r["v"]  # one per input or weight
+    return out
+
+
+def input_moments(written: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of every input over all rows; rounding the results to float32 hides the order in which partial
+    sums meet."""
+    size = N_RATES + BUCKETS
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64)
+        return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+
+    got = _summed(written, 2 * size + 1, sums)
+    n = max(1.0, got[0])
+    mean, square = got[1 : size + 1] / n, got[size + 1 :] / n
+    return mean.astype(np.float32), np.sqrt(np.maximum(0.0, square - mean * mean)).astype(np.float32)
+
+
+NAMES = ("w1", "b1", "w2", "b2")
+
+
+def losses(net: Network, x: np.ndarray, sign: float) -> tuple[float, dict]:
+    """Sum of the logistic loss of ``sign * g`` over rows, and its gradient by the weights."""
+    z = np.clip((x - net.mean) * net.scale, -4, 4).astype(np.float64)
+    h = np.tanh(z @ net.w1 + net.b1)
+    g = sign * (h @ net.w2 + net.b2)
+    dg = -sign / (1 + np.exp(np.clip(g, -30, 30)))
+    dh = np.outer(dg, net.w2) * (1 - h * h)
+    return float(np.logaddexp(0, -g).sum()), {"w1": z.T @ dh, "b1": dh.sum(axis=0), "w2": h.T @ dg, "b2": dg.sum()}
+
+
+def _flat(grads: dict) -> np.ndarray:
+    return np.concatenate([np.ravel(grads[k]) for k in NAMES])
+
+
+def _moved(net: Network, step: np.ndarray) -> Network:
+    """The network with its weights, in the order of ``NAMES``, moved by ``step``."""
+    new, at = {}, 0
+    for k in NAMES:
+        old = np.asarray(getattr(net, k))
+        new[k] = old + step[at : at + old.size].reshape(old.shape)
+        at += old.size
+    return Network(net.mean, net.scale, new["w1"], new["b1"], new["w2"], new["b2"])
+
+
+def refine(net: Network, written: DataFrame, p: np.ndarray, prior: float, rounds: int | None = None) -> Network:
+    """Descent on the non-negative risk over the rows ``p`` and all rows of ``written``.  A round is two passes: the
+    gradient, then the risk at several steps along it; the best is taken, none if none is better."""
+    rounds = ROUNDS if rounds is None else rounds
+    size = sum(np.asarray(getattr(net, k)).size for k in NAMES)
+    reach = 0.05
+
+    def trusted(net: Network) -> tuple[float, np.ndarray, float, np.ndarray]:
+        (a, ga), (b, gb) = losses(net, p, 1.0), losses(net, p, -1.0)
+        return a / len(p), _flat(ga) / len(p), b / len(p), _flat(gb) / len(p)
+
+    def decay(net: Network) -> float:
+        return 0.5e-4 * float(np.square(net.w1).sum() + np.square(net.w2).sum())
+
+    for _ in range(rounds):
+        # default arguments: the tasks get the network of this round
+        got = _summed(written, size + 2, lambda x, net=net: np.concatenate([[len(x), (v := losses(net, x, -1.0))[0]], _flat(v[1])]))
+        n = max(1.0, got[0])
+        good, d_good, bad, d_bad = trusted(net)
+        rest = got[1] / n - prior * bad
+        now = prior * good + max(0.0, rest) + decay(net)
+        grad = prior * d_good + (got[2:] / n - prior * d_bad if rest > 0 else 0.0)
+        grad = grad + 1e-4 * _flat({k: getattr(net, k) if k[0] == "w" else np.zeros_like(getattr(net, k)) for k in NAMES})
+        weights = _flat({k: getattr(net, k) for k in NAMES})
+        if not np.abs(grad).max() > 0:
+            break
+        unit = -grad / np.linalg.norm(grad) * np.linalg.norm(weights)
+        tried = [_moved(net, unit * reach * s) for s in (1.0, 0.3, 0.1, 0.03)]
+        sums = _summed(written, len(tried), lambda x, tried=tried: np.array([losses(t, x, -1.0)[0] for t in tried]))
+        risks = []
+        for t, v in zip(tried, sums / n):
+            good, _, bad, _ = trusted(t)
+            risks.append(prior * good + max(0.0, v - prior * bad) + decay(t))
+        best = int(np.argmin(risks))
+        if risks[best] >= now:
+            reach /= 30
+            continue
+        net, reach = tried[best], reach * (1.0, 0.3, 0.1, 0.03)[best] * 2
+    for k in NAMES:
+        setattr(net, k, np.asarray(getattr(net, k), np.float32))
+    return net
 
 
 def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 0,
@@ -189,27 +281,34 @@ def best_cut(g: np.ndarray, y: np.ndarray) -> float:
     return float(np.median(edges[rate >= rate.max() - 1e-12]))
 
 
+def write_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x): the inputs of every whole text, written: one pass over the texts for all that follows."""
+    return materialise(docs.select(ref(id_col).alias("id"), feature_udf()(ref(text_col)).alias("x")), "quality-features")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality",
-          max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_negative: int = MAX_NEGATIVE) -> Network | None:
+          max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_negative: int = MAX_NEGATIVE,
+          written: DataFrame | None = None) -> Network | None:
     """Fit on trusted positives and unlabelled text; None if there is no trusted positive.  ``max_negative`` bounds the
-    labelled bad rows that only help to place the decision."""
+    labelled bad rows that only help to place the decision; ``written``: the documents' inputs, if they exist already."""
     chosen, counts = bounded_labels(training_labels(labels, label, id_col), {1: max_positive, 0: max_negative})
     if not counts[1]:
         return None
     prior = counts[1] / (counts[0] + counts[1])
+    written = write_features(docs, id_col, text_col) if written is None else written
     # a few thousand (id, label) pairs, bounded by the parameters above
-    rows = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text")).join(F.broadcast(chosen), "id", "left")
-    free = sample_by_hash(docs, max_unlabelled, "id")
-    rows = within_bound(rows.where(F.col("y").isNotNull() | free).select("id", "text", "y", free.alias("free")), 2 * (max_positive + max_negative + max_unlabelled))
-    sample = rows.select(F.coalesce("y", F.lit(-1)).alias("y"), F.coalesce("free", F.lit(False)).alias("free"), feature_udf()("text").alias("x")).toArrow()
-    width = N_RATES + BUCKETS
+    rows = written.join(F.broadcast(chosen), "id", "left")
+    free = F.coalesce(sample_by_hash(written, max_unlabelled, "id"), F.lit(False))
+    rows = within_bound(rows.where(F.col("y").isNotNull() | free).select("id", "x", "y", free.alias("free")), 2 * (max_positive + max_negative + max_unlabelled))
+    sample = rows.select(F.coalesce("y", F.lit(-1)).alias("y"), "free", "x").toArrow()
     if not len(sample):
         return None
-    x = np.frombuffer(sample.column("x").combine_chunks().buffers()[2], np.float32, len(sample) * width).reshape(-1, width)
+    x = _matrix(sample.column("x")).astype(np.float32)
     y, u = sample.column("y").to_numpy(), sample.column("free").to_numpy()
     if not (y == 1).any():
         return None
-    net = fit_pu(x[y == 1], x[u] if u.any() else x, prior, moments=input_moments(docs, text_col))
+    net = fit_pu(x[y == 1], x[u] if u.any() else x, prior, moments=input_moments(written))
+    net = refine(net, written, x[y == 1], prior)
     known = y >= 0
     g = net.g(x[known])
     # scale: one unit of the score's logit per typical deviation of g; place: the best cut scores CUT
@@ -225,25 +324,26 @@ def feature_udf():
     @F.pandas_udf("binary")
     def as_features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([features(t).tobytes() for t in batch])
+            yield pd.Series([features(t).astype(np.float16).tobytes() for t in batch])
 
     return as_features
 
 
-def score_udf(spark, net: Network | None):
-    """Column function text -> score in 0..1, higher where a good document is likelier."""
+def score_udf(spark, net: Network | None, as_written: bool = False):
+    """Column function text, or its written inputs, -> score in 0..1, higher where a good document is likelier."""
     model = spark.sparkContext.broadcast(net)  # fixed size
 
     @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
+    def score(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in rows:
             found = []
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
                 if model.value is None:
                     found.append(np.full(len(part), 0.5))
                 else:
-                    found.append(model.value.score(np.stack([features(t) for t in part])).astype(np.float64))
+                    x = [np.frombuffer(t, np.float16).astype(np.float32) if as_written else features(t) for t in part]
+                    found.append(model.value.score(np.stack(x)).astype(np.float64))
             yield pd.Series(np.concatenate(found) if found else np.empty(0))
 
     return score
@@ -251,8 +351,9 @@ def score_udf(spark, net: Network | None):
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """One row per input row: id, held_out, score, predicted."""
-    net = train(docs, labels, id_col, text_col, **bounds)
-    scored = docs.select(ref(id_col).alias(id_col), held_out(ref(id_col)).alias("held_out"), score_udf(docs.sparkSession, net)(ref(text_col)).alias("score"))
+    written = write_features(docs, id_col, text_col)
+    net = train(docs, labels, id_col, text_col, **bounds, written=written)
+    scored = written.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), score_udf(docs.sparkSession, net, as_written=True)("x").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 

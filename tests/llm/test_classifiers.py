@@ -157,3 +157,35 @@ def test_long_texts_are_scored_whole():
 def test_language_guess():
     said = {"en": "the cat and the dog", "de": "der Hund und die Katze", "fr": "le chat et les chiens", "es": "el perro y los gatos", "other": "zzz qqq"}
     assert {k: T.LANGUAGES[T.language_of(T.words_of(v))] for k, v in said.items()} == {k: k for k in said}
+
+
+def test_risk_gradient_is_that_of_differences():
+    rng = np.random.default_rng(3)
+    d = Q.N_RATES + Q.BUCKETS
+    x = rng.normal(size=(40, d)).astype(np.float32)
+    net = Q.Network(np.zeros(d), np.ones(d), rng.normal(0, 0.2, (d, Q.HIDDEN)), rng.normal(size=Q.HIDDEN), rng.normal(size=Q.HIDDEN), np.array(0.3))
+    for sign in (1.0, -1.0):
+        flat = Q._flat(Q.losses(net, x, sign)[1])
+        for at in rng.integers(0, len(flat), 25).tolist() + [len(flat) - 1]:
+            step = np.zeros(len(flat))
+            step[at] = 1e-5
+            slope = (Q.losses(Q._moved(net, step), x, sign)[0] - Q.losses(Q._moved(net, -step), x, sign)[0]) / 2e-5
+            assert slope == pytest.approx(flat[at], rel=1e-4, abs=1e-6)
+
+
+def test_last_steps_lower_the_risk_over_all_documents(spark):
+    """Whatever the sample that a fit starts on, the whole corpus decides on its end."""
+    texts = [(f"Plain words here, number {i}.\n" if i % 3 else f"|| {i} $$ ## AB{i}") * (i % 5 + 1) for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    written = Q.write_features(docs)
+    x = np.stack([Q.features(t) for t in texts])
+    p, prior = x[np.arange(600) % 3 > 0][:100], 0.6
+
+    def risk(net):
+        good, bad = Q.losses(net, p, 1.0)[0] / len(p), Q.losses(net, p, -1.0)[0] / len(p)
+        return prior * good + max(0.0, Q.losses(net, x, -1.0)[0] / len(x) - prior * bad) + 0.5e-4 * (np.square(net.w1).sum() + np.square(net.w2).sum())
+
+    start = Q.fit_pu(p, x[:20], prior, epochs=1, moments=Q.input_moments(written))
+    end = Q.refine(start, written, p, prior, rounds=3)
+    assert risk(end) < risk(start)
+    assert risk(Q.refine(end, written, p, prior, rounds=1)) <= risk(end) + 1e-9
