@@ -109,9 +109,12 @@ def block_answers(k: int, key_names: list[str]):
     best = _block_topk(k, key_names)
 
     def run(queries: pa.Table, points: pa.Table) -> pa.Table:
-        got = best(queries.select(["_qid", "_q"]).to_pandas(), points.select([*key_names, "_x", "_y"]).to_pandas())
-        kinds = {"_qid": pa.int64(), "_d": pa.float64()} | {c: points.schema.field(c).type for c in ("_y", *key_names)}
-        return pa.table({c: pa.array(got[c].tolist(), t) for c, t in kinds.items()})
+        members = points.select([*key_names, "_x"]).to_pandas()
+        members["_y"] = np.arange(len(members))  # the place of the row: its values are taken from the table, nulls and all
+        got = best(queries.select(["_qid", "_q"]).to_pandas(), members)
+        at = pa.array(got["_y"].to_numpy(np.int64))
+        own = {c: points.column(c).combine_chunks().take(at) for c in ("_y", *key_names)}
+        return pa.table({"_qid": pa.array(got["_qid"].to_numpy(np.int64)), "_d": pa.array(got["_d"].to_numpy(float)), **own})
 
     return run
 

@@ -83,7 +83,9 @@ def test_dbscan_hot_cell(spark, d):
 
 
 def test_quantiles_match_numpy(spark, monkeypatch):
-    monkeypatch.setattr(Q, "BRACKET_VALUES", 40)  # many narrowing steps
+    monkeypatch.setattr(Q, "VALUES", 40)  # many narrowing steps
+    monkeypatch.setattr(Q, "PARTS", 16)
+    monkeypatch.setattr(Q, "FEW", 4)
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=30_000), rng.integers(0, 4, 30_000), [1e12, -1e12]])
     df = spark.createDataFrame([(float(v), int(i % 3) if i % 11 else None) for i, v in enumerate(x)], "v double, g int").repartition(5)
