@@ -15,6 +15,8 @@ Parameter mapping to the usual single-machine defaults:
 * linear SVM with C: ``regParam = 1 / (C n)``; one-vs-rest beyond 2 classes;
 * rbf kernels use random Fourier features (gamma = 1 / (d var(X))) followed
   by the linear model; poly uses a degree-3 polynomial expansion;
+* with ``landmarks=m`` both SVMs use landmark features and are fitted to a
+  duality gap ``tol`` (:mod:`tablab.operators.kernels`);
 * SVM class probabilities: a logistic fit on the margins of the training rows;
 * forests: Spark trees end at depth 30, which ``max_depth=None`` means;
   ``min_samples_split`` cuts the fitted trees at nodes of fewer rows
@@ -292,6 +294,7 @@ class FittedModel:
     svr: dict | None = None
     platt: list | None = None  # per class (slope, intercept) on the SVM's margin
     knn: dict | None = None  # train (vectors), key, k, classes
+    kernel: dict | None = None  # landmark features, weights and certificates
     fits: list = field(default_factory=list)  # (part, steps, most steps, converged) of every iterative fit
 
     def vectors(self, df: DataFrame) -> DataFrame:
@@ -308,7 +311,12 @@ class FittedModel:
             from tablab.operators.neighbors import knn_predict
 
             return knn_predict(self.knn["train"], v, self.knn["key"], self.knn["k"], self.knn["classes"])
-        out = self.ml.transform(v)
+        if self.kernel is not None:
+            from tablab.operators.kernels import predict_certified
+
+            out = predict_certified(v, self.kernel)
+        else:
+            out = self.ml.transform(v)
         return _with_platt(out, self.platt) if self.platt else out
 
     @property
@@ -401,7 +409,43 @@ def _with_platt(scored: DataFrame, platt: list) -> DataFrame:
     return scored.withColumn("probability", F.transform("_p", lambda x: x / total)).drop("_p")
 
 
+def certificates(result: "TrainResult") -> DataFrame:
+    """(part, primal, dual, gap, passes, converged) of a model fitted with ``landmarks``: its objective exceeds the optimum by
+    at most ``gap``.  No rows for other models."""
+    found = (result.model.kernel or {}).get("certificates", []) if result.model else []
+    rows = [(f"machine {i}", float(c["primal"]), float(c["dual"]), float(c["primal"] - c["dual"]), c["passes"], c["converged"]) for i, c in enumerate(found)]
+    return result.predictions.sparkSession.createDataFrame(rows, "part string, primal double, dual double, gap double, passes int, converged boolean")
+
+
+def _fit_landmarks(prep: Prepared, spec: ModelSpec, train: DataFrame, normalize: bool, seed: int) -> FittedModel:
+    from tablab.operators import kernels as K
+
+    scale_params = fit_standard(prep, train) if normalize else None
+    p, classify = spec.params, spec.task == "classification"
+    vec = _FeatureVector(prep.features, scale_params).transform(train).select(*dict.fromkeys([*prep.key, "features", "label"])).cache()
+    try:
+        points = K.choose_landmarks(vec, prep.key, int(p["landmarks"]), seed)
+        dim = max(1, points.shape[1] if points.ndim == 2 else 1)
+        kernel = p.get("kernel", "rbf")
+        gamma = float(p["gamma"]) if "gamma" in p else rbf_gamma(vec, dim)
+        m = K.landmark_map(points, kernel, gamma, int(p.get("degree", 3)), float(p.get("coef0", 0.0)))
+        classes = [float(i) for i in range(len(prep.classes or []))] if classify else None
+        if classify and len(classes) < 2:
+            raise ValueError("an SVM needs at least two classes")
+        fit = K.fit_certified(vec, m, classes, float(p.get("C", 1.0)), float(p.get("epsilon", 0.1)), float(p.get("tol", 0.01)), int(p.get("max_iter", 100)))
+        fits = [(f"{spec.name} machine {i}", c["passes"], fit["max_passes"], c["converged"]) for i, c in enumerate(fit["certificates"])]
+        platt = None
+        if classify:
+            platt, steps, settled = _fit_platt(K.predict_certified(vec, fit), len(classes))
+            fits.append(("probabilities", steps, PLATT_STEPS, settled))
+        return FittedModel(prep.features, scale_params, None, None, platt=platt, kernel=fit, fits=fits)
+    finally:
+        vec.unpersist()
+
+
 def _fit_model(prep: Prepared, spec: ModelSpec, train: DataFrame, normalize: bool, seed: int) -> FittedModel:
+    if spec.name in ("svm", "svr") and spec.params.get("landmarks") is not None:
+        return _fit_landmarks(prep, spec, train, normalize, seed)
     scale_params = fit_standard(prep, train) if normalize else None
     base = _FeatureVector(prep.features, scale_params).transform(train).select("features", "label")
     stats = one_row(base.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd"),
@@ -645,6 +689,7 @@ def save_model(result: TrainResult, path: str) -> None:
         "rff": fm.rff if fm else None,
         "svr": fm.svr if fm else None,
         "platt": fm.platt if fm else None,
+        "kernel": fm.kernel if fm else None,
         "knn": {k: v for k, v in fm.knn.items() if k != "train"} if fm and fm.knn else None,
         "spec": {"name": result.spec.name, "params": result.spec.params},
         "has_ml": bool(fm is not None and fm.ml is not None),
@@ -657,7 +702,7 @@ def load_model(spark, path: str) -> tuple[FittedModel, dict]:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     ml = PipelineModel.load(f"{path}/ml") if meta["has_ml"] else None
     knn = meta.get("knn") and meta["knn"] | {"train": spark.read.parquet(f"{path}/train")}
-    return FittedModel(meta["features"], meta["scale"], meta["rff"], ml, meta["svr"], meta.get("platt"), knn), meta
+    return FittedModel(meta["features"], meta["scale"], meta["rff"], ml, meta["svr"], meta.get("platt"), knn, meta.get("kernel")), meta
 
 
 def encode_for_model(df: DataFrame, meta: dict) -> DataFrame:
