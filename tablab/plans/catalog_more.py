@@ -249,3 +249,33 @@ def fit_convergence(spark, sf):
     """Steps of the SVR's solver and whether it settled."""
     cu = load(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 50).cast("double").alias("a"), (F.col("c_acctbal") / 1000).alias("y"))
     return SV.convergence(SV.train_model(cu, ["a"], "y", "svr", "regression", key=["c_custkey"], max_iter=15))
+
+
+# ================================================================ M9, M10 fitted to a duality gap
+from tablab.functions.parallel import spread  # noqa: E402
+
+_IN_TEST = "('0x' || substr(md5(concat_ws('-', l_orderkey, l_linenumber, '42')), 1, 8))::BIGINT % 10000 < 2000"
+
+
+@register(
+    "svm_margin",
+    f"""SELECT l_orderkey, l_linenumber, (l_quantity > 25)::DOUBLE AS prediction FROM lineitem WHERE l_quantity IS NOT NULL AND {_IN_TEST}""",
+)
+def svm_margin(spark, sf):
+    """Rows that a line separates: within the gap of the optimum no row may lie on the wrong side."""
+    li = spread(load(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_quantity") > 25).cast("int").alias("many"))
+    got = SV.train_model(li, ["l_quantity"], "many", "svm", "classification", key=["l_orderkey", "l_linenumber"], kernel="linear", landmarks=1, C=1000.0)
+    return got.predictions.select("l_orderkey", "l_linenumber", F.col("prediction").cast("double").alias("prediction"))
+
+
+@register("svm_certificate")
+def svm_certificate(spark, sf):
+    e = spread(load(spark, sf, "embeddings"))
+    return SV.certificates(SV.train_model(e, ["embedding"], "label", "svm", "classification", key=["vec_id"], landmarks=64))
+
+
+@register("svr_certificate")
+def svr_certificate(spark, sf):
+    li = spread(load(spark, sf, "lineitem"))
+    return SV.certificates(SV.train_model(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "svr", "regression",
+                                          key=["l_orderkey", "l_linenumber"], landmarks=64))
