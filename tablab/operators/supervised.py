@@ -531,9 +531,13 @@ def with_class_names(pred: DataFrame, class_codes: dict | None) -> DataFrame:
     and the prediction (classification only)."""
     if class_codes is None or "label" not in pred.columns:
         return pred
-    names = F.array(*[F.lit(c) for c in class_codes["classes"]])
-    value = lambda c: F.get(names, F.col(c).cast("int")).cast(class_codes.get("type", "string"))
-    return pred.withColumn("actual", value("label")).withColumn("predicted", value("prediction"))
+    return pred.withColumn("actual", class_value(class_codes, "label")).withColumn("predicted", class_value(class_codes, "prediction"))
+
+
+def class_value(class_codes: dict, c: str):
+    """The target's own value of the class index in column ``c``."""
+    names = F.array(*[F.lit(v) for v in class_codes["classes"]])
+    return F.get(names, F.col(c).cast("int")).cast(class_codes.get("type", "string"))
 
 
 def confusion(result: TrainResult) -> DataFrame:

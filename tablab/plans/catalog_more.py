@@ -279,3 +279,23 @@ def svr_certificate(spark, sf):
     li = spread(load(spark, sf, "lineitem"))
     return SV.certificates(SV.train_model(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "svr", "regression",
                                           key=["l_orderkey", "l_linenumber"], landmarks=64))
+
+
+# ================================================================ S9 as one Spark ML pipeline
+from tablab.operators import stages as ST  # noqa: E402
+from tablab.plans.catalog import _LI_TRAIN  # noqa: E402
+
+
+@register(
+    "pipeline_export",
+    f"""WITH {_LI_TRAIN}, m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS start FROM t)
+        SELECT l_orderkey, l_linenumber, round(start + slope * l_quantity, 2) AS prediction FROM lineitem, m WHERE l_quantity IS NOT NULL""",
+)
+def pipeline_export(spark, sf):
+    """Every row predicted by a pipeline that was written and read back."""
+    li = load(spark, sf, "lineitem")
+    got = SV.train_model(spread(li), ["l_quantity"], "l_extendedprice", "linear", "regression", key=["l_orderkey", "l_linenumber"])
+    path = scratch_path(spark, "export")
+    ST.export_pipeline(got, path)
+    rows = li.where(F.col("l_quantity").isNotNull()).select("l_orderkey", "l_linenumber", "l_quantity")
+    return rounded(ST.load_pipeline(path).transform(rows).select("l_orderkey", "l_linenumber", "prediction"), 2)
