@@ -18,6 +18,10 @@ Which runs are counted is decided by bit tables of at most 4 MB (frequent words,
 hit only counts a run too many, each run is counted wholly or not at all, so counts stay exact whatever the corpus.
 Texts of any length are read in blocks; runs across blocks are not lost.
 
+Runs of several words are counted by the 64-bit hashes of their words, not as strings: three or four whole numbers a row.
+No two words of the corpus share a hash (all words are compared first; on a clash they are hashed anew under another seed), so
+counts stay exact, and the few runs that are frequent get their words back by a join.
+
 Every join that meets a pair or word is ``common.join_facts``: a word in a third of all pairs is no single task.
 
 Arithmetic is exact in 38 decimal digits (counts below 10**15).
@@ -78,8 +82,8 @@ class _Numbers(dict):
         return n
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, seed=xxhash.xxh32_intdigest(lang.encode("utf-8", "surrogatepass")))
+def word_hash(lang: str, word: bytes, salt: int = 0) -> int:
+    return xxhash.xxh64_intdigest(word, seed=xxhash.xxh32_intdigest(lang.encode("utf-8", "surrogatepass"), seed=salt))
 
 
 def places(hashes: list[np.ndarray], bits: int) -> np.ndarray:
@@ -92,23 +96,31 @@ def places(hashes: list[np.ndarray], bits: int) -> np.ndarray:
 
 
 class BitTable:
-    """A set of runs of words as a table of bits: hits may be false, misses never are."""
+    """A set of runs of words, as (lang, phrase) or as the hashes of their words alone, in a table of bits: hits may be false,
+    misses never are."""
 
     def __init__(self, phrases: DataFrame):
         n = phrases.count()
         self.bits = bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+        spelled = "phrase" in phrases.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [[word_hash(lang, w.encode("utf-8", "surrogatepass")) for w in phrase.split(" ")]
-                        for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-                at = places([np.array(c, np.uint64) for c in zip(*rows)], bits)
+                if spelled:
+                    rows = [[word_hash(lang, w.encode("utf-8", "surrogatepass")) for w in phrase.split(" ")]
+                            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                    hashes = [np.array(c, np.uint64) for c in zip(*rows)]
+                else:
+                    hashes = [c.to_numpy().view(np.uint64) for c in batch.columns]
+                if not len(batch):
+                    continue
+                at = places(hashes, bits)
                 slots, inverse = np.unique(at >> 6, return_inverse=True)
                 word = np.zeros(len(slots), np.uint64)
                 np.bitwise_or.at(word, inverse, np.uint64(1) << (at & 63).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(word.view(np.int64))], names=["slot", "word"])
 
-        got = phrases.select("lang", "phrase").mapInArrow(run, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toPandas()
+        got = (phrases.select("lang", "phrase") if spelled else phrases).mapInArrow(run, "slot long, word long").groupBy("slot").agg(F.bit_or("word").alias("word")).toPandas()
         words = np.zeros(bits >> 6, np.int64)  # at most 4 MB
         words[got["slot"].to_numpy()] = got["word"].to_numpy()
         self.shared = phrases.sparkSession.sparkContext.broadcast(words)
@@ -122,10 +134,11 @@ class BitTable:
 
 
 class _Stream:
-    """Words of many texts as one row of numbers, counted whenever it is long enough."""
+    """Words of many texts as one row of numbers, counted whenever it is long enough.  With a ``salt``, single words come with
+    their hash, and longer runs as the hashes of their words instead of strings."""
 
-    def __init__(self, length: int, counted: Callable[[list[np.ndarray]], np.ndarray] | None):
-        self.length, self.counted, self.tail = length, counted, []
+    def __init__(self, length: int, counted: Callable[[list[np.ndarray]], np.ndarray] | None, salt: int | None = None):
+        self.length, self.counted, self.salt, self.tail = length, counted, salt, []
         self.clear()
 
     def clear(self) -> None:
@@ -147,8 +160,9 @@ class _Stream:
         columns = [ids[j : len(ids) - k + 1 + j] for j in range(k)] if len(ids) >= k else [ids[:0]] * k
         whole = np.logical_and.reduce([c >= 0 for c in columns])
         columns = [c[whole] for c in columns]
+        if self.counted is not None or self.salt is not None:
+            hashes = np.array([word_hash(lang, w, self.salt or 0) for lang, w in zip(self.langs, self.words)], np.uint64)
         if self.counted is not None and len(columns[0]):
-            hashes = np.array([word_hash(lang, w) for lang, w in zip(self.langs, self.words)], np.uint64)
             use = self.counted([hashes[c] for c in columns])
             columns = [c[use] for c in columns]
         base, code = max(1, len(self.words)), np.zeros(len(columns[0]), np.int64)
@@ -159,19 +173,29 @@ class _Stream:
             part, runs = code[at : at + (1 << 16)], []
             for _ in range(k):
                 part, last = np.divmod(part, base)
-                runs.insert(0, last.tolist())
+                runs.insert(0, last)
+            many = pa.array(n[at : at + (1 << 16)], pa.int64())
+            keys = [] if self.salt is None else [pa.array(hashes[r].view(np.int64)) for r in runs]
+            if keys and k > 1:
+                yield pa.RecordBatch.from_arrays([*keys, many], names=[*_hash_names(k), "n"])
+                continue
+            runs = [r.tolist() for r in runs]
             phrases = [b" ".join([self.words[i] for i in run]) for run in zip(*runs)]
             langs = [self.langs[i] for i in runs[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
-                                              pa.array(n[at : at + (1 << 16)], pa.int64())], names=["lang", "phrase", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), many, *keys],
+                                             names=["lang", "phrase", "n", *["h"][: len(keys)]])
         self.clear()
 
 
-def count_runs(texts: DataFrame, length: int, counted: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> DataFrame:
-    """(lang, phrase, a) of all runs of ``length`` words within pieces; ``counted`` gets the words' hashes and says which
-    runs count, by the words alone."""
+def _hash_names(length: int) -> list[str]:
+    return [f"h{i + 1}" for i in range(length)]
+
+
+def count_runs(texts: DataFrame, length: int, counted: Callable[[list[np.ndarray]], np.ndarray] | None = None, salt: int = 0) -> DataFrame:
+    """(lang, phrase, h, a) of all words, or (h1, h2, ..., a) of all runs of ``length`` words within pieces, by the hashes of
+    their words; ``counted`` gets the words' hashes and says which runs count, by the words alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = _Stream(length, counted)
+        stream = _Stream(length, counted, salt)
         for batch in batches:
             langs, column = batch.column(0).to_pylist(), batch.column(1)
             for i, lang in enumerate(langs):
@@ -183,7 +207,20 @@ def count_runs(texts: DataFrame, length: int, counted: Callable[[list[np.ndarray
                 stream.add(lang, [_END])
         yield from stream.count()
 
-    return texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    if length == 1:
+        return texts.mapInArrow(run, "lang string, phrase string, n long, h long").groupBy("lang", "phrase").agg(F.sum("n").alias("a"), F.min("h").alias("h"))
+    names = _hash_names(length)
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("a"))
+
+
+def count_words(texts: DataFrame) -> tuple[DataFrame, int]:
+    """(lang, phrase, a, h) of all words, and the salt under which no two of them share the hash h."""
+    salt = 0
+    while True:
+        words = materialise(count_runs(texts, 1, salt=salt), "words")
+        if words.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return words, salt
+        salt += 1
 
 
 def score(a: str, left: str, right: str) -> Column:
@@ -192,12 +229,13 @@ def score(a: str, left: str, right: str) -> Column:
     return F.expr(f"cast(({big(a)} * {big(a)} * cast({SCALE} as decimal(7,0))) div ({big(left)} * {big(right)}) as long)")
 
 
-def _looked_up(rows: DataFrame, facts: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """``rows`` with columns of the fact row whose (lang, phrase) is (lang, ``key``)."""
-    weights = rows.groupBy("lang", ref(key)).agg(F.count(F.lit(1)).alias("weight"))
-    named = facts.select("lang", F.col("phrase").alias(key), *[F.col(c).alias(n) for c, n in columns.items()])
-    needed = materialise(weights.join(named, ["lang", key]), "facts")
-    return materialise(join_facts(rows, needed, ["lang", key], "weight").drop("weight"), "looked-up")
+def _looked_up(rows: DataFrame, facts: DataFrame, keys: dict[str, str], columns: dict[str, str]) -> DataFrame:
+    """``rows`` with ``columns`` (new names by old) of the fact row whose key is theirs; ``keys`` has the facts' columns by the
+    rows' columns."""
+    weights = rows.groupBy(*map(ref, keys)).agg(F.count(F.lit(1)).alias("weight"))
+    named = facts.select(*[F.col(c).alias(k) for k, c in keys.items()], *[F.col(c).alias(n) for c, n in columns.items()])
+    needed = materialise(weights.join(named, list(keys)), "facts")
+    return materialise(join_facts(rows, needed, list(keys), "weight").drop("weight"), "looked-up")
 
 
 def _with_languages(rows: DataFrame, per_language: DataFrame, many: bool) -> DataFrame:
@@ -218,28 +256,27 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     if max_words not in (2, 3):
         raise ValueError("max_words must be 2 or 3: longer phrases would need counts that growth by pairs does not give")
     texts = docs.select(F.coalesce(ref(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(ref(text_col).cast("string"), F.lit("")).alias("text"))
-    words = materialise(count_runs(texts, 1), "words")
+    words, salt = count_words(texts)
     sizes = materialise(words.groupBy("lang").agg(F.sum("a").alias("n")), "language-sizes")
     many = sizes.count() > MANY_LANGUAGES
     frequent = materialise(words.where(F.col("a") >= min_count), "frequent-words")
 
-    in_use = BitTable(frequent)
-    pairs = materialise(count_runs(texts, 2, lambda h: in_use.has(h[:1]) & in_use.has(h[1:])).where(F.col("a") >= min_count), "pairs")
+    in_use = BitTable(frequent.select("h"))
+    pairs = materialise(count_runs(texts, 2, lambda h: in_use.has(h[:1]) & in_use.has(h[1:]), salt).where(F.col("a") >= min_count), "pairs")
     in_use.drop()
-    split = F.split("phrase", " ")
-    pairs = pairs.withColumn("w1", F.get(split, 0)).withColumn("w2", F.get(split, 1))
-    pairs = _looked_up(_looked_up(pairs, frequent, "w1", {"a": "l"}), frequent, "w2", {"a": "r"})
+    pairs = _looked_up(pairs, frequent, {"h1": "h"}, {"lang": "lang", "phrase": "w1", "a": "l"})
+    pairs = _looked_up(pairs, frequent, {"h2": "h"}, {"phrase": "w2", "a": "r"}).withColumn("phrase", F.concat_ws(" ", "w1", "w2"))
     pairs = materialise(pairs.withColumn("score", score("a", "l", "r")).withColumn("bound", F.expr(f"cast((cast(a as decimal(18,0)) * {SCALE}) div cast(l as decimal(18,0)) as long)")), "scored-pairs")
 
-    known = BitTable(pairs)
+    known = BitTable(pairs.select("h1", "h2"))
     goal, done, triples = 2 * top, None, None
     state = materialise(_thresholds(pairs, goal if max_words > 2 else 1 << 62), "thresholds").withColumn("before", F.lit(SCALE + 1))
     while True:
         if max_words > 2:
             nodes = _with_languages(pairs, state, many).where((F.col("bound") >= F.col("tau")) & (F.col("bound") < F.col("before")))
-            nodes = materialise(nodes.select("lang", "phrase"), "nodes")
+            nodes = materialise(nodes.select("h1", "h2"), "nodes")
             grow = BitTable(nodes)
-            grown = count_runs(texts, 3, lambda h: _extends(known, grow, h)).where(F.col("a") >= min_count)
+            grown = count_runs(texts, 3, lambda h: _extends(known, grow, h), salt).where(F.col("a") >= min_count)
             fresh = materialise(grown, "triples")
             grow.drop()
             triples = fresh if triples is None else materialise(triples.union(fresh).distinct(), "triples")
@@ -276,10 +313,9 @@ def _survivors(pairs: DataFrame, triples: DataFrame | None, cover_percent: int)
     plain = pairs.select("lang", "phrase", "a", "l", "r", "score")
     if triples is None:
         return plain
-    split = F.split("phrase", " ")
-    rows = triples.withColumn("head", F.concat_ws(" ", F.get(split, 0), F.get(split, 1))).withColumn("tail", F.concat_ws(" ", F.get(split, 1), F.get(split, 2)))
-    rows = _looked_up(rows, pairs, "head", {"l": "first", "a": "head_n"})
-    rows = _looked_up(rows, pairs, "tail", {"r": "last", "a": "tail_n"})
+    rows = _looked_up(triples, pairs, {"h1": "h1", "h2": "h2"}, {"lang": "lang", "phrase": "head", "l": "first", "a": "head_n"})
+    rows = _looked_up(rows, pairs, {"h2": "h1", "h3": "h2"}, {"phrase": "tail", "w2": "w3", "r": "last", "a": "tail_n"})
+    rows = rows.withColumn("phrase", F.concat_ws(" ", "head", "w3"))
     cuts = rows.withColumn("s1", score("a", "first", "tail_n")).withColumn("s2", score("a", "head_n", "last"))
     one = F.col("s1") <= F.col("s2")
     threes = cuts.select("lang", "phrase", "a", F.when(one, F.col("first")).otherwise(F.col("head_n")).alias("l"),

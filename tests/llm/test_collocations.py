@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from oracle import compare, duck
+from pyspark.sql import functions as F
 
 from tablab.llm import collocations as C
 from tablab.llm.queries import ORACLE, QUERIES
@@ -106,3 +107,16 @@ def test_bit_table_misses_nothing(spark):
 def test_query_matches_sql(spark):
     ok, message = compare(QUERIES["op11_phrase_collocations"](spark, "/root/testdata/sf0.1"), duck("/root/testdata/sf0.1"), ORACLE["op11_phrase_collocations"])
     assert ok, message
+
+
+def test_runs_are_counted_as_numbers_and_words_hashed_anew_on_a_clash(spark, texts, monkeypatch):
+    """Strings of runs are neither shuffled nor made; two words that share a hash are never taken for one another."""
+    df = spark.createDataFrame(texts, "lang string, text string")
+    plain = df.selectExpr("coalesce(lang, 'und') as lang", "coalesce(text, '') as text")
+    assert [t for _, t in C.count_runs(plain, 2).dtypes] == ["bigint"] * 3
+    real = C.count_runs
+    clash = lambda texts, k, counted=None, salt=0: real(texts, k, counted, salt).withColumn("h", F.col("h") % 2) if k == 1 and not salt else real(texts, k, counted, salt)
+    monkeypatch.setattr(C, "count_runs", clash)
+    words, salt = C.count_words(plain)
+    assert salt == 1 and words.count() == words.select("h").distinct().count()
+    assert rows_of(C.collocations(df, min_count=3)) == brute(texts, 3, 2000, 50)
