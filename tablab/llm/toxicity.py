@@ -8,8 +8,12 @@ shrunken log-odds of the word in the training documents, the rest at random, and
 One threshold is calibrated per language, the language being guessed from the text's function words alone: labels, the
 language column, source and id are no inputs.  The score is the logistic of (logit - threshold), so 0.5 decides.
 
-The fit uses a bounded sample of labelled rows (``max_toxic``, ``max_clean``, chosen by hash of the id).  Where these hold
-more than ``max_words`` words, fewer whole documents are chosen, in the order of the same hash.  Scoring reads
+The fit starts on a bounded sample of labelled rows (``max_toxic``, ``max_clean``, chosen by hash of the id; where these hold
+more than ``max_words`` words, fewer whole documents, in the order of the same hash).  If that is not all labelled rows, the fit
+goes on over all of them: log-odds are counted over all, then each of ``ROUNDS`` rounds deals them into shards by hash, every
+shard takes a pass of steps from the same network, and the changes are averaged (those of an embedding over the shards that
+moved it).  Thresholds are placed by all rows kept aside, whose logits are counted in steps of 1 / ``GRID``.  No pass has more
+of the rows in a task than a shard, and the driver only gets counts and changes of the network's own size.  Scoring reads
 every text in full, in one pass without a shuffle; texts of any length go through in pieces that overlap by the widest
 filter, whose maxima are combined.
 
@@ -19,6 +23,8 @@ is 0; rows are scored one by one, so repeated rows score alike; an empty table g
 
 from __future__ import annotations
 
+import copy
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablab.llm.common import materialise, ref, trim
+from tablab.llm.common import materialise, ref, release, trim
 from tablab.llm.labelled import bounded_labels, hash_place, held_out, training_labels
 
 MAX_TOXIC, MAX_CLEAN = 4000, 6000
@@ -37,6 +43,9 @@ CUT = 0.5
 WORD_BITS, START_BITS, START = 18, 16, 4
 DIM, FILTERS, WIDTHS = 12, 12, (1, 2, 3)
 EPOCHS, BATCH, RATE = 6, 64, 0.05
+#: Passes over all labelled rows after the start, about so many words of them to a shard, embeddings to a row of changes, and
+#: steps of a logit when thresholds are placed.
+ROUNDS, SHARD_WORDS, SLICE, GRID = 2, 1 << 21, 1 << 10, 512
 #: Words that go through the filters at a time, and pieces that longer texts are cut into.
 ROWS, PIECE = 1 << 17, 1 << 16
 CACHE_SIZE = 400_000
@@ -173,25 +182,44 @@ class Convolution:
         return 1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -50, 50)))
 
 
+TABLES = (("words", lambda t: t & 0xFFFFFFFF), ("starts", lambda t: t >> 32))
+
+
 def _log_odds(texts: list[np.ndarray], y: np.ndarray, pick, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shrunken log-odds per bucket of occurring in a toxic document, and which buckets occur."""
     n = np.zeros((2, size))
     for t, label in zip(texts, y):
         n[label, np.unique(pick(t))] += 1
-    rate = np.log((n[1] + 0.5) / (y.sum() + 1)) - np.log((n[0] + 0.5) / (len(y) - y.sum() + 1))
+    return _odds_of(n, len(y) - y.sum(), y.sum())
+
+
+def _odds_of(n: np.ndarray, clean: int, toxic: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the number of documents, clean and toxic, with each bucket."""
+    rate = np.log((n[1] + 0.5) / (toxic + 1)) - np.log((n[0] + 0.5) / (clean + 1))
     return rate * n.sum(axis=0) / (n.sum(axis=0) + 4), n.sum(axis=0) > 0
 
 
+def _class_weights(y: np.ndarray, clean: int, toxic: int) -> np.ndarray:
+    return np.where(y == 1, 0.5 / max(1, toxic), 0.5 / max(1, clean)) * (clean + toxic)
+
+
 def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> Convolution:
     """Train on packed texts and 0/1 labels, each class with half of the weight."""
     net, rng = Convolution(seed), np.random.default_rng(seed)
-    for table, pick in ((net.words, lambda t: t & 0xFFFFFFFF), (net.starts, lambda t: t >> 32)):
+    for name, pick in TABLES:
+        table = getattr(net, name)
         odds, seen = _log_odds(texts, y, pick, len(table))
         table[seen] = rng.normal(0, 0.05, (seen.sum(), DIM))
         table[:, 0] = np.clip(odds, -0.5, 4) / 2
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum())) * len(y)
-    square = {name: np.full_like(getattr(net, name), 1e-2) for name in ("words", "starts", "bias", "out")}
-    square_f, square_last = [np.full_like(f, 1e-2) for f in net.filters], 1e-2
+    net.square = {name: np.full_like(getattr(net, name), 1e-2) for name in ("words", "starts", "bias", "out")}
+    net.square |= {"filters": [np.full_like(f, 1e-2) for f in net.filters], "last": 1e-2}
+    descend(net, texts, y, _class_weights(y, len(y) - y.sum(), y.sum()), rng, epochs)
+    return net
+
+
+def descend(net: Convolution, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rng: np.random.Generator, epochs: int) -> None:
+    """Passes of Adagrad steps over the texts, in place."""
+    square = net.square
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
@@ -210,8 +238,8 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
             net.out -= RATE * g / np.sqrt(square["out"])
             square["bias"] += (g := dtop.sum(axis=0)) ** 2
             net.bias -= RATE * g / np.sqrt(square["bias"])
-            square_last += (g := dz.sum()) ** 2
-            net.last -= RATE * g / np.sqrt(square_last)
+            square["last"] += (g := dz.sum()) ** 2
+            net.last -= RATE * g / np.sqrt(square["last"])
             ids_of, grads = [], []
             for n, f in enumerate(net.filters):
                 d, where = dtop[:, n * FILTERS : (n + 1) * FILTERS], best[:, n * FILTERS : (n + 1) * FILTERS]
@@ -222,8 +250,8 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
                     df[j] = np.einsum("bf,bfd->df", d * real, x[place])
                     ids_of.append(ids[place][real])
                     grads.append((d[:, :, None] * f[j].T[None])[real])
-                square_f[n] += df**2
-                f -= RATE * df / np.sqrt(square_f[n])
+                square["filters"][n] += df**2
+                f -= RATE * df / np.sqrt(square["filters"][n])
             flat, grad = np.concatenate(ids_of), np.concatenate(grads)
             for name, bucket in (("words", flat & 0xFFFFFFFF), ("starts", flat >> 32)):
                 used, inverse = np.unique(bucket, return_inverse=True)
@@ -231,7 +259,161 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
                 np.add.at(total, inverse, grad)
                 square[name][used] += total**2
                 getattr(net, name)[used] -= RATE * total / np.sqrt(square[name][used])
-    return net
+
+
+def labelled_rows(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, y, x, aside) of all documents with a training label; every sixth id or so is kept aside from the fit."""
+    # labels grow with the documents, so they meet by shuffle at every size
+    rows = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text")).join(labelled.hint("merge"), "id")
+    rows = materialise(rows.select("id", "y", packed_udf()("text").alias("x"), _aside(F.col("id")).alias("aside")), "toxicity-rows")
+    release(docs.sparkSession)  # the texts' shuffle files
+    return rows
+
+
+def _aside(id_column):
+    return hash_place(id_column, 19) % 6 == 0
+
+
+def bucket_counts(rows: DataFrame) -> np.ndarray:
+    """Documents of (y, x) with each bucket of words, then of starts: clean and toxic."""
+    size, first = (1 << WORD_BITS) + (1 << START_BITS), 1 << WORD_BITS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros((2, size), np.int64)
+        for pdf in batches:
+            for y, x in zip(pdf["y"], pdf["x"]):
+                t = np.frombuffer(x, np.int64)
+                n[y, np.unique(t & 0xFFFFFFFF)] += 1
+                n[y, np.unique(t >> 32) + first] += 1
+        used = np.flatnonzero(n.sum(axis=0))
+        yield pd.DataFrame({"bucket": used, "clean": n[0, used], "toxic": n[1, used]})
+
+    got = rows.select("y", "x").mapInPandas(run, "bucket long, clean long, toxic long").groupBy("bucket")
+    got = got.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # a row per bucket at most
+    n = np.zeros((2, size))
+    n[:, got["bucket"].to_numpy()] = got["clean"], got["toxic"]
+    return n
+
+
+def _small(net: Convolution) -> list[np.ndarray]:
+    """What is no table of embeddings, and its squares."""
+    return [*net.filters, net.bias, net.out, *net.square["filters"], net.square["bias"], net.square["out"]]
+
+
+def _changes(start: Convolution, net: Convolution) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(slice, places, changes): of the tables ``SLICE`` embeddings at a time, those that moved; slice -1 has the rest."""
+    first = 0
+    for name, _ in TABLES:
+        moved = np.concatenate([getattr(net, name) - getattr(start, name), net.square[name] - start.square[name]], axis=1)
+        for at in range(0, len(moved), SLICE):
+            used = np.flatnonzero(moved[at : at + SLICE].any(axis=1))
+            if len(used):
+                yield (first + at) // SLICE, used, moved[at : at + SLICE][used]
+        first += len(moved)
+    rest = [np.ravel(b - a) for a, b in zip(_small(start), _small(net))] + [[net.last - start.last, net.square["last"] - start.square["last"]]]
+    yield -1, np.zeros(1, np.int64), np.concatenate(rest)[None].astype(np.float32)
+
+
+def _apply(net: Convolution, at: int, used: np.ndarray, change: np.ndarray) -> None:
+    """Add the averaged changes of a slice."""
+    if at < 0:
+        done = 0
+        for a in _small(net):
+            a += change[0, done : done + a.size].reshape(a.shape)
+            done += a.size
+        net.last += change[0, done]
+        net.square["last"] += float(change[0, done + 1])
+        return
+    name, used = ("words", at * SLICE + used) if at * SLICE < 1 << WORD_BITS else ("starts", at * SLICE - (1 << WORD_BITS) + used)
+    getattr(net, name)[used] += change[:, :DIM]
+    net.square[name][used] += change[:, DIM:]
+
+
+def _averaged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The changes of one slice, each averaged over the shards that made it."""
+    width = DIM * 2 if pdf["slice"].iloc[0] >= 0 else len(pdf["change"].iloc[0]) // 4
+    total, count = np.zeros((SLICE if width == DIM * 2 else 1, width)), np.zeros(SLICE if width == DIM * 2 else 1)
+    for _, r in pdf.sort_values("shard").iterrows():
+        used = np.frombuffer(r["used"], np.int64)
+        total[used] += np.frombuffer(r["change"], np.float32).reshape(len(used), width)
+        count[used] += 1
+    used = np.flatnonzero(count)
+    mean = (total[used] / count[used, None]).astype(np.float32)
+    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "used": [used.tobytes()], "change": [mean.tobytes()]})
+
+
+def _shard_pass(shared, counts: dict[int, int], seed: list[int]):
+    """A pass of steps over the rows of one shard, from the shared network; its changes."""
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["shard"].iloc[0])
+        some = sorted(zip(pdf["id"].map(str), pdf["x"], pdf["y"]))  # the same order on every run
+        own, y = copy.deepcopy(shared.value), np.array([r[2] for r in some], np.int64)
+        descend(own, [np.frombuffer(r[1], np.int64) for r in some], y, _class_weights(y, counts[0], counts[1]), np.random.default_rng([*seed, shard]), 1)
+        out = [(shard, at, used.tobytes(), change.tobytes()) for at, used, change in _changes(shared.value, own)]
+        return pd.DataFrame(out, columns=["shard", "slice", "used", "change"])
+
+    return step
+
+
+def fit_on(net: Convolution, rows: DataFrame, start_odds: dict[str, np.ndarray], counts: dict[int, int], words: int, seed: int = 0) -> None:
+    """Go on with a started fit over all of ``rows`` (id, y, x), in place."""
+    n, rng, first = bucket_counts(rows), np.random.default_rng([seed, 1]), 0
+    for name, _ in TABLES:
+        table = getattr(net, name)
+        odds, seen = _odds_of(n[:, first : first + len(table)], counts[0], counts[1])
+        new = seen & ~table.any(axis=1)
+        table[new] = rng.normal(0, 0.05, (new.sum(), DIM))
+        table[new, 0] = 0
+        table[:, 0] += (np.clip(odds, -0.5, 4) - np.clip(start_odds[name], -0.5, 4)) / 2
+        first += len(table)
+    shards = max(1, math.ceil(words / SHARD_WORDS))
+    dealt = rows.select("id", "y", "x", F.pmod(F.xxhash64("id", "x", F.lit(23)), F.lit(shards)).alias("shard"))
+    for turn in range(ROUNDS):
+        shared = rows.sparkSession.sparkContext.broadcast(net)  # fixed size
+
+        moved = dealt.groupBy("shard").applyInPandas(_shard_pass(shared, counts, [seed, 2, turn]), "shard long, slice int, used binary, change binary")
+        mean = moved.groupBy("slice").applyInPandas(_averaged, "slice int, used binary, change binary")
+        for r in mean.collect():  # no more than the network's own size
+            used = np.frombuffer(r["used"], np.int64)
+            _apply(net, r["slice"], used, np.frombuffer(r["change"], np.float32).reshape(len(used), -1))
+        shared.destroy()
+        del moved, mean
+        release(rows.sparkSession)
+
+
+def place_thresholds_on(net: Convolution, rows: DataFrame, least: int = 15) -> None:
+    """``place_thresholds`` over all of ``rows`` (y, x): logits are counted in steps of 1 / ``GRID``."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                texts = [np.frombuffer(x, np.int64) for x in part["x"]]
+                z = np.round(np.clip(shared.value.logits(texts), -32, 32) * GRID).astype(np.int64)
+                yield pd.DataFrame({"spoken": [language_of(t) for t in texts], "z": z, "clean": (part["y"] == 0).to_numpy(np.int64), "toxic": (part["y"] == 1).to_numpy(np.int64)})
+
+    got = rows.select("y", "x").mapInPandas(run, "spoken long, z long, clean long, toxic long").groupBy("spoken", "z")
+    got = got.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # 64 * GRID steps a language at most
+    shared.destroy()
+
+    def placed(some: pd.DataFrame) -> float:
+        some = some.groupby("z")[["clean", "toxic"]].sum().sort_index()
+        return _cut(some.index.to_numpy() / GRID, some["clean"].to_numpy(), some["toxic"].to_numpy())
+
+    net.thresholds[:] = placed(got)
+    for i, own in got.groupby("spoken"):
+        if min(own["clean"].sum(), own["toxic"].sum()) >= least:
+            net.thresholds[i] = placed(own)
+
+
+def _cut(z: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """Of ascending logits with numbers of clean and toxic documents, the place between two of least cost."""
+    missed = np.concatenate([[0], np.cumsum(toxic)]) / max(1, toxic.sum())
+    alarms = 1 - np.concatenate([[0], np.cumsum(clean)]) / max(1, clean.sum())
+    edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
+    cost = missed + ALARM_COST * alarms
+    return float(np.median(edges[cost <= cost.min() + 1e-9]))
 
 
 def place_thresholds(net: Convolution, texts: list[np.ndarray], y: np.ndarray, least: int = 15) -> None:
@@ -241,12 +423,7 @@ def place_thresholds(net: Convolution, texts: list[np.ndarray], y: np.ndarray, l
 
     def cut(z: np.ndarray, y: np.ndarray) -> float:
         order = np.argsort(z, kind="stable")
-        z, y = z[order], y[order]
-        missed = np.concatenate([[0], np.cumsum(y == 1)]) / max(1, (y == 1).sum())
-        alarms = 1 - np.concatenate([[0], np.cumsum(y == 0)]) / max(1, (y == 0).sum())
-        edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
-        cost = missed + ALARM_COST * alarms
-        return float(np.median(edges[cost <= cost.min() + 1e-9]))
+        return _cut(z[order], y[order] == 0, y[order] == 1)
 
     net.thresholds[:] = cut(z, y)
     for i in range(len(LANGUAGES)):
@@ -285,15 +462,20 @@ def training_sample(docs: DataFrame, chosen: DataFrame, most: dict[int, int], ma
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
           max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_words: int = MAX_WORDS) -> Convolution | None:
-    """Fit on a bounded sample of the training fold; None without rows of both classes."""
+    """Fit on the training fold, from a bounded sample of it on; None without rows of both classes."""
     most = {1: max_toxic, 0: max_clean}
-    chosen, counts = bounded_labels(training_labels(labels, label, id_col), most)
+    labelled = training_labels(labels, label, id_col)
+    chosen, counts = bounded_labels(labelled, most)
     if not counts[0] or not counts[1]:
         return None
     sample = training_sample(docs, chosen, most, max_words, id_col, text_col)
     sample.sort(key=lambda r: (str(r["id"]), r["x"]))  # the same order on every run
     texts = [np.frombuffer(r["x"], np.int64) for r in sample]
     y = np.array([r["y"] for r in sample], np.int64)
+    rows = labelled_rows(docs, labelled, id_col, text_col)
+    if rows.count() > len(sample):
+        some = {r["id"] for r in chosen.where(_aside(F.col("id"))).select("id").collect()}  # bounded as the sample is
+        return _train_on_all(rows, texts, y, np.array([r["id"] in some for r in sample], bool))
     del sample
     if len(set(y.tolist())) < 2:
         return None
@@ -302,10 +484,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if (y[aside] == 1).sum() < 60:
         net = fit(texts, y)
         place_thresholds(net, texts, y)
+        net.square = None
         return net
     net = fit([t for t, a in zip(texts, aside) if not a], y[~aside])
     place_thresholds(net, [t for t, a in zip(texts, aside) if a], y[aside])
+    net.square = None
+    del texts
+    trim()
+    return net
+
+
+def _train_on_all(rows: DataFrame, texts: list[np.ndarray], y: np.ndarray, aside: np.ndarray) -> Convolution | None:
+    """Fit started on a sample (``texts``, ``y``, ``aside``) and finished on all of ``rows``."""
+    sizes = rows.groupBy("y", "aside").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("x")).alias("bytes")).collect()
+    n = {(r["y"], r["aside"]): r["n"] for r in sizes}
+    keep = n.get((1, True), 0) >= 60
+    counts = {c: n.get((c, False), 0) + (0 if keep else n.get((c, True), 0)) for c in (0, 1)}
+    if not counts[0] or not counts[1]:
+        return None
+    fitted, judged = (rows.where("not aside"), rows.where("aside")) if keep else (rows, rows)
+    if keep:
+        texts, y = [t for t, a in zip(texts, aside) if not a], y[~aside]
+    net = fit(texts, y)
+    odds = {name: _log_odds(texts, y, pick, len(getattr(net, name)))[0] for name, pick in TABLES}
     del texts
+    fit_on(net, fitted, odds, counts, sum(r["bytes"] for r in sizes if not (keep and r["aside"])) // 8)
+    place_thresholds_on(net, judged)
+    net.square = None
     trim()
     return net
 

@@ -189,3 +189,19 @@ def test_last_steps_lower_the_risk_over_all_documents(spark):
     end = Q.refine(start, written, p, prior, rounds=3)
     assert risk(end) < risk(start)
     assert risk(Q.refine(end, written, p, prior, rounds=1)) <= risk(end) + 1e-9
+
+
+def test_toxicity_learns_from_labelled_rows_beyond_its_sample(spark, monkeypatch):
+    """A word that only few toxic documents have is learnt whether or not the sample holds one of them."""
+    monkeypatch.setattr(T, "SHARD_WORDS", 4000)
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 3 = 0 as int) as toxic")
+    bounds = {"max_toxic": 12, "max_clean": 24}
+    chosen, _ = bounded_labels(training_labels(labels, "toxic"), {1: 12, 0: 24})
+    rare = ~F.col("doc_id").isin([r.id for r in chosen.collect()]) & (F.col("doc_id") % 30 == 0)  # the sample does not know the word
+    insult = F.when(rare, "rareinsult").when(F.col("doc_id") % 3 == 0, "commoninsult").otherwise("calm")
+    docs = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("text", F.concat_ws(" ", F.lit("plain words here"), F.col("doc_id") % 40, insult, F.lit("and more")))
+    net = T.train(docs, labels, **bounds)
+    got = net.scores([T.words_of(f"plain words here 7 {w} and more") for w in ("rareinsult", "commoninsult", "calm")])
+    assert got[0] > 0.5 and got[1] > 0.5 and got[2] < 0.5
+    again = T.train(docs.repartition(7), labels.repartition(3), **bounds)
+    assert np.allclose(net.thresholds, again.thresholds, atol=1e-2) and np.allclose(net.out, again.out, atol=1e-4)
