@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablab.llm.common import materialise, ref, trim
+from tablab.llm.common import materialise, ref, release, trim
 from tablab.llm.labelled import bounded_labels, held_out, sample_by_hash, training_labels, within_bound
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_NEGATIVE = 8000, 12000, 4000
@@ -103,6 +103,12 @@ def _repeated_share(ids: np.ndarray, size: int) -> float:
     return 1 - len(np.unique(windows)) / len(windows)
 
 
+def _standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Inputs, of single or half precision, as the network takes them; one array beside ``x`` at a time."""
+    z = (x - mean) * scale
+    return np.clip(z, -4, 4, out=z)
+
+
 class Network:
     """One hidden layer over standardised inputs; ``g`` of many rows at a time."""
 
@@ -110,7 +116,7 @@ class Network:
         self.mean, self.scale, self.w1, self.b1, self.w2, self.b2, self.a, self.b = mean, scale, w1, b1, w2, b2, a, b
 
     def g(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(np.clip((x - self.mean) * self.scale, -4, 4) @ self.w1 + self.b1) @ self.w2 + self.b2
+        return np.tanh(_standardised(x, self.mean, self.scale) @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.a * self.g(x) + self.b, -30, 30)))
@@ -161,7 +167,7 @@ NAMES = ("w1", "b1", "w2", "b2")
 
 def losses(net: Network, x: np.ndarray, sign: float) -> tuple[float, dict]:
     """Sum of the logistic loss of ``sign * g`` over rows, and its gradient by the weights."""
-    z = np.clip((x - net.mean) * net.scale, -4, 4).astype(np.float64)
+    z = _standardised(x, net.mean, net.scale).astype(np.float64)
     h = np.tanh(z @ net.w1 + net.b1)
     g = sign * (h @ net.w2 + net.b2)
     dg = -sign / (1 + np.exp(np.clip(g, -30, 30)))
@@ -221,6 +227,7 @@ def refine(net: Network, written: DataFrame, p: np.ndarray, prior: float, rounds
             reach /= 30
             continue
         net, reach = tried[best], reach * (1.0, 0.3, 0.1, 0.03)[best] * 2
+        release(written.sparkSession)  # else the driver's heap grows with the tasks of every pass
     for k in NAMES:
         setattr(net, k, np.asarray(getattr(net, k), np.float32))
     return net
@@ -229,27 +236,23 @@ def refine(net: Network, written: DataFrame, p: np.ndarray, prior: float, rounds
 def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 0,
            moments: tuple[np.ndarray, np.ndarray] | None = None) -> Network:
     """Minimise the non-negative risk over rows ``p`` (positive) and ``u`` (unlabelled) by Adam.  ``moments``: mean and
-    deviation of the inputs, those of ``u`` if not given."""
+    deviation of the inputs, those of ``u`` if not given.  The rows stay as they are, in half precision if they come so;
+    only those of a step are standardised."""
     rng = np.random.default_rng(seed)
-    mean, sd = moments or (u.mean(axis=0), u.std(axis=0))
+    mean, sd = moments or (u.mean(axis=0, dtype=np.float32), u.std(axis=0, dtype=np.float32))
     scale = (1 / np.maximum(sd, 1e-3)).astype(np.float32)
     d = p.shape[1]
     net = Network(mean, scale, rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
                   rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN).astype(np.float32), np.float32(0))
-    ps, us = p - mean, u - mean
-    del p, u
-    for x in (ps, us):  # in place: these are the largest arrays of the driver
-        x *= scale
-        np.clip(x, -4, 4, out=x)
     names = ("w1", "b1", "w2", "b2")
     m, v = ({k: np.zeros_like(getattr(net, k)) for k in names} for _ in range(2))
     t = 0
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    steps = max(20, max(len(ps), len(us)) // BATCH)
+    steps = max(20, max(len(p), len(u)) // BATCH)
     for _ in range(epochs):
         for _ in range(steps):
-            xp, xu = ps[rng.integers(0, len(ps), BATCH)], us[rng.integers(0, len(us), BATCH)]
-            x = np.concatenate([xp, xu])
+            xp, xu = p[rng.integers(0, len(p), BATCH)], u[rng.integers(0, len(u), BATCH)]
+            x = _standardised(np.concatenate([xp, xu]), mean, scale)
             h = np.tanh(x @ net.w1 + net.b1)
             g = h @ net.w2 + net.b2
             gp, gu = g[:BATCH], g[BATCH:]
@@ -296,6 +299,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     prior = counts[1] / (counts[0] + counts[1])
     written = write_features(docs, id_col, text_col) if written is None else written
+    release(docs.sparkSession)
     # a few thousand (id, label) pairs, bounded by the parameters above
     rows = written.join(F.broadcast(chosen), "id", "left")
     free = F.coalesce(sample_by_hash(written, max_unlabelled, "id"), F.lit(False))
@@ -303,19 +307,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = rows.select(F.coalesce("y", F.lit(-1)).alias("y"), "free", "x").toArrow()
     if not len(sample):
         return None
-    x = _matrix(sample.column("x")).astype(np.float32)
-    y, u = sample.column("y").to_numpy(), sample.column("free").to_numpy()
+    # in half precision, as they were written: these are the largest arrays of the driver
+    x, y, u = _matrix(sample.column("x")), sample.column("y").to_numpy(), sample.column("free").to_numpy()
+    del sample
     if not (y == 1).any():
         return None
-    net = fit_pu(x[y == 1], x[u] if u.any() else x, prior, moments=input_moments(written))
-    net = refine(net, written, x[y == 1], prior)
+    p = x[y == 1]
+    moments = input_moments(written)
+    release(docs.sparkSession)
+    net = fit_pu(p, x[u] if u.any() else x, prior, moments=moments)
+    net = refine(net, written, p, prior)
     known = y >= 0
     g = net.g(x[known])
     # scale: one unit of the score's logit per typical deviation of g; place: the best cut scores CUT
     cut = best_cut(g, y[known]) if (y == 0).any() else float(np.quantile(g, 0.01))
     net.a = float(3 / max(1e-6, np.abs(g - cut).mean()))
     net.b = float(np.log(CUT / (1 - CUT)) - net.a * cut)
-    del sample, x, g
+    del x, p, g
     trim()
     return net
 
@@ -332,6 +340,7 @@ def feature_udf():
 def score_udf(spark, net: Network | None, as_written: bool = False):
     """Column function text, or its written inputs, -> score in 0..1, higher where a good document is likelier."""
     model = spark.sparkContext.broadcast(net)  # fixed size
+    trim()
 
     @F.pandas_udf("double")
     def score(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:

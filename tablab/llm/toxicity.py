@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import copy
 import math
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -373,9 +375,10 @@ def fit_on(net: Convolution, rows: DataFrame, start_odds: dict[str, np.ndarray],
 
         moved = dealt.groupBy("shard").applyInPandas(_shard_pass(shared, counts, [seed, 2, turn]), "shard long, slice int, used binary, change binary")
         mean = moved.groupBy("slice").applyInPandas(_averaged, "slice int, used binary, change binary")
-        for r in mean.collect():  # no more than the network's own size
-            used = np.frombuffer(r["used"], np.int64)
-            _apply(net, r["slice"], used, np.frombuffer(r["change"], np.float32).reshape(len(used), -1))
+        for part in mean.toArrow().to_batches():  # no more than the network's own size, and read where it lies
+            for at, used, change in zip(*part.columns):
+                used = np.frombuffer(used.as_buffer(), np.int64)
+                _apply(net, at.as_py(), used, np.frombuffer(change.as_buffer(), np.float32).reshape(len(used), -1))
         shared.destroy()
         del moved, mean
         release(rows.sparkSession)
@@ -443,8 +446,17 @@ def within_words(sizes: list[tuple], quotas: dict[int, float]) -> list:
     return kept
 
 
-def training_sample(docs: DataFrame, chosen: DataFrame, most: dict[int, int], max_words: int, id_col: str, text_col: str) -> list:
-    """Rows (id, y, x) of the documents in ``chosen`` (id, y), at most ``max_words`` words of them, shared among the
+class Labelled(NamedTuple):
+    """A row of the training sample; ``x``, the packed text, lies in the buffer that it came in."""
+
+    id: object
+    y: int
+    x: memoryview
+    aside: bool
+
+
+def training_sample(docs: DataFrame, chosen: DataFrame, most: dict[int, int], max_words: int, id_col: str, text_col: str) -> list[Labelled]:
+    """Rows (id, y, x, aside) of the documents in ``chosen`` (id, y), at most ``max_words`` words of them, shared among the
     classes as ``most`` shares the rows.  Short rows count as so many words that no more than twice ``most`` fit, however
     often an id repeats."""
     # a few thousand (id, label) pairs, bounded by the parameters of the caller
@@ -457,7 +469,9 @@ def training_sample(docs: DataFrame, chosen: DataFrame, most: dict[int, int], ma
         kept = within_words([tuple(r) for r in sizes], {y: max_words * n / sum(most.values()) for y, n in most.items()})
         kind = rows.schema["id"].dataType.simpleString()
         rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in kept], f"id {kind}")), "id")
-    return rows.select("id", "y", "x").collect()
+    got = rows.select("id", "y", "x", _aside(F.col("id")).alias("aside")).toArrow()
+    x = (memoryview(v.as_buffer()) for v in got.column("x"))
+    return list(map(Labelled, got.column("id").to_pylist(), got.column("y").to_pylist(), x, got.column("aside").to_pylist()))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
@@ -469,13 +483,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not counts[0] or not counts[1]:
         return None
     sample = training_sample(docs, chosen, most, max_words, id_col, text_col)
-    sample.sort(key=lambda r: (str(r["id"]), r["x"]))  # the same order on every run
-    texts = [np.frombuffer(r["x"], np.int64) for r in sample]
-    y = np.array([r["y"] for r in sample], np.int64)
+    copies = Counter(r.id for r in sample)
+    sample.sort(key=lambda r: (str(r.id), bytes(r.x) if copies[r.id] > 1 else b""))  # the same order on every run
+    texts = [np.frombuffer(r.x, np.int64) for r in sample]
+    y = np.array([r.y for r in sample], np.int64)
     rows = labelled_rows(docs, labelled, id_col, text_col)
     if rows.count() > len(sample):
-        some = {r["id"] for r in chosen.where(_aside(F.col("id"))).select("id").collect()}  # bounded as the sample is
-        return _train_on_all(rows, texts, y, np.array([r["id"] in some for r in sample], bool))
+        return _train_on_all(rows, texts, y, np.array([r.aside for r in sample], bool))
     del sample
     if len(set(y.tolist())) < 2:
         return None
@@ -527,6 +541,7 @@ def packed_udf():
 def score_udf(spark, net: Convolution | None):
     """Column function text -> score in 0..1, higher where a toxic document is likelier."""
     model = spark.sparkContext.broadcast(net)  # fixed size: 2**18 + 2**16 embeddings
+    trim()
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -205,3 +205,28 @@ def test_toxicity_learns_from_labelled_rows_beyond_its_sample(spark, monkeypatch
     assert got[0] > 0.5 and got[1] > 0.5 and got[2] < 0.5
     again = T.train(docs.repartition(7), labels.repartition(3), **bounds)
     assert np.allclose(net.thresholds, again.thresholds, atol=1e-2) and np.allclose(net.out, again.out, atol=1e-4)
+
+
+def test_quality_fit_keeps_its_sample_in_half_precision():
+    """The driver holds the sample as it was written, not standardised copies of it."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    x = rng.random((6000, Q.N_RATES + Q.BUCKETS)).astype(np.float16)
+    moments = x.mean(axis=0, dtype=np.float32), x.std(axis=0, dtype=np.float32)
+    tracemalloc.start()
+    half = Q.fit_pu(x[:2000], x[2000:], 0.5, epochs=1, moments=moments)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * x.nbytes
+    single = Q.fit_pu(x[:2000].astype(np.float32), x[2000:].astype(np.float32), 0.5, epochs=1, moments=moments)
+    assert np.array_equal(half.w1, single.w1) and np.array_equal(half.g(x), single.g(x.astype(np.float32)))
+
+
+def test_toxicity_sample_stays_in_its_buffers(spark):
+    docs = spark.createDataFrame([(1, "some words"), (1, ""), (2, None), (3, "more")], "doc_id long, text string")
+    chosen = spark.createDataFrame([(1, 1), (2, 0)], "id long, y int")
+    got = T.training_sample(docs, chosen, {1: 10, 0: 10}, T.MAX_WORDS, "doc_id", "text")
+    assert sorted((r.id, r.y, len(r.x) // 8) for r in got) == [(1, 1, 0), (1, 1, 2), (2, 0, 0)]
+    assert all(isinstance(r.x, memoryview) for r in got) and len(np.frombuffer(got[0].x, np.int64)) == len(got[0].x) // 8
+    assert len({r.aside for r in got if r.id == 1}) == 1
