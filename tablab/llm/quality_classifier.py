@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablab.llm.common import materialise, ref, release, trim
+from tablab.session import drop_scratch
 from tablab.llm.labelled import bounded_labels, held_out, sample_by_hash, training_labels, within_bound
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_NEGATIVE = 8000, 12000, 4000
@@ -297,13 +298,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen, counts = bounded_labels(training_labels(labels, label, id_col), {1: max_positive, 0: max_negative})
     if not counts[1]:
         return None
-    prior = counts[1] / (counts[0] + counts[1])
-    written = write_features(docs, id_col, text_col) if written is None else written
-    release(docs.sparkSession)
+    prior, bound = counts[1] / (counts[0] + counts[1]), 2 * (max_positive + max_negative + max_unlabelled)
+    if written is not None:
+        return _train_on(written, chosen, prior, max_unlabelled, bound)
+    written = write_features(docs, id_col, text_col)
+    net = _train_on(written, chosen, prior, max_unlabelled, bound)
+    drop_scratch(written)
+    return net
+
+
+def _train_on(written: DataFrame, chosen: DataFrame, prior: float, max_unlabelled: int, bound: int) -> Network | None:
+    """Fit on the inputs of all documents and the (id, y) ``chosen``; ``bound``: rows of the sample at most."""
+    release(written.sparkSession)
     # a few thousand (id, label) pairs, bounded by the parameters above
     rows = written.join(F.broadcast(chosen), "id", "left")
     free = F.coalesce(sample_by_hash(written, max_unlabelled, "id"), F.lit(False))
-    rows = within_bound(rows.where(F.col("y").isNotNull() | free).select("id", "x", "y", free.alias("free")), 2 * (max_positive + max_negative + max_unlabelled))
+    rows = within_bound(rows.where(F.col("y").isNotNull() | free).select("id", "x", "y", free.alias("free")), bound)
     sample = rows.select(F.coalesce("y", F.lit(-1)).alias("y"), "free", "x").toArrow()
     if not len(sample):
         return None
@@ -314,7 +324,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     p = x[y == 1]
     moments = input_moments(written)
-    release(docs.sparkSession)
+    release(written.sparkSession)
     net = fit_pu(p, x[u] if u.any() else x, prior, moments=moments)
     net = refine(net, written, p, prior)
     known = y >= 0

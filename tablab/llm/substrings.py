@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablab.llm.common import as_signed, materialise, ref, release, temp_name
+from tablab.session import drop_scratch
 
 #: The lowest level is the first half, quarter, ... of the window that is at most this long (half at least).
 LOWEST = 24
@@ -106,14 +107,14 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` (keys, text and start) whose keys start at two places at least.  The repeated keys are written first: the
-    counting shuffle is over before the other begins, and the join's sides are plain shuffles that can be split."""
+def _repeated(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (keys, text and start) whose keys start at two places at least, and the table of these keys.  It is written
+    first: the counting shuffle is over before the other begins, and the join's sides are plain shuffles that can be split."""
     place = F.xxhash64(rows.columns[-2], "start")
     seen = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     seen = materialise(seen.select(*keys), "repeated")
     release(rows.sparkSession)
-    return rows.join(seen, keys, "left_semi")
+    return rows.join(seen, keys, "left_semi"), seen
 
 
 def _lowest(texts: DataFrame, window: int, length: int) -> DataFrame:
@@ -196,7 +197,8 @@ def _without(texts: DataFrame, window: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """One row per distinct text that loses words: key (MD5 of the text), n_words, n_removed, kept (the words left,
-    joined by one blank) and spans (removed word ranges, end exclusive).  Materialised."""
+    joined by one blank) and spans (removed word ranges, end exclusive).  Materialised; the tables on the way there are
+    deleted as soon as the next is written."""
     if window < 1:
         raise ValueError("a window has at least one word")
     spark, steps = docs.sparkSession, levels(window)
@@ -207,28 +209,40 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = low.select("key", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select(
         F.col("w.hashes").alias("hash"), "key", F.col("w.starts").alias("start")
     )
-    alive = _repeated(pairs, ["hash"]).groupBy("key").agg(F.collect_set("start").alias("starts"))
+    alive, seen = _repeated(pairs, ["hash"])
+    alive = alive.groupBy("key").agg(F.collect_set("start").alias("starts"))
     # the texts that still matter, one of each, under a short number that is fixed by being written
     alive = materialise(alive.join(copies, "key").withColumnRenamed("key", "alive_key"), "alive")
+    drop_scratch(seen)
     release(spark)
     texts = rows.join(alive, (rows["key"] == alive["alive_key"]) & rows["id"].eqNullSafe(alive["least"]))
     texts = texts.select(F.monotonically_increasing_id().alias("uid"), "key", "text", "starts", "copies")
     texts = materialise(texts, "texts")
+    drop_scratch(alive)
     release(spark)
+    used = [low, copies, texts]  # until the result is written
     for short, long in zip(steps, steps[1:]):
         windows = _windows(texts, short, long)  # hashed twice from the texts rather than kept: they outweigh them
-        places = materialise(_repeated(windows, ["g1", "g2"]).select("uid", "start"), "places")
+        places, seen = _repeated(windows, ["g1", "g2"])
+        places = materialise(places.select("uid", "start"), "places")
+        drop_scratch(seen)
         release(spark)
+        used.append(places)
         starts = places.groupBy("uid").agg(F.collect_set("start").alias("starts"))  # at most one a word of a text
         texts = texts.drop("starts").join(starts, "uid")
         if long != window:
             texts = materialise(texts, "texts")
+            drop_scratch(*used[2:])
+            used[2:] = [texts]
     parted = _without(texts, window)
     # a text that occurs twice is repeated from its first word to its last
     whole = low.select("key", "n_words").distinct().join(copies.where("copies > 1"), "key", "left_semi")
     span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
     gone = whole.select("key", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"), span.alias("spans"))
-    return materialise(parted.join(whole, "key", "left_anti").unionByName(gone), "spans")
+    spans = materialise(parted.join(whole, "key", "left_anti").unionByName(gone), "spans")
+    drop_scratch(*used)
+    release(spark)
+    return spans
 
 
 def words_of(text: Column) -> Column:

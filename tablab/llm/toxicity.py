@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablab.llm.common import materialise, ref, release, trim
+from tablab.session import drop_scratch
 from tablab.llm.labelled import bounded_labels, hash_place, held_out, training_labels
 
 MAX_TOXIC, MAX_CLEAN = 4000, 6000
@@ -461,7 +462,7 @@ def training_sample(docs: DataFrame, chosen: DataFrame, most: dict[int, int], ma
     often an id repeats."""
     # a few thousand (id, label) pairs, bounded by the parameters of the caller
     rows = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = materialise(rows.select("id", "y", packed_udf()("text").alias("x")), "toxicity-sample")
+    rows = written = materialise(rows.select("id", "y", packed_udf()("text").alias("x")), "toxicity-sample")
     least = max(1, max_words // (2 * max(1, sum(most.values()))))
     words = F.sum(F.greatest((F.length("x") / 8).cast("long"), F.lit(least))).alias("words")
     sizes = rows.groupBy("id", "y").agg(words).select(hash_place(F.col("id")).alias("place"), "id", "y", "words").collect()
@@ -470,6 +471,7 @@ def training_sample(docs: DataFrame, chosen: DataFrame, most: dict[int, int], ma
         kind = rows.schema["id"].dataType.simpleString()
         rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in kept], f"id {kind}")), "id")
     got = rows.select("id", "y", "x", _aside(F.col("id")).alias("aside")).toArrow()
+    drop_scratch(written)
     x = (memoryview(v.as_buffer()) for v in got.column("x"))
     return list(map(Labelled, got.column("id").to_pylist(), got.column("y").to_pylist(), x, got.column("aside").to_pylist()))
 
@@ -489,7 +491,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = np.array([r.y for r in sample], np.int64)
     rows = labelled_rows(docs, labelled, id_col, text_col)
     if rows.count() > len(sample):
-        return _train_on_all(rows, texts, y, np.array([r.aside for r in sample], bool))
+        net = _train_on_all(rows, texts, y, np.array([r.aside for r in sample], bool))
+        drop_scratch(rows)
+        return net
+    drop_scratch(rows)
     del sample
     if len(set(y.tolist())) < 2:
         return None
