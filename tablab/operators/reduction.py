@@ -24,9 +24,12 @@ from tablab.functions.hashing import HASH_RANGE, key_hash
 from tablab.functions.kinds import is_numeric_type, require_columns, require_numeric
 from tablab.functions.long import q
 from tablab.functions.names import private
+from tablab.session import ensure_checkpoint_dir
 
 #: Points that a bucket of a line keeps at most.
 PER_BUCKET = 4
+#: A key with over one in so many rows is hot; there are fewer hot keys than this, whatever the table.
+HOT_KEYS = 1000
 
 
 def position(df: DataFrame, x: str) -> Column:
@@ -41,8 +44,11 @@ def position(df: DataFrame, x: str) -> Column:
     raise ValueError(f"column {x!r} is neither a number nor a time")
 
 
-def _matched(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``rows`` with the columns of ``facts`` (one row per key, null meeting null); the engine chooses by their size."""
+def _matched(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row per key, null meeting null); the engine chooses by their size.
+    ``weight``: the column of ``facts``, which then have all keys and are read more than once, with the number of ``rows``
+    of each key.  The facts of hot keys are broadcast, so that a key with half of all rows stays where its rows are; other
+    keys, none with over a thousandth of the rows, meet by shuffle."""
     if not keys:  # at most one row of facts
         row = facts.first()
         extra = [F.lit(None if row is None else row[f.name]).cast(f.dataType).alias(f.name) for f in facts.schema.fields]
@@ -52,7 +58,14 @@ def _matched(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFram
     same = F.lit(True)
     for k, n in zip(keys, names):
         same = same & q(k).eqNullSafe(F.col(n))
-    return rows.join(renamed, same).drop(*names)
+    if weight is None:
+        return rows.join(renamed, same).drop(*names)
+    hot = F.col(weight) * HOT_KEYS > (facts.agg(F.sum(weight)).first()[0] or 0)
+    heavy, light = F.broadcast(renamed.where(hot)), renamed.where(~hot)
+    direct = rows.join(heavy, same).drop(*names)
+    if light.isEmpty():
+        return direct
+    return direct.unionByName(rows.join(heavy, same, "left_anti").join(light, same).drop(*names))
 
 
 def line_envelope(df: DataFrame, x: str, y: str, series: Sequence[str] = (), max_points: int = 2000) -> DataFrame:
@@ -68,7 +81,8 @@ def line_envelope(df: DataFrame, x: str, y: str, series: Sequence[str] = (), max
     at, n, low, high, bucket, ends = private(cols, "at", "n", "low", "high", "bucket", "ends")
     rows = df.select(*[q(c) for c in cols]).withColumn(at, position(df, x))
     facts = rows.groupBy(*[q(s) for s in series]).agg(F.count(F.lit(1)).alias(n), F.min(at).alias(low), F.max(at).alias(high))
-    rows = _matched(rows, facts, series)
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = _matched(rows, facts.checkpoint() if series else facts, series, n)
     buckets = max_points // PER_BUCKET
     share = F.try_divide(F.col(at) - F.col(low), F.col(high) - F.col(low))
     place = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.lit(float(buckets))), F.lit(buckets - 1))
@@ -93,28 +107,31 @@ def sample_points(df: DataFrame, cols: Sequence[str], max_points: int, facets: S
     if max_points < 1:
         raise ValueError("max_points must be at least 1")
     carried = list(dict.fromkeys([*cols, *facets, *key]))
-    h, n, most, m, end = private(carried, "hash", "n", "most", "m", "end")
+    h, n, most, m, end, size = private(carried, "hash", "n", "most", "m", "end", "size")
     rows = df.select(*[q(c) for c in carried]).withColumn(h, key_hash(key, seed))
-    sizes = df.groupBy(*[q(f) for f in facets]).agg(F.count(F.lit(1)).alias(n))
+    sizes = df.groupBy(*[q(f) for f in facets]).agg(F.count(F.lit(1)).alias(size))
     # a little more than enough, by the spread of a binomial count
     wanted = max_points + 6 * math.sqrt(max_points) + 20
-    limits = sizes.select(*[q(f) for f in facets], F.when(F.col(n) > wanted, F.ceil(F.lit(wanted * HASH_RANGE) / F.col(n))).otherwise(HASH_RANGE).alias(most))
+    limit = F.when(F.col(size) > wanted, F.ceil(F.lit(wanted * HASH_RANGE) / F.col(size))).otherwise(HASH_RANGE)
+    ensure_checkpoint_dir(df.sparkSession)
+    limits = sizes.select(*[q(f) for f in facets], F.col(size), limit.alias(most)).checkpoint()
     done: DataFrame | None = None
     while True:
-        passed = _matched(rows, limits, facets).where(F.col(h) < F.col(most))
+        passed = _matched(rows, limits, facets, size).where(F.col(h) < F.col(most))
         groups = passed.groupBy(*[q(c) for c in carried], F.col(h), F.col(most)).agg(F.count(F.lit(1)).alias(m))
         groups = groups.checkpoint()
         got = groups.groupBy(*[q(f) for f in facets], F.col(most)).agg(F.sum(m).alias(n)).checkpoint()
-        short = got.where((F.col(n) < max_points) & (F.col(most) < HASH_RANGE))
         fine = got.where((F.col(n) >= max_points) | (F.col(most) >= HASH_RANGE)).drop(n, most)
         ready = _matched(groups, fine.withColumn(n, F.lit(1)), facets)
         done = ready if done is None else done.unionByName(ready)
-        missing = limits.select(*[q(f) for f in facets], F.col(most)).where(F.col(most) < HASH_RANGE)
-        # a facet none of whose rows passed has no group at all
-        again = _absent(missing, got, facets).unionByName(short.drop(n))
+        # a facet none of whose rows passed has no group at all; one that is done stays, so that its rows are told from others
+        tried = F.col(most).between(1, HASH_RANGE - 1)
+        again = _absent(limits.where(tried), fine, facets)
         if again.isEmpty():
             break
-        limits = again.withColumn(most, F.least(F.col(most) * 4, F.lit(HASH_RANGE))).checkpoint()
+        again = again.withColumn(most, F.least(F.col(most) * 4, F.lit(HASH_RANGE)))
+        rest = _absent(limits, again, facets).withColumn(most, F.lit(0).cast(limits.schema[most].dataType))
+        limits = again.unionByName(rest).checkpoint()
     order = Window.partitionBy(*([q(f) for f in facets] or [F.lit(0)])).orderBy(h, *[q(c) for c in carried])
     ranked = done.withColumn(end, F.sum(m).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     left = F.least(F.col(m), F.lit(max_points) - (F.col(end) - F.col(m)))
